@@ -35,7 +35,7 @@ memories_d AS (
   FROM mem_doc),
 memories AS (SELECT * EXCLUDE (doc_id) FROM memories_d),
 access_log AS (
-  SELECT m.hash, CAST(epoch(e.ts) AS BIGINT) AS ts
+  SELECT m.hash, CAST(epoch_us(e.ts) // 1000000 AS BIGINT) AS ts
   FROM events e JOIN memories_d m ON e.event_id % (SELECT count(*) FROM documents) = m.doc_id),
 store_requests AS (
   SELECT concat(CAST(conv_id AS VARCHAR), '-', CAST(turn AS VARCHAR)) AS request_id,
@@ -48,7 +48,8 @@ store_requests AS (
     (['conversation', 'knowledge', 'learning', 'decision', 'architecture', 'note'])[turn % 6 + 1] AS memory_type,
     (['public', 'internal', 'secret', 'private'])[conv_id % 4 + 1] AS sensitivity,
     CASE WHEN conv_id % 3 = 0 THEN NULL ELSE concat('user_', CAST(conv_id % 4 AS VARCHAR)) END AS owner_id,
-    CASE WHEN turn % 4 = 1 THEN text ELSE NULL END AS context_log
+    CASE WHEN turn % 4 = 1 THEN text ELSE NULL END AS context_log,
+    conv_id * 1000 + turn + 10 AS arrival
   FROM conversations WHERE role = 'assistant'),
 search_requests AS (
   SELECT item_id AS query_id,

@@ -86,6 +86,7 @@ def store_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("conv_id") % 3 == 0, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("user_"), (F.col("conv_id") % 4).cast("string"))).alias("owner_id"),
         F.when(F.col("turn") % 4 == 1, F.col("text")).otherwise(F.lit(None).cast("string")).alias("context_log"),
+        (F.col("conv_id") * 1000 + F.col("turn") + 10).alias("arrival"),
     )
 
 
