@@ -22,9 +22,14 @@ def short_id(h="hash") -> Column:
     return F.substring(_c(h), 1, SHORT_ID_CHARS)
 
 
+# Fixed value: the characters JavaScript's String.prototype.trim removes (WhiteSpace and
+# LineTerminator of the language spec), as a regex class valid in Java and RE2.
+JS_SPACE = r"[\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
 def js_trim(x) -> Column:
     """String.prototype.trim: strip leading/trailing whitespace (Spark trim strips spaces only)."""
-    return F.regexp_replace(_c(x), r"^\s+|\s+$", "")
+    return F.regexp_replace(_c(x), f"^{JS_SPACE}+|{JS_SPACE}+$", "")
 
 
 def utf16_length(x) -> Column:

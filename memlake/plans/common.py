@@ -20,13 +20,27 @@ def register(name: str, sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return widen_ints(fn(spark, sf_dir))
+        run.__doc__, run.__name__ = fn.__doc__, fn.__name__
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = with_inputs(sql)
         return fn
     return deco
 
 
+def widen_ints(df: DataFrame) -> DataFrame:
+    """Report integer columns as bigint (the oracle's integer type)."""
+    from pyspark.sql.types import ByteType, IntegerType, ShortType
+    if not any(isinstance(f.dataType, (ByteType, ShortType, IntegerType)) for f in df.schema.fields):
+        return df
+    return df.select(*[F.col(f.name).cast("bigint").alias(f.name)
+                       if isinstance(f.dataType, (ByteType, ShortType, IntegerType)) else F.col(f.name)
+                       for f in df.schema.fields])
+
+
 def with_inputs(body: str) -> str:
     body = body.strip()
     sep = "\n" if body[:6].upper() == "SELECT" else ",\n"

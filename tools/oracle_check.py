@@ -81,6 +81,14 @@ def main():
             print(f"FAIL  {name}: columns spark={scols} oracle={ocols}")
             bad += 1
             continue
+        stypes = {f.name: f.dataType.simpleString() for f in sdf.schema.fields}
+        otypes = dict(zip(ocols, [str(d[1]) for d in res.description]))
+        tmap = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                "boolean": "BOOLEAN", "float": "FLOAT"}
+        tdiff = [(c, stypes[c], otypes[c]) for c in scols
+                 if tmap.get(stypes[c], stypes[c]).upper() != otypes[c].upper()]
+        if tdiff:
+            print(f"TYPE  {name}: {tdiff}")
         idx = [ocols.index(c) for c in scols]
         orows = [tuple(r[i] for i in idx) for r in orows]
         a, b = sorted(srows, key=key), sorted(orows, key=key)
