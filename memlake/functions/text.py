@@ -32,6 +32,14 @@ def js_trim(x) -> Column:
     return F.regexp_replace(_c(x), f"^{JS_SPACE}+|{JS_SPACE}+$", "")
 
 
+NAME_JUNK = f"(?:[-_.]|{JS_SPACE})+"
+
+
+def normalize_name(x) -> Column:
+    """Lower-case and drop '-', '_', whitespace and '.'."""
+    return F.regexp_replace(F.lower(_c(x)), NAME_JUNK, "")
+
+
 def utf16_length(x) -> Column:
     """Length in UTF-16 code units, as JavaScript counts it (supplementary chars count 2)."""
     s = _c(x)
@@ -43,11 +51,6 @@ def token_estimate(chars) -> Column:
     return F.floor(_c(chars) / F.lit(4.0) + F.lit(0.5)).cast("bigint")
 
 
-def normalize_name(x) -> Column:
-    """Lower-case and drop '-', '_', whitespace and '.'."""
-    return F.regexp_replace(F.lower(_c(x)), r"[-_\s.]+", "")
-
-
 def js_number(x) -> Column:
     """Render a double the way JavaScript prints it for integral values (3 not 3.0)."""
     v = _c(x)
