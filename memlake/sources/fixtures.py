@@ -116,7 +116,10 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshot_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read_table(spark, sf_dir, "pages")
+    return pages_as_files(read_table(spark, sf_dir, "pages"))
+
+
+def pages_as_files(p: DataFrame) -> DataFrame:
     return p.select(
         "page_id", F.col("url").alias("path"),
         F.regexp_extract("url", r"([a-z0-9-]+)\.example\.", 1).alias("project"), "html")
@@ -148,7 +151,10 @@ def stored_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snapshot_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files seen now: some changed, some gone, some at new paths."""
-    p = snapshot_pages(spark, sf_dir)
+    return arrivals_from_pages(snapshot_pages(spark, sf_dir))
+
+
+def arrivals_from_pages(p: DataFrame) -> DataFrame:
     kept = p.filter(F.col("page_id") % 7 != 0).withColumn(
         "html", F.when(F.col("page_id") % 3 == 0, F.concat("html", F.lit("<!-- edited -->")))
         .otherwise(F.col("html")))
@@ -182,7 +188,10 @@ def embed_call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files to ingest: (path, project, content)."""
-    d = read_table(spark, sf_dir, "documents")
+    return documents_as_files(read_table(spark, sf_dir, "documents"))
+
+
+def documents_as_files(d: DataFrame) -> DataFrame:
     return d.select(
         F.concat(F.lit("/docs/"), F.col("source"), F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"),
         F.col("source").alias("project"),
