@@ -27,9 +27,17 @@ def short_id(h="hash") -> Column:
 JS_SPACE = r"[\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 
+# The same set as a plain string of characters (for Spark's trim(str, chars)).
+JS_SPACE_CHARS = ("\t\n\x0b\x0c\r \xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+                  + "\u2028\u2029\u202f\u205f\u3000\ufeff")
+
+
 def js_trim(x) -> Column:
-    """String.prototype.trim: strip leading/trailing whitespace (Spark trim strips spaces only)."""
-    return F.regexp_replace(_c(x), f"^{JS_SPACE}+|{JS_SPACE}+$", "")
+    """String.prototype.trim: strip leading/trailing whitespace.
+
+    Spark's one-argument trim strips spaces only; trim(str, chars) strips any of `chars`
+    from both ends without scanning the middle of the string."""
+    return F.trim(_c(x), F.lit(JS_SPACE_CHARS))
 
 
 NAME_JUNK = f"(?:[-_.]|{JS_SPACE})+"

@@ -49,10 +49,14 @@ def chunk_array(text: str, size: int = CHUNK_SIZE, separator: str = CHUNK_SEPARA
 
 def chunk_documents(docs: DataFrame, text: str = "text", size: int = CHUNK_SIZE,
                     separator: str = CHUNK_SEPARATOR, keep=("doc_id",)) -> DataFrame:
-    """One row per chunk: kept columns, chunk_index (0-based), n_chunks, chunk."""
-    return (docs.select(*keep, chunk_array(text, size, separator).alias("_chunks"))
-            .select(*keep, F.size("_chunks").alias("n_chunks"),
-                    F.posexplode("_chunks").alias("chunk_index", "chunk")))
+    """One row per chunk: kept columns, chunk_index (0-based), n_chunks, chunk.
+
+    The chunk array is bound once (transform over a one-element array) so the optimizer
+    cannot inline the fold into both the count and the explode."""
+    bound = F.element_at(F.transform(F.array(chunk_array(text, size, separator)),
+                                     lambda cs: F.transform(cs, lambda c, i: F.struct(
+                                         i.alias("chunk_index"), F.size(cs).alias("n_chunks"), c.alias("chunk")))), 1)
+    return docs.select(*keep, F.inline(bound)).select(*keep, "n_chunks", "chunk_index", "chunk")
 
 
 def file_name(path: str = "path"):

@@ -34,22 +34,26 @@ def tokens(col) -> F.Column:
     return F.regexp_extract_all(F.lower(col), F.lit(TERM_PATTERN), 0)
 
 
-def postings(mem: DataFrame) -> DataFrame:
-    """(hash, field, pos, term) for summary (0), essence (1) and tags (2)."""
+def _field_terms():
+    """array<struct<field,pos,term>> over summary (0), essence (1) and tags (2) of a row."""
     fields = [(0, F.col("summary_text")), (1, F.col("essence_text")), (2, F.array_join("tags", " "))]
-    parts = [mem.select("hash", F.lit(i).alias("field"), F.posexplode(tokens(c)).alias("pos", "term"))
-             for i, c in fields]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    def tag(f):
+        return lambda t, i: F.struct(F.lit(f).alias("field"), i.alias("pos"), t.alias("term"))
+
+    return F.concat(*[F.transform(tokens(c), tag(f)) for f, c in fields])
+
+
+def postings(mem: DataFrame) -> DataFrame:
+    """(hash, field, pos, term): one scan, one generator over all three fields."""
+    return mem.select("hash", F.inline(_field_terms()))
 
 
-def doc_lengths(mem: DataFrame) -> DataFrame:
-    """(hash, dl): token count over the indexed fields, for every row (0 when none)."""
+def doc_lengths(mem: DataFrame, owner=None, project=None) -> DataFrame:
+    """(hash, dl, vis): token count over the indexed fields for every row (0 when none) and
+    whether the requester may see the row."""
     n = (F.size(tokens(F.col("summary_text"))) + F.size(tokens(F.col("essence_text")))
          + F.size(tokens(F.array_join("tags", " "))))
-    return mem.select("hash", n.cast("long").alias("dl"))
+    return mem.select("hash", n.cast("long").alias("dl"), visible(project, owner).alias("vis"))
 
 
 def term_stats(mem: DataFrame) -> DataFrame:
@@ -69,10 +73,14 @@ def query_phrases(queries: DataFrame) -> DataFrame:
                      F.posexplode("pieces").alias("j", "term"))
 
 
-def bm25(mem: DataFrame, queries: DataFrame, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
-    """(query_id, hash, score, rank) for every memory matching every phrase of the query."""
+def bm25(mem: DataFrame, queries: DataFrame, k1: float = BM25_K1, b: float = BM25_B,
+         owner=None, project=None) -> DataFrame:
+    """(query_id, hash, score, rank, vis) for every memory matching every phrase of the query.
+
+    Statistics (N, avgdl, document frequencies) cover the whole index; `vis` tells whether
+    the requester may see the row."""
     post = postings(mem)
-    dl = doc_lengths(mem)
+    dl = doc_lengths(mem, owner, project)
     n_docs = dl.agg(F.count("*")).scalar()
     avgdl = dl.agg(F.avg("dl")).scalar()
     pieces = query_phrases(queries)
@@ -89,16 +97,15 @@ def bm25(mem: DataFrame, queries: DataFrame, k1: float = BM25_K1, b: float = BM2
             / (F.col("f") + k1 * (1 - b + b * F.col("dl") / avgdl)))
     scored = (freq.join(n_hit, ["query_id", "ph"]).join(dl, "hash")
               .groupBy("query_id", "hash")
-              .agg(F.sum(term).alias("score"), F.count("*").alias("n_matched"))
+              .agg(F.sum(term).alias("score"), F.count("*").alias("n_matched"), F.first("vis").alias("vis"))
               .join(n_phr, "query_id")
               .filter(F.col("n_matched") == F.col("n_phrases")))
-    return scored.select("query_id", "hash", "score", (-F.col("score")).alias("rank"))
+    return scored.select("query_id", "hash", "score", (-F.col("score")).alias("rank"), "vis")
 
 
 def bm25_top(mem: DataFrame, queries: DataFrame, limit: int, owner=None, project=None) -> DataFrame:
     """ftsSearch: visible matches, best `limit` per query by rank (then hash), with position."""
-    vis = mem.filter(visible(project, owner))
-    hits = bm25(mem, queries).join(vis.select("hash"), "hash", "left_semi")
+    hits = bm25(mem, queries, owner=owner, project=project).filter("vis").drop("vis")
     w = Window.partitionBy("query_id").orderBy("rank", "hash")
     return hits.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= limit)
 
