@@ -5,9 +5,14 @@ Priority: exact, case-insensitive, normal form (lower-case without '-', '_', whi
 names of <= 4 / <= 10 / longer length. Known names are scanned by memory count desc, so
 ties go to the larger project (then the name). Blank input passes through.
 
-Every level is an equi join: levels 1-3 on the (normalised) name, level 4 on name length
-within the edit limit - a distance <= 3 implies a length difference <= 3, so the length
-window loses no candidate. The best candidate per incoming name is an aggregate (`min_by`).
+Every level is an equi join: levels 1-3 on the (normalised) name. Level 4 uses exact
+segment blocking (pigeonhole): each known name of length >= 4 is cut into 4 segments; if an
+incoming name is within d <= 3 edits, one segment is untouched and occurs in it at a
+position shifted by at most d. Incoming names are expanded into those few (length, segment,
+substring) keys and equi-joined to the segments, then `levenshtein` verifies the candidates.
+No candidate is lost and no all-pairs product is formed; names shorter than 4 chars (a
+small, bounded set) are paired by length. The best candidate per incoming name is an
+aggregate (`min_by`).
 """
 
 from __future__ import annotations
@@ -29,6 +34,50 @@ def max_edits(length) -> F.Column:
     return F.when(length <= 4, 1).when(length <= 10, 2).otherwise(3)
 
 
+SEGMENTS = 4  # largest edit limit (3) + 1
+
+
+def _seg_start(L, i):
+    """0-based start of segment i of a length-L string cut into 4 (the last L % 4 are longer)."""
+    base, extra = F.floor(L / SEGMENTS), L % SEGMENTS
+    return i * base + F.greatest(F.lit(0), i - (SEGMENTS - extra))
+
+
+def _seg_len(L, i):
+    base, extra = F.floor(L / SEGMENTS), L % SEGMENTS
+    return base + F.when(i >= SEGMENTS - extra, 1).otherwise(0)
+
+
+def _segment_candidates(live: DataFrame, nm: DataFrame) -> DataFrame:
+    """(incoming, t, name, cnt, lname) pairs sharing an exactly placed segment."""
+    segs = (nm.filter(F.col("nlen") >= SEGMENTS)
+            .select("name", "cnt", "lname", "nlen", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))).alias("i"))
+            .select("name", "cnt", "lname", "nlen", "i",
+                    F.substring("lname", (_seg_start(F.col("nlen"), F.col("i")) + 1).cast("int"),
+                                _seg_len(F.col("nlen"), F.col("i")).cast("int")).alias("seg")))
+    tl = F.length("t")
+    d = max_edits(tl)
+    keys = (live.select("incoming", "t", F.explode(F.sequence(F.greatest(tl - d, F.lit(SEGMENTS)), tl + d)).alias("L"))
+            .filter(F.col("L") <= tl + d)        # empty range when the name is too short
+            .select("incoming", "t", "L", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))).alias("i")))
+    st, ln = _seg_start(F.col("L"), F.col("i")), _seg_len(F.col("L"), F.col("i"))
+    keys = keys.select("incoming", "t", "L", "i", ln.alias("ln"), F.explode(F.sequence(st - d, st + d)).alias("q"))
+    keys = keys.filter((F.col("q") >= 0) & (F.col("q") + F.col("ln") <= tl))
+    keys = keys.select("incoming", "t", "L", "i",
+                       F.substring(F.lower("t"), (F.col("q") + 1).cast("int"), F.col("ln").cast("int")).alias("seg"))
+    j = keys.join(segs, (F.col("L") == F.col("nlen")) & (keys["i"] == segs["i"]) & (keys["seg"] == segs["seg"]))
+    return j.select("incoming", "t", "name", "cnt", "lname").distinct()
+
+
+def _short_candidates(live: DataFrame, nm: DataFrame) -> DataFrame:
+    """Known names shorter than 4 chars, paired by length window (a small, bounded set)."""
+    short = nm.filter(F.col("nlen") < SEGMENTS)
+    tl = F.length("t")
+    w = live.select("incoming", "t", F.explode(F.sequence(tl - max_edits(tl), tl + max_edits(tl))).alias("L"))
+    return (w.join(short, F.col("L") == F.col("nlen"))
+            .select("incoming", "t", "name", "cnt", "lname"))
+
+
 def resolve(incoming: DataFrame, names: DataFrame, col: str = "incoming") -> DataFrame:
     """(incoming, resolved, corrected, strategy) for every incoming name."""
     inc = incoming.select(F.col(col).alias("incoming")).distinct()
@@ -46,9 +95,8 @@ def resolve(incoming: DataFrame, names: DataFrame, col: str = "incoming") -> Dat
     case = cand(live.join(nm, F.lower("t") == F.col("lname")), 2, "case-insensitive")
     norm = cand(live.join(nm, normalize_name(F.col("t")) == F.col("nname")), 3, "normalized")
     tl = F.length("t")
-    windowed = live.withColumn("L", F.explode(F.sequence(tl - max_edits(tl), tl + max_edits(tl))))
-    lev_d = F.levenshtein(F.lower("t"), F.col("lname"))
-    lev = windowed.join(nm, F.col("L") == F.col("nlen")).withColumn("dist", lev_d)
+    pairs = _segment_candidates(live, nm).unionByName(_short_candidates(live, nm))
+    lev = pairs.withColumn("dist", F.levenshtein(F.lower("t"), F.col("lname")))
     lev = cand(lev.filter((F.col("dist") > 0) & (F.col("dist") <= max_edits(tl))), 4, "levenshtein", F.col("dist"))
 
     allc = exact.unionByName(case).unionByName(norm).unionByName(lev)

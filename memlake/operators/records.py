@@ -91,17 +91,6 @@ def session_rollup(turns: DataFrame) -> DataFrame:
         F.col("created_at").cast("bigint").alias("created_at"))
 
 
-def session_records(turns: DataFrame) -> DataFrame:
-    """chat_sessions rows including the stored `turns` JSON text (one value per session)."""
-    r = session_rollup(turns).drop("conv_id")
-    js = (turns.groupBy("conv_id")
-          .agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "content"))),
-                                     lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))))
-               .alias("turns"), F.first("title").alias("title"), F.first("logged_at").alias("created_at")))
-    js = js.select(content_id((F.col("created_at") * 1000).cast("string"), ":", F.col("title")).alias("id"), "turns")
-    return r.join(js, "id")
-
-
 def recent_sessions(sessions: DataFrame, limit: int = 50) -> DataFrame:
     return (sessions.select("id", "memory_hash", "project", "title", "token_count", "created_at")
             .orderBy(F.desc("created_at"), "id").limit(limit))

@@ -106,7 +106,8 @@ def bm25(mem: DataFrame, queries: DataFrame, k1: float = BM25_K1, b: float = BM2
 def bm25_top(mem: DataFrame, queries: DataFrame, limit: int, owner=None, project=None) -> DataFrame:
     """ftsSearch: visible matches, best `limit` per query by rank (then hash), with position."""
     hits = bm25(mem, queries, owner=owner, project=project).filter("vis").drop("vis")
-    w = Window.partitionBy("query_id").orderBy("rank", "hash")
+    # ranked at 1e-9 so duplicate documents tie exactly whatever the summation order
+    w = Window.partitionBy("query_id").orderBy(F.round("rank", SIM_RESOLUTION), "hash")
     return hits.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= limit)
 
 
@@ -142,16 +143,17 @@ def _topk_rows(sims: np.ndarray, hashes: np.ndarray, k: int, cut: float | None):
 
 
 def vector_topk(spark: SparkSession, mem_vec: DataFrame, qvec: DataFrame, k: int = SEARCH_LIMIT,
-                cut: float | None = None, boost_col: str | None = None, boost: float = FTS_BOOST,
+                cut: float | None = None, boost_pairs: DataFrame | None = None, boost: float = FTS_BOOST,
                 vec_col: str = "vec", max_batch: int = MAX_QUERY_BATCH) -> DataFrame:
-    """(query_id, hash, sim, rank): best k memories per query by cosine of unit vectors.
+    """(query_id, hash, sim, sim_key, rank): best k memories per query by cosine of unit vectors.
 
-    `mem_vec(hash, vec[, boost_col])`: unit vectors (zero vectors score 0); `boost_col` is an
-    array of query ids whose score for this row gets `boost` added (full-text hits).
-    `qvec(query_id, vec)`. Rows with sim <= `cut` are dropped before ranking.
+    `mem_vec(hash, vec)`: unit vectors (zero vectors score 0). `qvec(query_id, vec)`.
+    `boost_pairs(query_id, hash)`: pairs whose score gets `boost` added (full-text hits); per
+    query batch they are joined to the memory rows as a bounded id list. Rows whose
+    `sim_key` (score at 1e-9) is <= `cut` are dropped before ranking.
     """
-    cols = ["hash", vec_col] + ([boost_col] if boost_col else [])
-    mv = mem_vec.select(*cols)
+    boost_col = "_boost" if boost_pairs is not None else None
+    mv0 = mem_vec.select("hash", vec_col)
     out = None
     for batch in _query_batches(spark, qvec.select("query_id", F.col(vec_col).alias("vec")), max_batch):
         if not batch:
@@ -159,6 +161,12 @@ def vector_topk(spark: SparkSession, mem_vec: DataFrame, qvec: DataFrame, k: int
         qids = np.array([r["query_id"] for r in batch], dtype=np.int64)
         qmat = np.array([r["vec"] for r in batch], dtype=np.float64)
         bq = spark.sparkContext.broadcast((qids, qmat))
+        mv = mv0
+        if boost_pairs is not None:
+            ids = spark.createDataFrame([(int(q),) for q in qids], "query_id long")
+            bl = (boost_pairs.join(F.broadcast(ids), "query_id", "left_semi")
+                  .groupBy("hash").agg(F.collect_set("query_id").alias(boost_col)))
+            mv = mv0.join(bl, "hash", "left")
 
         def kernel(it, bq=bq):
             q_ids, q_mat = bq.value
@@ -181,21 +189,22 @@ def vector_topk(spark: SparkSession, mem_vec: DataFrame, qvec: DataFrame, k: int
                                 j = pos_of.get(int(q))
                                 if j is not None:
                                     sims[j, i] += boost
-                sims = np.round(sims, SIM_RESOLUTION)
-                rows_q, rows_h, rows_s = [], [], []
+                keys = np.round(sims, SIM_RESOLUTION)
+                rows_q, rows_h, rows_s, rows_k = [], [], [], []
                 for j in range(len(q_ids)):
-                    sel = _topk_rows(sims[j], hashes, k, cut)
+                    sel = _topk_rows(keys[j], hashes, k, cut)
                     rows_q.append(np.full(sel.size, q_ids[j], dtype=np.int64))
                     rows_h.append(hashes[sel])
                     rows_s.append(sims[j, sel])
+                    rows_k.append(keys[j, sel])
                 yield pd.DataFrame({"query_id": np.concatenate(rows_q), "hash": np.concatenate(rows_h),
-                                    "sim": np.concatenate(rows_s)})
+                                    "sim": np.concatenate(rows_s), "sim_key": np.concatenate(rows_k)})
 
-        part = mv.mapInPandas(kernel, "query_id long, hash string, sim double")
+        part = mv.mapInPandas(kernel, "query_id long, hash string, sim double, sim_key double")
         out = part if out is None else out.unionByName(part)
     if out is None:
-        return spark.createDataFrame([], "query_id long, hash string, sim double, rank int")
-    w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "hash")
+        return spark.createDataFrame([], "query_id long, hash string, sim double, sim_key double, rank int")
+    w = Window.partitionBy("query_id").orderBy(F.desc("sim_key"), "hash")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
@@ -208,10 +217,8 @@ def hybrid(spark: SparkSession, mem: DataFrame, mem_vec: DataFrame, queries: Dat
     visibility.
     """
     fts = bm25_top(mem, queries, 2 * limit, owner, project)
-    boosts = fts.groupBy("hash").agg(F.collect_set("query_id").alias("boost_qids"))
     vis = mem_vec.join(mem.filter(visible(project, owner)).select("hash"), "hash", "left_semi")
-    mv = vis.join(boosts, "hash", "left")
-    sem = vector_topk(spark, mv, qvec, k=limit, cut=SIMILARITY_CUT, boost_col="boost_qids")
+    sem = vector_topk(spark, vis, qvec, k=limit, cut=SIMILARITY_CUT, boost_pairs=fts.select("query_id", "hash"))
     return sem, fts
 
 

@@ -84,7 +84,7 @@ def q_kmeans_ml(spark, sf):
 
 def incoming_names(spark, sf):
     """Names as users type them: each source as is, upper-cased, letter-dashed, with a typo,
-    padded, blanked; plus the first word of every benchmark text."""
+    padded, blanked; plus every distinct word of every benchmark text."""
     src = read_table(spark, sf, "documents").select("source").distinct()
     s = F.col("source")
     variants = [s, F.upper(s), F.concat_ws("-", F.split(s, "")), F.concat(s, F.lit("x")),
@@ -93,8 +93,9 @@ def incoming_names(spark, sf):
     for v in variants:
         part = src.select(v.alias("incoming"))
         out = part if out is None else out.unionByName(part)
-    words = read_table(spark, sf, "benchmark").select(
-        F.lower(F.element_at(F.split(F.col("text"), r"\s+"), 1)).alias("incoming"))
+    words = (read_table(spark, sf, "benchmark")
+             .select(F.explode(F.split(F.col("text"), r"\s+")).alias("incoming"))
+             .filter(F.col("incoming") != "").select(F.lower("incoming").alias("incoming")).distinct())
     return out.unionByName(words)
 
 
@@ -106,7 +107,7 @@ incoming_names AS (
   UNION ALL SELECT concat(source, 'x') FROM src
   UNION ALL SELECT concat(' ', source, ' ') FROM src
   UNION ALL SELECT regexp_replace(source, '.', ' ', 'g') FROM src
-  UNION ALL SELECT lower(string_split_regex(text, '\\s+')[1]) FROM benchmark)"""
+  UNION ALL SELECT DISTINCT lower(w) FROM (SELECT unnest(string_split_regex(text, '\\s+')) AS w FROM benchmark) WHERE w <> '')"""
 
 NAMES_SQL = f"names AS (SELECT project AS name, count(*) AS cnt FROM memories WHERE project IS NOT NULL AND project <> '{UNTAGGED}' GROUP BY 1)"
 

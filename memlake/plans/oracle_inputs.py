@@ -7,6 +7,7 @@ references.
 from __future__ import annotations
 
 from memlake.config import NOW
+from memlake.functions.text import JS_SPACE
 from memlake.sources.fixtures import SNAPSHOT_OLD_TIME
 
 INPUT_VIEWS = f"""
@@ -52,9 +53,10 @@ store_requests AS (
     conv_id * 1000 + turn + 10 AS arrival
   FROM conversations WHERE role = 'assistant'),
 search_requests AS (
-  SELECT item_id AS query_id,
-    array_to_string(string_split_regex(regexp_replace(text, '^\\s+', ''), '\\s+')[1:3], ' ') AS query
-  FROM benchmark),
+  SELECT query_id, regexp_replace(query, '^{JS_SPACE}+|{JS_SPACE}+$', '', 'g') AS query FROM (
+    SELECT item_id * 10000 + unnest(range(len(s))) AS query_id, unnest(s) AS query
+    FROM (SELECT item_id, regexp_extract_all(text, '[^.!?]+[.!?]*') AS s FROM benchmark))
+  WHERE regexp_replace(query, '^{JS_SPACE}+|{JS_SPACE}+$', '', 'g') <> ''),
 requests AS (
   SELECT item_id AS request_id,
     CASE WHEN item_id % 4 = 0 THEN NULL ELSE concat('src', CAST(item_id % 20 AS VARCHAR)) END AS project,

@@ -45,7 +45,7 @@ bm AS (
   GROUP BY 1, 2),
 bm_match AS (SELECT b.query_id, b.hash, b.score, -b.score AS rank FROM bm b JOIN nph USING (query_id) WHERE b.nm = nph.nph),
 fts AS (
-  SELECT query_id, hash, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank, hash) AS pos
+  SELECT query_id, hash, rank, row_number() OVER (PARTITION BY query_id ORDER BY round(rank, 9), hash) AS pos
   FROM bm_match WHERE hash IN (SELECT hash FROM memories WHERE sensitivity <> 'secret')
   QUALIFY pos <= 20)"""
 
@@ -54,7 +54,7 @@ SIM_SQL = f"""msrc AS (SELECT hash, {MEM_TEXT_SQL} AS t FROM memories WHERE sens
 {embed_sql('search_requests', 'query_id', 'query', 'qe')},
 dots AS (SELECT q.id AS query_id, m.id AS hash, sum(q.w * m.w) AS d FROM qe_sparse q JOIN me_sparse m ON q.b = m.b GROUP BY 1, 2),
 sims AS (
-  SELECT r.query_id, m.hash, round(coalesce(d.d, 0.0), 9) AS cos
+  SELECT r.query_id, m.hash, coalesce(d.d, 0.0) AS cos_raw, round(coalesce(d.d, 0.0), 9) AS cos
   FROM search_requests r CROSS JOIN (SELECT hash FROM memories WHERE sensitivity <> 'secret') m
   LEFT JOIN dots d ON d.query_id = r.query_id AND d.hash = m.hash)"""
 
@@ -106,7 +106,7 @@ def q_embedding_scan(spark, sf):
 
 @register("semantic_topk", f"""
 {SIM_SQL}
-SELECT query_id, hash, cos AS sim, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, hash) AS rank
+SELECT query_id, hash, round(cos_raw, 6) AS sim, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, hash) AS rank
 FROM sims QUALIFY rank <= 10""")
 def q_semantic_topk(spark, sf):
     """Cosine top-10 per query over visible memories (local embeddings)."""
@@ -119,11 +119,12 @@ def q_semantic_topk(spark, sf):
 HYBRID_SQL = f"""{BM25_SQL},
 {SIM_SQL},
 boosted AS (
-  SELECT s.query_id, s.hash, round(s.cos + CASE WHEN f.hash IS NOT NULL THEN 0.5 ELSE 0.0 END, 9) AS sim
+  SELECT s.query_id, s.hash, s.cos_raw + CASE WHEN f.hash IS NOT NULL THEN 0.5 ELSE 0.0 END AS sim,
+         round(s.cos_raw + CASE WHEN f.hash IS NOT NULL THEN 0.5 ELSE 0.0 END, 9) AS sim_key
   FROM sims s LEFT JOIN fts f ON f.query_id = s.query_id AND f.hash = s.hash),
 sem AS (
-  SELECT query_id, hash, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, hash) AS rank
-  FROM boosted WHERE sim > 0.25 QUALIFY rank <= 10),
+  SELECT query_id, hash, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim_key DESC, hash) AS rank
+  FROM boosted WHERE sim_key > 0.25 QUALIFY rank <= 10),
 res AS (
   SELECT query_id, hash, rank, 'semantic' AS source FROM sem
   UNION ALL

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.config import MEMORY_TYPES, NOW
-from memlake.functions.text import content_id
+from memlake.functions.text import content_id, js_trim
 from memlake.sources.tables import read_table
 
 MEMORY_COLUMNS = [
@@ -90,14 +90,16 @@ def store_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SENTENCE = r"[^.!?]+[.!?]*"
+
+
 def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search workload: one query per `benchmark` item, its first three words as query text."""
+    """Search workload: every sentence of every `benchmark` text is one query
+    (query_id = item_id * 10000 + sentence number)."""
     b = read_table(spark, sf_dir, "benchmark")
-    words = F.split(F.regexp_replace(F.col("text"), r"^\s+", ""), r"\s+")
-    return b.select(
-        F.col("item_id").alias("query_id"),
-        F.array_join(F.slice(words, 1, 3), " ").alias("query"),
-    )
+    s = b.select("item_id", F.posexplode(F.regexp_extract_all("text", F.lit(SENTENCE), 0)).alias("i", "query"))
+    return (s.select((F.col("item_id") * 10000 + F.col("i")).alias("query_id"), js_trim("query").alias("query"))
+            .filter(F.col("query") != ""))
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:

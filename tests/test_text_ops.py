@@ -108,3 +108,67 @@ def test_chunk_summary_and_essence(spark):
     assert r["essence_text"].startswith("[file.md:1/1] line one line two")
     assert r["tags"] == ["document", "rag", "file.md"]
     assert F is not None
+
+
+def _lev(a, b):
+    prev = list(range(len(b) + 1))
+    for i in range(1, len(a) + 1):
+        cur = [i] + [0] * len(b)
+        for j in range(1, len(b) + 1):
+            cur[j] = prev[j - 1] if a[i - 1] == b[j - 1] else 1 + min(prev[j], cur[j - 1], prev[j - 1])
+        prev = cur
+    return prev[len(b)]
+
+
+def model_resolve(incoming, names):
+    """resolveProjectName, names scanned by count desc then name."""
+    t = incoming.strip(JS_WS)
+    if not t:
+        return incoming, False, None
+    order = [n for n, _ in sorted(names, key=lambda x: (-x[1], x[0]))]
+    if t in order:
+        return t, False, "exact"
+    for n in order:
+        if n.lower() == t.lower():
+            return n, True, "case-insensitive"
+    norm = lambda x: re.sub(r"[-_.\s]+", "", x.lower())
+    for n in order:
+        if norm(n) == norm(t):
+            return n, True, "normalized"
+    best, bd = None, 10 ** 9
+    for n in order:
+        dd = _lev(t.lower(), n.lower())
+        if dd < bd:
+            best, bd = n, dd
+    md = 1 if len(t) <= 4 else 2 if len(t) <= 10 else 3
+    if 0 < bd <= md:
+        return best, True, "levenshtein"
+    return t, False, None
+
+
+def test_resolve_matches_brute_force(spark):
+    rnd = random.Random(11)
+    alpha = "abcde"
+    names = {}
+    while len(names) < 60:
+        names["".join(rnd.choice(alpha) for _ in range(rnd.randint(2, 14)))] = rnd.randint(1, 9)
+    names = list(names.items())
+    inc = set()
+    for n, _ in names[:40]:
+        s = list(n)
+        for _ in range(rnd.randint(1, 4)):
+            op = rnd.choice("ids")
+            pos = rnd.randrange(len(s) + 1)
+            if op == "i":
+                s.insert(pos, rnd.choice(alpha))
+            elif op == "d" and s and pos < len(s):
+                del s[pos]
+            elif s and pos < len(s):
+                s[pos] = rnd.choice(alpha)
+        inc.add("".join(s) or "a")
+    inc |= {"".join(rnd.choice(alpha) for _ in range(rnd.randint(1, 12))) for _ in range(40)}
+    ndf = spark.createDataFrame(names, "name string, cnt long")
+    idf = spark.createDataFrame([(x,) for x in sorted(inc)], "incoming string")
+    got = {r["incoming"]: (r["resolved"], r["corrected"], r["strategy"]) for r in P.resolve(idf, ndf).collect()}
+    for x in inc:
+        assert got[x] == model_resolve(x, names), x
