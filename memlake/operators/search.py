@@ -56,6 +56,19 @@ def doc_lengths(mem: DataFrame, owner=None, project=None) -> DataFrame:
     return mem.select("hash", n.cast("long").alias("dl"), visible(project, owner).alias("vis"))
 
 
+def index_tables(mem: DataFrame, owner=None, project=None, materialize: bool = True):
+    """(postings, doc_lengths) from one pass over the rows.
+
+    The per-row index (hash, terms, dl, vis) is written once with a reliable checkpoint
+    (the shared spark.checkpoint.dir) - the materialised inverted index - so the several
+    joins of a search read it instead of re-deriving the rows."""
+    idx = mem.select("hash", _field_terms().alias("terms"), visible(project, owner).alias("vis"))
+    idx = idx.withColumn("dl", F.size("terms").cast("long"))
+    if materialize:
+        idx = idx.checkpoint(eager=True)
+    return (idx.select("hash", F.inline("terms")), idx.select("hash", "dl", "vis"))
+
+
 def term_stats(mem: DataFrame) -> DataFrame:
     """Per term: document frequency and collection frequency."""
     return (postings(mem).groupBy("term")
@@ -73,24 +86,71 @@ def query_phrases(queries: DataFrame) -> DataFrame:
                      F.posexplode("pieces").alias("j", "term"))
 
 
+def _occurrences(phr: DataFrame, post: DataFrame, pieces: DataFrame, cand: DataFrame | None = None) -> DataFrame:
+    """Phrase occurrences (query_id, ph, hash, field, start).
+
+    `phr(query_id, ph, aj, term, np)` names each phrase's anchor piece (index aj, `term`).
+    Anchor postings give candidate starts; the other pieces are verified by a semi join on
+    (hash, field, pos, term). With `cand(query_id, hash)` only those documents are read.
+    """
+    if cand is None:
+        a = phr.join(post, "term")
+    else:
+        a = phr.join(cand, "query_id").join(post, ["hash", "term"])
+    a = a.select("query_id", "ph", "hash", "field", (F.col("pos") - F.col("aj")).alias("start"), "np", "aj")
+    single = a.filter(F.col("np") == 1).select("query_id", "ph", "hash", "field", "start")
+    others = (pieces.select("query_id", "ph", "j", F.col("term").alias("t2"))
+              .join(phr.filter(F.col("np") > 1).select("query_id", "ph", "aj"), ["query_id", "ph"])
+              .filter(F.col("j") != F.col("aj")).drop("aj"))
+    need = (a.filter(F.col("np") > 1).drop("aj").join(others, ["query_id", "ph"])
+            .select("query_id", "ph", "hash", "field", "start", (F.col("start") + F.col("j")).alias("pos"),
+                    F.col("t2").alias("term"), "np"))
+    ok = (need.join(post, ["hash", "field", "pos", "term"], "left_semi")
+          .groupBy("query_id", "ph", "hash", "field", "start")
+          .agg(F.count("*").alias("c"), F.max("np").alias("np"))
+          .filter(F.col("c") == F.col("np") - 1)
+          .select("query_id", "ph", "hash", "field", "start"))
+    return single.unionByName(ok)
+
+
 def bm25(mem: DataFrame, queries: DataFrame, k1: float = BM25_K1, b: float = BM25_B,
          owner=None, project=None) -> DataFrame:
     """(query_id, hash, score, rank, vis) for every memory matching every phrase of the query.
 
-    Statistics (N, avgdl, document frequencies) cover the whole index; `vis` tells whether
-    the requester may see the row."""
-    post = postings(mem)
-    dl = doc_lengths(mem, owner, project)
+    Conjunctive evaluation driven by the rarest phrase: document frequencies are computed
+    for the query terms only (a partial aggregate, so a term in a third of all rows is no
+    hot spot); each query's phrase with the rarest anchor term selects the candidate
+    documents, and all phrase frequencies are counted inside those candidates only. A
+    common word therefore never pairs every query that contains it with every document
+    that contains it. Statistics (N, avgdl, document frequencies) cover the whole index;
+    `vis` tells whether the requester may see the row.
+    """
+    post, dl = index_tables(mem, owner, project)
     n_docs = dl.agg(F.count("*")).scalar()
     avgdl = dl.agg(F.avg("dl")).scalar()
     pieces = query_phrases(queries)
     n_phr = pieces.groupBy("query_id").agg(F.countDistinct("ph").alias("n_phrases"))
-    occ = (pieces.join(post, "term")
-           .groupBy("query_id", "ph", "hash", "field", (F.col("pos") - F.col("j")).alias("start"))
-           .agg(F.count("*").alias("c"), F.max("np").alias("np"))
-           .filter(F.col("c") == F.col("np")))
-    freq = occ.groupBy("query_id", "ph", "hash").agg(F.count("*").alias("f"))
-    n_hit = freq.groupBy("query_id", "ph").agg(F.count("*").alias("n"))
+
+    qterms = pieces.select("term").distinct()
+    tdf = (post.join(F.broadcast(qterms), "term", "left_semi")
+           .groupBy("term").agg(F.countDistinct("hash").alias("df")))
+    pdf = pieces.join(tdf, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    anchor = (pdf.groupBy("query_id", "ph")
+              .agg(F.min_by(F.struct("j", "term", "df"), F.struct("df", "j")).alias("a"), F.max("np").alias("np"))
+              .select("query_id", "ph", F.col("a.j").alias("aj"), F.col("a.term").alias("term"),
+                      F.col("a.df").alias("adf"), "np"))
+    driver = (anchor.groupBy("query_id")
+              .agg(F.min_by(F.struct("ph", "aj", "term", "np"), F.struct("adf", "ph")).alias("d"))
+              .select("query_id", "d.*"))
+    cand = _occurrences(driver, post, pieces).select("query_id", "hash").distinct()
+    phr = anchor.select("query_id", "ph", "aj", "term", "np")
+    freq = (_occurrences(phr, post, pieces, cand)
+            .groupBy("query_id", "ph", "hash").agg(F.count("*").alias("f")))
+    n_single = phr.filter(F.col("np") == 1).join(tdf, "term").select("query_id", "ph", F.col("df").alias("n"))
+    n_multi = (_occurrences(phr.filter(F.col("np") > 1), post, pieces)
+               .groupBy("query_id", "ph").agg(F.countDistinct("hash").alias("n")))
+    n_hit = n_single.unionByName(n_multi)
+
     idf_raw = F.log((n_docs - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(idf_raw <= 0, F.lit(IDF_FLOOR)).otherwise(idf_raw)
     term = (idf * F.col("f") * (k1 + 1)
