@@ -172,3 +172,17 @@ def test_resolve_matches_brute_force(spark):
     got = {r["incoming"]: (r["resolved"], r["corrected"], r["strategy"]) for r in P.resolve(idf, ndf).collect()}
     for x in inc:
         assert got[x] == model_resolve(x, names), x
+
+
+def test_document_folder_source(spark):
+    from memlake.sources import files as FS
+    from memlake.streaming.jobs import work_dir
+    root = work_dir(spark, "unit-docs")
+    rows = [("/a/one.MD", "first\n\nsecond"), ("/a/two.Txt", "two"), ("/b/three.markdown", "3"),
+            ("/b/four.pdf", "%PDF"), ("/b/five", "no ext"), ("/six.md", "é ü ñ")]
+    FS.write_text_files(spark.createDataFrame(rows, "path string, content string"), root)
+    got = {r["path"]: r["content"] for r in FS.read_documents(spark, root).collect()}
+    assert got == {"/a/one.MD": "first\n\nsecond", "/a/two.Txt": "two", "/b/three.markdown": "3", "/six.md": "é ü ñ"}
+    rej = {r["path"]: r["reason"] for r in FS.document_rejects(spark, root).collect()}
+    assert set(rej) == {"/b/four.pdf", "/b/five"}
+    assert rej["/b/four.pdf"].startswith("Unsupported file type: .pdf")
