@@ -7,7 +7,8 @@ def load_all():
     """Import the catalog modules (each registers its queries on import)."""
     from memlake.plans import memory_queries  # noqa: F401
     for mod in ("memory_more", "document_queries", "search_queries", "cluster_queries",
-                "context_queries", "record_queries", "stream_queries", "file_queries"):
+                "context_queries", "record_queries", "stream_queries", "file_queries",
+                "composite_queries"):
         try:
             __import__(f"memlake.plans.{mod}")
         except ModuleNotFoundError as e:
