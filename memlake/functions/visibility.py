@@ -50,4 +50,4 @@ def scope_clamp(asked="project", allowed="allowed") -> Column:
     a, al = F.col(asked) if isinstance(asked, str) else asked, F.col(allowed) if isinstance(allowed, str) else allowed
     return (F.when(al.isNull(), a)
             .when(a.isNotNull() & F.coalesce(F.array_contains(al, a), F.lit(False)), a)
-            .otherwise(F.element_at(al, 1)))
+            .otherwise(F.try_element_at(al, F.lit(1))))

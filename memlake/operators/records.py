@@ -117,7 +117,7 @@ YAML_NUMBERLIKE = r"^([-+]?(\.[0-9]+|[0-9]+(\.[0-9]*)?)([eE][-+]?[0-9]+)?|true|f
 
 def vault_path(created_at="created_at", hash_col="hash", tags="tags", memory_type="memory_type"):
     """{UTC date}_{id7}_{first tag with [^a-zA-Z0-9-] -> '-', or the memory type}.md"""
-    label = F.when(F.size(tags) > 0, F.regexp_replace(F.element_at(tags, 1), VAULT_LABEL_JUNK, "-")) \
+    label = F.when(F.size(tags) > 0, F.regexp_replace(F.try_element_at(tags, F.lit(1)), VAULT_LABEL_JUNK, "-")) \
         .otherwise(F.col(memory_type))
     return F.concat(F.date_format(F.timestamp_seconds(F.col(created_at)), "yyyy-MM-dd"), F.lit("_"),
                     short_id(hash_col), F.lit("_"), label, F.lit(".md"))
@@ -208,7 +208,7 @@ def parse_vault(files: DataFrame) -> DataFrame:
     return staged.select(
         "path",
         _fm_value(fm, "hash").alias("hash"),
-        F.when(imp != "", imp.cast("double")).alias("importance"),
+        F.when(imp != "", imp.try_cast("double")).alias("importance"),
         tags.alias("tags"),
         _section(body, "Summary").alias("summary_text"),
         _section(body, "Full Detail").alias("full_text"),

@@ -117,10 +117,10 @@ def rename_map(mem):
     p = F.col("p")
     n = F.regexp_extract(p, r"^src(\d+)$", 1)
     pm = mem.select(F.coalesce("project", F.lit(UNTAGGED)).alias("p")).distinct()
-    return (pm.filter((p == UNTAGGED) | ((n != "") & (n.cast("int") % 2 == 1)))
+    return (pm.filter((p == UNTAGGED) | ((n != "") & (n.try_cast("int") % 2 == 1)))
             .select(p.alias("old_project"),
                     F.when(p == UNTAGGED, F.lit("inbox"))
-                     .otherwise(F.concat(F.lit("src"), (n.cast("int") - 1).cast("string"))).alias("new_project")))
+                     .otherwise(F.concat(F.lit("src"), (n.try_cast("int") - 1).cast("string"))).alias("new_project")))
 
 
 @register("rename_projects", f"""

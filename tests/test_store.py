@@ -117,3 +117,15 @@ def test_partial_update_sets_null(spark):
                                 "hash string, set_cols array<string>, project string, arrival int")
     got = {r["hash"][0]: r["project"] for r in W.partial_update(old, upd).collect()}
     assert got == {"a": None, "b": "y"}
+
+
+def test_robust_inputs_under_ansi(spark):
+    """Malformed importance in a vault file and an empty allowed-project list do not fail."""
+    from memlake.functions.visibility import scope_clamp
+    from memlake.operators import records as RC
+    files = spark.createDataFrame([("x.md", "---\nhash: abc\nimportance: high\ntags: []\n---\n\n## Summary\nS\n")],
+                                  "path string, content string")
+    r = RC.parse_vault(files).first()
+    assert r["hash"] == "abc" and r["importance"] is None and r["summary_text"] == "S"
+    req = spark.createDataFrame([("p", [])], "project string, allowed array<string>")
+    assert req.select(scope_clamp("project", "allowed").alias("s")).first()["s"] is None
