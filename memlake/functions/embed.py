@@ -49,6 +49,11 @@ def embed_entries_sql(text_sql: str, dim: int = EMBED_DIM) -> str:
     return rle
 
 
+def memory_embed_text() -> Column:
+    """Text a stored memory is embedded from: summary, essence and tags, space-joined."""
+    return F.concat_ws(" ", "summary_text", "essence_text", F.array_join("tags", " "))
+
+
 def embed_entries(text: Column | str) -> Column:
     """Column expression: raw (bucket, weight) entries of `text` (a column name)."""
     if isinstance(text, Column):

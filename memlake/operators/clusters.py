@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from memlake.config import KMEANS_K, KMEANS_MAX_ITER
 from memlake.functions.text import short_id
+from memlake.session import materialize as _materialize
 
 
 def _matrix(vecs, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +93,7 @@ def lloyd(spark: SparkSession, items: DataFrame, k: int = KMEANS_K, max_iter: in
     """kMeansClusters with a seeded start. Returns (assignments, centroids, iterations run)."""
     valid = items.filter(F.col("vec").isNotNull() & (F.size("vec") > 0)).select("hash", "vec", "tags")
     if checkpoint:
-        valid = valid.checkpoint(eager=True)   # reliable checkpoint in spark.checkpoint.dir
+        valid = _materialize(valid, "kmeans_items")   # written once to spark.checkpoint.dir
     n = valid.count()
     k = min(k, n)
     if k <= 0:

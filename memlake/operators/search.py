@@ -22,8 +22,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memlake.config import BM25_B, BM25_K1, FTS_BOOST, IDF_FLOOR, SEARCH_LIMIT, SIMILARITY_CUT
+from memlake.functions.embed import memory_embed_text, with_embedding
 from memlake.functions.text import JS_SPACE
 from memlake.functions.visibility import visible
+from memlake.session import materialize as _materialize
 
 TERM_PATTERN = r"[\p{L}\p{N}]+"
 MAX_QUERY_BATCH = 4096          # queries per broadcast batch (4096 x 128 doubles = 4 MiB)
@@ -56,17 +58,32 @@ def doc_lengths(mem: DataFrame, owner=None, project=None) -> DataFrame:
     return mem.select("hash", n.cast("long").alias("dl"), visible(project, owner).alias("vis"))
 
 
-def index_tables(mem: DataFrame, owner=None, project=None, materialize: bool = True):
-    """(postings, doc_lengths) from one pass over the rows.
+def build_index(mem: DataFrame, vectors: bool = False, materialize: bool = True) -> DataFrame:
+    """The search index: one row per memory with its terms (field, pos, term), length, the
+    attributes visibility needs, the fields results show and, with `vectors`, the unit
+    embedding of summary + essence + tags.
 
-    The per-row index (hash, terms, dl, vis) is written once with a reliable checkpoint
-    (the shared spark.checkpoint.dir) - the materialised inverted index - so the several
-    joins of a search read it instead of re-deriving the rows."""
-    idx = mem.select("hash", _field_terms().alias("terms"), visible(project, owner).alias("vis"))
+    Built in one pass and written once with a reliable checkpoint (the shared
+    spark.checkpoint.dir): full-text and vector search and the result shaping all read it,
+    so the memory rows are derived once however many joins a search needs."""
+    idx = mem.select("hash", _field_terms().alias("terms"), "sensitivity", "project", "owner_id",
+                     "importance", "last_accessed", "tags", memory_embed_text().alias("embed_text"))
     idx = idx.withColumn("dl", F.size("terms").cast("long"))
-    if materialize:
-        idx = idx.checkpoint(eager=True)
-    return (idx.select("hash", F.inline("terms")), idx.select("hash", "dl", "vis"))
+    if vectors:
+        idx = with_embedding(idx, "embed_text", out="vec", keep_dense=True).drop("vec_sparse")
+    idx = idx.drop("embed_text")
+    return _materialize(idx, "search_index") if materialize else idx
+
+
+def _as_index(df: DataFrame) -> DataFrame:
+    return df if "terms" in df.columns else build_index(df)
+
+
+def index_tables(index: DataFrame, owner=None, project=None):
+    """(postings, doc_lengths with the requester's visibility) read from the index."""
+    index = _as_index(index)
+    return (index.select("hash", F.inline("terms")),
+            index.select("hash", "dl", visible(project, owner).alias("vis")))
 
 
 def term_stats(mem: DataFrame) -> DataFrame:
@@ -113,7 +130,7 @@ def _occurrences(phr: DataFrame, post: DataFrame, pieces: DataFrame, cand: DataF
     return single.unionByName(ok)
 
 
-def bm25(mem: DataFrame, queries: DataFrame, k1: float = BM25_K1, b: float = BM25_B,
+def bm25(index: DataFrame, queries: DataFrame, k1: float = BM25_K1, b: float = BM25_B,
          owner=None, project=None) -> DataFrame:
     """(query_id, hash, score, rank, vis) for every memory matching every phrase of the query.
 
@@ -125,15 +142,19 @@ def bm25(mem: DataFrame, queries: DataFrame, k1: float = BM25_K1, b: float = BM2
     that contains it. Statistics (N, avgdl, document frequencies) cover the whole index;
     `vis` tells whether the requester may see the row.
     """
-    post, dl = index_tables(mem, owner, project)
-    n_docs = dl.agg(F.count("*")).scalar()
-    avgdl = dl.agg(F.avg("dl")).scalar()
+    index = _as_index(index)
+    post, dl = index_tables(index, owner, project)
+    stats = dl.agg(F.count("*").alias("n"), F.avg("dl").alias("a"))
+    n_docs, avgdl = stats.select("n").scalar(), stats.select("a").scalar()
     pieces = query_phrases(queries)
     n_phr = pieces.groupBy("query_id").agg(F.countDistinct("ph").alias("n_phrases"))
 
     qterms = pieces.select("term").distinct()
-    tdf = (post.join(F.broadcast(qterms), "term", "left_semi")
-           .groupBy("term").agg(F.countDistinct("hash").alias("df")))
+    # document frequency: each row contributes its distinct terms once (in-row), so one
+    # partially aggregated shuffle counts them
+    row_terms = index.select(F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term"))
+    tdf = (row_terms.join(F.broadcast(qterms), "term", "left_semi")
+           .groupBy("term").agg(F.count("*").alias("df")))
     pdf = pieces.join(tdf, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     anchor = (pdf.groupBy("query_id", "ph")
               .agg(F.min_by(F.struct("j", "term", "df"), F.struct("df", "j")).alias("a"), F.max("np").alias("np"))
@@ -163,9 +184,10 @@ def bm25(mem: DataFrame, queries: DataFrame, k1: float = BM25_K1, b: float = BM2
     return scored.select("query_id", "hash", "score", (-F.col("score")).alias("rank"), "vis")
 
 
-def bm25_top(mem: DataFrame, queries: DataFrame, limit: int, owner=None, project=None) -> DataFrame:
-    """ftsSearch: visible matches, best `limit` per query by rank (then hash), with position."""
-    hits = bm25(mem, queries, owner=owner, project=project).filter("vis").drop("vis")
+def bm25_top(index: DataFrame, queries: DataFrame, limit: int, owner=None, project=None) -> DataFrame:
+    """ftsSearch: visible matches, best `limit` per query by rank (then hash), with position.
+    `index` is a search index (or memory rows, indexed on the fly)."""
+    hits = bm25(_as_index(index), queries, owner=owner, project=project).filter("vis").drop("vis")
     # ranked at 1e-9 so duplicate documents tie exactly whatever the summation order
     w = Window.partitionBy("query_id").orderBy(F.round("rank", SIM_RESOLUTION), "hash")
     return hits.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= limit)
@@ -268,16 +290,18 @@ def vector_topk(spark: SparkSession, mem_vec: DataFrame, qvec: DataFrame, k: int
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def hybrid(spark: SparkSession, mem: DataFrame, mem_vec: DataFrame, queries: DataFrame, qvec: DataFrame,
+def hybrid(spark: SparkSession, index: DataFrame, queries: DataFrame, qvec: DataFrame,
            limit: int = SEARCH_LIMIT, owner=None, project=None) -> tuple[DataFrame, DataFrame]:
-    """brain_query with a query text, for many queries at once.
+    """brain_query with a query text, for many queries at once, over a search index built
+    with vectors.
 
     Returns (semantic, fulltext): semantic = cosine + boost for the query's full-text hits,
     kept above 0.25, best `limit`; fulltext = best 2 x limit BM25 hits. Both branches obey
     visibility.
     """
-    fts = bm25_top(mem, queries, 2 * limit, owner, project)
-    vis = mem_vec.join(mem.filter(visible(project, owner)).select("hash"), "hash", "left_semi")
+    # small (<= 2 x limit rows per query) and read twice: written once to the checkpoint folder
+    fts = _materialize(bm25_top(index, queries, 2 * limit, owner, project), "fts_hits")
+    vis = index.filter(visible(project, owner)).select("hash", "vec")
     sem = vector_topk(spark, vis, qvec, k=limit, cut=SIMILARITY_CUT, boost_pairs=fts.select("query_id", "hash"))
     return sem, fts
 

@@ -19,6 +19,7 @@ from memlake.plans.memory_more import GC_SQL
 from memlake.plans.record_queries import vault_files
 from memlake.sources import fixtures as FX
 from memlake.sources.tables import read_table
+from memlake.session import materialize
 
 
 @register("store_memories", f"""
@@ -79,7 +80,7 @@ def q_sync_counts(spark, sf):
     m = FX.memories(spark, sf)
     live = W.gc_survivors(m, NOW)
     exported = RC.vault_export(m).agg(F.count("*").alias("exported"))
-    synced = (RC.vault_merge(live, RC.parse_vault(vault_files(spark, sf).checkpoint(eager=True)))
+    synced = (RC.vault_merge(live, RC.parse_vault(materialize(vault_files(spark, sf), "vault_files")))
               .agg(F.countDistinct("hash")).scalar())
     removed = W.gc_removed(m, NOW).agg(F.count("*")).scalar()
     return exported.select("exported", removed.alias("gc_removed"), synced.alias("synced"))

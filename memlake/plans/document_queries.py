@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memlake.config import NOW
-from memlake.functions.embed import TOKEN_PATTERN, with_embedding
+from memlake.functions.embed import TOKEN_PATTERN, memory_embed_text, with_embedding
 from memlake.functions.text import JS_SPACE
 from memlake.operators import documents as D
 from memlake.plans.common import joined, r6, register
@@ -56,7 +56,7 @@ MEM_TEXT_SQL = "concat(summary_text, ' ', essence_text, ' ', array_to_string(tag
 
 def memory_text(df):
     """Text the store request embeds: summary, essence and tags."""
-    return df.withColumn("embed_text", F.concat_ws(" ", "summary_text", "essence_text", F.array_join("tags", " ")))
+    return df.withColumn("embed_text", memory_embed_text())
 
 
 # ---------------------------------------------------------------- V7 / P14

@@ -11,6 +11,7 @@ from memlake.operators import records as RC
 from memlake.plans.common import joined, register
 from memlake.sources import fixtures as FX
 from memlake.sources.tables import read_table
+from memlake.session import materialize
 
 # ---------------------------------------------------------------- snapshots
 
@@ -257,8 +258,8 @@ FROM live m JOIN lastv v USING (hash)""")
 def q_vault_merge(spark, sf):
     """Vault -> table after retention: parse the edited vault, merge into live memories."""
     live = W.gc_survivors(FX.memories(spark, sf), NOW)
-    # the vault is stored input: materialise the stand-in files once (reliable checkpoint)
-    files = vault_files(spark, sf).checkpoint(eager=True)
+    # the vault is stored input: materialise the stand-in files once (a written table)
+    files = materialize(vault_files(spark, sf), "vault_files")
     merged = RC.vault_merge(live, RC.parse_vault(files))
     return merged.select("hash", "importance", "summary_text", F.length("full_text").cast("bigint").alias("full_len"),
                          joined("tags").alias("tags"), "context_log")

@@ -84,7 +84,7 @@ def q_term_stats(spark, sf):
 SELECT query_id, hash, round(rank, 6) AS rank, pos FROM fts""")
 def q_bm25_search(spark, sf):
     """Full-text search for every query: best 20 visible rows by BM25 rank."""
-    t = S.bm25_top(FX.memories(spark, sf), _queries(spark, sf), 20)
+    t = S.bm25_top(S.build_index(FX.memories(spark, sf)), _queries(spark, sf), 20)
     return t.select("query_id", "hash", r6("rank").alias("rank"), "pos")
 
 
@@ -137,8 +137,8 @@ res AS (
 SELECT query_id, hash, round(sim, 6) AS sim, rank FROM sem""")
 def q_hybrid_search(spark, sf):
     """Cosine + 0.5 for full-text hits, above 0.25, best 10 per query."""
-    sem, _ = S.hybrid(spark, FX.memories(spark, sf), _mem_vectors(spark, sf), _queries(spark, sf),
-                      _query_vectors(spark, sf))
+    idx = S.build_index(FX.memories(spark, sf), vectors=True)
+    sem, _ = S.hybrid(spark, idx, _queries(spark, sf), _query_vectors(spark, sf))
     return sem.select("query_id", "hash", r6("sim").alias("sim"), "rank")
 
 
@@ -150,9 +150,9 @@ SELECT r.query_id, r.hash, r.rank, r.source, substr(r.hash, 1, 7) AS short_id,
 FROM res r JOIN memories m USING (hash)""")
 def q_search_with_fallback(spark, sf):
     """brain_query end to end: hybrid results, full-text fallback, decay score and tier."""
-    mem = FX.memories(spark, sf)
-    sem, fts = S.hybrid(spark, mem, _mem_vectors(spark, sf), _queries(spark, sf), _query_vectors(spark, sf))
+    idx = S.build_index(FX.memories(spark, sf), vectors=True)
+    sem, fts = S.hybrid(spark, idx, _queries(spark, sf), _query_vectors(spark, sf))
     res = S.with_fallback(sem, fts)
-    out = C.scored(res.join(mem, "hash"), NOW)
+    out = C.scored(res.join(idx.select("hash", "importance", "last_accessed", "project", "tags"), "hash"), NOW)
     return out.select("query_id", "hash", "rank", "source", F.substring("hash", 1, 7).alias("short_id"),
                       r6("score").alias("score"), "fidelity", "project", joined("tags").alias("tags"))

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(master: str | None = None, app: str = "memlake", shuffle_partitions: int = 8,
@@ -32,10 +33,41 @@ def get_spark(master: str | None = None, app: str = "memlake", shuffle_partition
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    prepare_session(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make `memlake` importable in executor Python workers (as --py-files would).
+
+    Arrow-batched kernels are pickled by reference to their module; the package is zipped
+    once per application and added with SparkContext.addPyFile, so workers find it whatever
+    their working directory is."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="memlake-pkg-"), "memlake.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(sc.applicationId)
+
+
+def prepare_session(spark: SparkSession) -> None:
+    """Checkpoint folder (read from the session, set only when unset) and code shipping."""
+    ensure_checkpoint_dir(spark)
+    ship_package(spark)
+
+
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared folder the cluster names for checkpoints, if any."""
     d = spark.conf.get("spark.checkpoint.dir", None)
@@ -54,3 +86,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage by writing `df` once as a Parquet table in the shared checkpoint folder
+    and reading it back (later reads get column pruning and filter pushdown).
+
+    Unlike an eager Dataset.checkpoint(), which evaluates the plan once to trigger the
+    checkpoint and again to write it, the plan runs exactly once."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
