@@ -184,10 +184,24 @@ def bm25(index: DataFrame, queries: DataFrame, k1: float = BM25_K1, b: float = B
     return scored.select("query_id", "hash", "score", (-F.col("score")).alias("rank"), "vis")
 
 
-def bm25_top(index: DataFrame, queries: DataFrame, limit: int, owner=None, project=None) -> DataFrame:
+def bm25_top(index: DataFrame, queries: DataFrame, limit: int, owner=None, project=None,
+             scope: DataFrame | None = None) -> DataFrame:
     """ftsSearch: visible matches, best `limit` per query by rank (then hash), with position.
-    `index` is a search index (or memory rows, indexed on the fly)."""
-    hits = bm25(_as_index(index), queries, owner=owner, project=project).filter("vis").drop("vis")
+
+    `index` is a search index (or memory rows, indexed on the fly). Visibility is for one
+    requester (`owner`, `project`) or, with `scope(query_id, scope_project, owner)`, for each
+    query's own requester, checked per (query, memory) pair."""
+    index = _as_index(index)
+    hits = bm25(index, queries, owner=owner, project=project)
+    if scope is None:
+        hits = hits.filter("vis").drop("vis")
+    else:
+        attrs = index.select("hash", "sensitivity", "project", "owner_id")
+        hits = (hits.drop("vis").join(scope.select("query_id", F.col("scope_project").alias("_sp"),
+                                                   F.col("owner").alias("_so")), "query_id")
+                .join(attrs, "hash")
+                .filter(visible(F.col("_sp"), F.col("_so")))
+                .select("query_id", "hash", "score", "rank"))
     # ranked at 1e-9 so duplicate documents tie exactly whatever the summation order
     w = Window.partitionBy("query_id").orderBy(F.round("rank", SIM_RESOLUTION), "hash")
     return hits.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= limit)
@@ -208,11 +222,11 @@ def _query_batches(spark: SparkSession, qvec: DataFrame, max_batch: int):
         yield keyed.filter(F.col("_b") == i).drop("_b").collect()
 
 
-def _topk_rows(sims: np.ndarray, hashes: np.ndarray, k: int, cut: float | None):
+def _topk_rows(sims: np.ndarray, hashes: np.ndarray, k: int, cut: float | None, valid=None):
     """Indices of the best k entries by (sim desc, hash asc), sims above `cut` only."""
-    idx = np.arange(sims.size)
+    idx = np.arange(sims.size) if valid is None else np.nonzero(valid)[0]
     if cut is not None:
-        idx = idx[sims > cut]
+        idx = idx[sims[idx] > cut]
         if idx.size == 0:
             return idx
     s = sims[idx]
@@ -224,25 +238,43 @@ def _topk_rows(sims: np.ndarray, hashes: np.ndarray, k: int, cut: float | None):
     return idx[order[:k]]
 
 
+def _visible_mask(sens, mproj, mown, qp, qo):
+    """Visibility of a batch of rows to one requester (numpy form of functions.visibility)."""
+    if qo is None:
+        vis = sens != "secret"
+    else:
+        vis = (sens == "public") | ((sens == "secret") & (mown == qo))
+        if qp is not None:
+            vis = vis | ((sens == "internal") & (mproj == qp))
+    if qp is not None:
+        vis = vis & (mproj == qp)
+    return vis
+
+
 def vector_topk(spark: SparkSession, mem_vec: DataFrame, qvec: DataFrame, k: int = SEARCH_LIMIT,
                 cut: float | None = None, boost_pairs: DataFrame | None = None, boost: float = FTS_BOOST,
-                vec_col: str = "vec", max_batch: int = MAX_QUERY_BATCH) -> DataFrame:
+                vec_col: str = "vec", max_batch: int = MAX_QUERY_BATCH, scoped: bool = False) -> DataFrame:
     """(query_id, hash, sim, sim_key, rank): best k memories per query by cosine of unit vectors.
 
     `mem_vec(hash, vec)`: unit vectors (zero vectors score 0). `qvec(query_id, vec)`.
     `boost_pairs(query_id, hash)`: pairs whose score gets `boost` added (full-text hits); per
     query batch they are joined to the memory rows as a bounded id list. Rows whose
-    `sim_key` (score at 1e-9) is <= `cut` are dropped before ranking.
+    `sim_key` (score at 1e-9) is <= `cut` are dropped before ranking. With `scoped`, qvec
+    also has (scope_project, owner) and mem_vec (sensitivity, project, owner_id): each query
+    only sees the rows its requester may see.
     """
     boost_col = "_boost" if boost_pairs is not None else None
-    mv0 = mem_vec.select("hash", vec_col)
+    scope_cols = ["sensitivity", "project", "owner_id"] if scoped else []
+    mv0 = mem_vec.select("hash", vec_col, *scope_cols)
+    qcols = ["query_id", F.col(vec_col).alias("vec")] + (["scope_project", "owner"] if scoped else [])
     out = None
-    for batch in _query_batches(spark, qvec.select("query_id", F.col(vec_col).alias("vec")), max_batch):
+    for batch in _query_batches(spark, qvec.select(*qcols), max_batch):
         if not batch:
             continue
         qids = np.array([r["query_id"] for r in batch], dtype=np.int64)
         qmat = np.array([r["vec"] for r in batch], dtype=np.float64)
-        bq = spark.sparkContext.broadcast((qids, qmat))
+        qscope = [(r["scope_project"], r["owner"]) for r in batch] if scoped else None
+        bq = spark.sparkContext.broadcast((qids, qmat, qscope))
         mv = mv0
         if boost_pairs is not None:
             ids = spark.createDataFrame([(int(q),) for q in qids], "query_id long")
@@ -251,7 +283,7 @@ def vector_topk(spark: SparkSession, mem_vec: DataFrame, qvec: DataFrame, k: int
             mv = mv0.join(bl, "hash", "left")
 
         def kernel(it, bq=bq):
-            q_ids, q_mat = bq.value
+            q_ids, q_mat, q_scope = bq.value
             pos_of = {int(q): i for i, q in enumerate(q_ids)}
             for pdf in it:
                 if pdf.empty:
@@ -272,9 +304,14 @@ def vector_topk(spark: SparkSession, mem_vec: DataFrame, qvec: DataFrame, k: int
                                 if j is not None:
                                     sims[j, i] += boost
                 keys = np.round(sims, SIM_RESOLUTION)
+                if q_scope is not None:
+                    sens = pdf["sensitivity"].to_numpy(dtype=object)
+                    mproj = pdf["project"].to_numpy(dtype=object)
+                    mown = pdf["owner_id"].to_numpy(dtype=object)
                 rows_q, rows_h, rows_s, rows_k = [], [], [], []
                 for j in range(len(q_ids)):
-                    sel = _topk_rows(keys[j], hashes, k, cut)
+                    valid = None if q_scope is None else _visible_mask(sens, mproj, mown, *q_scope[j])
+                    sel = _topk_rows(keys[j], hashes, k, cut, valid)
                     rows_q.append(np.full(sel.size, q_ids[j], dtype=np.int64))
                     rows_h.append(hashes[sel])
                     rows_s.append(sims[j, sel])
@@ -291,7 +328,8 @@ def vector_topk(spark: SparkSession, mem_vec: DataFrame, qvec: DataFrame, k: int
 
 
 def hybrid(spark: SparkSession, index: DataFrame, queries: DataFrame, qvec: DataFrame,
-           limit: int = SEARCH_LIMIT, owner=None, project=None) -> tuple[DataFrame, DataFrame]:
+           limit: int = SEARCH_LIMIT, owner=None, project=None,
+           scope: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """brain_query with a query text, for many queries at once, over a search index built
     with vectors.
 
@@ -300,9 +338,15 @@ def hybrid(spark: SparkSession, index: DataFrame, queries: DataFrame, qvec: Data
     visibility.
     """
     # small (<= 2 x limit rows per query) and read twice: written once to the checkpoint folder
-    fts = _materialize(bm25_top(index, queries, 2 * limit, owner, project), "fts_hits")
-    vis = index.filter(visible(project, owner)).select("hash", "vec")
-    sem = vector_topk(spark, vis, qvec, k=limit, cut=SIMILARITY_CUT, boost_pairs=fts.select("query_id", "hash"))
+    fts = _materialize(bm25_top(index, queries, 2 * limit, owner, project, scope), "fts_hits")
+    if scope is None:
+        rows = index.filter(visible(project, owner)).select("hash", "vec")
+        q = qvec
+    else:
+        rows = index.select("hash", "vec", "sensitivity", "project", "owner_id")
+        q = qvec.join(scope.select("query_id", "scope_project", "owner"), "query_id")
+    sem = vector_topk(spark, rows, q, k=limit, cut=SIMILARITY_CUT, boost_pairs=fts.select("query_id", "hash"),
+                      scoped=scope is not None)
     return sem, fts
 
 

@@ -17,7 +17,7 @@ from memlake.sources import fixtures as FX
 
 TERM = r"[\p{L}\p{N}]+"
 
-BM25_SQL = f"""f AS (
+BM25_TMPL = """f AS (
   SELECT hash, 0 AS field, regexp_extract_all(lower(summary_text), '{TERM}') AS toks FROM memories
   UNION ALL SELECT hash, 1, regexp_extract_all(lower(essence_text), '{TERM}') FROM memories
   UNION ALL SELECT hash, 2, regexp_extract_all(lower(array_to_string(tags, ' ')), '{TERM}') FROM memories),
@@ -44,11 +44,15 @@ bm AS (
   FROM freq fr JOIN nhit h USING (query_id, ph) JOIN dl d USING (hash) CROSS JOIN bstats s
   GROUP BY 1, 2),
 bm_match AS (SELECT b.query_id, b.hash, b.score, -b.score AS rank FROM bm b JOIN nph USING (query_id) WHERE b.nm = nph.nph),
-fts AS (
+{FTS}"""
+
+FTS_LEGACY = """fts AS (
   SELECT query_id, hash, rank, row_number() OVER (PARTITION BY query_id ORDER BY round(rank, 9), hash) AS pos
   FROM bm_match WHERE hash IN (SELECT hash FROM memories WHERE sensitivity <> 'secret')
   QUALIFY pos <= 20)"""
 
+BM25_SQL = BM25_TMPL.format(TERM=TERM, JS_SPACE=JS_SPACE, FTS=FTS_LEGACY)
+
 SIM_SQL = f"""msrc AS (SELECT hash, {MEM_TEXT_SQL} AS t FROM memories WHERE sensitivity <> 'secret'),
 {embed_sql('msrc', 'hash', 't', 'me')},
 {embed_sql('search_requests', 'query_id', 'query', 'qe')},
@@ -156,3 +160,65 @@ def q_search_with_fallback(spark, sf):
     out = C.scored(res.join(idx.select("hash", "importance", "last_accessed", "project", "tags"), "hash"), NOW)
     return out.select("query_id", "hash", "rank", "source", F.substring("hash", 1, 7).alias("short_id"),
                       r6("score").alias("score"), "fidelity", "project", joined("tags").alias("tags"))
+
+
+# ---------------------------------------------------------------- per-caller scope
+
+SCOPE_SQL = """sq AS (
+  SELECT s.query_id, s.query,
+    CASE WHEN r.allowed IS NULL THEN r.project
+         WHEN r.project IS NOT NULL AND list_contains(r.allowed, r.project) THEN r.project
+         ELSE r.allowed[1] END AS sp,
+    r.owner AS so
+  FROM search_requests s JOIN requests r ON r.request_id = s.query_id // 10000)"""
+
+PAIR_VIS = """(CASE WHEN q.so IS NULL THEN m.sensitivity <> 'secret'
+   ELSE coalesce(m.sensitivity = 'public' OR (m.sensitivity = 'internal' AND m.project = q.sp)
+                 OR (m.sensitivity = 'secret' AND m.owner_id = q.so), false) END)
+  AND (q.sp IS NULL OR coalesce(m.project = q.sp, false))"""
+
+FTS_SCOPED = f"""fts AS (
+  SELECT b.query_id, b.hash, b.rank, row_number() OVER (PARTITION BY b.query_id ORDER BY round(b.rank, 9), b.hash) AS pos
+  FROM bm_match b JOIN sq q ON q.query_id = b.query_id JOIN memories m ON m.hash = b.hash
+  WHERE {PAIR_VIS}
+  QUALIFY pos <= 20)"""
+
+SCOPED_SQL = f"""{SCOPE_SQL},
+{BM25_TMPL.format(TERM=TERM, JS_SPACE=JS_SPACE, FTS=FTS_SCOPED)},
+msrc AS (SELECT hash, {MEM_TEXT_SQL} AS t FROM memories),
+{embed_sql('msrc', 'hash', 't', 'me')},
+{embed_sql('search_requests', 'query_id', 'query', 'qe')},
+dots AS (SELECT q.id AS query_id, m.id AS hash, sum(q.w * m.w) AS d FROM qe_sparse q JOIN me_sparse m ON q.b = m.b GROUP BY 1, 2),
+sims AS (
+  SELECT q.query_id, m.hash, coalesce(d.d, 0.0) AS cos_raw
+  FROM sq q JOIN memories m ON {PAIR_VIS}
+  LEFT JOIN dots d ON d.query_id = q.query_id AND d.hash = m.hash),
+boosted AS (
+  SELECT s.query_id, s.hash, round(s.cos_raw + CASE WHEN f.hash IS NOT NULL THEN 0.5 ELSE 0.0 END, 9) AS sim_key
+  FROM sims s LEFT JOIN fts f ON f.query_id = s.query_id AND f.hash = s.hash),
+sem AS (
+  SELECT query_id, hash, row_number() OVER (PARTITION BY query_id ORDER BY sim_key DESC, hash) AS rank
+  FROM boosted WHERE sim_key > 0.25 QUALIFY rank <= 10),
+res AS (
+  SELECT query_id, hash, rank, 'semantic' AS source FROM sem
+  UNION ALL
+  SELECT query_id, hash, pos AS rank, 'fulltext' AS source FROM fts
+  WHERE pos <= 10 AND query_id NOT IN (SELECT query_id FROM sem))"""
+
+
+@register("scoped_search", f"""
+{SCOPED_SQL}
+SELECT r.query_id, r.hash, r.rank, r.source, round({SCORE_SQL}, 6) AS score, {tier_sql(SCORE_SQL)} AS fidelity
+FROM res r JOIN memories m USING (hash)""")
+def q_scoped_search(spark, sf):
+    """brain_query where every query has its own caller (project, owner, allowed projects):
+    scope clamp, per-caller visibility on both branches, hybrid ranking, fallback."""
+    from memlake.functions.visibility import scope_clamp
+    req = FX.scoped_search_requests(spark, sf)
+    scope = req.select("query_id", scope_clamp("project", "allowed").alias("scope_project"), "owner")
+    idx = S.build_index(FX.memories(spark, sf), vectors=True)
+    qv = with_embedding(req.select("query_id", "query"), "query", out="vec").select("query_id", "vec")
+    sem, fts = S.hybrid(spark, idx, req.select("query_id", "query"), qv, scope=scope)
+    res = S.with_fallback(sem, fts)
+    out = C.scored(res.join(idx.select("hash", "importance", "last_accessed"), "hash"), NOW)
+    return out.select("query_id", "hash", "rank", "source", r6("score").alias("score"), "fidelity")

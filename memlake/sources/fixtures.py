@@ -102,6 +102,15 @@ def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
             .filter(F.col("query") != ""))
 
 
+def scoped_search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search workload where every query carries its caller: the asked project, owner and
+    allowed-project list of the `requests` row of its benchmark item."""
+    q = search_requests(spark, sf_dir)
+    r = requests(spark, sf_dir).withColumnRenamed("request_id", "item_id")
+    return (q.withColumn("item_id", F.floor(F.col("query_id") / 10000).cast("long"))
+            .join(r, "item_id").drop("item_id"))
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Callers with an asked project, owner and allowed-project list (NULL = unrestricted)."""
     b = read_table(spark, sf_dir, "benchmark").select("item_id")
