@@ -339,11 +339,13 @@ def hybrid(spark: SparkSession, index: DataFrame, queries: DataFrame, qvec: Data
     """
     # small (<= 2 x limit rows per query) and read twice: written once to the checkpoint folder
     fts = _materialize(bm25_top(index, queries, 2 * limit, owner, project, scope), "fts_hits")
+    # only rows that have an embedding take part in the semantic branch
+    with_vec = index.filter(F.col("vec").isNotNull() & (F.size("vec") > 0))
     if scope is None:
-        rows = index.filter(visible(project, owner)).select("hash", "vec")
+        rows = with_vec.filter(visible(project, owner)).select("hash", "vec")
         q = qvec
     else:
-        rows = index.select("hash", "vec", "sensitivity", "project", "owner_id")
+        rows = with_vec.select("hash", "vec", "sensitivity", "project", "owner_id")
         q = qvec.join(scope.select("query_id", "scope_project", "owner"), "query_id")
     sem = vector_topk(spark, rows, q, k=limit, cut=SIMILARITY_CUT, boost_pairs=fts.select("query_id", "hash"),
                       scoped=scope is not None)

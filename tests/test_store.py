@@ -129,3 +129,16 @@ def test_robust_inputs_under_ansi(spark):
     assert r["hash"] == "abc" and r["importance"] is None and r["summary_text"] == "S"
     req = spark.createDataFrame([("p", [])], "project string, allowed array<string>")
     assert req.select(scope_clamp("project", "allowed").alias("s")).first()["s"] is None
+
+
+def test_fallback_to_fulltext_when_no_embedding(spark):
+    from memlake.functions.embed import with_embedding
+    m = memories_df(spark, [memory_row(hash="n" * 16, summary_text="kubernetes rollout notes", essence_text="",
+                                       tags=[])])
+    idx = S.build_index(m, vectors=True).withColumn("vec", F.lit(None).cast("array<double>"))
+    q = spark.createDataFrame([(1, "kubernetes")], "query_id long, query string")
+    qv = with_embedding(q, "query", out="vec").select("query_id", "vec")
+    sem, fts = S.hybrid(spark, idx, q, qv)
+    assert sem.count() == 0
+    res = S.with_fallback(sem, fts).collect()
+    assert [(r["hash"], r["source"]) for r in res] == [("n" * 16, "fulltext")]
