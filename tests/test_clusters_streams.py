@@ -69,3 +69,17 @@ def test_stream_ingest_equals_batch(spark, queries):
     a = sorted(tuple(r) for r in q["stream_ingest"](spark, SF_SMALL).collect())
     b = sorted(tuple(r) for r in q["ingest_documents"](spark, SF_SMALL).collect())
     assert a == b
+
+
+def test_access_stream_dedupe(spark, tmp_path):
+    """Duplicate access events (same memory, same second) count once with dedupe on."""
+    from memlake.streaming import jobs as J
+    src = tmp_path / "acc"
+    rows = [("a" * 16, 100), ("a" * 16, 100), ("a" * 16, 160), ("b" * 16, 50)]
+    spark.createDataFrame(rows, "hash string, ts long").write.parquet(str(src))
+    stream = spark.readStream.schema("hash string, ts long").parquet(str(src))
+    out = J.work_dir(spark, "dedupe-test")
+    q = J.access_rollup_stream(spark, stream, out, dedupe_watermark="1 hour")
+    q.awaitTermination()
+    got = {r["hash"][0]: (r["last_touch"], r["touches"]) for r in J.touch_state(spark, out).collect()}
+    assert got == {"a": (160, 2), "b": (50, 1)}
