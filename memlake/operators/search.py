@@ -153,7 +153,8 @@ def bm25(index: DataFrame, queries: DataFrame, k1: float = BM25_K1, b: float = B
     # document frequency: each row contributes its distinct terms once (in-row), so one
     # partially aggregated shuffle counts them
     row_terms = index.select(F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term"))
-    tdf = (row_terms.join(F.broadcast(qterms), "term", "left_semi")
+    # AQE picks the join from runtime sizes (query terms are usually a broadcast side)
+    tdf = (row_terms.join(qterms, "term", "left_semi")
            .groupBy("term").agg(F.count("*").alias("df")))
     pdf = pieces.join(tdf, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     anchor = (pdf.groupBy("query_id", "ph")
