@@ -142,3 +142,14 @@ def test_fallback_to_fulltext_when_no_embedding(spark):
     assert sem.count() == 0
     res = S.with_fallback(sem, fts).collect()
     assert [(r["hash"], r["source"]) for r in res] == [("n" * 16, "fulltext")]
+
+
+def test_retention_partitions_input(spark):
+    """gc survivors and removed rows are disjoint and together the whole table."""
+    from conftest import SF_CHECK
+    from memlake.sources import fixtures as FX
+    m = FX.memories(spark, SF_CHECK)
+    kept = {r["hash"] for r in W.gc_survivors(m, 1709251200).select("hash").collect()}
+    gone = {r["hash"] for r in W.gc_removed(m, 1709251200).select("hash").collect()}
+    allh = {r["hash"] for r in m.select("hash").collect()}
+    assert kept.isdisjoint(gone) and kept | gone == allh and gone

@@ -186,3 +186,13 @@ def test_document_folder_source(spark):
     rej = {r["path"]: r["reason"] for r in FS.document_rejects(spark, root).collect()}
     assert set(rej) == {"/b/four.pdf", "/b/five"}
     assert rej["/b/four.pdf"].startswith("Unsupported file type: .pdf")
+
+
+def test_chunk_size_property(spark):
+    """Every chunk fits the size unless it is one paragraph longer than the size."""
+    rnd = random.Random(5)
+    texts = [(i, "\n".join("x" * rnd.randint(1, 300) for _ in range(rnd.randint(1, 40)))) for i in range(60)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for r in D.chunk_documents(df, size=250, separator=r"\n+").collect():
+        c = r["chunk"]
+        assert len(c) <= 250 or "\n" not in c
