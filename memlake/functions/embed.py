@@ -54,13 +54,6 @@ def memory_embed_text() -> Column:
     return F.concat_ws(" ", "summary_text", "essence_text", F.array_join("tags", " "))
 
 
-def embed_entries(text: Column | str) -> Column:
-    """Column expression: raw (bucket, weight) entries of `text` (a column name)."""
-    if isinstance(text, Column):
-        raise TypeError("pass a column name; the embedding is built from an SQL expression")
-    return F.expr(embed_entries_sql(f"`{text}`"))
-
-
 _LET_IDS = iter(range(1, 1 << 30))
 
 
@@ -154,19 +147,3 @@ def with_embedding_vectorized(df, text_col: str, out: str = "emb", as_float: boo
     if as_float:
         df = df.withColumn(out, F.col(out).cast("array<float>"))
     return df
-
-
-def dot(a: str, b: str) -> Column:
-    """Dot product of two equal-length double arrays (0 when lengths differ)."""
-    return F.expr(
-        f"if(size({a}) = size({b}), aggregate(zip_with({a}, {b}, (x, y) -> cast(x as double) * cast(y as double)), "
-        f"0.0D, (s, v) -> s + v), 0.0D)")
-
-
-def cosine(a: str, b: str) -> Column:
-    """Cosine similarity; unequal lengths or a zero norm give 0."""
-    na = f"sqrt(aggregate({a}, 0.0D, (s, x) -> s + cast(x as double) * cast(x as double)))"
-    nb = f"sqrt(aggregate({b}, 0.0D, (s, x) -> s + cast(x as double) * cast(x as double)))"
-    d = (f"if(size({a}) = size({b}), aggregate(zip_with({a}, {b}, (x, y) -> cast(x as double) * cast(y as double)), "
-         f"0.0D, (s, v) -> s + v), 0.0D)")
-    return F.expr(f"if(size({a}) = size({b}) and {na} * {nb} > 0, {d} / ({na} * {nb}), 0.0D)")

@@ -1,7 +1,7 @@
 """Spark session helpers.
 
 `get_spark` is for tests, the bench and local runs. On a cluster the session comes from the
-launcher; library code only reads settings from it (see `checkpoint_dir`).
+launcher; library code only reads settings from it (see `ensure_checkpoint_dir`).
 """
 
 from __future__ import annotations
@@ -68,12 +68,6 @@ def prepare_session(spark: SparkSession) -> None:
     ship_package(spark)
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared folder the cluster names for checkpoints, if any."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    return d or spark.sparkContext.getCheckpointDir()
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the session's `spark.checkpoint.dir`; only when unset (local tests) make one."""
     d = spark.conf.get("spark.checkpoint.dir", None)
