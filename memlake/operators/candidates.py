@@ -76,3 +76,58 @@ def distinct_projects(mem: DataFrame) -> DataFrame:
 
 def with_hot_hours(mem: DataFrame) -> DataFrame:
     return mem.select("hash", "importance", hot_hours("importance").alias("hot_hours"))
+
+
+ALL_PROJECTS = "*"
+
+
+def _top_per(df: DataFrame, keys: list, limit: int) -> DataFrame:
+    """Best `limit` rows per key by candidate order (window group limit below the shuffle)."""
+    if not keys:
+        return df.orderBy(*candidate_order()).limit(limit)
+    w = Window.partitionBy(*keys).orderBy(*candidate_order())
+    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= limit).drop("_r")
+
+
+def candidates_for_requests(mem: DataFrame, req: DataFrame, limit: int = CANDIDATE_LIMIT) -> DataFrame:
+    """queryCandidates(limit, project, owner) for many callers at once.
+
+    `req(request_id, scope_project, owner)`. A caller's visible rows are the union of at most
+    two lists, each computed once for all callers:
+      no owner, project p  -> non-secret rows of p          (list "ns" of p)
+      no owner, no project -> non-secret rows               (list "ns" of *)
+      owner o, project p   -> non-secret rows of p + secret rows of (p, o)
+      owner o, no project  -> public rows + secret rows of o
+    Only the best `limit` rows of each list can reach a caller's top `limit`, so every list is
+    cut to `limit` with a window group limit before anything is joined; each request then
+    joins <= 2 lists of <= `limit` rows. No request is paired with the whole table.
+    """
+    ns = mem.filter(F.col("sensitivity") != "secret")
+    sec = mem.filter(F.col("sensitivity") == "secret")
+    pub = mem.filter(F.col("sensitivity") == "public")
+    cols = mem.columns
+
+    def tag(df, scope, cls, owner):
+        return df.select(scope.alias("_scope"), F.lit(cls).alias("_cls"), owner.alias("_owner"), *cols)
+
+    none = F.lit(None).cast("string")
+    lists = (tag(_top_per(ns.filter(F.col("project").isNotNull()), ["project"], limit), F.col("project"), "ns", none)
+             .unionByName(tag(_top_per(ns, [], limit), F.lit(ALL_PROJECTS), "ns", none))
+             .unionByName(tag(_top_per(pub, [], limit), F.lit(ALL_PROJECTS), "pub", none))
+             .unionByName(tag(_top_per(sec.filter(F.col("project").isNotNull()), ["project", "owner_id"], limit),
+                              F.col("project"), "sec", F.col("owner_id")))
+             .unionByName(tag(_top_per(sec, ["owner_id"], limit), F.lit(ALL_PROJECTS), "sec", F.col("owner_id"))))
+
+    p, o = F.col("scope_project"), F.col("owner")
+    need = F.when(o.isNull(), F.array(F.struct(F.coalesce(p, F.lit(ALL_PROJECTS)).alias("s"), F.lit("ns").alias("c"),
+                                               none.alias("o"))))
+    need = need.when(p.isNotNull(), F.array(F.struct(p.alias("s"), F.lit("ns").alias("c"), none.alias("o")),
+                                            F.struct(p.alias("s"), F.lit("sec").alias("c"), o.alias("o"))))
+    need = need.otherwise(F.array(F.struct(F.lit(ALL_PROJECTS).alias("s"), F.lit("pub").alias("c"), none.alias("o")),
+                                  F.struct(F.lit(ALL_PROJECTS).alias("s"), F.lit("sec").alias("c"), o.alias("o"))))
+    wants = req.select("request_id", F.explode(need).alias("n")).select("request_id", "n.s", "n.c", "n.o")
+    j = wants.join(lists, (F.col("s") == F.col("_scope")) & (F.col("c") == F.col("_cls"))
+                   & F.col("o").eqNullSafe(F.col("_owner")))
+    w = Window.partitionBy("request_id").orderBy(*candidate_order())
+    return (j.select("request_id", *cols).withColumn("rank", F.row_number().over(w))
+            .filter(F.col("rank") <= limit))

@@ -24,14 +24,21 @@ CHAIN = ("hot", "warm", "cool", "faded")
 def packed_items(mem: DataFrame, now: int, budget: int = CHAR_BUDGET, limit: int = CANDIDATE_LIMIT,
                  owner=None) -> DataFrame:
     """(project, pos, hash, tier, block_len, block) for the items each project's block holds."""
-    c = scored(top_candidates_per_project(mem, limit, owner), now)
+    return pack(top_candidates_per_project(mem, limit, owner), "project", now, budget)
+
+
+def pack(cands: DataFrame, group: str, now: int, budget: int = CHAR_BUDGET) -> DataFrame:
+    """assembleContext for every group of ranked candidates (`rank` = candidate order).
+
+    Returns (group, pos, hash, tier, block_len, block)."""
+    c = scored(cands, now)
     blocks = tier_blocks()
-    c = c.select("project", "rank", "hash", "score", "fidelity",
+    c = c.select(F.col(group).alias("_g"), "rank", "hash", "score", "fidelity",
                  *[blocks[t].alias(f"b_{t}") for t in CHAIN])
     c = c.select("*", *[utf16_length(f"b_{t}").alias(f"l_{t}") for t in CHAIN])
     item = F.struct((-F.col("score")).alias("neg_score"), F.col("rank").alias("rank"), "hash",
                     F.col("fidelity").alias("tier"), *[f"l_{t}" for t in CHAIN], *[f"b_{t}" for t in CHAIN])
-    per_project = c.groupBy("project").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    per_group = c.groupBy("_g").agg(F.sort_array(F.collect_list(item)).alias("items"))
 
     chosen_t = "struct<hash:string,tier:string,len:int,block:string>"
     init = F.struct(F.lit(0).alias("used"), F.lit(False).alias("stop"),
@@ -56,19 +63,19 @@ def packed_items(mem: DataFrame, now: int, budget: int = CHAR_BUDGET, limit: int
         stopped = F.struct(acc["used"].alias("used"), F.lit(True).alias("stop"), acc["out"].alias("out"))
         return F.when(skip, acc).when(tier.isNull(), stopped).otherwise(taken)
 
-    folded = per_project.select("project", F.aggregate("items", init, step)["out"].alias("out"))
-    return folded.select("project", F.posexplode("out").alias("pos", "c")).select(
-        "project", (F.col("pos") + 1).alias("pos"), "c.hash", "c.tier",
+    folded = per_group.select("_g", F.aggregate("items", init, step)["out"].alias("out"))
+    return folded.select("_g", F.posexplode("out").alias("pos", "c")).select(
+        F.col("_g").alias(group), (F.col("pos") + 1).alias("pos"), "c.hash", "c.tier",
         F.col("c.len").alias("block_len"), F.col("c.block").alias("block"))
 
 
-def context_blocks(items: DataFrame, budget: int = CHAR_BUDGET) -> DataFrame:
-    """(project, n_items, used_chars, context): header plus blocks joined by newlines."""
-    g = (items.groupBy("project")
+def context_blocks(items: DataFrame, budget: int = CHAR_BUDGET, group: str = "project") -> DataFrame:
+    """(group, n_items, used_chars, context): header plus blocks joined by newlines."""
+    g = (items.groupBy(group)
          .agg(F.count("*").alias("n_items"), F.sum("block_len").alias("used_chars"),
               F.sort_array(F.collect_list(F.struct("pos", "block"))).alias("bl")))
     header = F.concat(F.lit(CONTEXT_TITLE + "\n_"), F.col("n_items").cast("string"), F.lit(" memories loaded | ~"),
                       token_estimate("used_chars").cast("string"), F.lit(f"/{int(budget / 4 + 0.5)} tokens | "),
                       F.col("used_chars").cast("string"), F.lit(" chars_\n\n"))
-    return g.select("project", "n_items", F.col("used_chars").cast("bigint").alias("used_chars"),
+    return g.select(group, "n_items", F.col("used_chars").cast("bigint").alias("used_chars"),
                     F.concat(header, F.array_join(F.transform("bl", lambda x: x["block"]), "\n")).alias("context"))

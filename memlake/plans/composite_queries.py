@@ -108,3 +108,49 @@ SELECT conv_id, turn, role IN ('user', 'assistant', 'system') AS role_ok FROM co
 def q_validate_turns(spark, sf):
     """Turn roles of logged sessions must be user / assistant / system."""
     return W.validate_roles(read_table(spark, sf, "conversations")).select("conv_id", "turn", "role_ok")
+
+
+BROWSE_SQL = """rq AS (
+  SELECT request_id, owner,
+    CASE WHEN allowed IS NULL THEN project
+         WHEN project IS NOT NULL AND list_contains(allowed, project) THEN project
+         ELSE allowed[1] END AS sp
+  FROM requests),
+vis AS (
+  SELECT r.request_id, m.*,
+         row_number() OVER (PARTITION BY r.request_id ORDER BY m.importance DESC, m.last_accessed DESC, m.hash) AS rank
+  FROM rq r JOIN memories m ON
+    (CASE WHEN r.owner IS NULL THEN m.sensitivity <> 'secret'
+      ELSE coalesce(m.sensitivity = 'public' OR (m.sensitivity = 'internal' AND m.project = r.sp)
+                    OR (m.sensitivity = 'secret' AND m.owner_id = r.owner), false) END)
+    AND (r.sp IS NULL OR coalesce(m.project = r.sp, false))
+  QUALIFY rank <= {limit})"""
+
+
+@register("browse_memories", BROWSE_SQL.format(limit=10) + f"""
+SELECT request_id, rank, hash, round({SCORE_SQL}, 6) AS score, {tier_sql(SCORE_SQL)} AS fidelity FROM vis""")
+def q_browse_memories(spark, sf):
+    """brain_query without text for every caller: scope clamp, visibility, top 10 by
+    importance and recency, decay score and tier."""
+    from memlake.functions.visibility import scope_clamp
+    req = FX.requests(spark, sf).select("request_id", scope_clamp("project", "allowed").alias("scope_project"), "owner")
+    c = C.scored(C.candidates_for_requests(FX.memories(spark, sf), req, 10), NOW)
+    return c.select("request_id", "rank", "hash", F.round("score", 6).alias("score"), "fidelity")
+
+
+def _context_oracle() -> str:
+    from memlake.plans.context_queries import CONTEXT_TEXT_SQL, pack_sql
+    return (BROWSE_SQL.format(limit=50)
+            + ",\ncand AS (SELECT *, request_id AS g, rank AS crank FROM vis),\n" + pack_sql()
+            + f"\nSELECT g AS request_id, {CONTEXT_TEXT_SQL}\nFROM sel GROUP BY g")
+
+
+@register("context_for_requests", _context_oracle())
+def q_context_for_requests(spark, sf):
+    """brain_context for every caller: scope clamp, the caller's 50 best visible memories,
+    packed into an 8000-char context block."""
+    from memlake.functions.visibility import scope_clamp
+    from memlake.operators import context as X
+    req = FX.requests(spark, sf).select("request_id", scope_clamp("project", "allowed").alias("scope_project"), "owner")
+    cands = C.candidates_for_requests(FX.memories(spark, sf), req, 50)
+    return X.context_blocks(X.pack(cands, "request_id", NOW), group="request_id")

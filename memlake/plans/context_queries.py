@@ -45,21 +45,22 @@ def q_format_memory(spark, sf):
     return m.select("hash", "fidelity", r6("score").alias("score"), format_memory("fidelity").alias("text"))
 
 
-PACK_SQL = f"""cand AS (
-  SELECT *, row_number() OVER (PARTITION BY project ORDER BY importance DESC, last_accessed DESC, hash) AS crank
-  FROM memories WHERE sensitivity <> 'secret' AND project IS NOT NULL QUALIFY crank <= 50),
-sc AS (SELECT *, {SCORE_SQL} AS score FROM cand),
+CAND_BY_PROJECT = """cand AS (
+  SELECT *, project AS g, row_number() OVER (PARTITION BY project ORDER BY importance DESC, last_accessed DESC, hash) AS crank
+  FROM memories WHERE sensitivity <> 'secret' AND project IS NOT NULL QUALIFY crank <= 50)"""
+
+PACK_TMPL = """sc AS (SELECT *, {score} AS score FROM cand),
 blk AS (
-  SELECT project, crank, hash, score, {tier_sql('score')} AS tier,
-    {B_HOT} AS bh, {B_WARM} AS bw, {B_COOL} AS bc, {B_FADED} AS bf
+  SELECT g, crank, hash, score, {tier} AS tier,
+    {bh} AS bh, {bw} AS bw, {bc} AS bc, {bf} AS bf
   FROM sc),
-lens AS (SELECT *, {u16('bh')} AS lh, {u16('bw')} AS lw, {u16('bc')} AS lc, {u16('bf')} AS lf FROM blk),
+lens AS (SELECT *, {lh} AS lh, {lw} AS lw, {lc} AS lc, {lf} AS lf FROM blk),
 agg AS (
-  SELECT project, list({{'h': hash, 't': tier, 'lh': lh, 'lw': lw, 'lc': lc, 'lf': lf,
+  SELECT g, list({{'h': hash, 't': tier, 'lh': lh, 'lw': lw, 'lc': lc, 'lf': lf,
                          'bh': bh, 'bw': bw, 'bc': bc, 'bf': bf}} ORDER BY score DESC, crank) AS items
-  FROM lens GROUP BY project),
+  FROM lens GROUP BY g),
 folded AS (
-  SELECT project, list_reduce(items, lambda acc, it: CASE
+  SELECT g, list_reduce(items, lambda acc, it: CASE
       WHEN acc.stop OR it.t = 'gone' THEN acc
       WHEN it.t = 'hot' AND it.lh <= 8000 - acc.used
         THEN {{'used': acc.used + it.lh, 'stop': false, 'out': list_append(acc.out, {{'h': it.h, 't': 'hot', 'l': it.lh, 'b': it.bh}})}}
@@ -72,24 +73,35 @@ folded AS (
       ELSE {{'used': acc.used, 'stop': true, 'out': acc.out}} END,
     {{'used': 0::BIGINT, 'stop': false, 'out': []::STRUCT(h VARCHAR, t VARCHAR, l BIGINT, b VARCHAR)[]}}) AS st
   FROM agg),
-sel AS (SELECT project, unnest(range(1, len(st.out) + 1)) AS pos, unnest(st.out) AS c FROM folded)"""
+sel AS (SELECT g, unnest(range(1, len(st.out) + 1)) AS pos, unnest(st.out) AS c FROM folded)"""
+
+
+def pack_sql() -> str:
+    return PACK_TMPL.format(score=SCORE_SQL, tier=tier_sql("score"), bh=B_HOT, bw=B_WARM, bc=B_COOL, bf=B_FADED,
+                            lh=u16("bh"), lw=u16("bw"), lc=u16("bc"), lf=u16("bf"))
+
+
+PACK_SQL = CAND_BY_PROJECT + ",\n" + pack_sql()
 
 
 @register("context_selection", f"""{PACK_SQL}
-SELECT project, pos, c.h AS hash, c.t AS tier, c.l AS block_len FROM sel""")
+SELECT g AS project, pos, c.h AS hash, c.t AS tier, c.l AS block_len FROM sel""")
 def q_context_selection(spark, sf):
     """Per project: which memories the 8000-char context holds, at which tier."""
     it = X.packed_items(FX.memories(spark, sf), NOW)
     return it.select("project", "pos", "hash", "tier", "block_len")
 
 
-@register("context_block", f"""{PACK_SQL}
-SELECT project, count(*) AS n_items, CAST(sum(c.l) AS BIGINT) AS used_chars,
+CONTEXT_TEXT_SQL = """count(*) AS n_items, CAST(sum(c.l) AS BIGINT) AS used_chars,
   concat('# λ-Memory', chr(10), '_', CAST(count(*) AS VARCHAR), ' memories loaded | ~',
          CAST(CAST(floor(sum(c.l) / 4.0 + 0.5) AS BIGINT) AS VARCHAR), '/2000 tokens | ',
          CAST(sum(c.l) AS VARCHAR), ' chars_', chr(10), chr(10),
-         string_agg(c.b, chr(10) ORDER BY pos)) AS context
-FROM sel GROUP BY project""")
+         string_agg(c.b, chr(10) ORDER BY pos)) AS context"""
+
+
+@register("context_block", f"""{PACK_SQL}
+SELECT g AS project, {CONTEXT_TEXT_SQL}
+FROM sel GROUP BY g""")
 def q_context_block(spark, sf):
     """brain_context for every project: the assembled context text."""
     return X.context_blocks(X.packed_items(FX.memories(spark, sf), NOW))
