@@ -5,8 +5,8 @@ Lloyd iteration is one pass over the items: a `mapInPandas` kernel assigns each
 most similar centroid (strict >, so ties go to the lowest cluster id) under the previous and
 the current centroids, and emits per-batch partial sums per cluster plus the number of
 changed assignments. Only k partial rows per batch leave the task, so a cluster holding a
-third of all items costs nothing extra. Iterations read the same checkpointed items, so
-lineage does not grow with the number of iterations.
+third of all items costs nothing extra. Iterations read the same materialised items (a
+Parquet table in spark.checkpoint.dir), so lineage does not grow with the iterations.
 """
 
 from __future__ import annotations

@@ -3,9 +3,11 @@
 Full text: a positional postings table (hash, field, pos, term) over summary, essence and
 tags. Each whitespace token of a query is a phrase of one or more terms; a document matches
 when every phrase occurs. Phrase occurrences are found by joining query pieces to postings on
-`term` and grouping on `start = pos - piece_index`; the query side is small, so the join is a
-broadcast and very frequent terms cost no skewed shuffle. Scores are Okapi BM25 over the
-whole index (k1 = 1.2, b = 0.75, idf floored at 1e-6); rank = -score, lower is better.
+`term` and grouping on `start = pos - piece_index`; the query side is small, so AQE turns
+these joins into broadcasts from runtime sizes and very frequent terms cost no skewed
+shuffle. Conjunctive queries are driven by their rarest phrase (see `bm25`). Scores are
+Okapi BM25 over the whole index (k1 = 1.2, b = 0.75, idf floored at 1e-6); rank = -score,
+lower is better.
 
 Vectors: exact cosine top-k per query. A `mapInPandas` kernel multiplies each Arrow batch
 of memory vectors with the query matrix and keeps only the top-k rows per query of that

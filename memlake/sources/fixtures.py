@@ -3,7 +3,7 @@
 These functions only shape rows of the given tables into the schemas the jobs expect
 (memories, access log, snapshot arrivals, chat sessions, requests, ...). They do none of a
 job's work; every job in `memlake.operators` is correct for any data of the same schema.
-The DuckDB oracle builds the same inputs with the same definitions (see plans/oracle.py).
+The DuckDB oracle builds the same inputs with the same definitions (plans/oracle_inputs.py).
 """
 
 from __future__ import annotations
