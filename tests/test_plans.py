@@ -38,3 +38,14 @@ def test_entry_from_other_cwd(tmp_path):
     r = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
     assert "ROWS" in r.stdout, r.stderr[-3000:]
     assert int(r.stdout.split("ROWS")[1].split()[0]) > 0
+
+
+def test_pushdown_and_pruning(spark, queries):
+    q, _ = queries
+    # a filter on a stored column reaches the Parquet scan
+    plan = q["validate_memories"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(role), EqualTo(role,assistant)]" in plan
+    # counting memories by type never reads the document text
+    plan = q["stats_by_type"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.split("\n") if "ReadSchema" in line]
+    assert scans and all("text" not in s for s in scans)
