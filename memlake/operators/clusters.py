@@ -3,8 +3,8 @@
 Items are (hash, vec, tags). Centroids (k x d, k small) are the only thing broadcast. One
 Lloyd iteration is one pass over the items: a `mapInPandas` kernel assigns each row to its
 most similar centroid (strict >, so ties go to the lowest cluster id) under the previous and
-the current centroids, and emits per-batch partial sums per cluster plus the number of
-changed assignments. Only k partial rows per batch leave the task, so a cluster holding a
+the current centroids, and emits per-partition partial sums per cluster plus the number of
+changed assignments. Only k partial rows per partition leave the task, so a cluster holding a
 third of all items costs nothing extra. Iterations read the same materialised items (a
 Parquet table in spark.checkpoint.dir), so lineage does not grow with the iterations.
 """
@@ -55,23 +55,25 @@ def initial_centroids(items: DataFrame, k: int) -> tuple[np.ndarray, int]:
 
 
 def _partial_kernel(bc):
+    """Per partition: cluster sums / counts under the current centroids and the number of
+    rows whose assignment changed; one row per cluster is emitted at the end."""
     def kernel(it):
         prev, cur, dim = bc.value
         k = cur.shape[0]
+        sums = np.zeros((k, dim))
+        counts = np.zeros(k, dtype=np.int64)
+        changed = 0
         for pdf in it:
             if pdf.empty:
                 continue
             m, ok = _matrix(pdf["vec"].to_numpy(), dim)
             a_cur = assign(m, ok, cur)
-            a_prev = assign(m, ok, prev)
-            changed = int((a_cur != a_prev).sum())
-            sums = np.zeros((k, dim))
+            changed += int((a_cur != assign(m, ok, prev)).sum())
             np.add.at(sums, a_cur[ok], m[ok])
-            counts = np.bincount(a_cur[ok], minlength=k)
-            yield pd.DataFrame({"cluster_id": np.arange(k, dtype=np.int64),
-                                "n": counts.astype(np.int64),
-                                "s": [sums[c] for c in range(k)],
-                                "changed": np.where(np.arange(k) == 0, changed, 0).astype(np.int64)})
+            counts += np.bincount(a_cur[ok], minlength=k)
+        yield pd.DataFrame({"cluster_id": np.arange(k, dtype=np.int64), "n": counts,
+                            "s": [sums[c] for c in range(k)],
+                            "changed": np.where(np.arange(k) == 0, changed, 0).astype(np.int64)})
     return kernel
 
 

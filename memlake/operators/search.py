@@ -10,9 +10,10 @@ Okapi BM25 over the whole index (k1 = 1.2, b = 0.75, idf floored at 1e-6); rank
 lower is better.
 
 Vectors: exact cosine top-k per query. A `mapInPandas` kernel multiplies each Arrow batch
-of memory vectors with the query matrix and keeps only the top-k rows per query of that
-batch, so the (query x memory) pairs are never materialised as rows; a `row_number() <= k`
-window over the per-batch winners gives the global answer. The query matrix is broadcast
+of memory vectors with the query matrix and keeps a running top-k per query across the
+partition's batches, so the (query x memory) pairs are never materialised as rows and each
+partition emits at most queries x k rows; a `row_number() <= k` window over the partition
+winners gives the global answer. The query matrix is broadcast
 after a size check; above the bound, queries are processed in bounded batches.
 """
 
@@ -286,14 +287,19 @@ def vector_topk(spark: SparkSession, mem_vec: DataFrame, qvec: DataFrame, k: int
             mv = mv0.join(bl, "hash", "left")
 
         def kernel(it, bq=bq):
+            """Running top-k per query over all Arrow batches of the partition; one emit at
+            the end, so the output is (partitions x queries x k) rows, not per batch."""
             q_ids, q_mat, q_scope = bq.value
             pos_of = {int(q): i for i, q in enumerate(q_ids)}
+            dim = q_mat.shape[1]
+            best_h = [np.empty(0, dtype=object) for _ in q_ids]
+            best_s = [np.empty(0) for _ in q_ids]
+            best_k = [np.empty(0) for _ in q_ids]
             for pdf in it:
                 if pdf.empty:
                     continue
                 hashes = pdf["hash"].to_numpy(dtype=object).astype(str)
                 vecs = pdf[vec_col].to_numpy()
-                dim = q_mat.shape[1]
                 m = np.zeros((len(vecs), dim))
                 for i, v in enumerate(vecs):
                     if v is not None and len(v) == dim:
@@ -311,16 +317,20 @@ def vector_topk(spark: SparkSession, mem_vec: DataFrame, qvec: DataFrame, k: int
                     sens = pdf["sensitivity"].to_numpy(dtype=object)
                     mproj = pdf["project"].to_numpy(dtype=object)
                     mown = pdf["owner_id"].to_numpy(dtype=object)
-                rows_q, rows_h, rows_s, rows_k = [], [], [], []
                 for j in range(len(q_ids)):
                     valid = None if q_scope is None else _visible_mask(sens, mproj, mown, *q_scope[j])
                     sel = _topk_rows(keys[j], hashes, k, cut, valid)
-                    rows_q.append(np.full(sel.size, q_ids[j], dtype=np.int64))
-                    rows_h.append(hashes[sel])
-                    rows_s.append(sims[j, sel])
-                    rows_k.append(keys[j, sel])
-                yield pd.DataFrame({"query_id": np.concatenate(rows_q), "hash": np.concatenate(rows_h),
-                                    "sim": np.concatenate(rows_s), "sim_key": np.concatenate(rows_k)})
+                    if sel.size == 0:
+                        continue
+                    h = np.concatenate([best_h[j], hashes[sel]]).astype(str)
+                    sv = np.concatenate([best_s[j], sims[j, sel]])
+                    kv = np.concatenate([best_k[j], keys[j, sel]])
+                    keep = _topk_rows(kv, h, k, None)
+                    best_h[j], best_s[j], best_k[j] = h[keep], sv[keep], kv[keep]
+            n = [len(x) for x in best_h]
+            if sum(n):
+                yield pd.DataFrame({"query_id": np.repeat(q_ids, n), "hash": np.concatenate(best_h).astype(str),
+                                    "sim": np.concatenate(best_s), "sim_key": np.concatenate(best_k)})
 
         part = mv.mapInPandas(kernel, "query_id long, hash string, sim double, sim_key double")
         out = part if out is None else out.unionByName(part)
