@@ -215,12 +215,16 @@ def bm25_top(index: DataFrame, queries: DataFrame, limit: int, owner=None, proje
 
 
 def _query_batches(spark: SparkSession, qvec: DataFrame, max_batch: int):
-    """Bounded batches of (query_id, vec) pulled to the driver for broadcast."""
-    n = qvec.count()
-    nb = max(1, -(-n // max_batch))
-    if nb == 1:
-        yield qvec.collect()
+    """Bounded batches of (query_id, vec) pulled to the driver for broadcast.
+
+    At most max_batch + 1 rows are fetched first; only a larger query set is split into
+    hash batches (each fetched separately), so no batch above the bound is ever collected."""
+    first = qvec.limit(max_batch + 1).collect()
+    if len(first) <= max_batch:
+        yield first
         return
+    n = qvec.count()
+    nb = max(1, -(-n // max_batch) * 2)      # hash batches hold ~max_batch / 2 rows each
     keyed = qvec.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(nb)))
     for i in range(nb):
         yield keyed.filter(F.col("_b") == i).drop("_b").collect()

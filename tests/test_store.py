@@ -153,3 +153,36 @@ def test_retention_partitions_input(spark):
     gone = {r["hash"] for r in W.gc_removed(m, 1709251200).select("hash").collect()}
     allh = {r["hash"] for r in m.select("hash").collect()}
     assert kept.isdisjoint(gone) and kept | gone == allh and gone
+
+
+def test_kernel_visibility_mask_matches_predicate(spark):
+    """The numpy mask used inside the vector kernel equals the Column predicate."""
+    import random
+    import numpy as np
+    from memlake.functions.visibility import visible
+    from memlake.operators.search import _visible_mask
+    rnd = random.Random(2)
+    sens = ["public", "internal", "secret"]
+    rows = [(i, rnd.choice(sens), rnd.choice(["p1", "p2", None]), rnd.choice(["u1", "u2"])) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, sensitivity string, project string, owner_id string")
+    s = np.array([r[1] for r in rows], dtype=object)
+    p = np.array([r[2] for r in rows], dtype=object)
+    o = np.array([r[3] for r in rows], dtype=object)
+    for qp in ("p1", "p2", None):
+        for qo in ("u1", "u2", None):
+            got = {r["id"] for r in df.filter(visible(qp, qo)).collect()}
+            mask = _visible_mask(s, p, o, qp, qo)
+            assert {rows[i][0] for i in np.nonzero(mask)[0]} == got, (qp, qo)
+
+
+def test_vector_topk_batches_equal_single(spark):
+    """Splitting the query set into bounded broadcast batches gives the same answer."""
+    from conftest import SF_SMALL
+    from memlake.functions.embed import with_embedding
+    from memlake.sources import fixtures as FX
+    idx = S.build_index(FX.memories(spark, SF_SMALL), vectors=True).select("hash", "vec")
+    q = FX.search_requests(spark, SF_SMALL)
+    qv = with_embedding(q, "query", out="vec").select("query_id", "vec")
+    one = sorted(S.vector_topk(spark, idx, qv, k=5).select("query_id", "hash", "rank").collect())
+    many = sorted(S.vector_topk(spark, idx, qv, k=5, max_batch=7).select("query_id", "hash", "rank").collect())
+    assert one == many and len(one) > 0
