@@ -213,3 +213,26 @@ FROM enc""")
 def q_decode_rows(spark, sf):
     d = W.decode_rows(storage_rows(spark, sf))
     return d.select("hash", "explicit_save", joined("tags").alias("tags"), "sensitivity", "owner_id")
+
+
+@register("upsert_versioned")
+def q_upsert_versioned(spark, sf):
+    """W1 as a table job: write the memory table as version 1, apply the upsert, write
+    version 2, read the latest version back (same result as upsert_memories)."""
+    from memlake.session import ensure_checkpoint_dir
+    from memlake.sources import versioned as V
+    import uuid
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/memories-{uuid.uuid4().hex[:12]}"
+    V.write_version(FX.memories(spark, sf), root)
+    new = W.upsert(V.read_latest(spark, root), upsert_changes(spark, sf))
+    V.write_version(new, root)
+    return V.read_latest(spark, root).select(*MEM_CHG_COLS)
+
+
+def _share_upsert_oracle():
+    from memlake.plans.common import ORACLE
+    if "upsert_memories" in ORACLE:
+        ORACLE["upsert_versioned"] = ORACLE["upsert_memories"]
+
+
+_share_upsert_oracle()

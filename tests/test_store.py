@@ -186,3 +186,19 @@ def test_vector_topk_batches_equal_single(spark):
     one = sorted(S.vector_topk(spark, idx, qv, k=5).select("query_id", "hash", "rank").collect())
     many = sorted(S.vector_topk(spark, idx, qv, k=5, max_batch=7).select("query_id", "hash", "rank").collect())
     assert one == many and len(one) > 0
+
+
+def test_versioned_table(spark):
+    import os
+    from memlake.sources import versioned as V
+    from memlake.streaming.jobs import work_dir
+    root = work_dir(spark, "versioned")
+    m = memories_df(spark, [memory_row(hash="a" * 16, project="x"), memory_row(hash="b" * 16, project="y")])
+    assert V.write_version(m, root) == 1
+    assert V.write_version(m.filter(F.col("project") == "x"), root) == 2
+    os.makedirs(root + "/v=3")                      # a crashed writer: no _SUCCESS marker
+    assert V.list_versions(spark, root) == [1, 2]
+    latest = V.read_latest(spark, root)
+    assert [r["hash"][0] for r in latest.collect()] == ["a"]
+    plan = latest.filter(F.col("project") == "x")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(project,x)" in plan
