@@ -180,12 +180,15 @@ hits AS (SELECT r.request_id, m.*, row_number() OVER (PARTITION BY r.request_id
          FROM rq r JOIN memories m ON length(r.prefix) >= 4 AND starts_with(m.hash, lower(r.prefix))
          WHERE m.sensitivity <> 'secret')
 SELECT request_id, hash, importance, round({SCORE_SQL}, 6) AS score,
-       CAST({NOW} AS BIGINT) AS last_accessed, CAST(access_count + 1 AS BIGINT) AS access_count, true AS reheated
+       CAST({NOW} AS BIGINT) AS last_accessed, CAST(access_count + 1 AS BIGINT) AS access_count, true AS reheated,
+       project, array_to_string(tags, ',') AS tags, summary_text AS summary,
+       CASE WHEN context_log IS NOT NULL THEN '(context log available — see vault .md file for details)' END AS context_log
 FROM hits WHERE rn = 1""")
 def q_recall_by_prefix(spark, sf):
     r = R.recall_by_prefix(FX.memories(spark, sf), recall_requests(spark, sf), NOW)
     return r.select("request_id", "hash", "importance", r6("score").alias("score"),
-                    "last_accessed", "access_count", "reheated")
+                    "last_accessed", "access_count", "reheated", "project", joined("tags").alias("tags"),
+                    F.col("summary_text").alias("summary"), "context_log")
 
 
 def storage_rows(spark, sf):
