@@ -185,7 +185,9 @@ def _fm_value(fm, key: str):
 
 def parse_vault(files: DataFrame) -> DataFrame:
     """Vault documents (path, content) -> partial memory rows; files without front matter or
-    without a hash are dropped. Known front-matter keys only (no general YAML).
+    without a hash are dropped. Known front-matter keys only (no general YAML): defaults
+    conversation / public / [] / 0, `project: none` -> NULL, ISO dates -> epoch seconds,
+    essence left empty (it lives in the heading).
 
     Front matter is the text between a leading '---' line and the next '\n---' (at least one
     char); the body is what follows. Located with plain string search, not regex scans.
@@ -205,14 +207,31 @@ def parse_vault(files: DataFrame) -> DataFrame:
     ctx_raw = F.regexp_extract(ctx_tail, r"^## Context Log\n_[^_]*_\n\n([\s\S]*)", 1)
     has_ctx = (ctx_pos > 0) & F.regexp_like(ctx_tail, F.lit(r"^## Context Log\n_[^_]*_\n\n"))
     imp = _fm_value(fm, "importance")
+    proj = _fm_value(fm, "project")
+
+    def nonempty(c):
+        return F.when(c != "", c)
+
+    def epoch(key):
+        ts = F.try_to_timestamp(_fm_value(fm, key), F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSX"))
+        return F.unix_seconds(ts)
+
     return staged.select(
         "path",
         _fm_value(fm, "hash").alias("hash"),
         F.when(imp != "", imp.try_cast("double")).alias("importance"),
+        F.coalesce(nonempty(_fm_value(fm, "memory_type")), F.lit("conversation")).alias("memory_type"),
+        F.coalesce(nonempty(_fm_value(fm, "sensitivity")), F.lit("public")).alias("sensitivity"),
         tags.alias("tags"),
+        F.when((proj == "none") | (proj == ""), F.lit(None)).otherwise(proj).alias("project"),
+        nonempty(_fm_value(fm, "session_id")).alias("session_id"),
+        epoch("created_at").alias("created_at"),
+        epoch("last_accessed").alias("last_accessed"),
+        F.coalesce(_fm_value(fm, "access_count").try_cast("bigint"), F.lit(0).cast("bigint")).alias("access_count"),
         _section(body, "Summary").alias("summary_text"),
         _section(body, "Full Detail").alias("full_text"),
         F.when(has_ctx, js_trim(F.substring_index(ctx_raw, "\n## ", 1))).alias("context_log"),
+        F.lit("").alias("essence_text"),
     ).filter(F.col("hash") != "")
 
 

@@ -247,6 +247,32 @@ parsed AS (
   FROM pv1)"""
 
 
+def _ts(key: str) -> str:
+    return f"CAST(floor(epoch(try_strptime({_fmv(key)}, '%Y-%m-%dT%H:%M:%S.%gZ'))) AS BIGINT)"
+
+
+@register("vault_parse", f"""{PARSE_SQL},
+meta AS (
+  SELECT path,
+    coalesce(CASE WHEN {_fmv('memory_type')} <> '' THEN {_fmv('memory_type')} END, 'conversation') AS memory_type,
+    coalesce(CASE WHEN {_fmv('sensitivity')} <> '' THEN {_fmv('sensitivity')} END, 'public') AS sensitivity,
+    CASE WHEN {_fmv('project')} IN ('none', '') THEN NULL ELSE {_fmv('project')} END AS project,
+    CASE WHEN {_fmv('session_id')} <> '' THEN {_fmv('session_id')} END AS session_id,
+    {_ts('created_at')} AS created_at, {_ts('last_accessed')} AS last_accessed,
+    coalesce(TRY_CAST({_fmv('access_count')} AS BIGINT), 0) AS access_count
+  FROM pv1)
+SELECT p.path, p.hash, p.importance, m.memory_type, m.sensitivity, m.project, m.session_id, m.created_at,
+       m.last_accessed, m.access_count, array_to_string(p.tags, ',') AS tags, p.summary_text,
+       CAST(length(p.full_text) AS BIGINT) AS full_len, p.context_log
+FROM parsed p JOIN meta m USING (path) WHERE p.hash <> ''""")
+def q_vault_parse(spark, sf):
+    """S6: every vault document (edited export) parsed into a partial memory row."""
+    p = RC.parse_vault(materialize(vault_files(spark, sf), "vault_files"))
+    return p.select("path", "hash", "importance", "memory_type", "sensitivity", "project", "session_id",
+                    "created_at", "last_accessed", "access_count", F.array_join("tags", ",").alias("tags"),
+                    "summary_text", F.length("full_text").cast("bigint").alias("full_len"), "context_log")
+
+
 @register("vault_merge", f"""{PARSE_SQL},
 live AS (SELECT * FROM memories WHERE NOT (NOT explicit_save AND importance < 3 AND last_accessed < {NOW - 30 * 24 * 3600})),
 lastv AS (SELECT * FROM parsed WHERE hash <> '' QUALIFY row_number() OVER (PARTITION BY hash ORDER BY path DESC) = 1)

@@ -202,3 +202,20 @@ def test_versioned_table(spark):
     assert [r["hash"][0] for r in latest.collect()] == ["a"]
     plan = latest.filter(F.col("project") == "x")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(project,x)" in plan
+
+
+def test_vault_round_trip_fields(spark):
+    """Export then parse gives back the stored fields (texts without '## ' headings)."""
+    from memlake.operators import records as RC
+    rows = [memory_row(hash="0123456789abcdef", importance=4.0, tags=["a b", "c"], project=None,
+                       context_log="why\nwe did it", created_at=1709251200, last_accessed=1709254800,
+                       access_count=3, memory_type="decision", sensitivity="internal"),
+            memory_row(hash="1e23456789012345", tags=[], project="p-1")]
+    m = memories_df(spark, rows)
+    files = RC.vault_markdown(m).select("path", "content")
+    got = {r["hash"]: r for r in RC.parse_vault(files).collect()}
+    for src in rows:
+        r = got[src["hash"]]
+        for f in ("importance", "memory_type", "sensitivity", "project", "session_id", "created_at",
+                  "last_accessed", "access_count", "tags", "summary_text", "full_text", "context_log"):
+            assert r[f] == src[f], (f, r[f], src[f])
