@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from memlake.config import NOW
 from memlake.functions.format import format_memory

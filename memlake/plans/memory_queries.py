@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memlake.config import NOW, UNTAGGED
-from memlake.functions.decay import decay_score, fidelity, hours_since, threshold_scale
+from memlake.functions.decay import decay_score, hours_since, threshold_scale
 from memlake.functions.text import content_id, utf16_length
 from memlake.functions.visibility import scope_clamp, visible
 from memlake.operators import candidates as C
