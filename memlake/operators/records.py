@@ -130,6 +130,19 @@ def _yaml_scalar(c):
     return F.when(F.regexp_like(c, F.lit(YAML_NUMBERLIKE)), quoted).otherwise(c)
 
 
+# A text line starting with (backslashes and) "## " would end its section on import; export
+# adds one backslash to such lines and import removes it again, so texts round-trip exactly.
+HEADING_LINE = r"(?m)^(\\*)## "
+
+
+def escape_headings(c):
+    return F.regexp_replace(c, HEADING_LINE, r"\\$1## ")
+
+
+def unescape_headings(c):
+    return F.regexp_replace(c, r"(?m)^\\(\\*)## ", "$1## ")
+
+
 def vault_markdown(mem: DataFrame) -> DataFrame:
     """(hash, path, content): front matter, heading, Summary, Full Detail, optional Context
     Log, Links when a project is set."""
@@ -151,14 +164,14 @@ def vault_markdown(mem: DataFrame) -> DataFrame:
     )
     ctx = F.when(F.col("context_log").isNotNull() & (F.col("context_log") != ""),
                  F.concat(F.lit("\n\n## Context Log\n_Full conversation / reasoning trail that led to this memory:_\n\n"),
-                          F.col("context_log"))).otherwise(F.lit(""))
+                          escape_headings(F.col("context_log")))).otherwise(F.lit(""))
     links = F.when(F.col("project").isNotNull() & (F.col("project") != ""),
                    F.concat(F.lit("\n\n## Links\n- Project: [["), F.col("project"), F.lit("]]"),
                             F.array_join(F.transform("tags", lambda t: F.concat(F.lit("\n- Tag: [["), t, F.lit("]]"))), ""))
                    ).otherwise(F.lit(""))
     content = F.concat(F.lit("---\n"), fm, F.lit("\n---\n\n# "), F.col("essence_text"),
-                       F.lit("\n\n## Summary\n"), F.col("summary_text"),
-                       F.lit("\n\n## Full Detail\n"), F.col("full_text"), ctx, links, F.lit("\n"))
+                       F.lit("\n\n## Summary\n"), escape_headings(F.col("summary_text")),
+                       F.lit("\n\n## Full Detail\n"), escape_headings(F.col("full_text")), ctx, links, F.lit("\n"))
     return mem.select("hash", vault_path().alias("path"), content.alias("content"))
 
 
@@ -174,8 +187,9 @@ def _after(text, marker: str):
 
 
 def _section(body, title: str):
-    """`## <title>` section text up to the next `\n## ` heading (or the end), trimmed."""
-    return js_trim(F.substring_index(_after(body, f"## {title}\n"), "\n## ", 1))
+    """`## <title>` section text up to the next `\n## ` heading (or the end), trimmed and
+    unescaped."""
+    return unescape_headings(js_trim(F.substring_index(_after(body, f"## {title}\n"), "\n## ", 1)))
 
 
 def _fm_value(fm, key: str):
@@ -202,10 +216,10 @@ def parse_vault(files: DataFrame) -> DataFrame:
     tag_block = F.regexp_extract(fm, r"(?m)^tags:((?:\n  - .*)*)", 1)
     tags = F.filter(F.transform(F.split(tag_block, "\n  - "), lambda t: F.regexp_replace(t, r'^"|"$', "")),
                     lambda t: t != "")
-    ctx_pos = F.locate("## Context Log\n", body)
+    ctx_pos = F.locate("\n## Context Log\n", body) + 1   # a heading at a line start
     ctx_tail = F.substring(body, ctx_pos, 1 << 30)
     ctx_raw = F.regexp_extract(ctx_tail, r"^## Context Log\n_[^_]*_\n\n([\s\S]*)", 1)
-    has_ctx = (ctx_pos > 0) & F.regexp_like(ctx_tail, F.lit(r"^## Context Log\n_[^_]*_\n\n"))
+    has_ctx = (ctx_pos > 1) & F.regexp_like(ctx_tail, F.lit(r"^## Context Log\n_[^_]*_\n\n"))
     imp = _fm_value(fm, "importance")
     proj = _fm_value(fm, "project")
 
@@ -230,7 +244,7 @@ def parse_vault(files: DataFrame) -> DataFrame:
         F.coalesce(_fm_value(fm, "access_count").try_cast("bigint"), F.lit(0).cast("bigint")).alias("access_count"),
         _section(body, "Summary").alias("summary_text"),
         _section(body, "Full Detail").alias("full_text"),
-        F.when(has_ctx, js_trim(F.substring_index(ctx_raw, "\n## ", 1))).alias("context_log"),
+        F.when(has_ctx, unescape_headings(js_trim(F.substring_index(ctx_raw, "\n## ", 1)))).alias("context_log"),
         F.lit("").alias("essence_text"),
     ).filter(F.col("hash") != "")
 

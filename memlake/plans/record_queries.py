@@ -140,6 +140,14 @@ def _y(x: str) -> str:
             f"ELSE {x} END")
 
 
+def _esc(x: str) -> str:
+    return f"regexp_replace({x}, '(?m)^(\\\\*)## ', '\\\\\\1## ', 'g')"
+
+
+def _unesc(x: str) -> str:
+    return f"regexp_replace({x}, '(?m)^\\\\(\\\\*)## ', '\\1## ', 'g')"
+
+
 def _iso(x: str) -> str:
     return f"strftime(make_timestamp({x} * 1000000), '%Y-%m-%dT%H:%M:%S.000Z')"
 
@@ -160,10 +168,10 @@ VAULT_MD_SQL = f"""vault_md AS (
       'created_at: ', {_iso('created_at')}, chr(10),
       'last_accessed: ', {_iso('last_accessed')}, chr(10),
       'access_count: ', CAST(access_count AS VARCHAR), chr(10),
-      '---', chr(10), chr(10), '# ', essence_text, chr(10), chr(10), '## Summary', chr(10), summary_text,
-      chr(10), chr(10), '## Full Detail', chr(10), full_text,
+      '---', chr(10), chr(10), '# ', essence_text, chr(10), chr(10), '## Summary', chr(10), {_esc('summary_text')},
+      chr(10), chr(10), '## Full Detail', chr(10), {_esc('full_text')},
       CASE WHEN context_log IS NOT NULL AND context_log <> '' THEN concat(chr(10), chr(10), '## Context Log', chr(10),
-           '_Full conversation / reasoning trail that led to this memory:_', chr(10), chr(10), context_log) ELSE '' END,
+           '_Full conversation / reasoning trail that led to this memory:_', chr(10), chr(10), {_esc('context_log')}) ELSE '' END,
       CASE WHEN project IS NOT NULL AND project <> '' THEN concat(chr(10), chr(10), '## Links', chr(10), '- Project: [[', project, ']]',
            array_to_string(list_transform(tags, lambda t: concat(chr(10), '- Tag: [[', t, ']]')), '')) ELSE '' END,
       chr(10)) AS content
@@ -222,7 +230,7 @@ def _trim(x: str) -> str:
 
 
 def _sec(title: str) -> str:
-    return _trim(f"split_part(regexp_extract(body, '## {title}\\n([\\s\\S]*)', 1), concat(chr(10), '## '), 1)")
+    return _unesc(_trim(f"split_part(regexp_extract(body, '## {title}\\n([\\s\\S]*)', 1), concat(chr(10), '## '), 1)"))
 
 
 def _fmv(key: str) -> str:
@@ -242,8 +250,8 @@ parsed AS (
     list_filter(list_transform(string_split(regexp_extract(fm, '(?m)^tags:((?:\\n  - .*)*)', 1), concat(chr(10), '  - ')),
                                lambda t: regexp_replace(t, '^"|"$', '', 'g')), lambda t: t <> '') AS tags,
     {_sec('Summary')} AS summary_text, {_sec('Full Detail')} AS full_text,
-    CASE WHEN regexp_matches(body, '## Context Log\\n_[^_]*_\\n\\n')
-         THEN {_trim("split_part(regexp_extract(body, '## Context Log\\n_[^_]*_\\n\\n([\\s\\S]*)', 1), concat(chr(10), '## '), 1)")} END AS context_log
+    CASE WHEN regexp_matches(body, '\\n## Context Log\\n_[^_]*_\\n\\n')
+         THEN {_unesc(_trim("split_part(regexp_extract(body, '\\n## Context Log\\n_[^_]*_\\n\\n([\\s\\S]*)', 1), concat(chr(10), '## '), 1)"))} END AS context_log
   FROM pv1)"""
 
 

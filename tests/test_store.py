@@ -219,3 +219,24 @@ def test_vault_round_trip_fields(spark):
         for f in ("importance", "memory_type", "sensitivity", "project", "session_id", "created_at",
                   "last_accessed", "access_count", "tags", "summary_text", "full_text", "context_log"):
             assert r[f] == src[f], (f, r[f], src[f])
+
+
+def test_vault_round_trip_with_headings(spark):
+    """Texts containing '## ' lines (and already-escaped ones) survive export + import, and
+    the SQL oracle's escape agrees with the Spark one."""
+    import duckdb
+    from memlake.operators import records as RC
+    from memlake.plans.record_queries import _esc, _unesc
+    full = "intro\n## Summary\nfake heading\n\\## kept as typed\n## Context Log\nnot the log"
+    rows = [memory_row(hash="fedcba9876543210", full_text=full, summary_text="## s1\nline",
+                       context_log="## step 1\nok")]
+    m = memories_df(spark, rows)
+    r = RC.parse_vault(RC.vault_markdown(m).select("path", "content")).first()
+    assert (r["full_text"], r["summary_text"], r["context_log"]) == (full, "## s1\nline", "## step 1\nok")
+    samples = [full, "## a", "\\\\## b", "x\n\\## c", "no heading"]
+    sp = spark.createDataFrame([(t,) for t in samples], "t string")
+    got = [x["e"] for x in sp.select(RC.escape_headings(F.col("t")).alias("e")).collect()]
+    con = duckdb.connect()
+    for t, e in zip(samples, got):
+        assert con.execute(f"SELECT {_esc('?')}", [t]).fetchall()[0][0] == e
+        assert con.execute(f"SELECT {_unesc('?')}", [e]).fetchall()[0][0] == t
