@@ -58,3 +58,43 @@ def test_embed_usage_counts(spark):
     r = RC.embed_usage(calls).first()
     assert (r["remote_calls"], r["remote_chars"], r["tokens_est"], r["fallback_calls"]) == (2, 17, 4, 1)
     assert r["last_call_at"] == "2024-01-02T00:00:00.000Z"
+
+
+def test_context_downgrade_and_stop(spark):
+    from memlake.operators import context as X
+    big = "x" * 500
+    rows = [memory_row(hash="a" * 16, importance=5.0, full_text=big, summary_text="s" * 50, now=NOW, project="p"),
+            memory_row(hash="b" * 16, importance=4.0, full_text=big, summary_text="t" * 400, essence_text="e" * 30,
+                       now=NOW, project="p"),
+            memory_row(hash="c" * 16, importance=3.0, full_text=big, summary_text="u" * 400, essence_text="f" * 400,
+                       now=NOW, project="p")]
+    items = X.packed_items(memories_df(spark, rows), NOW, budget=700).orderBy("pos").collect()
+    # a: hot block (~540 chars) fits; b: hot and warm too long, cool fits; c: nothing fits -> stop
+    assert [(r["hash"][0], r["tier"]) for r in items] == [("a", "hot"), ("b", "cool")]
+    assert sum(r["block_len"] for r in items) <= 700
+
+
+def test_recall_respects_visibility(spark):
+    from memlake.operators import recall as R
+    m = memories_df(spark, [memory_row(hash="abcd000000000000", sensitivity="secret", owner_id="u1"),
+                            memory_row(hash="abce000000000000", sensitivity="public")])
+    req = spark.createDataFrame([(1, "abcd"), (2, "abce")], "request_id long, prefix string")
+    assert {r["request_id"] for r in R.recall_by_prefix(m, req, NOW).collect()} == {2}
+    assert {r["request_id"] for r in R.recall_by_prefix(m, req, NOW, owner="u1").collect()} == {1, 2}
+
+
+def test_visible_counts_match_brute_force(spark):
+    import random
+    from memlake.functions.visibility import visible
+    from memlake.operators import recall as R
+    rnd = random.Random(9)
+    rows = [memory_row(hash=f"{i:016x}", sensitivity=rnd.choice(["public", "internal", "secret"]),
+                       project=rnd.choice(["p1", "p2", None]), owner_id=rnd.choice(["u1", "u2"]),
+                       importance=float(rnd.randint(1, 5))) for i in range(80)]
+    m = memories_df(spark, rows)
+    reqs = [(i, p, o) for i, (p, o) in enumerate([(p, o) for p in ("p1", "p2", None) for o in ("u1", "u2", None)])]
+    rq = spark.createDataFrame(reqs, "request_id long, project string, owner string")
+    got = {r["request_id"]: (r["n_visible"], r["importance_sum"]) for r in R.visible_counts(rq, m).collect()}
+    for i, p, o in reqs:
+        v = m.filter(visible(p, o)).agg(F.count("*").alias("n"), F.sum("importance").alias("s")).first()
+        assert got[i] == (v["n"], v["s"] or 0.0), (p, o)
