@@ -37,7 +37,9 @@ def write_version(df: DataFrame, root: str, cluster_by=("project", "hash")) -> i
     v = (versions[-1] + 1) if versions else 1
     cols = [c for c in cluster_by if c in df.columns]
     out = df.sortWithinPartitions(*cols) if cols else df
-    out.write.mode("errorifexists").parquet(f"{root.rstrip('/')}/v={v}")
+    # the next number is never a committed version; leftovers of a crashed writer there
+    # (no _SUCCESS marker, never read) are replaced
+    out.write.mode("overwrite").parquet(f"{root.rstrip('/')}/v={v}")
     return v
 
 

@@ -202,6 +202,8 @@ def test_versioned_table(spark):
     assert [r["hash"][0] for r in latest.collect()] == ["a"]
     plan = latest.filter(F.col("project") == "x")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(project,x)" in plan
+    assert V.write_version(m, root) == 3            # replaces the crashed writer's leftovers
+    assert V.list_versions(spark, root) == [1, 2, 3] and V.read_latest(spark, root).count() == 2
 
 
 def test_vault_round_trip_fields(spark):
