@@ -214,20 +214,19 @@ def bm25_top(index: DataFrame, queries: DataFrame, limit: int, owner=None, proje
 # ------------------------------------------------------------------ vector top-k
 
 
-def _query_batches(spark: SparkSession, qvec: DataFrame, max_batch: int):
-    """Bounded batches of (query_id, vec) pulled to the driver for broadcast.
+def _query_batches(spark: SparkSession, qvec: DataFrame, max_batch: int, depth: int = 0):
+    """Batches of (query_id, vec) pulled to the driver for broadcast, each at most max_batch.
 
-    At most max_batch + 1 rows are fetched first; only a larger query set is split into
-    hash batches (each fetched separately), so no batch above the bound is ever collected."""
+    At most max_batch + 1 rows are fetched; a larger set is split in two by a hash bit of
+    query_id (a new bit per level) and each half is handled the same way, so the bound
+    holds exactly, whatever the hash distribution."""
     first = qvec.limit(max_batch + 1).collect()
     if len(first) <= max_batch:
         yield first
         return
-    n = qvec.count()
-    nb = max(1, -(-n // max_batch) * 2)      # hash batches hold ~max_batch / 2 rows each
-    keyed = qvec.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(nb)))
-    for i in range(nb):
-        yield keyed.filter(F.col("_b") == i).drop("_b").collect()
+    bit = F.pmod(F.xxhash64("query_id", F.lit(depth)), F.lit(2))
+    for half in (0, 1):
+        yield from _query_batches(spark, qvec.filter(bit == half), max_batch, depth + 1)
 
 
 def _topk_rows(sims: np.ndarray, hashes: np.ndarray, k: int, cut: float | None, valid=None):
