@@ -13,13 +13,25 @@ SNAPSHOT_COLUMNS = ["hash", "path", "project", "summary", "essence", "size_bytes
                     "captured_at", "last_seen"]
 
 
+def one_arrival_per_path(arrivals: DataFrame) -> DataFrame:
+    """Several sightings of one path in a batch collapse to one: the latest by `arrival` when
+    that column exists, else a deterministic pick (largest file hash) - an aggregate with
+    partial merge, so a hot path is no single-task hot spot."""
+    order = F.col("arrival") if "arrival" in arrivals.columns else F.col("file_hash")
+    cols = [c for c in arrivals.columns if c != "path"]
+    return (arrivals.groupBy("path").agg(F.max_by(F.struct(*cols), order).alias("_a"))
+            .select("path", "_a.*"))
+
+
 def snapshot_changes(stored: DataFrame, arrivals: DataFrame, now: int) -> DataFrame:
-    """brain_snapshot_file for a batch of files (one arrival per path).
+    """brain_snapshot_file for a batch of files (one arrival per path is kept, see
+    `one_arrival_per_path`).
 
     status: cached (same file hash: the stored summary/essence are kept), changed, or new.
     A changed file keeps its stored id (the id the table really holds); a new file gets the
     id of `{now ms}:{path}`.
     """
+    arrivals = one_arrival_per_path(arrivals)
     s = stored.select("path", F.col("hash").alias("s_hash"), F.col("file_hash").alias("s_file_hash"),
                       F.col("summary").alias("s_summary"), F.col("essence").alias("s_essence"),
                       F.col("project").alias("s_project"), "captured_at")

@@ -98,3 +98,13 @@ def test_visible_counts_match_brute_force(spark):
     for i, p, o in reqs:
         v = m.filter(visible(p, o)).agg(F.count("*").alias("n"), F.sum("importance").alias("s")).first()
         assert got[i] == (v["n"], v["s"] or 0.0), (p, o)
+
+
+def test_duplicate_arrivals_collapse(spark):
+    stored = spark.createDataFrame([("h" * 16, "/a", "p", "s", "e", 10, "X", 1, 1)], SNAP)
+    arr = spark.createDataFrame([("/a", None, "v1", "e1", 11, "Y"), ("/a", None, "v2", "e2", 12, "Z"),
+                                 ("/n", "p", "n1", "n", 1, "A"), ("/n", "p", "n2", "n", 1, "B")], ARR)
+    table = RC.snapshot_upsert(stored, arr, NOW).collect()
+    assert sorted(r["path"] for r in table) == ["/a", "/n"]
+    got = {r["path"]: r for r in table}
+    assert got["/a"]["file_hash"] == "Z" and got["/a"]["summary"] == "v2" and got["/n"]["file_hash"] == "B"
