@@ -94,7 +94,9 @@ def rename_projects(mem: DataFrame, rename_map: DataFrame) -> DataFrame:
     AQE turns the join into a broadcast when it is small and keeps a shuffle join otherwise.
     """
     key = F.coalesce("project", F.lit(UNTAGGED))
-    m = rename_map.select(F.col("old_project").alias("_k"), F.col("new_project").alias("_new"))
+    # one target per old name (a map listing a name twice must not duplicate rows)
+    m = (rename_map.groupBy(F.col("old_project").alias("_k"))
+         .agg(F.max("new_project").alias("_new")))
     j = mem.join(m, key == F.col("_k"), "left")
     return j.select(*[
         (F.when(F.col("_k").isNotNull(), F.col("_new")).otherwise(F.col("project")).alias("project")

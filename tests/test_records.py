@@ -108,3 +108,10 @@ def test_duplicate_arrivals_collapse(spark):
     assert sorted(r["path"] for r in table) == ["/a", "/n"]
     got = {r["path"]: r for r in table}
     assert got["/a"]["file_hash"] == "Z" and got["/a"]["summary"] == "v2" and got["/n"]["file_hash"] == "B"
+
+
+def test_rename_map_with_repeated_key(spark):
+    m = memories_df(spark, [memory_row(hash="a" * 16, project="old")])
+    rmap = spark.createDataFrame([("old", "n1"), ("old", "n2")], "old_project string, new_project string")
+    out = W.rename_projects(m, rmap).collect()
+    assert len(out) == 1 and out[0]["project"] == "n2"
