@@ -105,8 +105,13 @@ def rename_projects(mem: DataFrame, rename_map: DataFrame) -> DataFrame:
 
 
 def attach_embeddings(mem: DataFrame, vectors: DataFrame) -> DataFrame:
-    """storeEmbedding for many rows: left join (hash, embedding)."""
-    return mem.join(vectors.select("hash", "embedding"), "hash", "left")
+    """storeEmbedding for many rows: left join (hash, embedding).
+
+    Several vectors for one memory collapse to one first (the latest by `arrival` when that
+    column exists, else a deterministic pick), so the join never duplicates a memory."""
+    order = F.col("arrival") if "arrival" in vectors.columns else F.xxhash64("embedding")
+    one = vectors.groupBy("hash").agg(F.max_by("embedding", order).alias("embedding"))
+    return mem.join(one, "hash", "left")
 
 
 def build_memories(req: DataFrame, now: int, keep=()) -> DataFrame:

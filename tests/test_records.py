@@ -115,3 +115,11 @@ def test_rename_map_with_repeated_key(spark):
     rmap = spark.createDataFrame([("old", "n1"), ("old", "n2")], "old_project string, new_project string")
     out = W.rename_projects(m, rmap).collect()
     assert len(out) == 1 and out[0]["project"] == "n2"
+
+
+def test_attach_embeddings_one_vector_per_memory(spark):
+    m = memories_df(spark, [memory_row(hash="a" * 16), memory_row(hash="b" * 16)])
+    v = spark.createDataFrame([("a" * 16, [1.0, 0.0], 1), ("a" * 16, [0.0, 1.0], 2)],
+                              "hash string, embedding array<double>, arrival int")
+    got = {r["hash"][0]: r["embedding"] for r in W.attach_embeddings(m, v).collect()}
+    assert got == {"a": [0.0, 1.0], "b": None}
