@@ -1,6 +1,6 @@
 """The query catalog of this package: importing a module registers its queries."""
 
-from memlake.llm import exact_dedup  # noqa: F401
+from memlake.llm import exact_dedup, mixing, secrets  # noqa: F401
 from memlake.llm.common import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
