@@ -1,6 +1,14 @@
 """The query catalog of this package: importing a module registers its queries."""
 
-from memlake.llm import decontaminate, exact_dedup, mixing, quality, secrets  # noqa: F401
+from memlake.llm import (  # noqa: F401
+    decontaminate,
+    exact_dedup,
+    html_text,
+    mixing,
+    quality,
+    secrets,
+    simhash,
+)
 from memlake.llm.common import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
