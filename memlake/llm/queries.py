@@ -5,9 +5,11 @@ from memlake.llm import (  # noqa: F401
     exact_dedup,
     html_text,
     mixing,
+    packing,
     quality,
     secrets,
     simhash,
+    tool_calls,
 )
 from memlake.llm.common import ORACLE, QUERIES
 
