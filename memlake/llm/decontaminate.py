@@ -38,44 +38,65 @@ UNITS = ("mm|cm|km|m|mg|kg|g|lb|lbs|oz|ml|cl|l|s|sec|seconds?|min|minutes?|h|hou
 NUM, UNIT, NAME = "", "", ""
 
 
+def _has(text: Column, *chars: str) -> Column:
+    found = text.contains(chars[0])
+    for c in chars[1:]:
+        found = found | text.contains(c)
+    return found
+
+
 def canonical(text: Column) -> Column:
     """The text's tokens, space-joined; a placeholder is its opening character and its value."""
-    clean = F.regexp_replace(text, f"[{NUM}-{NAME}]", " ")
-    named = F.regexp_replace(clean, r"(?<=[\p{L}\p{N},;][\x20\t]|[\p{L}\p{N},;]\n)(\p{Lu}\p{Ll}+)", NAME + "$1")
-    numbers = F.regexp_replace(named, r"\p{Nd}+(?:[.,]\p{Nd}+)*", f" {NUM}$0 ")
-    units = F.regexp_replace(numbers, rf"(?i)({NUM}[0-9.,]+\x20+)({UNITS})\b", f"$1{UNIT}$2")
-    # the marks inside a number stay, all others part words
-    plain = F.regexp_replace(F.lower(units), rf"(?<!{NUM}[0-9.,]{{0,30}})[.,]|[^\p{{L}}\p{{N}}{NUM}-{NAME}.,]+", " ")
-    return F.trim(F.regexp_replace(plain, r"[.,]+(?=\x20|$)|\x20{2,}", " "))
+    clean = F.when(_has(text, NUM, UNIT, NAME), F.regexp_replace(text, f"[{NUM}-{NAME}]", " ")).otherwise(text)
+    # the look-ahead comes first: it fails at once on all but capitals
+    named = F.regexp_replace(clean, r"(?=\p{Lu}\p{Ll})(?<=[\p{L}\p{N},;][\x20\t\n])(\p{Lu}\p{Ll}+)", NAME + "$1")
+    return F.regexp_replace(named, r"[0-9]+(?:[.,][0-9]+)*", f" {NUM}$0 ")
+
+
+def plain_tokens(marked: Column) -> Column:
+    """Units marked behind numbers, lower case, no punctuation but inside numbers, single spaces."""
+    units = F.regexp_replace(marked, rf"(?i)({NUM}[0-9.,]+\x20+)({UNITS})\b", f"$1{UNIT}$2")
+    inside = F.regexp_replace(F.lower(units), rf"(?<!{NUM}[0-9.,]{{0,30}})[.,]|[^\p{{L}}\p{{N}}{NUM}-{NAME}.,]+", " ")
+    numbered = F.regexp_replace(inside, r"[.,]+(?=\x20|$)|\x20{2,}", " ")
+    simple = F.regexp_replace(F.lower(marked), rf"[^\p{{L}}\p{{N}}{NAME}]+", " ")
+    return F.trim(F.when(_has(marked, NUM), F.regexp_replace(numbered, r"\x20{2,}", " ")).otherwise(simple))
 
 
 def token_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, template, values): parallel arrays; values is empty where no placeholder occurs."""
-    rows = df.select(F.col(id_col).alias("id"), canonical(text_of(text_col)).alias("canon"))
-    tokens = F.filter(F.split("canon", r"\x20+"), lambda t: t != "")
-    marks = f"[{NUM}-{NAME}]"
-    template = F.filter(F.split(F.regexp_replace("canon", rf"({marks})[^\x20]*", "$1"), r"\x20+"), lambda t: t != "")
-    values = F.when(F.col("canon").rlike(marks), F.transform(
-        tokens, lambda t: F.when(t.rlike(f"^{marks}"), t).otherwise(F.lit(""))))
+    """(id, template, values): parallel arrays; values is null where no placeholder occurs."""
+    rows = (df.select(F.col(id_col).alias("id"), canonical(text_of(text_col)).alias("marked"))
+            .select("id", plain_tokens(F.col("marked")).alias("canon"))
+            .select("id", _has(F.col("canon"), NUM, UNIT, NAME).alias("slotted"),
+                    F.when(F.col("canon") == "", F.array().cast("array<string>")).otherwise(F.split("canon", " ")).alias("tokens")))
+    template = F.when(F.col("slotted"), F.transform("tokens", lambda t: F.when(
+        F.substring(t, 1, 1).rlike(f"[{NUM}-{NAME}]"), F.substring(t, 1, 1)).otherwise(t))).otherwise(F.col("tokens"))
+    values = F.when(F.col("slotted"), F.transform(
+        "tokens", lambda t: F.when(F.substring(t, 1, 1).rlike(f"[{NUM}-{NAME}]"), t).otherwise(F.lit(""))))
     return rows.select("id", template.alias("template"), values.alias("values"))
 
 
-def _windows(template: Column, values: Column, size: Column) -> Column:
-    """Array of (h, slots) of all windows of `size` tokens, in order."""
+def _windows(hashes: Column, values: Column, size: int) -> Column:
+    """Array of (h, slots) of all windows of `size` tokens, in order, from the tokens' hashes."""
     none = F.array().cast("array<string>")
-    last = F.size(template) - size + 1
+    last = F.size(hashes) - size
 
     def one(i: Column) -> Column:
-        slots = F.when(values.isNotNull(), F.filter(F.slice(values, i, size), lambda v: v != "")).otherwise(none)
-        return F.struct(F.xxhash64(size, F.slice(template, i, size)).alias("h"), slots.alias("slots"))
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), one))
+        slots = F.when(values.isNotNull(), F.filter(F.slice(values, i + 1, F.lit(size)), lambda v: v != "")).otherwise(none)
+        return F.struct(F.xxhash64(F.lit(size), *[F.get(hashes, i + k) for k in range(size)]).alias("h"), slots.alias("slots"))
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), one))
+
+
+def _hashes() -> Column:
+    return F.transform("template", lambda t: F.xxhash64(t)).alias("hashes")
 
 
 def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(h, size, item_id, item_pos, item_slots, n_windows) of the windows that carry evidence."""
     rows = (token_rows(items, id_col, text_col).where(F.size("template") > 0)
-            .withColumn("size", F.least(F.size("template"), F.lit(WINDOW))))
-    out = rows.select(F.col("id").alias("item_id"), "size", "template", F.posexplode(_windows(F.col("template"), F.col("values"), F.col("size"))).alias("item_pos", "w"))
+            .select("id", "template", "values", _hashes(), F.least(F.size("template"), F.lit(WINDOW)).alias("size")))
+    by_size = F.coalesce(*[F.when(F.col("size") == n, _windows(F.col("hashes"), F.col("values"), n))
+                           for n in range(1, WINDOW + 1)])
+    out = rows.select(F.col("id").alias("item_id"), "size", "template", F.posexplode(by_size).alias("item_pos", "w"))
     literal = F.size(F.filter(F.slice("template", F.col("item_pos") + 1, F.col("size")),
                               lambda t: ~t.isin(NUM, UNIT, NAME)))
     needed = F.least(F.lit(MIN_LITERAL), F.col("size"))
@@ -92,8 +113,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     sizes = sorted(r["size"] for r in bench.select("size").distinct().collect())  # at most WINDOW numbers
     n = bench.count()
     side = F.broadcast(bench) if n <= BROADCAST_WINDOWS else bench
-    rows = token_rows(docs, id_col, text_col)
-    every = [_windows(F.col("template"), F.col("values"), F.lit(s)) for s in sizes] or [
+    rows = token_rows(docs, id_col, text_col).select("id", "values", _hashes())
+    every = [_windows(F.col("hashes"), F.col("values"), s) for s in sizes] or [
         F.lit(None).cast("array<struct<h:bigint,slots:array<string>>>")]
     found = None
     for part in every:
