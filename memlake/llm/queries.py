@@ -7,6 +7,7 @@ from memlake.llm import (  # noqa: F401
     mixing,
     packing,
     quality,
+    repeats,
     secrets,
     simhash,
     tool_calls,
