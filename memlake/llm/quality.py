@@ -34,11 +34,9 @@ MAX_RATED = 10_000
 HASH_BITS = 20
 #: Training documents in which a bucket must occur to get a weight.
 MIN_DOCS = 3
-#: A bucket gets a weight only if its documents' grades differ from the mean by so many standard errors.
-MIN_Z = 4.0
 #: A document is kept if P(grade >= GRADES - 1) reaches this.
 MIN_TAIL = 0.5
-EPOCHS, RATE, DECAY = 120, 0.05, 1e-4
+EPOCHS, RATE, DECAY = 300, 0.05, 1e-4
 _MASK = (1 << HASH_BITS) - 1
 
 #: Letters lower-cased, ASCII punctuation and digits to spaces; other bytes stay.
@@ -88,13 +86,15 @@ class OrdinalModel:
 
 
 def _telling(flat: np.ndarray, grade: np.ndarray, grades: np.ndarray, size: int) -> np.ndarray:
-    """Buckets that occur in enough documents and whose share of low grades is no chance at some cut."""
+    """Buckets that occur in enough documents and whose share of low grades is no chance at some cut: it
+    differs by more standard errors than the largest of so many chance deviations would, sqrt(2 ln m)."""
     found = np.bincount(flat, minlength=size)
+    least = np.sqrt(2 * np.log(max((found >= MIN_DOCS).sum(), 2)))
     out = np.zeros(size, bool)
     for k in range(int(grades.max())):
         p = (grades <= k).mean()
         low = np.bincount(flat[grade <= k], minlength=size)
-        out |= np.abs(low - found * p) >= MIN_Z * np.sqrt(np.maximum(found * p * (1 - p), 1e-9))
+        out |= np.abs(low - found * p) >= least * np.sqrt(np.maximum(found * p * (1 - p), 1e-9))
     return out & (found >= MIN_DOCS)
 
 
@@ -158,8 +158,11 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
     rows = texts.select("id", "grade", "body").mapInPandas(hashed, "id bigint, grade int, words binary").collect()
     if not rows:
         return None
-    rows.sort(key=lambda r: (r["id"], bytes(r["words"])))
-    return fit([np.frombuffer(r["words"], np.uint32) for r in rows], np.array([r["grade"] for r in rows]))
+    # copies of one text would pass for evidence: of equal words the smallest id counts
+    distinct = {}
+    for r in sorted(rows, key=lambda r: (r["id"], r["grade"])):
+        distinct.setdefault(bytes(r["words"]), r["grade"])
+    return fit([np.frombuffer(w, np.uint32) for w in distinct], np.array(list(distinct.values())))
 
 
 def score_documents(docs: DataFrame, model: OrdinalModel | None, id_col: str = "doc_id", text_col: str = "text",
