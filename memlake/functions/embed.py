@@ -97,44 +97,60 @@ def with_embedding(df, text_col: str, out: str = "emb", keep_dense: bool = True,
 
 # --- vectorised kernel (Arrow batches, numpy inside the task) -----------------------------
 
-# 31^j mod 128 repeats with period 4, so fold(h * 31 + c) mod 128 over a token equals
-# sum(c_k * 31^(L-1-k) mod 128) mod 128 with these weights.
-_POW31 = (1, 31, 65, 95)
+#: Characters that are embedded together, about.
+EMBED_BATCH_CHARS = 1 << 21
 
 
-def embed_dense_numpy(text: str, dim: int = EMBED_DIM):
-    """Dense normalised vector of one text (same definition as embed_entries_sql)."""
-    toks = _TOKEN_RE.findall(text.lower()) if text else []
-    vec = np.zeros(dim, dtype=np.float64)
+def embed_batch_numpy(texts, dim: int = EMBED_DIM) -> np.ndarray:
+    """Dense normalised vectors of many texts (same definition as embed_entries_sql): one code buffer, and one
+    count over (text, bucket) for the tokens and one for their character pairs."""
+    found = [_TOKEN_RE.findall(t.lower()) if t else [] for t in texts]
+    toks = [t for f in found for t in f]
+    n = len(found)
     if not toks:
-        return vec
-    lens = np.fromiter((len(t) for t in toks), dtype=np.int64, count=len(toks))
+        return np.zeros((n, dim))
+    lens = np.fromiter(map(len, toks), dtype=np.int64, count=len(toks))
+    owner = np.repeat(np.arange(n), [len(f) for f in found])
     codes = np.frombuffer("".join(toks).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-    starts = np.concatenate(([0], np.cumsum(lens)[:-1]))
-    ends = starts + lens
-    # exponent of each char inside its token: L-1-k
-    tok_of = np.repeat(np.arange(len(toks)), lens)
-    expo = (ends[tok_of] - 1 - np.arange(codes.size)) % 4
-    w = np.asarray(_POW31, dtype=np.int64)[expo]
-    h = np.add.reduceat(codes * w, starts) % dim
-    vec += np.bincount(h, minlength=dim)[:dim]
+    ends = np.cumsum(lens)
+    starts = ends - lens
+    # fold(h * 31 + c) over a token is the sum of c_k * 31^(L-1-k), taken modulo dim throughout
+    powers = np.empty(int(lens.max()), np.int64)
+    powers[0] = 1 % dim
+    for j in range(1, len(powers)):
+        powers[j] = powers[j - 1] * 31 % dim
+    expo = np.repeat(ends, lens) - 1 - np.arange(codes.size)
+    h = np.add.reduceat(codes % dim * powers[expo], starts) % dim
+    out = np.bincount(owner * dim + h, minlength=n * dim).astype(np.float64)
     # adjacent pairs inside a token: drop the pair that starts at each token's last char
     pair_ok = np.ones(codes.size - 1, dtype=bool)
     pair_ok[(ends - 1)[:-1]] = False
-    bg = (codes[:-1] * 31 + codes[1:])[pair_ok] % dim
-    vec += 0.5 * np.bincount(bg, minlength=dim)[:dim]
-    n = np.sqrt((vec * vec).sum())
-    return vec / n if n > 0 else vec
+    pairs = ((codes[:-1] * 31 + codes[1:]) % dim + np.repeat(owner, lens)[:-1] * dim)[pair_ok]
+    out += 0.5 * np.bincount(pairs, minlength=n * dim)
+    out = out.reshape(n, dim)
+    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.divide(out, norm, out=out, where=norm > 0)
+
+
+def embed_dense_numpy(text: str, dim: int = EMBED_DIM) -> np.ndarray:
+    return embed_batch_numpy([text], dim)[0]
 
 
 _TOKEN_RE = re.compile(TOKEN_PATTERN)
 
 
 def embed_dense_udf(dim: int = EMBED_DIM):
-    """pandas UDF: text -> dense array<double>(dim)."""
+    """pandas UDF: text -> dense array<double>(dim), a batch of texts at a time."""
     @F.pandas_udf("array<double>")
     def _embed(texts: pd.Series) -> pd.Series:
-        return pd.Series([embed_dense_numpy(t, dim) for t in texts])
+        out, held, size = [], [], 0
+        for t in texts:
+            held.append(t)
+            size += len(t or "")
+            if size >= EMBED_BATCH_CHARS:
+                out.extend(embed_batch_numpy(held, dim))
+                held, size = [], 0
+        return pd.Series(out + list(embed_batch_numpy(held, dim)) if held else out)
 
     return _embed
 

@@ -115,7 +115,7 @@ def attach_embeddings(mem: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def build_memories(req: DataFrame, now: int, keep=()) -> DataFrame:
-    """brain_store rows: id from `{now}:{content}`, timestamps now, defaults filled.
+    """Store-request rows: id from `{now}:{content}`, timestamps now, defaults filled.
 
     `keep` names request columns carried through (e.g. a request id)."""
     return req.select(*keep, *build_memory_columns(now))
@@ -144,7 +144,7 @@ def build_memory_columns(now: int):
 
 
 def validate_store_requests(req: DataFrame) -> DataFrame:
-    """Parameter checks of brain_store: adds `reasons array<string>` and `ok`."""
+    """Parameter checks of store request: adds `reasons array<string>` and `ok`."""
     imp = F.col("importance")
     checks = [
         F.when(imp.isNull() | (imp < 1) | (imp > 5), F.lit("importance out of range 1-5")),

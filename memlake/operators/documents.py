@@ -80,7 +80,7 @@ def chunk_essence(chunk: str = "chunk", name: str = "file_name", index: str = "c
 
 def ingest_files(files: DataFrame, now: int, size: int = CHUNK_SIZE, separator: str = CHUNK_SEPARATOR,
                  embed: bool = True) -> DataFrame:
-    """brain_ingest for many files `(path, project, content)`: chunk, id, summarise, embed.
+    """Ingest request for many files `(path, project, content)`: chunk, id, summarise, embed.
 
     Returns memory rows (plus path, chunk_index, n_chunks, total_chars); with `embed`, the
     local embedding of each chunk as `embedding` (dense float) and `embedding_sparse`.

@@ -17,7 +17,7 @@ def lookup(mem: DataFrame, keys: DataFrame, key: str = "hash") -> DataFrame:
 
 
 def recall_by_prefix(mem: DataFrame, req: DataFrame, now: int, owner=None) -> DataFrame:
-    """brain_recall for many requests `(request_id, prefix)`.
+    """Recall request for many requests `(request_id, prefix)`.
 
     Equi join on the first 4 chars, then `startswith` on the whole lower-cased prefix; one
     match per request (smallest hash). Returns the pre-touch score and the touched

@@ -24,7 +24,7 @@ def one_arrival_per_path(arrivals: DataFrame) -> DataFrame:
 
 
 def snapshot_changes(stored: DataFrame, arrivals: DataFrame, now: int) -> DataFrame:
-    """brain_snapshot_file for a batch of files (one arrival per path is kept, see
+    """Snapshot request for a batch of files (one arrival per path is kept, see
     `one_arrival_per_path`).
 
     status: cached (same file hash: the stored summary/essence are kept), changed, or new.
@@ -82,7 +82,7 @@ def snapshots_by_project(snaps: DataFrame) -> DataFrame:
 
 
 def session_rollup(turns: DataFrame) -> DataFrame:
-    """brain_log_session for many conversations.
+    """Log-session request for many conversations.
 
     `turns(conv_id, turn, role, content, title, memory_hash, project, logged_at)`. The token
     estimate is round(len(JSON of the turn list) / 4); the JSON length is additive over turns

@@ -1,20 +1,14 @@
 """Full-text (BM25), vector and hybrid retrieval.
 
-Full text: a positional postings table (hash, field, pos, term) over summary, essence and
-tags. Each whitespace token of a query is a phrase of one or more terms; a document matches
-when every phrase occurs. Phrase occurrences are found by joining query pieces to postings on
-`term` and grouping on `start = pos - piece_index`; the query side is small, so AQE turns
-these joins into broadcasts from runtime sizes and very frequent terms cost no skewed
-shuffle. Conjunctive queries are driven by their rarest phrase (see `bm25`). Scores are
-Okapi BM25 over the whole index (k1 = 1.2, b = 0.75, idf floored at 1e-6); rank = -score,
-lower is better.
-
-Vectors: exact cosine top-k per query. A `mapInPandas` kernel multiplies each Arrow batch
-of memory vectors with the query matrix and keeps a running top-k per query across the
-partition's batches, so the (query x memory) pairs are never materialised as rows and each
-partition emits at most queries x k rows; a `row_number() <= k` window over the partition
-winners gives the global answer. The query matrix is broadcast
-after a size check; above the bound, queries are processed in bounded batches.
+Full text: the index holds each memory's terms with field and position over summary, essence and
+tags. Each white-space token of a query is a phrase of one or more terms; a memory matches when every
+phrase occurs. Frequencies are worked out per distinct phrase, written once, and queries start from their
+rarest phrase (see `bm25`). Scores are Okapi BM25 over the whole index (k1 = 1.2, b = 0.75, idf floored at
+1e-6); rank = -score, lower is better.
+
+Vectors: exact cosine top-k per query. Memories and queries meet block by block; a tiled product keeps the best k
+per query and block, and a `row_number() <= k` window over the blocks' winners gives the answer. No query passes
+through the driver, and one plan serves any number of queries.
 """
 
 from __future__ import annotations
@@ -31,7 +25,9 @@ from memlake.functions.visibility import visible
 from memlake.session import materialize as _materialize
 
 TERM_PATTERN = r"[\p{L}\p{N}]+"
-MAX_QUERY_BATCH = 4096          # queries per broadcast batch (4096 x 128 doubles = 4 MiB)
+QUERY_BLOCK = 2048              # queries that meet a block of memories together
+MEMORY_BLOCK = 20_000           # memories in a block, about (20,000 x 128 doubles = 20 MB)
+TILE = 1024                     # memories in one product: 2048 x 1024 doubles = 16 MB
 SIM_RESOLUTION = 9              # similarities are ranked at 1e-9 so equal vectors tie exactly
 
 
@@ -53,14 +49,6 @@ def postings(mem: DataFrame) -> DataFrame:
     return mem.select("hash", F.inline(_field_terms()))
 
 
-def doc_lengths(mem: DataFrame, owner=None, project=None) -> DataFrame:
-    """(hash, dl, vis): token count over the indexed fields for every row (0 when none) and
-    whether the requester may see the row."""
-    n = (F.size(tokens(F.col("summary_text"))) + F.size(tokens(F.col("essence_text")))
-         + F.size(tokens(F.array_join("tags", " "))))
-    return mem.select("hash", n.cast("long").alias("dl"), visible(project, owner).alias("vis"))
-
-
 def build_index(mem: DataFrame, vectors: bool = False, materialize: bool = True) -> DataFrame:
     """The search index: one row per memory with its terms (field, pos, term), length, the
     attributes visibility needs, the fields results show and, with `vectors`, the unit
@@ -82,13 +70,6 @@ def _as_index(df: DataFrame) -> DataFrame:
     return df if "terms" in df.columns else build_index(df)
 
 
-def index_tables(index: DataFrame, owner=None, project=None):
-    """(postings, doc_lengths with the requester's visibility) read from the index."""
-    index = _as_index(index)
-    return (index.select("hash", F.inline("terms")),
-            index.select("hash", "dl", visible(project, owner).alias("vis")))
-
-
 def term_stats(mem: DataFrame) -> DataFrame:
     """Per term: document frequency and collection frequency."""
     return (postings(mem).groupBy("term")
@@ -96,94 +77,61 @@ def term_stats(mem: DataFrame) -> DataFrame:
 
 
 def query_phrases(queries: DataFrame) -> DataFrame:
-    """(query_id, ph, j, term, np): trimmed query split on whitespace; each token is a phrase
-    of its terms (empty phrases are dropped)."""
-    q = queries.select("query_id", F.split(F.regexp_replace("query", f"^{JS_SPACE}+|{JS_SPACE}+$", ""),
-                                           f"{JS_SPACE}+").alias("toks"))
-    ph = q.select("query_id", F.posexplode("toks").alias("ph", "tok"))
-    ph = ph.select("query_id", "ph", tokens(F.col("tok")).alias("pieces")).filter(F.size("pieces") > 0)
-    return ph.select("query_id", "ph", F.size("pieces").alias("np"),
-                     F.posexplode("pieces").alias("j", "term"))
-
-
-def _occurrences(phr: DataFrame, post: DataFrame, pieces: DataFrame, cand: DataFrame | None = None) -> DataFrame:
-    """Phrase occurrences (query_id, ph, hash, field, start).
-
-    `phr(query_id, ph, aj, term, np)` names each phrase's anchor piece (index aj, `term`).
-    Anchor postings give candidate starts; the other pieces are verified by a semi join on
-    (hash, field, pos, term). With `cand(query_id, hash)` only those documents are read.
-    """
-    if cand is None:
-        a = phr.join(post, "term")
-    else:
-        a = phr.join(cand, "query_id").join(post, ["hash", "term"])
-    a = a.select("query_id", "ph", "hash", "field", (F.col("pos") - F.col("aj")).alias("start"), "np", "aj")
-    single = a.filter(F.col("np") == 1).select("query_id", "ph", "hash", "field", "start")
-    others = (pieces.select("query_id", "ph", "j", F.col("term").alias("t2"))
-              .join(phr.filter(F.col("np") > 1).select("query_id", "ph", "aj"), ["query_id", "ph"])
-              .filter(F.col("j") != F.col("aj")).drop("aj"))
-    need = (a.filter(F.col("np") > 1).drop("aj").join(others, ["query_id", "ph"])
-            .select("query_id", "ph", "hash", "field", "start", (F.col("start") + F.col("j")).alias("pos"),
-                    F.col("t2").alias("term"), "np"))
-    ok = (need.join(post, ["hash", "field", "pos", "term"], "left_semi")
-          .groupBy("query_id", "ph", "hash", "field", "start")
-          .agg(F.count("*").alias("c"), F.max("np").alias("np"))
-          .filter(F.col("c") == F.col("np") - 1)
-          .select("query_id", "ph", "hash", "field", "start"))
-    return single.unionByName(ok)
+    """(query_id, phrase, times): trimmed query split on white space; each token is a phrase of its
+    terms (space-joined here; tokens without a term drop out), counted when a query repeats it."""
+    toks = F.split(F.regexp_replace("query", f"^{JS_SPACE}+|{JS_SPACE}+$", ""), f"{JS_SPACE}+")
+    q = queries.select("query_id", F.explode(toks).alias("tok"))
+    return (q.select("query_id", F.array_join(tokens(F.col("tok")), " ").alias("phrase")).filter("phrase <> ''")
+            .groupBy("query_id", "phrase").agg(F.count("*").alias("times")))
+
+
+def phrase_frequencies(index: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(phrase, hash, f): how often each distinct phrase occurs in each memory that has it.
+
+    One read of the index. A posting meets each distinct phrase with its term once, however many
+    queries contain the phrase; pieces of a longer phrase meet at the phrase's start."""
+    pieces = F.split("phrase", " ")
+    parts = phrases.select("phrase", F.size(pieces).alias("np"), F.posexplode(pieces).alias("j", "term"))
+    many = F.col("np") > 1
+    hits = (index.select("hash", F.inline("terms")).join(parts, "term")
+            .groupBy("phrase", "np", "hash", F.when(many, F.col("field")).alias("field"),
+                     F.when(many, F.col("pos") - F.col("j")).alias("start"))
+            .agg(F.count("*").alias("c")))
+    return (hits.filter((F.col("np") == 1) | (F.col("c") == F.col("np")))
+            .groupBy("phrase", "hash").agg(F.sum(F.when(many, F.lit(1)).otherwise(F.col("c"))).alias("f")))
 
 
 def bm25(index: DataFrame, queries: DataFrame, k1: float = BM25_K1, b: float = BM25_B,
          owner=None, project=None) -> DataFrame:
     """(query_id, hash, score, rank, vis) for every memory matching every phrase of the query.
 
-    Conjunctive evaluation driven by the rarest phrase: document frequencies are computed
-    for the query terms only (a partial aggregate, so a term in a third of all rows is no
-    hot spot); each query's phrase with the rarest anchor term selects the candidate
-    documents, and all phrase frequencies are counted inside those candidates only. A
-    common word therefore never pairs every query that contains it with every document
-    that contains it. Statistics (N, avgdl, document frequencies) cover the whole index;
-    `vis` tells whether the requester may see the row.
+    The index is read three times: for its size and mean length, for the postings of the queries'
+    distinct phrases, and for the length and visibility of the matches. Phrase frequencies are
+    written once. Each query starts from the memories of its rarest phrase; its other phrases are counted
+    inside those only, so a common word never pairs every query that contains it with every memory that
+    does. Statistics (N, avgdl, document frequencies) cover the whole index; `vis` tells whether the requester may see the row.
     """
     index = _as_index(index)
-    post, dl = index_tables(index, owner, project)
-    stats = dl.agg(F.count("*").alias("n"), F.avg("dl").alias("a"))
-    n_docs, avgdl = stats.select("n").scalar(), stats.select("a").scalar()
-    pieces = query_phrases(queries)
-    n_phr = pieces.groupBy("query_id").agg(F.countDistinct("ph").alias("n_phrases"))
-
-    qterms = pieces.select("term").distinct()
-    # document frequency: each row contributes its distinct terms once (in-row), so one
-    # partially aggregated shuffle counts them
-    row_terms = index.select(F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term"))
-    # AQE picks the join from runtime sizes (query terms are usually a broadcast side)
-    tdf = (row_terms.join(qterms, "term", "left_semi")
-           .groupBy("term").agg(F.count("*").alias("df")))
-    pdf = pieces.join(tdf, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    anchor = (pdf.groupBy("query_id", "ph")
-              .agg(F.min_by(F.struct("j", "term", "df"), F.struct("df", "j")).alias("a"), F.max("np").alias("np"))
-              .select("query_id", "ph", F.col("a.j").alias("aj"), F.col("a.term").alias("term"),
-                      F.col("a.df").alias("adf"), "np"))
-    driver = (anchor.groupBy("query_id")
-              .agg(F.min_by(F.struct("ph", "aj", "term", "np"), F.struct("adf", "ph")).alias("d"))
-              .select("query_id", "d.*"))
-    cand = _occurrences(driver, post, pieces).select("query_id", "hash").distinct()
-    phr = anchor.select("query_id", "ph", "aj", "term", "np")
-    freq = (_occurrences(phr, post, pieces, cand)
-            .groupBy("query_id", "ph", "hash").agg(F.count("*").alias("f")))
-    n_single = phr.filter(F.col("np") == 1).join(tdf, "term").select("query_id", "ph", F.col("df").alias("n"))
-    n_multi = (_occurrences(phr.filter(F.col("np") > 1), post, pieces)
-               .groupBy("query_id", "ph").agg(F.countDistinct("hash").alias("n")))
-    n_hit = n_single.unionByName(n_multi)
-
-    idf_raw = F.log((n_docs - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    n_docs, avgdl = index.agg(F.count("*"), F.avg("dl")).first()
+    asked = _materialize(query_phrases(queries), "query_phrases")
+    freq = _materialize(phrase_frequencies(index, asked.select("phrase").distinct()), "phrase_frequencies")
+    n_hit = freq.groupBy("phrase").agg(F.count("*").alias("n"))
+    known = asked.join(n_hit, "phrase", "left")
+    # queries with a phrase that occurs nowhere match nothing
+    drivers = (known.groupBy("query_id")
+               .agg(F.min_by("phrase", F.struct("n", "phrase")).alias("phrase"), F.count("*").alias("n_phrases"),
+                    F.count("n").alias("n_known"))
+               .filter(F.col("n_known") == F.col("n_phrases")).drop("n_known"))
+    cand = drivers.join(freq.select("phrase", "hash"), "phrase").select("query_id", "n_phrases", "hash")
+    pairs = cand.join(known.filter("n is not null"), "query_id").join(freq, ["phrase", "hash"])
+
+    idf_raw = F.log((F.lit(n_docs) - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(idf_raw <= 0, F.lit(IDF_FLOOR)).otherwise(idf_raw)
-    term = (idf * F.col("f") * (k1 + 1)
-            / (F.col("f") + k1 * (1 - b + b * F.col("dl") / avgdl)))
-    scored = (freq.join(n_hit, ["query_id", "ph"]).join(dl, "hash")
-              .groupBy("query_id", "hash")
+    term = (F.col("times") * idf * F.col("f") * (k1 + 1)
+            / (F.col("f") + k1 * (1 - b + b * F.col("dl") / F.lit(float(avgdl or 1.0)))))
+    lengths = index.select("hash", "dl", visible(project, owner).alias("vis"))
+    scored = (pairs.join(lengths, "hash").groupBy("query_id", "hash", "n_phrases")
               .agg(F.sum(term).alias("score"), F.count("*").alias("n_matched"), F.first("vis").alias("vis"))
-              .join(n_phr, "query_id")
               .filter(F.col("n_matched") == F.col("n_phrases")))
     return scored.select("query_id", "hash", "score", (-F.col("score")).alias("rank"), "vis")
 
@@ -214,131 +162,102 @@ def bm25_top(index: DataFrame, queries: DataFrame, limit: int, owner=None, proje
 # ------------------------------------------------------------------ vector top-k
 
 
-def _query_batches(spark: SparkSession, qvec: DataFrame, max_batch: int, depth: int = 0):
-    """Batches of (query_id, vec) pulled to the driver for broadcast, each at most max_batch.
-
-    At most max_batch + 1 rows are fetched; a larger set is split in two by a hash bit of
-    query_id (a new bit per level) and each half is handled the same way, so the bound
-    holds exactly, whatever the hash distribution."""
-    first = qvec.limit(max_batch + 1).collect()
-    if len(first) <= max_batch:
-        yield first
-        return
-    bit = F.pmod(F.xxhash64("query_id", F.lit(depth)), F.lit(2))
-    for half in (0, 1):
-        yield from _query_batches(spark, qvec.filter(bit == half), max_batch, depth + 1)
-
-
-def _topk_rows(sims: np.ndarray, hashes: np.ndarray, k: int, cut: float | None, valid=None):
-    """Indices of the best k entries by (sim desc, hash asc), sims above `cut` only."""
-    idx = np.arange(sims.size) if valid is None else np.nonzero(valid)[0]
-    if cut is not None:
-        idx = idx[sims[idx] > cut]
-        if idx.size == 0:
-            return idx
-    s = sims[idx]
-    if idx.size > k:
-        kth = np.partition(-s, k - 1)[k - 1]
-        keep = -s <= kth
-        idx, s = idx[keep], s[keep]
-    order = np.lexsort((hashes[idx], -s))
-    return idx[order[:k]]
-
-
-def _visible_mask(sens, mproj, mown, qp, qo):
-    """Visibility of a batch of rows to one requester (numpy form of functions.visibility)."""
-    if qo is None:
-        vis = sens != "secret"
-    else:
-        vis = (sens == "public") | ((sens == "secret") & (mown == qo))
-        if qp is not None:
-            vis = vis | ((sens == "internal") & (mproj == qp))
-    if qp is not None:
-        vis = vis & (mproj == qp)
-    return vis
+def _top_pairs(q: np.ndarray, m: np.ndarray, key: np.ndarray, k: int) -> np.ndarray:
+    """Places of the best k entries of every query by (key descending, memory ascending)."""
+    order = np.lexsort((m, -key, q))
+    q = q[order]
+    first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.empty(0, np.int64)
+    place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+    return order[place < k]
+
+
+def _by_length(vectors) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Vectors of each length: (row numbers, matrix); null vectors are in none."""
+    sizes = np.array([-1 if v is None else len(v) for v in vectors])
+    return {int(d): (at, np.stack([vectors[i] for i in at]))
+            for d in np.unique(sizes[sizes > 0]) for at in [np.flatnonzero(sizes == d)]}
+
+
+def _visible_matrix(mem: pd.DataFrame, qry: pd.DataFrame) -> np.ndarray:
+    """Visibility of memory rows to the queries' requesters (numpy form of functions.visibility)."""
+    sens, proj, own = (mem[c].to_numpy(dtype=object)[None, :] for c in ("sensitivity", "project", "owner_id"))
+    qp, qo = (qry[c].to_numpy(dtype=object)[:, None] for c in ("scope_project", "owner"))
+    asks, named = qp.astype(bool), qo.astype(bool)  # None and '' ask for nothing
+    same = (proj == qp) & asks
+    vis = np.where(named, (sens == "public") | ((sens == "secret") & (own == qo)) | ((sens == "internal") & same),
+                   (sens != "secret") & (sens != None))  # noqa: E711
+    return vis.astype(bool) & (~asks | same)
+
+
+def _block_topk(mem: pd.DataFrame, qry: pd.DataFrame, k: int, cut: float | None, scoped: bool) -> pd.DataFrame:
+    """The best k of one block of memories for one block of queries, in tiles of memories."""
+    mem = mem.sort_values("hash", kind="stable").reset_index(drop=True)
+    queries = _by_length(qry["vec"].tolist())
+    best = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+    for at in range(0, len(mem), TILE):
+        tile = mem.iloc[at:at + TILE]
+        sims = np.zeros((len(qry), len(tile)))
+        for size, (rows, matrix) in _by_length(tile["vec"].tolist()).items():
+            if size in queries:
+                q_rows, q_matrix = queries[size]
+                sims[np.ix_(q_rows, rows)] = q_matrix @ matrix.T
+        keys = np.round(sims, SIM_RESOLUTION)
+        ok = _visible_matrix(tile, qry) if scoped else np.ones(keys.shape, bool)
+        if cut is not None:
+            ok &= keys > cut
+        if len(tile) > k:  # what is worse than the tile's own kth best cannot be among the best
+            floor = np.partition(np.where(ok, keys, -np.inf), -k, axis=1)[:, -k]
+            ok &= keys >= floor[:, None]
+        q, m = np.nonzero(ok)
+        found = [np.concatenate([a, b]) for a, b in zip(best, (q, m + at, sims[q, m]), strict=True)]
+        keep = _top_pairs(found[0], found[1], np.round(found[2], SIM_RESOLUTION), k)
+        best = [a[keep] for a in found]
+    q, m, sim = best
+    return pd.DataFrame({"query_id": qry["query_id"].to_numpy()[q], "hash": mem["hash"].to_numpy(dtype=object)[m],
+                         "sim": sim, "sim_key": np.round(sim, SIM_RESOLUTION)})
 
 
 def vector_topk(spark: SparkSession, mem_vec: DataFrame, qvec: DataFrame, k: int = SEARCH_LIMIT,
                 cut: float | None = None, boost_pairs: DataFrame | None = None, boost: float = FTS_BOOST,
-                vec_col: str = "vec", max_batch: int = MAX_QUERY_BATCH, scoped: bool = False) -> DataFrame:
+                vec_col: str = "vec", scoped: bool = False, query_block: int = QUERY_BLOCK,
+                memory_block: int = MEMORY_BLOCK) -> DataFrame:
     """(query_id, hash, sim, sim_key, rank): best k memories per query by cosine of unit vectors.
 
-    `mem_vec(hash, vec)`: unit vectors (zero vectors score 0). `qvec(query_id, vec)`.
-    `boost_pairs(query_id, hash)`: pairs whose score gets `boost` added (full-text hits); per
-    query batch they are joined to the memory rows as a bounded id list. Rows whose
-    `sim_key` (score at 1e-9) is <= `cut` are dropped before ranking. With `scoped`, qvec
-    also has (scope_project, owner) and mem_vec (sensitivity, project, owner_id): each query
-    only sees the rows its requester may see.
+    `mem_vec(hash, vec)`: unit vectors (zero vectors, and vectors of another size than the query's, score 0).
+    `qvec(query_id, vec)`. `boost_pairs(query_id, hash)`: pairs whose score gets `boost` added (full-text hits). Rows whose
+    `sim_key` (score at 1e-9) is <= `cut` are dropped before ranking. With `scoped`, qvec also has
+    (scope_project, owner) and mem_vec (sensitivity, project, owner_id): each query only sees the rows its requester may see.
+
+    Memories and queries are dealt into blocks of bounded size; every pair of blocks meets in one group, where a
+    tiled product keeps the best k per query. Boosted pairs are few (a bounded list per query) and are scored by
+    themselves: an unboosted memory among the best stays among the best k without boosts.
     """
-    boost_col = "_boost" if boost_pairs is not None else None
     scope_cols = ["sensitivity", "project", "owner_id"] if scoped else []
-    mv0 = mem_vec.select("hash", vec_col, *scope_cols)
-    qcols = ["query_id", F.col(vec_col).alias("vec")] + (["scope_project", "owner"] if scoped else [])
-    out = None
-    for batch in _query_batches(spark, qvec.select(*qcols), max_batch):
-        if not batch:
-            continue
-        qids = np.array([r["query_id"] for r in batch], dtype=np.int64)
-        qmat = np.array([r["vec"] for r in batch], dtype=np.float64)
-        qscope = [(r["scope_project"], r["owner"]) for r in batch] if scoped else None
-        bq = spark.sparkContext.broadcast((qids, qmat, qscope))
-        mv = mv0
-        if boost_pairs is not None:
-            ids = spark.createDataFrame([(int(q),) for q in qids], "query_id long")
-            bl = (boost_pairs.join(F.broadcast(ids), "query_id", "left_semi")
-                  .groupBy("hash").agg(F.collect_set("query_id").alias(boost_col)))
-            mv = mv0.join(bl, "hash", "left")
-
-        def kernel(it, bq=bq):
-            """Running top-k per query over all Arrow batches of the partition; one emit at
-            the end, so the output is (partitions x queries x k) rows, not per batch."""
-            q_ids, q_mat, q_scope = bq.value
-            pos_of = {int(q): i for i, q in enumerate(q_ids)}
-            dim = q_mat.shape[1]
-            best_h = [np.empty(0, dtype=object) for _ in q_ids]
-            best_s = [np.empty(0) for _ in q_ids]
-            best_k = [np.empty(0) for _ in q_ids]
-            for pdf in it:
-                if pdf.empty:
-                    continue
-                hashes = pdf["hash"].to_numpy(dtype=object).astype(str)
-                vecs = pdf[vec_col].to_numpy()
-                m = np.zeros((len(vecs), dim))
-                for i, v in enumerate(vecs):
-                    if v is not None and len(v) == dim:
-                        m[i] = v
-                sims = q_mat @ m.T
-                if boost_col:
-                    for i, bl in enumerate(pdf[boost_col].to_numpy()):
-                        if bl is not None:
-                            for q in bl:
-                                j = pos_of.get(int(q))
-                                if j is not None:
-                                    sims[j, i] += boost
-                keys = np.round(sims, SIM_RESOLUTION)
-                if q_scope is not None:
-                    sens = pdf["sensitivity"].to_numpy(dtype=object)
-                    mproj = pdf["project"].to_numpy(dtype=object)
-                    mown = pdf["owner_id"].to_numpy(dtype=object)
-                for j in range(len(q_ids)):
-                    valid = None if q_scope is None else _visible_mask(sens, mproj, mown, *q_scope[j])
-                    sel = _topk_rows(keys[j], hashes, k, cut, valid)
-                    if sel.size == 0:
-                        continue
-                    h = np.concatenate([best_h[j], hashes[sel]]).astype(str)
-                    sv = np.concatenate([best_s[j], sims[j, sel]])
-                    kv = np.concatenate([best_k[j], keys[j, sel]])
-                    keep = _topk_rows(kv, h, k, None)
-                    best_h[j], best_s[j], best_k[j] = h[keep], sv[keep], kv[keep]
-            n = [len(x) for x in best_h]
-            if sum(n):
-                yield pd.DataFrame({"query_id": np.repeat(q_ids, n), "hash": np.concatenate(best_h).astype(str),
-                                    "sim": np.concatenate(best_s), "sim_key": np.concatenate(best_k)})
-
-        part = mv.mapInPandas(kernel, "query_id long, hash string, sim double, sim_key double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, hash string, sim double, sim_key double, rank int")
+    ask_cols = ["scope_project", "owner"] if scoped else []
+    mem = mem_vec.select("hash", F.col(vec_col).alias("vec"), *scope_cols)
+    qry = qvec.select("query_id", F.col(vec_col).alias("vec"), *ask_cols)
+    n_mem = max(1, -(-mem_vec.select("hash").count() // memory_block), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_qry = max(1, -(-qvec.select("query_id").count() // query_block))
+
+    def blocks(n):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = (mem.withColumn("mb", F.pmod(F.xxhash64("hash"), F.lit(n_mem)).cast("int")).withColumn("qb", blocks(n_qry)))
+    right = (qry.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_qry)).cast("int")).withColumn("mb", blocks(n_mem)))
+
+    def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return _block_topk(a, b, k, cut, scoped)
+    out = (left.groupBy("mb", "qb").cogroup(right.groupBy("mb", "qb"))
+           .applyInPandas(kernel, "query_id long, hash string, sim double, sim_key double"))
+    if boost_pairs is not None:
+        dot = F.when(F.size("vec") == F.size("q_vec"), F.aggregate(
+            F.zip_with("vec", "q_vec", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)).otherwise(F.lit(0.0))
+        pairs = (boost_pairs.select("query_id", "hash").distinct()
+                 .join(mem.select("hash", "vec"), "hash").join(qry.select("query_id", F.col("vec").alias("q_vec")), "query_id")
+                 .select("query_id", "hash", (dot + F.lit(boost)).alias("sim"))
+                 .withColumn("sim_key", F.round("sim", SIM_RESOLUTION)))
+        if cut is not None:
+            pairs = pairs.filter(F.col("sim_key") > cut)
+        out = out.unionByName(pairs).groupBy("query_id", "hash").agg(F.max("sim").alias("sim"), F.max("sim_key").alias("sim_key"))
     w = Window.partitionBy("query_id").orderBy(F.desc("sim_key"), "hash")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -346,7 +265,7 @@ def vector_topk(spark: SparkSession, mem_vec: DataFrame, qvec: DataFrame, k: int
 def hybrid(spark: SparkSession, index: DataFrame, queries: DataFrame, qvec: DataFrame,
            limit: int = SEARCH_LIMIT, owner=None, project=None,
            scope: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """brain_query with a query text, for many queries at once, over a search index built
+    """Query request with a query text, for many queries at once, over a search index built
     with vectors.
 
     Returns (semantic, fulltext): semantic = cosine + boost for the query's full-text hits,

@@ -38,7 +38,7 @@ SELECT r.request_id, v.request_id IS NOT NULL AS stored, v.hash,
        CASE WHEN v.request_id IS NOT NULL THEN CAST(coalesce(nz.nnz, 0) AS BIGINT) END AS emb_nnz
 FROM store_requests r LEFT JOIN valid v USING (request_id) LEFT JOIN nz ON nz.id = r.request_id""")
 def q_store_memories(spark, sf):
-    """brain_store for every request: validate, build, embed summary+essence+tags, report."""
+    """store request for every request: validate, build, embed summary+essence+tags, report."""
     req = FX.store_requests(spark, sf)
     checked = W.validate_store_requests(req)
     built = W.build_memories(checked.filter("ok"), NOW, keep=["request_id"])
@@ -59,7 +59,7 @@ SELECT (SELECT count(*) FROM memories) AS total_memories,
        CAST({half_life_hours()} AS BIGINT) AS half_life_hours
 FROM top""")
 def q_status_summary(spark, sf):
-    """brain_status: totals, tier mix of the top-100 sample, half-life."""
+    """Status request: totals, tier mix of the top-100 sample, half-life."""
     m = FX.memories(spark, sf)
     dist = C.fidelity_distribution_top(spark, m, NOW)
     totals = m.agg(F.count("*").alias("total_memories"),
@@ -88,7 +88,7 @@ def q_sync_counts(spark, sf):
 
 @register("memory_clusters")
 def q_memory_clusters(spark, sf):
-    """brain_clusters: k-means (k=5) over the visible memories' own embeddings, with size,
+    """Clusters request: k-means (k=5) over the visible memories' own embeddings, with size,
     top-5 tags and 5 sample ids per cluster."""
     m = FX.memories(spark, sf).filter(visible())
     items = with_embedding(memory_text(m), "embed_text", out="vec").select("hash", "vec", "tags")
@@ -130,7 +130,7 @@ vis AS (
 @register("browse_memories", BROWSE_SQL.format(limit=10) + f"""
 SELECT request_id, rank, hash, round({SCORE_SQL}, 6) AS score, {tier_sql(SCORE_SQL)} AS fidelity FROM vis""")
 def q_browse_memories(spark, sf):
-    """brain_query without text for every caller: scope clamp, visibility, top 10 by
+    """Query request without text for every caller: scope clamp, visibility, top 10 by
     importance and recency, decay score and tier."""
     from memlake.functions.visibility import scope_clamp
     req = FX.requests(spark, sf).select("request_id", scope_clamp("project", "allowed").alias("scope_project"), "owner")
@@ -147,7 +147,7 @@ def _context_oracle() -> str:
 
 @register("context_for_requests", _context_oracle())
 def q_context_for_requests(spark, sf):
-    """brain_context for every caller: scope clamp, the caller's 50 best visible memories,
+    """Context request for every caller: scope clamp, the caller's 50 best visible memories,
     packed into an 8000-char context block."""
     from memlake.functions.visibility import scope_clamp
     from memlake.operators import context as X

@@ -102,5 +102,5 @@ CONTEXT_TEXT_SQL = """count(*) AS n_items, CAST(sum(c.l) AS BIGINT) AS used_char
 SELECT g AS project, {CONTEXT_TEXT_SQL}
 FROM sel GROUP BY g""")
 def q_context_block(spark, sf):
-    """brain_context for every project: the assembled context text."""
+    """Context request for every project: the assembled context text."""
     return X.context_blocks(X.packed_items(FX.memories(spark, sf), NOW))

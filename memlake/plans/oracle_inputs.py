@@ -24,8 +24,8 @@ memories_d AS (
     CAST(doc_id % 5 + 1 AS DOUBLE) AS importance,
     doc_id % 11 = 0 AS explicit_save,
     text AS full_text,
-    substr(replace(text, chr(10), ' '), 1, 150) AS summary_text,
-    substr(replace(text, chr(10), ' '), 1, 50) AS essence_text,
+    replace(text, chr(10), ' ') AS summary_text,
+    split_part(text, chr(10), 1) AS essence_text,
     CAST(NULL AS VARCHAR) AS context_log,
     [lang, concat('g', CAST(doc_id % 10 AS VARCHAR))] AS tags,
     (['conversation', 'knowledge', 'learning', 'decision', 'architecture'])[doc_id % 5 + 1] AS memory_type,
@@ -41,8 +41,8 @@ access_log AS (
 store_requests AS (
   SELECT concat(CAST(conv_id AS VARCHAR), '-', CAST(turn AS VARCHAR)) AS request_id,
     text AS content,
-    substr(replace(text, chr(10), ' '), 1, 120) AS summary,
-    substr(replace(text, chr(10), ' '), 1, 40) AS essence,
+    replace(text, chr(10), ' ') AS summary,
+    split_part(text, chr(10), 1) AS essence,
     CAST((conv_id + turn) % 7 AS DOUBLE) AS importance,
     ['chat', concat('c', CAST(conv_id AS VARCHAR))] AS tags,
     CASE WHEN conv_id % 9 = 0 THEN NULL ELSE concat('src', CAST(conv_id % 20 AS VARCHAR)) END AS project,
@@ -51,7 +51,7 @@ store_requests AS (
     CASE WHEN conv_id % 3 = 0 THEN NULL ELSE concat('user_', CAST(conv_id % 4 AS VARCHAR)) END AS owner_id,
     CASE WHEN turn % 4 = 1 THEN text ELSE NULL END AS context_log,
     conv_id * 1000 + turn + 10 AS arrival
-  FROM conversations WHERE role = 'assistant'),
+  FROM conversations),
 search_requests AS (
   SELECT query_id, regexp_replace(query, '^{JS_SPACE}+|{JS_SPACE}+$', '', 'g') AS query FROM (
     SELECT item_id * 10000 + unnest(range(len(s))) AS query_id, unnest(s) AS query
@@ -71,8 +71,8 @@ snapshot_pages AS (
 stored_snapshots AS (
   SELECT substr(sha256(concat(CAST({SNAPSHOT_OLD_TIME * 1000} AS VARCHAR), ':', path)), 1, 16) AS hash,
     path, project,
-    substr(regexp_extract(html, '<title>([^<]*)</title>', 1), 1, 150) AS summary,
-    substr(regexp_extract(html, '<title>([^<]*)</title>', 1), 1, 50) AS essence,
+    regexp_extract(html, '<title>([^<]*)</title>', 1) AS summary,
+    regexp_extract(html, '<title>([^<]*)</title>', 1) AS essence,
     CAST(octet_length(encode(html)) AS BIGINT) AS size_bytes,
     sha256(html) AS file_hash,
     CAST({SNAPSHOT_OLD_TIME} AS BIGINT) AS captured_at, CAST({SNAPSHOT_OLD_TIME} AS BIGINT) AS last_seen
@@ -85,17 +85,17 @@ arrival_pages AS (
   SELECT concat(path, '#moved') AS path, project, html FROM snapshot_pages WHERE page_id % 5 = 0),
 snapshot_arrivals AS (
   SELECT path, project,
-    substr(regexp_extract(html, '<title>([^<]*)</title>', 1), 1, 150) AS summary,
-    substr(regexp_extract(html, '<title>([^<]*)</title>', 1), 1, 50) AS essence,
+    regexp_extract(html, '<title>([^<]*)</title>', 1) AS summary,
+    regexp_extract(html, '<title>([^<]*)</title>', 1) AS essence,
     CAST(octet_length(encode(html)) AS BIGINT) AS size_bytes,
     sha256(html) AS file_hash
   FROM arrival_pages),
 session_heads AS (
-  SELECT f.conv_id, substr(replace(f.text, chr(10), ' '), 1, 60) AS title, m.hash AS memory_hash,
+  SELECT f.conv_id, replace(f.text, chr(10), ' ') AS title, m.hash AS memory_hash,
     CASE WHEN f.conv_id % 9 = 0 THEN NULL ELSE concat('src', CAST(f.conv_id % 20 AS VARCHAR)) END AS project,
     CAST({NOW} - f.conv_id * 600 AS BIGINT) AS logged_at
-  FROM conversations f LEFT JOIN memories_d m ON m.doc_id = f.conv_id
-  WHERE f.turn = 0),
+  FROM (SELECT conv_id, min_by(text, turn) AS text FROM conversations GROUP BY conv_id) f
+  LEFT JOIN memories_d m ON m.doc_id = f.conv_id),
 chat_session_inputs AS (
   SELECT c.conv_id, c.turn, c.role, c.text AS content, h.title, h.memory_hash, h.project, h.logged_at
   FROM conversations c JOIN session_heads h ON c.conv_id = h.conv_id),

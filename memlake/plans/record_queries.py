@@ -44,7 +44,7 @@ def _upserted(spark, sf):
 @register("snapshot_change_detection", f"""{CHANGES_SQL}
 SELECT path, status, hash, project, summary, essence FROM chg""")
 def q_snapshot_change_detection(spark, sf):
-    """brain_snapshot_file for every arriving page: cached / changed / new."""
+    """Snapshot request for every arriving page: cached / changed / new."""
     c = RC.snapshot_changes(FX.stored_snapshots(spark, sf), FX.snapshot_arrivals(spark, sf), NOW)
     return c.select("path", "status", "hash", "project", "summary", "essence")
 
@@ -95,7 +95,7 @@ def _sessions(spark, sf):
 @register("session_rollup", f"""{SESSIONS_SQL}
 SELECT id, memory_hash, project, title, turns_count, token_count, turns_json_len, created_at FROM sessions""")
 def q_session_rollup(spark, sf):
-    """brain_log_session for every conversation: id, turn count, token estimate."""
+    """Log-session request for every conversation: id, turn count, token estimate."""
     return _sessions(spark, sf).drop("conv_id")
 
 

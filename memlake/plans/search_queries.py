@@ -68,7 +68,8 @@ def _queries(spark, sf):
 
 
 def _mem_vectors(spark, sf):
-    m = with_embedding(memory_text(FX.memories(spark, sf)), "embed_text", out="vec")
+    """Vectors of the rows that anyone may see: hidden rows are left out before the embedding."""
+    m = with_embedding(memory_text(FX.memories(spark, sf).filter(visible())), "embed_text", out="vec")
     return m.select("hash", "vec")
 
 
@@ -114,9 +115,8 @@ SELECT query_id, hash, round(cos_raw, 6) AS sim, row_number() OVER (PARTITION BY
 FROM sims QUALIFY rank <= 10""")
 def q_semantic_topk(spark, sf):
     """Cosine top-10 per query over visible memories (local embeddings)."""
-    t = S.vector_topk(spark, _mem_vectors(spark, sf).join(
-        FX.memories(spark, sf).filter(visible()).select("hash"), "hash", "left_semi"),
-        _query_vectors(spark, sf), k=10)
+    t = S.vector_topk(spark, S._materialize(_mem_vectors(spark, sf), "memory_vectors"),
+                      S._materialize(_query_vectors(spark, sf), "query_vectors"), k=10)
     return t.select("query_id", "hash", r6("sim").alias("sim"), "rank")
 
 
@@ -153,7 +153,7 @@ SELECT r.query_id, r.hash, r.rank, r.source, substr(r.hash, 1, 7) AS short_id,
        array_to_string(m.tags, ',') AS tags
 FROM res r JOIN memories m USING (hash)""")
 def q_search_with_fallback(spark, sf):
-    """brain_query end to end: hybrid results, full-text fallback, decay score and tier."""
+    """Query request end to end: hybrid results, full-text fallback, decay score and tier."""
     idx = S.build_index(FX.memories(spark, sf), vectors=True)
     sem, fts = S.hybrid(spark, idx, _queries(spark, sf), _query_vectors(spark, sf))
     res = S.with_fallback(sem, fts)
@@ -211,7 +211,7 @@ res AS (
 SELECT r.query_id, r.hash, r.rank, r.source, round({SCORE_SQL}, 6) AS score, {tier_sql(SCORE_SQL)} AS fidelity
 FROM res r JOIN memories m USING (hash)""")
 def q_scoped_search(spark, sf):
-    """brain_query where every query has its own caller (project, owner, allowed projects):
+    """Query request where every query has its own caller (project, owner, allowed projects):
     scope clamp, per-caller visibility on both branches, hybrid ranking, fallback."""
     from memlake.functions.visibility import scope_clamp
     req = FX.scoped_search_requests(spark, sf)

@@ -29,6 +29,7 @@ def memories_with_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     la = F.lit(NOW) - ((id_ * 37) % 800) * 3600
     created = la - (id_ % 50) * 3600
     flat = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
+    line = F.split_part("text", F.lit("\n"), F.lit(1))
     mtype = F.element_at(F.array(*[F.lit(t) for t in MEMORY_TYPES]), (id_ % 5 + 1).cast("int"))
     return d.select(
         "doc_id",
@@ -39,8 +40,8 @@ def memories_with_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
         (id_ % 5 + 1).cast("double").alias("importance"),
         (id_ % 11 == 0).alias("explicit_save"),
         F.col("text").alias("full_text"),
-        F.substring(flat, 1, 150).alias("summary_text"),
-        F.substring(flat, 1, 50).alias("essence_text"),
+        flat.alias("summary_text"),
+        line.alias("essence_text"),
         F.lit(None).cast("string").alias("context_log"),
         F.array(F.col("lang"), F.concat(F.lit("g"), (id_ % 10).cast("string"))).alias("tags"),
         mtype.alias("memory_type"),
@@ -67,16 +68,16 @@ def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def store_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """brain_store calls made from assistant turns of `conversations`."""
-    c = read_table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    """Store requests made from all turns of `conversations`."""
+    c = read_table(spark, sf_dir, "conversations")
     flat = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
     types = F.array(*[F.lit(t) for t in MEMORY_TYPES], F.lit("note"))
     sens = F.array(F.lit("public"), F.lit("internal"), F.lit("secret"), F.lit("private"))
     return c.select(
         F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("request_id"),
         F.col("text").alias("content"),
-        F.substring(flat, 1, 120).alias("summary"),
-        F.substring(flat, 1, 40).alias("essence"),
+        flat.alias("summary"),
+        F.split_part("text", F.lit("\n"), F.lit(1)).alias("essence"),
         ((F.col("conv_id") + F.col("turn")) % 7).cast("double").alias("importance"),
         F.array(F.lit("chat"), F.concat(F.lit("c"), F.col("conv_id").cast("string"))).alias("tags"),
         F.when(F.col("conv_id") % 9 == 0, F.lit(None).cast("string"))
@@ -140,8 +141,8 @@ def _snapshot_cols(df: DataFrame) -> DataFrame:
     title = F.regexp_extract("html", r"<title>([^<]*)</title>", 1)
     return df.select(
         "path", "project",
-        F.substring(title, 1, 150).alias("summary"),
-        F.substring(title, 1, 50).alias("essence"),
+        title.alias("summary"),
+        title.alias("essence"),
         F.octet_length("html").cast("bigint").alias("size_bytes"),
         F.sha2(F.col("html"), 256).alias("file_hash"),
     )
@@ -174,11 +175,11 @@ def arrivals_from_pages(p: DataFrame) -> DataFrame:
 
 
 def chat_session_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One brain_log_session call per conversation: (conv_id, title, project, memory_hash,
+    """One log-session request per conversation: (conv_id, title, project, memory_hash,
     logged_at, turn, role, content) rows, one per turn."""
     c = read_table(spark, sf_dir, "conversations")
-    first = (c.filter(F.col("turn") == 0)
-             .select("conv_id", F.substring(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), 1, 60).alias("title")))
+    first = (c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
+             .select("conv_id", F.replace(F.col("text"), F.lit("\n"), F.lit(" ")).alias("title")))
     m = memories_with_doc(spark, sf_dir).select(F.col("doc_id").alias("conv_id"), F.col("hash").alias("memory_hash"))
     head = first.join(m, "conv_id", "left").select(
         "conv_id", "title", "memory_hash",

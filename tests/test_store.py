@@ -184,7 +184,7 @@ def test_vector_topk_batches_equal_single(spark):
     q = FX.search_requests(spark, SF_SMALL)
     qv = with_embedding(q, "query", out="vec").select("query_id", "vec")
     one = sorted(S.vector_topk(spark, idx, qv, k=5).select("query_id", "hash", "rank").collect())
-    many = sorted(S.vector_topk(spark, idx, qv, k=5, max_batch=7).select("query_id", "hash", "rank").collect())
+    many = sorted(S.vector_topk(spark, idx, qv, k=5, query_block=7, memory_block=3).select("query_id", "hash", "rank").collect())
     assert one == many and len(one) > 0
 
 
