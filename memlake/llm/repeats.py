@@ -104,11 +104,11 @@ def window_anchors(words: np.ndarray, owner: np.ndarray, window: int = WINDOW) -
     return at, gram[:n][at]
 
 
-def _joined(texts: list[str]) -> Iterator[tuple[int, int, list[bytes]]]:
-    """(first, after last, encoded) of runs of texts of about BATCH_BYTES."""
+def _joined(texts: list[bytes]) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(first, after last, texts) of runs of texts of about BATCH_BYTES."""
     first, held, size = 0, [], 0
     for i, t in enumerate(texts):
-        held.append(t.encode())
+        held.append(t)
         size += len(held[-1])
         if size >= BATCH_BYTES:
             yield first, i + 1, held
@@ -135,7 +135,7 @@ def anchors(rows: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ids = pdf["oid"].to_numpy(np.int64)
-            for first, last, encoded in _joined(pdf["body"].tolist()):
+            for first, last, encoded in _joined([t.encode() for t in pdf["body"]]):
                 words, owner = _hashed(encoded)
                 at, anchor = window_anchors(words, owner, window)
                 if len(at):
@@ -152,25 +152,46 @@ def shared_anchors(found: DataFrame) -> DataFrame:
     return found.join(shared, "h", "left_semi").groupBy("oid").agg(F.collect_set("h").alias("hs"))
 
 
+def _run_rows(encoded: list[bytes], ids: np.ndarray, prints: np.ndarray, hs: list, window: int) -> pd.DataFrame | None:
+    """The chunks of some texts (their words already joined by single spaces)."""
+    plain = b"\n".join(encoded)
+    starts, hashes = word_hashes(plain)
+    begin = np.cumsum([0] + [len(e) + 1 for e in encoded])
+    owner = np.searchsorted(begin, starts, side="right") - 1
+    at, anchor = window_anchors(hashes, owner, window)
+    with np.errstate(over="ignore"):  # a text's shared anchors, all texts in one lookup
+        keys = anchor + owner[at].astype(np.uint64) * _U(_INVERSE)
+        known = (np.concatenate([np.asarray(h, np.int64) for h in hs]).view(np.uint64)
+                 + np.repeat(np.arange(len(hs), dtype=np.uint64), [len(h) for h in hs]) * _U(_INVERSE))
+    use = np.isin(keys, known)
+    at, anchor = at[use], anchor[use]
+    if not len(at):
+        return None
+    who = owner[at]
+    new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1) | (who[1:] != who[:-1])]))
+    first, last = at[new], at[np.append(new[1:], len(at)) - 1] + window
+    doc = who[new]
+    ends = np.minimum(np.append(starts, len(plain) + 1)[last], begin[doc + 1]) - 1  # empty texts may follow
+    text = plain.decode()
+    if len(text) != len(plain):  # places in characters: continuation bytes begin none
+        chars = np.concatenate([[0], np.cumsum((np.frombuffer(plain, np.uint8) & 0xC0) != 0x80)])
+        begins, ends = chars[starts[first]], chars[ends]
+    else:
+        begins = starts[first]
+    return pd.DataFrame({"h": anchor[new].view(np.int64), "oid": ids[doc], "print": prints[doc],
+                         "start": (first - np.searchsorted(owner, doc)).astype(np.int32),
+                         "words": [text[x:y] for x, y in zip(begins.tolist(), ends.tolist(), strict=True)]})
+
+
 def chunks(rows: DataFrame, shared: DataFrame, window: int) -> DataFrame:
     """(h, content, oid, print, start, words): runs of windows with one shared anchor, as text."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for oid, print_, body, hs in zip(pdf["oid"], pdf["print"], pdf["body"], pdf["hs"], strict=True):
-                words = body.encode().split()
-                plain = b" ".join(words)
-                starts, hashes = word_hashes(plain)
-                at, anchor = window_anchors(hashes, np.zeros(len(hashes), np.int8), window)
-                use = np.isin(anchor, np.asarray(hs, np.int64).view(np.uint64))
-                at, anchor = at[use], anchor[use]
-                if not len(at):
-                    continue
-                new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)]))
-                first, last = at[new], at[np.append(new[1:], len(at)) - 1] + window
-                begin = starts[first]
-                end = np.append(starts, len(plain) + 1)[last] - 1
-                yield pd.DataFrame({"h": anchor[new].view(np.int64), "oid": oid, "print": print_, "start": first.astype(np.int32),
-                                    "words": [plain[a:b].decode() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]})
+            ids, prints, hs = pdf["oid"].to_numpy(np.int64), pdf["print"].to_numpy(np.int64), pdf["hs"].tolist()
+            for first, last, encoded in _joined([b" ".join(t.encode().split()) for t in pdf["body"]]):
+                out = _run_rows(encoded, ids[first:last], prints[first:last], hs[first:last], window)
+                if out is not None:
+                    yield out
     return (rows.select("oid", "print", "body").join(shared, "oid")
             .mapInPandas(run, "h bigint, oid bigint, print bigint, start int, words string")
             .select("h", F.xxhash64("h", "words").alias("content"), "oid", "print", "start", "words"))

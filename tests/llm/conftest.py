@@ -1,16 +1,7 @@
 from __future__ import annotations
 
-import os
-import sys
-
 import pytest
 
-HERE = os.path.dirname(os.path.abspath(__file__))
-ROOT = os.path.dirname(os.path.dirname(HERE))
-for p in (ROOT, HERE):
-    if p not in sys.path:
-        sys.path.insert(0, p)
-
 
 @pytest.fixture(scope="session")
 def sf_small():

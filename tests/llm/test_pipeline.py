@@ -12,9 +12,9 @@ import corpus_pipeline as P
 from memlake.llm import packing as K
 from memlake.llm import quality as Q
 from memlake.llm.common import materialize
-from test_mixing import copies
-from test_packing import unpack
-from test_simhash import brute_classes
+from llm.test_mixing import copies
+from llm.test_packing import unpack
+from llm.test_simhash import brute_classes
 
 
 @pytest.fixture(scope="module")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from brute_secrets import scan
+from llm.brute_secrets import scan
 from memlake.llm import secrets as S
 
 TEXTS = [
