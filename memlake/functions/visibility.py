@@ -9,9 +9,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def asked(x: Column) -> Column:
+    """A requester's project or owner: an empty one asks for nothing, like NULL."""
+    return F.nullif(x, F.lit(""))
+
+
 def _lit_or_col(x):
     if isinstance(x, Column):
-        return x
+        return asked(x)
     return F.lit(x)
 
 
@@ -22,7 +27,8 @@ def visible(project=None, owner=None, sensitivity="sensitivity", row_project="pr
     With an owner: public, or internal in the asked project, or secret owned by the requester.
     Without a project, internal never matches (comparison with NULL). Without an owner
     (legacy mode) everything but secret is visible. When a project is asked, rows must also
-    belong to it. `project` / `owner` may be Python values or Columns (batch form).
+    belong to it. `project` / `owner` may be Python values or Columns (batch form); empty ones
+    count as not given.
     """
     sens, rp, ro = F.col(sensitivity), F.col(row_project), F.col(row_owner)
     p, o = _lit_or_col(project), _lit_or_col(owner)
@@ -42,12 +48,13 @@ def visible(project=None, owner=None, sensitivity="sensitivity", row_project="pr
     return pred
 
 
-def scope_clamp(asked="project", allowed="allowed") -> Column:
+def scope_clamp(wanted="project", allowed="allowed") -> Column:
     """Restricted callers get the asked project when allowed, else their first allowed one.
 
     A NULL allowed list means an unrestricted caller.
     """
-    a, al = F.col(asked) if isinstance(asked, str) else asked, F.col(allowed) if isinstance(allowed, str) else allowed
+    a, al = F.col(wanted) if isinstance(wanted, str) else wanted, F.col(allowed) if isinstance(allowed, str) else allowed
+    a = asked(a)
     return (F.when(al.isNull(), a)
             .when(a.isNotNull() & F.coalesce(F.array_contains(al, a), F.lit(False)), a)
             .otherwise(F.try_element_at(al, F.lit(1))))

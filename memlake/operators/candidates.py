@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memlake.config import CANDIDATE_LIMIT, DEFAULT_THRESHOLDS, STATUS_SAMPLE, TIERS, UNTAGGED
 from memlake.functions.decay import decay_score, fidelity, hot_hours
-from memlake.functions.visibility import visible
+from memlake.functions.visibility import asked, visible
 
 def candidate_order():
     return [F.desc("importance"), F.desc("last_accessed"), F.asc("hash")]
@@ -118,7 +118,7 @@ def candidates_for_requests(mem: DataFrame, req: DataFrame, limit: int = CANDIDA
                               F.col("project"), "sec", F.col("owner_id")))
              .unionByName(tag(_top_per(sec, ["owner_id"], limit), F.lit(ALL_PROJECTS), "sec", F.col("owner_id"))))
 
-    p, o = F.col("scope_project"), F.col("owner")
+    p, o = asked(F.col("scope_project")), asked(F.col("owner"))
     need = F.when(o.isNull(), F.array(F.struct(F.coalesce(p, F.lit(ALL_PROJECTS)).alias("s"), F.lit("ns").alias("c"),
                                                none.alias("o"))))
     need = need.when(p.isNotNull(), F.array(F.struct(p.alias("s"), F.lit("ns").alias("c"), none.alias("o")),

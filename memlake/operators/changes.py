@@ -2,7 +2,7 @@
 
 Tables are immutable files, so insert-or-replace, partial update, delete, touch, retention,
 rename and embedding attachment each produce a new DataFrame that the caller writes to a new
-versioned path. "Latest change per key" uses `max_by`, an aggregate with map-side partial
+path. "Latest change per key" uses `max_by`, an aggregate with map-side partial
 merge, so a key holding a third of all change rows does not land in one task unreduced.
 """
 
@@ -18,17 +18,23 @@ from memlake.sources.fixtures import MEMORY_COLUMNS
 
 
 def latest_per_key(changes: DataFrame, key: str, order_col: str) -> DataFrame:
-    """Keep the row with the greatest `order_col` per `key` (aggregate, not a window)."""
+    """Keep the row with the greatest `order_col` per `key` (aggregate, not a window). A NULL order
+    comes before all others; of equal orders the greatest row hash wins, so the result is one and the same
+    on every run."""
     cols = [c for c in changes.columns if c != key]
+    order = F.struct(F.col(order_col).isNotNull(), F.col(order_col), F.xxhash64(*cols))
     return (changes.groupBy(key)
-            .agg(F.max_by(F.struct(*cols), F.col(order_col)).alias("_r"))
+            .agg(F.max_by(F.struct(*cols), order).alias("_r"))
             .select(key, "_r.*"))
 
 
 def upsert(old: DataFrame, changes: DataFrame, key: str = "hash", order_col: str = "arrival") -> DataFrame:
-    """INSERT OR REPLACE on `key`: the latest change row replaces the stored one whole."""
-    new = latest_per_key(changes, key, order_col).drop(order_col)
-    return old.join(new.select(key), key, "left_anti").unionByName(new.select(*old.columns))
+    """INSERT OR REPLACE on `key`: the latest change row replaces the stored one whole. One join;
+    the change set is planned once."""
+    new = latest_per_key(changes, key, order_col)
+    n = new.select(F.col(key).alias("_k"), F.struct(*old.columns).alias("_new"))
+    j = old.join(n, F.col(key) == F.col("_k"), "full")
+    return j.select(*[F.when(F.col("_k").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in old.columns])
 
 
 def partial_update(old: DataFrame, updates: DataFrame, key: str = "hash",

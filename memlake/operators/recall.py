@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlake.functions.decay import decay_score
-from memlake.functions.visibility import visible
+from memlake.functions.visibility import asked, visible
 
 PREFIX_BLOCK = 4  # recall prefixes have at least 4 chars, so 4 chars are an exact join key
 
@@ -56,7 +56,7 @@ def visible_counts(req: DataFrame, mem: DataFrame) -> DataFrame:
     """
     g = (mem.groupBy("sensitivity", "project", "owner_id")
          .agg(F.count("*").alias("n"), F.sum("importance").alias("imp")))
-    rp = req.select("request_id", F.col("project").alias("r_project"), F.col("owner").alias("r_owner"))
+    rp = req.select("request_id", asked(F.col("project")).alias("r_project"), asked(F.col("owner")).alias("r_owner"))
 
     with_p = (rp.filter(F.col("r_project").isNotNull())
               .join(g, F.col("project") == F.col("r_project"))

@@ -15,10 +15,11 @@ SNAPSHOT_COLUMNS = ["hash", "path", "project", "summary", "essence", "size_bytes
 
 def one_arrival_per_path(arrivals: DataFrame) -> DataFrame:
     """Several sightings of one path in a batch collapse to one: the latest by `arrival` when
-    that column exists, else a deterministic pick (largest file hash) - an aggregate with
-    partial merge, so a hot path is no single-task hot spot."""
-    order = F.col("arrival") if "arrival" in arrivals.columns else F.col("file_hash")
+    that column exists, else a deterministic pick (largest file hash; NULL is least, ties go by
+    a row hash) - an aggregate with partial merge, so a hot path is no single-task hot spot."""
+    by = F.col("arrival") if "arrival" in arrivals.columns else F.col("file_hash")
     cols = [c for c in arrivals.columns if c != "path"]
+    order = F.struct(by.isNotNull(), by, F.xxhash64(*cols))
     return (arrivals.groupBy("path").agg(F.max_by(F.struct(*cols), order).alias("_a"))
             .select("path", "_a.*"))
 
@@ -73,9 +74,9 @@ def snapshot_upsert(stored: DataFrame, arrivals: DataFrame, now: int) -> DataFra
 
 
 def snapshots_by_project(snaps: DataFrame) -> DataFrame:
-    """All snapshots of every project, newest sighting first (rank within project)."""
-    w = Window.partitionBy("project").orderBy(F.desc("last_seen"), "path")
-    return snaps.filter(F.col("project").isNotNull()).withColumn("rank", F.row_number().over(w))
+    """All snapshots of every project, newest sighting first: one range sort over (project, last_seen,
+    path), which cuts a large project over many tasks."""
+    return snaps.filter(F.col("project").isNotNull()).orderBy("project", F.desc("last_seen"), "path")
 
 
 # ------------------------------------------------------------------ chat sessions
@@ -125,6 +126,8 @@ def sessions_with_memory(sessions: DataFrame, mem: DataFrame) -> DataFrame:
 
 VAULT_LABEL_JUNK = r"[^a-zA-Z0-9-]"
 YAML_NUMBERLIKE = r"^([-+]?(\.[0-9]+|[0-9]+(\.[0-9]*)?)([eE][-+]?[0-9]+)?|true|false|null|~|)$"
+#: Scalars that every YAML reader takes as they stand.
+YAML_PLAIN = r"^[A-Za-z0-9_./@+]([A-Za-z0-9_./@+ -]*[A-Za-z0-9_./@+-])?$"
 
 
 def vault_path(created_at="created_at", hash_col="hash", tags="tags", memory_type="memory_type"):
@@ -136,10 +139,27 @@ def vault_path(created_at="created_at", hash_col="hash", tags="tags", memory_typ
 
 
 def _yaml_scalar(c):
-    """Plain scalar, double-quoted when a YAML reader would take it for a number/bool/null."""
-    quoted = F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')),
-                      F.lit('"'))
-    return F.when(F.regexp_like(c, F.lit(YAML_NUMBERLIKE)), quoted).otherwise(c)
+    """Plain scalar, double-quoted with escapes unless a YAML reader takes it as the same plain text."""
+    text = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    for raw, escaped in _YAML_ESCAPES:
+        text = F.replace(text, F.lit(raw), F.lit(escaped))
+    plain = F.regexp_like(c, F.lit(YAML_PLAIN)) & ~F.regexp_like(c, F.lit(YAML_NUMBERLIKE))
+    return F.when(plain, c).otherwise(F.concat(F.lit('"'), text, F.lit('"')))
+
+
+_YAML_ESCAPES = (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"))
+
+
+def _yaml_text(c):
+    """The text of a plain, single- or double-quoted scalar."""
+    hold = "\ue000"
+    double = F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit("\\\\"), F.lit(hold))
+    for raw, escaped in _YAML_ESCAPES:
+        double = F.replace(double, F.lit(escaped), F.lit(raw))
+    double = F.replace(F.replace(double, F.lit('\\"'), F.lit('"')), F.lit(hold), F.lit("\\"))
+    single = F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit("''"), F.lit("'"))
+    return (F.when(F.regexp_like(c, F.lit(r'^"[\s\S]*"$')) & (F.length(c) > 1), double)
+            .when(F.regexp_like(c, F.lit(r"^'[\s\S]*'$")) & (F.length(c) > 1), single).otherwise(c))
 
 
 # A text line starting with (backslashes and) "## " would end its section on import; export
@@ -181,7 +201,7 @@ def vault_markdown(mem: DataFrame) -> DataFrame:
                    F.concat(F.lit("\n\n## Links\n- Project: [["), F.col("project"), F.lit("]]"),
                             F.array_join(F.transform("tags", lambda t: F.concat(F.lit("\n- Tag: [["), t, F.lit("]]"))), ""))
                    ).otherwise(F.lit(""))
-    content = F.concat(F.lit("---\n"), fm, F.lit("\n---\n\n# "), F.col("essence_text"),
+    content = F.concat(F.lit("---\n"), fm, F.lit("\n---\n\n# "), escape_headings(F.col("essence_text")),
                        F.lit("\n\n## Summary\n"), escape_headings(F.col("summary_text")),
                        F.lit("\n\n## Full Detail\n"), escape_headings(F.col("full_text")), ctx, links, F.lit("\n"))
     return mem.select("hash", vault_path().alias("path"), content.alias("content"))
@@ -193,20 +213,30 @@ def vault_export(mem: DataFrame) -> DataFrame:
 
 
 def _after(text, marker: str):
-    """Text after the first `marker` ('' when absent)."""
+    """Text after the first `marker` (NULL when absent)."""
     p = F.locate(marker, text)
-    return F.when(p > 0, F.substring(text, p + F.lit(len(marker)), 1 << 30)).otherwise(F.lit(""))
+    return F.when(p > 0, F.substr(text, p + F.lit(len(marker))))
 
 
-def _section(body, title: str):
-    """`## <title>` section text up to the next `\n## ` heading (or the end), trimmed and
-    unescaped."""
-    return unescape_headings(js_trim(F.substring_index(_after(body, f"## {title}\n"), "\n## ", 1)))
+def _section(rest):
+    """The section that starts `rest`, up to the next heading at a line start, trimmed and unescaped."""
+    cut = F.substring_index(F.concat(F.lit("\n"), rest), "\n## ", 1)
+    return js_trim(unescape_headings(cut))
 
 
 def _fm_value(fm, key: str):
-    v = F.regexp_extract(fm, f"(?m)^{key}: (.*)$", 1)
-    return F.when(F.regexp_like(v, F.lit(r'^".*"$')), F.regexp_replace(F.substring(v, 2, 10 ** 6), r'"$', "")).otherwise(v)
+    return _yaml_text(js_trim(F.regexp_extract(fm, f"(?m)^{key}: (.*)$", 1)))
+
+
+def _tags(fm):
+    """Tags as a block list or a flow list; [] without the key; NULL when written in a way this does not read."""
+    block = F.regexp_extract(fm, r"(?m)^tags:[ \t]*((?:\n[ \t]*- .*)+)", 1)
+    flow = F.regexp_extract(fm, r"(?m)^tags:[ \t]*(\[.*\])[ \t]*$", 1)
+    items = F.regexp_extract_all(F.substr(flow, F.lit(2), F.length(flow) - 2),
+                                 F.lit(r'"(?:[^"\\]|\\.)*"|\'(?:[^\']|\'\')*\'|[^,]+'), F.lit(0))
+    lines = F.regexp_extract_all(block, F.lit(r"\n[ \t]*- (.*)"), F.lit(1))
+    raw = F.when(block != "", lines).when(flow != "", items).when(~F.regexp_like(fm, F.lit(r"(?m)^tags:[ \t]*\S")), F.array().cast("array<string>"))
+    return F.filter(F.transform(raw, lambda t: _yaml_text(js_trim(t))), lambda t: t != "")
 
 
 def parse_vault(files: DataFrame) -> DataFrame:
@@ -222,16 +252,19 @@ def parse_vault(files: DataFrame) -> DataFrame:
     k = F.locate("\n---", c, 6)                       # 1-based start of the closing marker
     ok = F.startswith(c, F.lit("---\n")) & (k > 0)
     fm = F.substring(c, 5, k - 5)
-    body = F.substring(c, k + 4, 1 << 30)
+    body = F.substr(c, k + 4)
     staged = files.select("path", ok.alias("_ok"), fm.alias("_fm"), body.alias("_body")).filter("_ok")
+    staged = staged.withColumn("_summary", _after(F.concat(F.lit("\n"), F.col("_body")), "\n## Summary\n"))
+    staged = staged.withColumn("_full", _after(F.concat(F.lit("\n"), F.coalesce("_summary", "_body")), "\n## Full Detail\n"))
     fm, body = F.col("_fm"), F.col("_body")
-    tag_block = F.regexp_extract(fm, r"(?m)^tags:((?:\n  - .*)*)", 1)
-    tags = F.filter(F.transform(F.split(tag_block, "\n  - "), lambda t: F.regexp_replace(t, r'^"|"$', "")),
-                    lambda t: t != "")
-    ctx_pos = F.locate("\n## Context Log\n", body) + 1   # a heading at a line start
-    ctx_tail = F.substring(body, ctx_pos, 1 << 30)
+    # headings count at a line start only, and in their order (texts have theirs escaped)
+    after_summary = F.col("_summary")
+    after_full = F.col("_full")
+    rest = F.coalesce(after_full, after_summary, body)
+    ctx_pos = F.locate("\n## Context Log\n", F.concat(F.lit("\n"), rest))
+    ctx_tail = F.substr(F.concat(F.lit("\n"), rest), ctx_pos + 1)
     ctx_raw = F.regexp_extract(ctx_tail, r"^## Context Log\n_[^_]*_\n\n([\s\S]*)", 1)
-    has_ctx = (ctx_pos > 1) & F.regexp_like(ctx_tail, F.lit(r"^## Context Log\n_[^_]*_\n\n"))
+    has_ctx = (ctx_pos > 0) & F.regexp_like(ctx_tail, F.lit(r"^## Context Log\n_[^_]*_\n\n"))
     imp = _fm_value(fm, "importance")
     proj = _fm_value(fm, "project")
 
@@ -248,22 +281,22 @@ def parse_vault(files: DataFrame) -> DataFrame:
         F.when(imp != "", imp.try_cast("double")).alias("importance"),
         F.coalesce(nonempty(_fm_value(fm, "memory_type")), F.lit("conversation")).alias("memory_type"),
         F.coalesce(nonempty(_fm_value(fm, "sensitivity")), F.lit("public")).alias("sensitivity"),
-        tags.alias("tags"),
+        _tags(fm).alias("tags"),
         F.when((proj == "none") | (proj == ""), F.lit(None)).otherwise(proj).alias("project"),
         nonempty(_fm_value(fm, "session_id")).alias("session_id"),
         epoch("created_at").alias("created_at"),
         epoch("last_accessed").alias("last_accessed"),
         F.coalesce(_fm_value(fm, "access_count").try_cast("bigint"), F.lit(0).cast("bigint")).alias("access_count"),
-        _section(body, "Summary").alias("summary_text"),
-        _section(body, "Full Detail").alias("full_text"),
-        F.when(has_ctx, unescape_headings(js_trim(F.substring_index(ctx_raw, "\n## ", 1)))).alias("context_log"),
+        F.coalesce(_section(after_summary), F.lit("")).alias("summary_text"),
+        F.coalesce(_section(after_full), F.lit("")).alias("full_text"),
+        F.when(has_ctx, js_trim(unescape_headings(F.substring_index(ctx_raw, "\n## ", 1)))).alias("context_log"),
         F.lit("").alias("essence_text"),
     ).filter(F.col("hash") != "")
 
 
 def vault_merge(mem: DataFrame, parsed: DataFrame) -> DataFrame:
     """Vault -> table: update rows whose hash exists. Non-empty summary / full text, a
-    present context log and importance are taken; tags are always taken. For duplicate
+    present context log and importance are taken; tags are taken unless unreadable (NULL). For duplicate
     hashes the last file in path order wins. Returns the updated rows."""
     last = (parsed.groupBy("hash")
             .agg(F.max_by(F.struct("importance", "tags", "summary_text", "full_text", "context_log"),
@@ -277,7 +310,7 @@ def vault_merge(mem: DataFrame, parsed: DataFrame) -> DataFrame:
         F.when(F.length("v_full_text") > 0, F.col("v_full_text")).otherwise(F.col("full_text")).alias(c)
         if c == "full_text" else
         F.coalesce("v_context_log", "context_log").alias(c) if c == "context_log" else
-        F.col("v_tags").alias(c) if c == "tags" else
+        F.coalesce("v_tags", "tags").alias(c) if c == "tags" else
         F.coalesce("v_importance", "importance").alias(c) if c == "importance" else
         F.col(c) for c in mem.columns])
 

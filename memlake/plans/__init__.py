@@ -5,13 +5,7 @@ from memlake.plans.common import ORACLE, QUERIES
 
 def load_all():
     """Import the catalog modules (each registers its queries on import)."""
-    from memlake.plans import memory_queries  # noqa: F401
-    for mod in ("memory_more", "document_queries", "search_queries", "cluster_queries",
-                "context_queries", "record_queries", "stream_queries", "file_queries",
-                "composite_queries"):
-        try:
-            __import__(f"memlake.plans.{mod}")
-        except ModuleNotFoundError as e:
-            if e.name != f"memlake.plans.{mod}":
-                raise
+    from memlake.plans import memory_queries  # noqa: F401, I001  first: the others use its SQL
+    from memlake.plans import (cluster_queries, composite_queries, context_queries, document_queries,  # noqa: F401
+                               file_queries, memory_more, record_queries, search_queries, stream_queries)
     return QUERIES, ORACLE

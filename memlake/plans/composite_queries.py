@@ -61,12 +61,13 @@ FROM top""")
 def q_status_summary(spark, sf):
     """Status request: totals, tier mix of the top-100 sample, half-life."""
     m = FX.memories(spark, sf)
-    dist = C.fidelity_distribution_top(spark, m, NOW)
+    tiers = C.fidelity_distribution_top(spark, m, NOW).agg(
+        *[F.coalesce(F.sum(F.when(F.col("fidelity") == t, F.col("n"))), F.lit(0)).cast("bigint").alias(t) for t in TIERS])
     totals = m.agg(F.count("*").alias("total_memories"),
                    F.countDistinct(F.coalesce("project", F.lit("_untagged"))).alias("n_projects"),
                    F.countDistinct("memory_type").alias("n_types"))
-    tier_n = [dist.filter(F.col("fidelity") == t).select("n").scalar().alias(t) for t in TIERS]
-    return totals.select("total_memories", "n_projects", "n_types", *tier_n,
+    sample = tiers.first()  # one row of five counts
+    return totals.select("total_memories", "n_projects", "n_types", *[F.lit(sample[t]).alias(t) for t in TIERS],
                          F.lit(half_life_hours()).cast("bigint").alias("half_life_hours"))
 
 

@@ -220,16 +220,11 @@ def q_decode_rows(spark, sf):
 
 @register("upsert_versioned")
 def q_upsert_versioned(spark, sf):
-    """W1 as a table job: write the memory table as version 1, apply the upsert, write
-    version 2, read the latest version back (same result as upsert_memories)."""
-    from memlake.session import ensure_checkpoint_dir
-    from memlake.sources import versioned as V
-    import uuid
-    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/memories-{uuid.uuid4().hex[:12]}"
-    V.write_version(FX.memories(spark, sf), root)
-    new = W.upsert(V.read_latest(spark, root), upsert_changes(spark, sf))
-    V.write_version(new, root)
-    return V.read_latest(spark, root).select(*MEM_CHG_COLS)
+    """W1 as a table job: write the memory table, apply the upsert to what was written, write the
+    new table to a path of its own, read it back (same result as upsert_memories)."""
+    from memlake.session import materialize
+    stored = materialize(FX.memories(spark, sf), "memories_before")
+    return materialize(W.upsert(stored, upsert_changes(spark, sf)), "memories_after").select(*MEM_CHG_COLS)
 
 
 def _share_upsert_oracle():

@@ -67,10 +67,10 @@ def q_snapshot_lookup(spark, sf):
 
 
 @register("snapshots_by_project", f"""{UPSERT_SQL}
-SELECT project, row_number() OVER (PARTITION BY project ORDER BY last_seen DESC, path) AS rank, path, last_seen
+SELECT project, path, last_seen
 FROM upserted WHERE project IS NOT NULL""")
 def q_snapshots_by_project(spark, sf):
-    return RC.snapshots_by_project(_upserted(spark, sf)).select("project", "rank", "path", "last_seen")
+    return RC.snapshots_by_project(_upserted(spark, sf)).select("project", "path", "last_seen")
 
 
 # ---------------------------------------------------------------- sessions
@@ -135,9 +135,12 @@ def q_sessions_with_memory(spark, sf):
 NUMLIKE = r"^([-+]?(\.[0-9]+|[0-9]+(\.[0-9]*)?)([eE][-+]?[0-9]+)?|true|false|null|~|)$"
 
 
+PLAIN = r"^[A-Za-z0-9_./@+]([A-Za-z0-9_./@+ -]*[A-Za-z0-9_./@+-])?$"
+
+
 def _y(x: str) -> str:
-    return (f"CASE WHEN regexp_matches({x}, '{NUMLIKE}') THEN concat('\"', replace(replace({x}, '\\', '\\\\'), '\"', '\\\"'), '\"') "
-            f"ELSE {x} END")
+    return (f"CASE WHEN regexp_matches({x}, '{PLAIN}') AND NOT regexp_matches({x}, '{NUMLIKE}') THEN {x} "
+            f"ELSE concat('\"', replace(replace({x}, '\\', '\\\\'), '\"', '\\\"'), '\"') END")
 
 
 def _esc(x: str) -> str:
@@ -168,7 +171,7 @@ VAULT_MD_SQL = f"""vault_md AS (
       'created_at: ', {_iso('created_at')}, chr(10),
       'last_accessed: ', {_iso('last_accessed')}, chr(10),
       'access_count: ', CAST(access_count AS VARCHAR), chr(10),
-      '---', chr(10), chr(10), '# ', essence_text, chr(10), chr(10), '## Summary', chr(10), {_esc('summary_text')},
+      '---', chr(10), chr(10), '# ', {_esc('essence_text')}, chr(10), chr(10), '## Summary', chr(10), {_esc('summary_text')},
       chr(10), chr(10), '## Full Detail', chr(10), {_esc('full_text')},
       CASE WHEN context_log IS NOT NULL AND context_log <> '' THEN concat(chr(10), chr(10), '## Context Log', chr(10),
            '_Full conversation / reasoning trail that led to this memory:_', chr(10), chr(10), {_esc('context_log')}) ELSE '' END,
@@ -199,7 +202,8 @@ def vault_files(spark, sf):
     c = F.col("content")
     edited = (F.when(first.isin("0", "1", "2", "3"), F.replace(c, F.lit("## Summary\n"), F.lit("## Summary\nEdited: ")))
               .when(first.isin("4", "5", "6", "7"), F.regexp_replace(c, r"(?m)^importance: .*$", "importance: 5"))
-              .when(first.isin("8", "9"), F.regexp_replace(c, r"(?m)^tags:(\n  - .*)*", "tags: []"))
+              .when(first == "8", F.regexp_replace(c, r"(?m)^tags:(\n  - .*)*", "tags: []"))
+              .when(first == "9", F.regexp_replace(c, r"(?m)^tags:(\n  - .*)*", "tags: [flow one, \"two: x\", 'three']"))
               .when(first.isin("a", "b"), F.concat(c, F.lit("\n## Context Log\n_note:_\n\nadded in the vault\n")))
               .otherwise(c))
     files = v.select("hash", "path", edited.alias("content"))
@@ -214,7 +218,8 @@ vf AS (
   SELECT hash, path, CASE
       WHEN substr(hash, 1, 1) IN ('0', '1', '2', '3') THEN replace(content, concat('## Summary', chr(10)), concat('## Summary', chr(10), 'Edited: '))
       WHEN substr(hash, 1, 1) IN ('4', '5', '6', '7') THEN regexp_replace(content, '(?m)^importance: .*$', 'importance: 5', 'g')
-      WHEN substr(hash, 1, 1) IN ('8', '9') THEN regexp_replace(content, '(?m)^tags:(\\n  - .*)*', 'tags: []', 'g')
+      WHEN substr(hash, 1, 1) = '8' THEN regexp_replace(content, '(?m)^tags:(\\n  - .*)*', 'tags: []', 'g')
+      WHEN substr(hash, 1, 1) = '9' THEN regexp_replace(content, '(?m)^tags:(\\n  - .*)*', 'tags: [flow one, "two: x", ''three'']', 'g')
       WHEN substr(hash, 1, 1) IN ('a', 'b') THEN concat(content, chr(10), '## Context Log', chr(10), '_note:_', chr(10), chr(10), 'added in the vault', chr(10))
       ELSE content END AS content
   FROM vault_md WHERE sensitivity <> 'secret'),
@@ -230,7 +235,7 @@ def _trim(x: str) -> str:
 
 
 def _sec(title: str) -> str:
-    return _unesc(_trim(f"split_part(regexp_extract(body, '## {title}\\n([\\s\\S]*)', 1), concat(chr(10), '## '), 1)"))
+    return _trim(_unesc(f"split_part(regexp_extract(body, '## {title}\\n([\\s\\S]*)', 1), concat(chr(10), '## '), 1)"))
 
 
 def _fmv(key: str) -> str:
@@ -247,11 +252,12 @@ pv1 AS (SELECT path, fm, substr(content, length(head) + 1) AS body FROM pv0 WHER
 parsed AS (
   SELECT path, {_fmv('hash')} AS hash,
     CASE WHEN {_fmv('importance')} <> '' THEN CAST({_fmv('importance')} AS DOUBLE) END AS importance,
-    list_filter(list_transform(string_split(regexp_extract(fm, '(?m)^tags:((?:\\n  - .*)*)', 1), concat(chr(10), '  - ')),
-                               lambda t: regexp_replace(t, '^"|"$', '', 'g')), lambda t: t <> '') AS tags,
+    list_filter(list_transform(CASE WHEN regexp_matches(fm, '(?m)^tags: \\[') THEN string_split(regexp_extract(fm, '(?m)^tags: \\[(.*)\\]$', 1), ', ')
+                               ELSE string_split(regexp_extract(fm, '(?m)^tags:((?:\\n  - .*)*)', 1), concat(chr(10), '  - ')) END,
+                               lambda t: regexp_replace(t, '^["'']|["'']$', '', 'g')), lambda t: t <> '') AS tags,
     {_sec('Summary')} AS summary_text, {_sec('Full Detail')} AS full_text,
     CASE WHEN regexp_matches(body, '\\n## Context Log\\n_[^_]*_\\n\\n')
-         THEN {_unesc(_trim("split_part(regexp_extract(body, '\\n## Context Log\\n_[^_]*_\\n\\n([\\s\\S]*)', 1), concat(chr(10), '## '), 1)"))} END AS context_log
+         THEN {_trim(_unesc("split_part(regexp_extract(body, '\\n## Context Log\\n_[^_]*_\\n\\n([\\s\\S]*)', 1), concat(chr(10), '## '), 1)"))} END AS context_log
   FROM pv1)"""
 
 

@@ -29,7 +29,12 @@ DOC_GLOB = "*.{" + ",".join(_ci_glob(e) for e in DOC_EXTENSIONS) + "}"
 def _files(spark: SparkSession, root: str, glob: str | None) -> DataFrame:
     # text() has its own wholetext=False keyword, which would override an option
     r = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
-    return r.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    return r.select(file_path().alias("path"), F.col("value").alias("content"))
+
+
+def file_path():
+    """The file's path as it is named; `_metadata` reports it percent-encoded ('+' stands for itself)."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
 
 
 def relative_path(root: str, col: str = "path"):
@@ -51,7 +56,7 @@ def read_documents(spark: SparkSession, root: str) -> DataFrame:
 def document_rejects(spark: SparkSession, root: str) -> DataFrame:
     """(path, reason) for files under `root` that are not .md / .txt / .markdown."""
     listing = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-               .select("path"))
+               .select(file_path().alias("path")))
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
     return (listing.filter(~ext.isin(*DOC_EXTENSIONS))
             .select(relative_path(root).alias("path"),

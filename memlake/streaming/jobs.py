@@ -7,10 +7,11 @@ ST1 access-log rollup: events -> (hash, ts) -> stateful groupBy(hash) max/count
 ST2 continuous ingest: new document rows -> chunk / id / summarise / embed (all stateless)
     -> append sink.
 ST3 snapshot change feed: arriving file rows -> foreachBatch change detection against the
-    stored snapshot table -> append sink.
+    snapshot table as the batch before left it -> change rows and the next state of the table, both
+    written under the batch's number, so a repeated batch overwrites its own.
 
-All state, checkpoints and sink tables live under the session's `spark.checkpoint.dir` (a
-shared folder on a cluster), so a lost executor or a restarted query resumes from there.
+State, checkpoints and sink tables live in one folder: the caller's (`out`; a later run with the same folder
+goes on where the last one ended) or a fresh one under `spark.checkpoint.dir`.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from memlake.session import ensure_checkpoint_dir
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder for one run of a stream under the shared checkpoint dir."""
+    """A fresh folder under the shared checkpoint dir, for a run that names no folder of its own."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -84,8 +85,8 @@ def apply_touch_state(mem: DataFrame, state: DataFrame) -> DataFrame:
         if c == "access_count" else F.col(c) for c in mem.columns])
 
 
-def run_access_rollup(spark: SparkSession, accesses: DataFrame) -> str:
-    out = work_dir(spark, "access_rollup")
+def run_access_rollup(spark: SparkSession, accesses: DataFrame, out: str | None = None) -> str:
+    out = out or work_dir(spark, "access_rollup")
     _run(access_rollup_stream(spark, accesses, out))
     return out
 
@@ -101,8 +102,8 @@ def ingest_stream(spark: SparkSession, files: DataFrame, out_dir: str, now: int,
             .trigger(availableNow=True).start())
 
 
-def run_ingest(spark: SparkSession, files: DataFrame, now: int, size: int, separator: str) -> str:
-    out = work_dir(spark, "ingest")
+def run_ingest(spark: SparkSession, files: DataFrame, now: int, size: int, separator: str, out: str | None = None) -> str:
+    out = out or work_dir(spark, "ingest")
     _run(ingest_stream(spark, files, out, now, size, separator))
     return out
 
@@ -111,9 +112,12 @@ def run_ingest(spark: SparkSession, files: DataFrame, now: int, size: int, separ
 
 
 def snapshot_feed(spark: SparkSession, arrivals: DataFrame, stored: DataFrame, out_dir: str, now: int):
-    """Start ST3: change detection of each micro-batch of arrivals against `stored`."""
+    """Start ST3: change detection of each micro-batch of arrivals; `stored` is the table before the first."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        (RC.snapshot_changes(stored, batch, now).withColumn("batch_id", F.lit(batch_id))
+        # batch numbers are consecutive from 0, and a batch only begins when the one before is committed
+        table = spark.read.parquet(f"{out_dir}/state/{batch_id - 1}") if batch_id else stored
+        RC.snapshot_upsert(table, batch, now).write.mode("overwrite").parquet(f"{out_dir}/state/{batch_id}")
+        (RC.snapshot_changes(table, batch, now).withColumn("batch_id", F.lit(batch_id))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id")
          .parquet(f"{out_dir}/changes"))
 
@@ -121,7 +125,7 @@ def snapshot_feed(spark: SparkSession, arrivals: DataFrame, stored: DataFrame, o
             .trigger(availableNow=True).start())
 
 
-def run_snapshot_feed(spark: SparkSession, arrivals: DataFrame, stored: DataFrame, now: int) -> str:
-    out = work_dir(spark, "snapshot_feed")
+def run_snapshot_feed(spark: SparkSession, arrivals: DataFrame, stored: DataFrame, now: int, out: str | None = None) -> str:
+    out = out or work_dir(spark, "snapshot_feed")
     _run(snapshot_feed(spark, arrivals, stored, out, now))
     return out

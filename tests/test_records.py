@@ -123,3 +123,129 @@ def test_attach_embeddings_one_vector_per_memory(spark):
                               "hash string, embedding array<double>, arrival int")
     got = {r["hash"][0]: r["embedding"] for r in W.attach_embeddings(m, v).collect()}
     assert got == {"a": [0.0, 1.0], "b": None}
+
+
+# ---------------------------------------------------------------- vault texts, orders, feeds
+
+
+HARD_TEXTS = ["plain", "note\n## Full Detail\nquoted", "see ## Full Detail\nmid line", "## Summary\nfake\n## Context Log\n_x_\n\ny",
+              "\\## Links\n\\\\## Summary", "a: b\n- dash\n\"quoted\" 'single'", "tail\n## ", "# one\n### three", "tabs\tand \\n"]
+
+
+def test_vault_round_trip_of_hard_texts(spark):
+    """Export then import gives the same trimmed texts, tags and scalars, whatever headings or marks they hold."""
+    import itertools
+    from memlake.operators import records as RC
+    rows = []
+    tags = [["a: b", "- dash", "c#"], ['"quoted"', "it's", "back\\slash"], ["true", "12", "plain tag"], [], ["x, y", "[z]", "{w}"]]
+    for i, (s, f, e) in enumerate(itertools.product(HARD_TEXTS, HARD_TEXTS, HARD_TEXTS[:4])):
+        rows.append(memory_row(hash=f"{i:016x}", summary_text=s, full_text=f, essence_text=e, tags=tags[i % 5],
+                               project=["p: q", "none of it", "'single'", None][i % 4], session_id=["s", "a\nb", "#c", "0x1"][i % 4],
+                               context_log=[None, HARD_TEXTS[i % 9]][i % 2]))
+    files = RC.vault_markdown(memories_df(spark, rows)).select("path", "content")
+    got = {r["hash"]: r for r in RC.parse_vault(files).collect()}
+    for r in rows:
+        g = got[r["hash"]]
+        assert (g.summary_text, g.full_text, g.tags) == (r["summary_text"].strip(), r["full_text"].strip(), r["tags"]), r
+        assert (g.project, g.session_id) == (r["project"], r["session_id"])
+        assert g.context_log == (r["context_log"].strip() if r["context_log"] else None)
+
+
+def test_vault_front_matter_as_people_write_it(spark):
+    from memlake.operators import records as RC
+    head = "---\nhash: 0123456789abcdef\n{}\n---\n\n# t\n\n## Summary\ns\n\n## Full Detail\nf\n"
+    cases = {"tags: [one, two]": ["one", "two"], "tags: [\"a, b\", 'it''s', c]": ["a, b", "it's", "c"], "tags:\n- x\n- 'y z'": ["x", "y z"],
+             "tags: []": [], "project: 'single'": [], "tags: scalar": None}
+    files = spark.createDataFrame([(str(i), head.format(k)) for i, k in enumerate(cases)], "path string, content string")
+    got = {r.path: r for r in RC.parse_vault(files).collect()}
+    for i, want in enumerate(cases.values()):
+        assert got[str(i)].tags == want
+    assert got["4"].project == "single"
+    stored = memories_df(spark, [memory_row(hash="0123456789abcdef", tags=["kept"])])
+    merged = RC.vault_merge(stored, RC.parse_vault(files.filter("path = '5'"))).first()
+    assert merged.tags == ["kept"] and merged.full_text == "f"
+
+
+def test_null_and_equal_orders(spark):
+    from memlake.operators import changes as W
+    from memlake.operators import records as RC
+    old = spark.createDataFrame([("k1", 1.0), ("k2", 2.0)], "hash string, v double")
+    new = spark.createDataFrame([("k1", 5.0, None), ("k3", 3.0, 7), ("k3", 4.0, 7), ("k2", 8.0, None), ("k2", 9.0, 1)],
+                                "hash string, v double, arrival bigint")
+    runs = [sorted(map(tuple, W.upsert(old, new.repartition(n)).collect())) for n in (1, 5)]
+    assert runs[0] == runs[1]
+    got = dict(runs[0])
+    assert got["k1"] == 5.0 and got["k2"] == 9.0 and got["k3"] in (3.0, 4.0)
+    upd = spark.createDataFrame([("k1", ["v"], 6.0, None)], "hash string, set_cols array<string>, v double, arrival bigint")
+    assert dict(map(tuple, W.partial_update(old, upd).collect())) == {"k1": 6.0, "k2": 2.0}
+    one = RC.one_arrival_per_path(spark.createDataFrame([("p", None, 5)], "path string, file_hash string, size_bytes bigint")).first()
+    assert (one.path, one.file_hash, one.size_bytes) == ("p", None, 5)
+
+
+def test_snapshot_feed_advances_and_resumes(spark, tmp_path):
+    from memlake.operators import records as RC
+    from memlake.streaming import jobs as J
+    ddl = "path string, project string, summary string, essence string, size_bytes bigint, file_hash string"
+    stored = spark.createDataFrame([], "hash string, " + ddl + ", captured_at bigint, last_seen bigint").select(*RC.SNAPSHOT_COLUMNS)
+    feed, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def arrive(*rows):
+        spark.createDataFrame([(p, "x", "s", "e", 1, h) for p, h in rows], ddl).coalesce(1).write.mode("append").parquet(feed)
+        stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(feed)
+        J.run_snapshot_feed(spark, stream, stored, 1_700_000_000, out)
+        return sorted((r.batch_id, r.path, r.status) for r in spark.read.parquet(f"{out}/changes").collect())
+    assert arrive(("a", "1"), ("b", "1")) == [(0, "a", "new"), (0, "b", "new")]
+    assert arrive(("a", "1"), ("b", "2")) == [(0, "a", "new"), (0, "b", "new"), (1, "a", "cached"), (1, "b", "changed")]
+    assert arrive(("b", "2"), ("c", None))[4:] == [(2, "b", "cached"), (2, "c", "new")]
+    assert arrive(("c", None))[-1][:2] == (3, "c")
+
+
+def test_empty_requester_fields_ask_for_nothing(spark):
+    from pyspark.sql import functions as F
+    from memlake.functions.visibility import scope_clamp, visible
+    rows = spark.createDataFrame([("public", "p", "u"), ("internal", "p", "u"), ("secret", "p", "u")], "sensitivity string, project string, owner_id string")
+    for p in ("", None, "p"):
+        for o in ("", None, "u"):
+            a = rows.filter(visible(p, o)).count()
+            assert a == rows.filter(visible(F.lit(p).cast("string"), F.lit(o).cast("string"))).count(), (p, o)
+    req = spark.createDataFrame([("", ["x"]), ("", None), ("x", ["x"])], "project string, allowed array<string>")
+    assert [r[0] for r in req.select(scope_clamp()).collect()] == ["x", None, "x"]
+
+
+def test_file_paths_are_as_named(spark, tmp_path):
+    from memlake.sources import files as S
+    for name in ("My Notes.md", "a+b%20c.md", "ü/x.txt", "no.pdf"):
+        f = tmp_path / name
+        f.parent.mkdir(exist_ok=True)
+        f.write_text("x")
+    assert {r.path for r in S.read_documents(spark, str(tmp_path)).collect()} == {"/My Notes.md", "/a+b%20c.md", "/ü/x.txt"}
+    assert [r.path for r in S.document_rejects(spark, str(tmp_path)).collect()] == ["/no.pdf"]
+
+
+def test_search_finds_words_deep_in_a_text(spark):
+    from memlake.operators import search as S
+    deep = "start " + "filler " * 400 + "needle"
+    m = memories_df(spark, [memory_row(hash="a" * 16, summary_text=deep), memory_row(hash="b" * 16)])
+    q = spark.createDataFrame([(1, "needle"), (2, "needle missing"), (3, "needle needle")], "query_id long, query string")
+    hits = S.bm25_top(m, q, 5).collect()
+    assert [(r.query_id, r.hash[0]) for r in sorted(hits)] == [(1, "a"), (3, "a")]
+
+
+def test_bm25_reads_the_index_three_times(spark, monkeypatch):
+    """The index is a written table; its scans are counted over all plans of one call."""
+    from memlake.operators import search as S
+    m = memories_df(spark, [memory_row(hash=f"{i:016x}", summary_text=f"word{i} common text") for i in range(50)])
+    index = S.build_index(m)
+    name = index.inputFiles()[0].rsplit("/", 2)[-2]
+    reads = []
+    real = S._materialize
+    monkeypatch.setattr(S, "_materialize", lambda df, n: (reads.append(_scans(df, name)), real(df, n))[1])
+    q = spark.createDataFrame([(i, f"word{i} common") for i in range(20)], "query_id long, query string")
+    out = S.bm25_top(index, q, 5)
+    assert sum(reads) + _scans(out, name) + 1 <= 3  # one more for the size and mean length
+    assert len(out.collect()) == 20
+
+
+def _scans(df, name):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sum("FileScan" in line and name in line for line in plan.split("\n"))

@@ -160,19 +160,18 @@ def test_kernel_visibility_mask_matches_predicate(spark):
     import random
     import numpy as np
     from memlake.functions.visibility import visible
-    from memlake.operators.search import _visible_mask
+    import pandas as pd
+    from memlake.operators.search import _visible_matrix
     rnd = random.Random(2)
     sens = ["public", "internal", "secret"]
     rows = [(i, rnd.choice(sens), rnd.choice(["p1", "p2", None]), rnd.choice(["u1", "u2"])) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, sensitivity string, project string, owner_id string")
-    s = np.array([r[1] for r in rows], dtype=object)
-    p = np.array([r[2] for r in rows], dtype=object)
-    o = np.array([r[3] for r in rows], dtype=object)
-    for qp in ("p1", "p2", None):
-        for qo in ("u1", "u2", None):
-            got = {r["id"] for r in df.filter(visible(qp, qo)).collect()}
-            mask = _visible_mask(s, p, o, qp, qo)
-            assert {rows[i][0] for i in np.nonzero(mask)[0]} == got, (qp, qo)
+    mem = pd.DataFrame(rows, columns=["id", "sensitivity", "project", "owner_id"], dtype=object)
+    asks = [(qp, qo) for qp in ("p1", "p2", None, "") for qo in ("u1", "u2", None, "")]
+    mask = _visible_matrix(mem, pd.DataFrame(asks, columns=["scope_project", "owner"], dtype=object))
+    for (qp, qo), row in zip(asks, mask):
+        got = {r["id"] for r in df.filter(visible(qp, qo)).collect()}
+        assert {rows[i][0] for i in np.nonzero(row)[0]} == got, (qp, qo)
 
 
 def test_vector_topk_batches_equal_single(spark):
@@ -188,24 +187,6 @@ def test_vector_topk_batches_equal_single(spark):
     assert one == many and len(one) > 0
 
 
-def test_versioned_table(spark):
-    import os
-    from memlake.sources import versioned as V
-    from memlake.streaming.jobs import work_dir
-    root = work_dir(spark, "versioned")
-    m = memories_df(spark, [memory_row(hash="a" * 16, project="x"), memory_row(hash="b" * 16, project="y")])
-    assert V.write_version(m, root) == 1
-    assert V.write_version(m.filter(F.col("project") == "x"), root) == 2
-    os.makedirs(root + "/v=3")                      # a crashed writer: no _SUCCESS marker
-    assert V.list_versions(spark, root) == [1, 2]
-    latest = V.read_latest(spark, root)
-    assert [r["hash"][0] for r in latest.collect()] == ["a"]
-    plan = latest.filter(F.col("project") == "x")._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(project,x)" in plan
-    assert V.write_version(m, root) == 3            # replaces the crashed writer's leftovers
-    assert V.list_versions(spark, root) == [1, 2, 3] and V.read_latest(spark, root).count() == 2
-
-
 def test_vault_round_trip_fields(spark):
     """Export then parse gives back the stored fields (texts without '## ' headings)."""
     from memlake.operators import records as RC
