@@ -1,10 +1,9 @@
 """Cosine k-means over memory vectors, cluster sizes, top tags and sample members.
 
 Items are (hash, vec, tags). Centroids (k x d, k small) are the only thing broadcast. One
-Lloyd iteration is one pass over the items: a `mapInPandas` kernel assigns each row to its
-most similar centroid (strict >, so ties go to the lowest cluster id) under the previous and
-the current centroids, and emits per-partition partial sums per cluster plus the number of
-changed assignments. Only k partial rows per partition leave the task, so a cluster holding a
+Lloyd iteration is one pass over the items: a `mapInPandas` kernel assigns each row once to its
+most similar centroid (strict >, so ties go to the lowest cluster id) and emits per-partition partial
+sums per cluster; the run ends when the centroids stay where they are. Only k partial rows per partition leave the task, so a cluster holding a
 third of all items costs nothing extra. Iterations read the same materialised items (a
 Parquet table in spark.checkpoint.dir), so lineage does not grow with the iterations.
 """
@@ -21,6 +20,10 @@ from memlake.functions.text import short_id
 from memlake.session import materialize as _materialize
 
 
+#: Centroids that move by no more than this stand still (the order of summation moves them by less).
+SETTLED = 1e-12
+
+
 def _matrix(vecs, dim: int) -> tuple[np.ndarray, np.ndarray]:
     m = np.zeros((len(vecs), dim))
     ok = np.zeros(len(vecs), dtype=bool)
@@ -55,25 +58,21 @@ def initial_centroids(items: DataFrame, k: int) -> tuple[np.ndarray, int]:
 
 
 def _partial_kernel(bc):
-    """Per partition: cluster sums / counts under the current centroids and the number of
-    rows whose assignment changed; one row per cluster is emitted at the end."""
+    """Per partition: cluster sums / counts under the current centroids, one row per cluster at the end."""
     def kernel(it):
-        prev, cur, dim = bc.value
+        cur, dim = bc.value
         k = cur.shape[0]
         sums = np.zeros((k, dim))
         counts = np.zeros(k, dtype=np.int64)
-        changed = 0
         for pdf in it:
             if pdf.empty:
                 continue
             m, ok = _matrix(pdf["vec"].to_numpy(), dim)
             a_cur = assign(m, ok, cur)
-            changed += int((a_cur != assign(m, ok, prev)).sum())
             np.add.at(sums, a_cur[ok], m[ok])
             counts += np.bincount(a_cur[ok], minlength=k)
         yield pd.DataFrame({"cluster_id": np.arange(k, dtype=np.int64), "n": counts,
-                            "s": [sums[c] for c in range(k)],
-                            "changed": np.where(np.arange(k) == 0, changed, 0).astype(np.int64)})
+                            "s": [sums[c] for c in range(k)]})
     return kernel
 
 
@@ -102,24 +101,17 @@ def lloyd(spark: SparkSession, items: DataFrame, k: int = KMEANS_K, max_iter: in
         return valid.withColumn("cluster_id", F.lit(0).cast("long")), np.zeros((0, 0)), 0
     cur, dim = initial_centroids(valid, k)
     k = cur.shape[0]
-    prev = None           # the service starts with every item in cluster 0
     used, iters = cur, 0
     for _ in range(max_iter):
         iters += 1
-        bc = spark.sparkContext.broadcast((prev, cur, dim))
-        part = valid.select("vec").mapInPandas(
-            _partial_kernel(bc), "cluster_id long, n long, s array<double>, changed long")
+        bc = spark.sparkContext.broadcast((cur, dim))
+        part = valid.select("vec").mapInPandas(_partial_kernel(bc), "cluster_id long, n long, s array<double>")
         # element-wise reduction in Spark: only k x d sums reach the driver
-        red = (part.select("cluster_id", "n", "changed", F.posexplode("s").alias("pos", "x"))
+        red = (part.select("cluster_id", "n", F.posexplode("s").alias("pos", "x"))
                .groupBy("cluster_id", "pos")
-               .agg(F.sum("x").alias("x"),
-                    F.sum(F.when(F.col("pos") == 0, F.col("n"))).alias("n"),
-                    F.sum(F.when(F.col("pos") == 0, F.col("changed"))).alias("changed"))
+               .agg(F.sum("x").alias("x"), F.sum(F.when(F.col("pos") == 0, F.col("n"))).alias("n"))
                .collect())
-        changed = sum(r["changed"] or 0 for r in red)
-        if changed == 0:
-            used = cur
-            break
+        bc.destroy()
         sums = np.zeros_like(cur)
         counts = np.zeros(k, dtype=np.int64)
         for r in red:
@@ -129,8 +121,10 @@ def lloyd(spark: SparkSession, items: DataFrame, k: int = KMEANS_K, max_iter: in
         new = cur.copy()
         nz = counts > 0
         new[nz] = sums[nz] / counts[nz][:, None]
-        prev, cur = cur, new
-        used = prev
+        used, settled = cur, np.allclose(new, cur, rtol=0, atol=SETTLED)
+        cur = new
+        if settled:
+            break
     return assign_to(spark, valid, used, dim), cur, iters
 
 

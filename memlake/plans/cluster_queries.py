@@ -66,7 +66,27 @@ def q_cluster_sample_members(spark, sf):
     return K.sample_members(_assigned_once(spark, sf))
 
 
-@register("kmeans_lloyd")
+def lloyd_sql(items: str, k: int = 5, iterations: int = 20) -> str:
+    """The seeded k-means unrolled: views c0, a1, c1, ... and kmeans_end (hash, c). Once settled, further
+    rounds change nothing, so a fixed number of rounds gives the same end as stopping early."""
+    parts = [f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY hash) - 1 AS c, vec::DOUBLE[] AS v FROM {items} QUALIFY row_number() OVER (ORDER BY hash) <= {k})"""]
+    for i in range(1, iterations + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (
+  SELECT i.hash, c.c FROM {items} i CROSS JOIN c{i - 1} c
+  QUALIFY row_number() OVER (PARTITION BY i.hash ORDER BY coalesce(list_cosine_similarity(i.vec::DOUBLE[], c.v), 0.0) DESC, c.c) = 1)""")
+        parts.append(f"""c{i} AS MATERIALIZED (
+  SELECT o.c, coalesce(n.v, o.v) AS v FROM c{i - 1} o LEFT JOIN (
+    SELECT c, list(x ORDER BY p) AS v FROM (
+      SELECT c, p, avg(x) AS x FROM (
+        SELECT a.c, unnest(i.vec::DOUBLE[]) AS x, unnest(range(len(i.vec))) AS p FROM a{i} a JOIN {items} i USING (hash))
+      GROUP BY c, p) GROUP BY c) n USING (c))""")
+    return ",\n".join([*parts, f"kmeans_end AS (SELECT hash, c FROM a{iterations})"])
+
+
+@register("kmeans_lloyd", f"""items AS MATERIALIZED (SELECT hash, vec FROM cluster_items WHERE vec IS NOT NULL AND len(vec) > 0),
+{lloyd_sql("items")}
+SELECT hash, CAST(c AS BIGINT) AS cluster_id FROM kmeans_end""")
 def q_kmeans_lloyd(spark, sf):
     """Full k-means (k=5, <= 20 iterations, seeded) over the embeddings table."""
     a, _, _ = K.lloyd(spark, FX.cluster_items(spark, sf))

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 from memlake.config import NOW, TIERS
 from memlake.functions.decay import half_life_hours, hot_hours
 from memlake.functions.embed import with_embedding
+from memlake.functions.format import format_memory
 from memlake.functions.visibility import visible
 from memlake.operators import candidates as C
 from memlake.operators import changes as W
 from memlake.operators import clusters as K
 from memlake.operators import records as RC
+from memlake.plans.cluster_queries import lloyd_sql
 from memlake.plans.common import register
-from memlake.plans.document_queries import embed_sql, memory_text
+from memlake.plans.context_queries import TEXT_SQL
+from memlake.plans.document_queries import MEM_TEXT_SQL, embed_sql, memory_text
 from memlake.plans.memory_queries import BUILD_SQL, SCORE_SQL, tier_sql
 from memlake.plans.memory_more import GC_SQL
 from memlake.plans.record_queries import vault_files
@@ -87,7 +90,23 @@ def q_sync_counts(spark, sf):
     return exported.select("exported", removed.alias("gc_removed"), synced.alias("synced"))
 
 
-@register("memory_clusters")
+MEMORY_CLUSTERS_SQL = f"""msrc AS (SELECT hash, {MEM_TEXT_SQL} AS t FROM memories WHERE sensitivity <> 'secret'),
+{embed_sql('msrc', 'hash', 't', 'me')},
+items AS MATERIALIZED (
+  SELECT g.hash, list(coalesce(s.w, 0.0) ORDER BY g.b) AS vec
+  FROM (SELECT hash, unnest(range(128)) AS b FROM msrc) g LEFT JOIN me_sparse s ON s.id = g.hash AND s.b = g.b GROUP BY g.hash),
+{lloyd_sql("items")},
+asg AS (SELECT a.hash, a.c AS cluster_id, m.tags FROM kmeans_end a JOIN memories m USING (hash)),
+tc AS (SELECT cluster_id, tag, count(*) AS cnt FROM (SELECT cluster_id, unnest(tags) AS tag FROM asg) GROUP BY 1, 2),
+tt AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY cnt DESC, tag) AS rank FROM tc QUALIFY rank <= 5),
+sm AS (SELECT cluster_id, hash, row_number() OVER (PARTITION BY cluster_id ORDER BY hash) AS rn FROM asg QUALIFY rn <= 5)
+SELECT CAST(z.cluster_id AS BIGINT) AS cluster_id, z.size, t.top_tags, s.sample_ids
+FROM (SELECT cluster_id, count(*) AS size FROM asg GROUP BY 1) z
+JOIN (SELECT cluster_id, string_agg(tag, ',' ORDER BY rank) AS top_tags FROM tt GROUP BY 1) t USING (cluster_id)
+JOIN (SELECT cluster_id, string_agg(substr(hash, 1, 7), ',' ORDER BY rn) AS sample_ids FROM sm GROUP BY 1) s USING (cluster_id)"""
+
+
+@register("memory_clusters", MEMORY_CLUSTERS_SQL)
 def q_memory_clusters(spark, sf):
     """Clusters request: k-means (k=5) over the visible memories' own embeddings, with size,
     top-5 tags and 5 sample ids per cluster."""
@@ -129,14 +148,16 @@ vis AS (
 
 
 @register("browse_memories", BROWSE_SQL.format(limit=10) + f"""
-SELECT request_id, rank, hash, round({SCORE_SQL}, 6) AS score, {tier_sql(SCORE_SQL)} AS fidelity FROM vis""")
+SELECT request_id, rank, hash, round(score, 6) AS score, fidelity, {TEXT_SQL} AS text
+FROM (SELECT *, {SCORE_SQL} AS score, {tier_sql(SCORE_SQL)} AS fidelity FROM vis)""")
 def q_browse_memories(spark, sf):
     """Query request without text for every caller: scope clamp, visibility, top 10 by
     importance and recency, decay score and tier."""
     from memlake.functions.visibility import scope_clamp
     req = FX.requests(spark, sf).select("request_id", scope_clamp("project", "allowed").alias("scope_project"), "owner")
     c = C.scored(C.candidates_for_requests(FX.memories(spark, sf), req, 10), NOW)
-    return c.select("request_id", "rank", "hash", F.round("score", 6).alias("score"), "fidelity")
+    return c.select("request_id", "rank", "hash", F.round("score", 6).alias("score"), "fidelity",
+                    format_memory("fidelity").alias("text"))
 
 
 def _context_oracle() -> str:

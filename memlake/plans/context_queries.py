@@ -27,6 +27,11 @@ B_COOL = f"concat({_hdr('🔵')}, chr(10), essence_text, {RECALL})"
 B_FADED = f"concat('## ⚪ [', {H7}, ']', {PROJ}, ' — ', essence_text, ' _(recall to restore)_')"
 
 
+#: The text of a row at its own tier, from columns hash, project, tags, the three texts, score and fidelity.
+TEXT_SQL = (f"CASE fidelity WHEN 'hot' THEN {B_HOT} WHEN 'warm' THEN {B_WARM} WHEN 'cool' THEN {B_COOL} "
+            f"WHEN 'faded' THEN {B_FADED} ELSE '' END")
+
+
 def u16(x: str) -> str:
     return f"CAST(length({x}) + length(regexp_replace({x}, '[\\x{{0}}-\\x{{FFFF}}]', '', 'g')) AS BIGINT)"
 

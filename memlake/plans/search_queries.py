@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from memlake.config import NOW
 from memlake.functions.embed import with_embedding
+from memlake.functions.format import format_memory
 from memlake.functions.text import JS_SPACE
 from memlake.functions.visibility import visible
 from memlake.operators import candidates as C
 from memlake.operators import search as S
 from memlake.plans.common import joined, r6, register
+from memlake.plans.context_queries import TEXT_SQL
 from memlake.plans.document_queries import MEM_TEXT_SQL, embed_sql, memory_text
 from memlake.plans.memory_queries import SCORE_SQL, tier_sql
 from memlake.sources import fixtures as FX
@@ -148,18 +150,20 @@ def q_hybrid_search(spark, sf):
 
 @register("search_with_fallback", f"""
 {HYBRID_SQL}
-SELECT r.query_id, r.hash, r.rank, r.source, substr(r.hash, 1, 7) AS short_id,
-       round({SCORE_SQL}, 6) AS score, {tier_sql(SCORE_SQL)} AS fidelity, m.project,
-       array_to_string(m.tags, ',') AS tags
-FROM res r JOIN memories m USING (hash)""")
+SELECT query_id, hash, rank, source, substr(hash, 1, 7) AS short_id, round(score, 6) AS score, fidelity, project,
+       array_to_string(tags, ',') AS tags, {TEXT_SQL} AS text
+FROM (SELECT r.query_id, r.rank, r.source, m.*, {SCORE_SQL} AS score, {tier_sql(SCORE_SQL)} AS fidelity
+      FROM res r JOIN memories m USING (hash))""")
 def q_search_with_fallback(spark, sf):
-    """Query request end to end: hybrid results, full-text fallback, decay score and tier."""
+    """Query request end to end: hybrid results, full-text fallback, decay score, tier and the text at that tier."""
     idx = S.build_index(FX.memories(spark, sf), vectors=True)
     sem, fts = S.hybrid(spark, idx, _queries(spark, sf), _query_vectors(spark, sf))
     res = S.with_fallback(sem, fts)
-    out = C.scored(res.join(idx.select("hash", "importance", "last_accessed", "project", "tags"), "hash"), NOW)
+    # only the winners' rows are fetched with their texts
+    out = C.scored(res.join(FX.memories(spark, sf), "hash"), NOW)
     return out.select("query_id", "hash", "rank", "source", F.substring("hash", 1, 7).alias("short_id"),
-                      r6("score").alias("score"), "fidelity", "project", joined("tags").alias("tags"))
+                      r6("score").alias("score"), "fidelity", "project", joined("tags").alias("tags"),
+                      format_memory("fidelity").alias("text"))
 
 
 # ---------------------------------------------------------------- per-caller scope
@@ -208,8 +212,9 @@ res AS (
 
 @register("scoped_search", f"""
 {SCOPED_SQL}
-SELECT r.query_id, r.hash, r.rank, r.source, round({SCORE_SQL}, 6) AS score, {tier_sql(SCORE_SQL)} AS fidelity
-FROM res r JOIN memories m USING (hash)""")
+SELECT query_id, hash, rank, source, round(score, 6) AS score, fidelity, {TEXT_SQL} AS text
+FROM (SELECT r.query_id, r.rank, r.source, m.*, {SCORE_SQL} AS score, {tier_sql(SCORE_SQL)} AS fidelity
+      FROM res r JOIN memories m USING (hash))""")
 def q_scoped_search(spark, sf):
     """Query request where every query has its own caller (project, owner, allowed projects):
     scope clamp, per-caller visibility on both branches, hybrid ranking, fallback."""
@@ -220,5 +225,6 @@ def q_scoped_search(spark, sf):
     qv = with_embedding(req.select("query_id", "query"), "query", out="vec").select("query_id", "vec")
     sem, fts = S.hybrid(spark, idx, req.select("query_id", "query"), qv, scope=scope)
     res = S.with_fallback(sem, fts)
-    out = C.scored(res.join(idx.select("hash", "importance", "last_accessed"), "hash"), NOW)
-    return out.select("query_id", "hash", "rank", "source", r6("score").alias("score"), "fidelity")
+    out = C.scored(res.join(FX.memories(spark, sf), "hash"), NOW)
+    return out.select("query_id", "hash", "rank", "source", r6("score").alias("score"), "fidelity",
+                      format_memory("fidelity").alias("text"))

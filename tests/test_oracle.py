@@ -53,7 +53,7 @@ def test_every_query_registered_has_docs_or_oracle(queries):
     q, o = queries
     assert len(q) >= 70
     missing = [n for n in q if n not in o]
-    assert set(missing) <= {"kmeans_lloyd", "kmeans_ml", "memory_clusters"}
+    assert set(missing) <= {"kmeans_ml"}
 
 
 def test_entry_smoke(spark):
