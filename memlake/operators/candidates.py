@@ -101,7 +101,18 @@ def candidates_for_requests(mem: DataFrame, req: DataFrame, limit: int = CANDIDA
     Only the best `limit` rows of each list can reach a caller's top `limit`, so every list is
     cut to `limit` with a window group limit before anything is joined; each request then
     joins <= 2 lists of <= `limit` rows. No request is paired with the whole table.
+    Callers of one shape (project, owner) are ranked once, on sort columns only; the rows of the
+    winners are fetched at the end.
     """
+    shape = F.to_json(F.struct(asked(F.col("scope_project")).alias("p"), asked(F.col("owner")).alias("o")))
+    shapes = req.withColumn("_shape", shape).select(F.col("_shape").alias("request_id"), "scope_project", "owner").dropDuplicates(["request_id"])
+    narrow = mem.select("hash", "importance", "last_accessed", "sensitivity", "project", "owner_id")
+    best = _candidates_for_shapes(narrow, shapes, limit).select(F.col("request_id").alias("_shape"), "hash", "rank")
+    return (req.select("request_id", shape.alias("_shape")).join(best, "_shape").drop("_shape").join(mem, "hash")
+            .select("request_id", *mem.columns, "rank"))
+
+
+def _candidates_for_shapes(mem: DataFrame, req: DataFrame, limit: int) -> DataFrame:
     ns = mem.filter(F.col("sensitivity") != "secret")
     sec = mem.filter(F.col("sensitivity") == "secret")
     pub = mem.filter(F.col("sensitivity") == "public")

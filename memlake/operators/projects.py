@@ -34,48 +34,63 @@ def max_edits(length) -> F.Column:
     return F.when(length <= 4, 1).when(length <= 10, 2).otherwise(3)
 
 
-SEGMENTS = 4  # largest edit limit (3) + 1
+MAX_SEGMENTS = 4  # largest edit limit (3) + 1
 
 
-def _seg_start(L, i):
-    """0-based start of segment i of a length-L string cut into 4 (the last L % 4 are longer)."""
-    base, extra = F.floor(L / SEGMENTS), L % SEGMENTS
-    return i * base + F.greatest(F.lit(0), i - (SEGMENTS - extra))
+def _seg_start(L, i, S):
+    """0-based start of segment i of a length-L string cut into S (the last L % S are longer)."""
+    base, extra = F.floor(L / S), L % S
+    return i * base + F.greatest(F.lit(0), i - (S - extra))
 
 
-def _seg_len(L, i):
-    base, extra = F.floor(L / SEGMENTS), L % SEGMENTS
-    return base + F.when(i >= SEGMENTS - extra, 1).otherwise(0)
+def _seg_len(L, i, S):
+    base, extra = F.floor(L / S), L % S
+    return base + F.when(i >= S - extra, 1).otherwise(0)
 
 
 def _segment_candidates(live: DataFrame, nm: DataFrame) -> DataFrame:
-    """(incoming, t, name, cnt, lname) pairs sharing an exactly placed segment."""
-    segs = (nm.filter(F.col("nlen") >= SEGMENTS)
-            .select("name", "cnt", "lname", "nlen", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))).alias("i"))
-            .select("name", "cnt", "lname", "nlen", "i",
-                    F.substring("lname", (_seg_start(F.col("nlen"), F.col("i")) + 1).cast("int"),
-                                _seg_len(F.col("nlen"), F.col("i")).cast("int")).alias("seg")))
+    """(incoming, t, name, cnt, lname) pairs sharing an exactly placed segment. A name is cut into one segment more
+    than the incoming name may have edits, so one segment is untouched; short names get long segments."""
+    cuts = nm.select("name", "cnt", "lname", "nlen", F.explode(F.sequence(F.lit(2), F.lit(MAX_SEGMENTS))).alias("S"))
+    segs = (cuts.filter(F.col("nlen") >= F.col("S"))
+            .select("name", "cnt", "lname", "nlen", "S", F.explode(F.sequence(F.lit(0), F.col("S") - 1)).alias("i"))
+            .select("name", "cnt", "lname", "nlen", "S", "i",
+                    F.substring("lname", (_seg_start(F.col("nlen"), F.col("i"), F.col("S")) + 1).cast("int"),
+                                _seg_len(F.col("nlen"), F.col("i"), F.col("S")).cast("int")).alias("seg")))
     tl = F.length("t")
     d = max_edits(tl)
-    keys = (live.select("incoming", "t", F.explode(F.sequence(F.greatest(tl - d, F.lit(SEGMENTS)), tl + d)).alias("L"))
+    keys = (live.select("incoming", "t", (d + 1).alias("S"), F.explode(F.sequence(F.greatest(tl - d, d + 1), tl + d)).alias("L"))
             .filter(F.col("L") <= tl + d)        # empty range when the name is too short
-            .select("incoming", "t", "L", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))).alias("i")))
-    st, ln = _seg_start(F.col("L"), F.col("i")), _seg_len(F.col("L"), F.col("i"))
-    keys = keys.select("incoming", "t", "L", "i", ln.alias("ln"), F.explode(F.sequence(st - d, st + d)).alias("q"))
+            .select("incoming", "t", "S", "L", F.explode(F.sequence(F.lit(0), F.col("S") - 1)).alias("i")))
+    st, ln = _seg_start(F.col("L"), F.col("i"), F.col("S")), _seg_len(F.col("L"), F.col("i"), F.col("S"))
+    keys = keys.select("incoming", "t", "S", "L", "i", ln.alias("ln"), F.explode(F.sequence(st - d, st + d)).alias("q"))
     keys = keys.filter((F.col("q") >= 0) & (F.col("q") + F.col("ln") <= tl))
-    keys = keys.select("incoming", "t", "L", "i",
+    keys = keys.select("incoming", "t", "S", "L", "i",
                        F.substring(F.lower("t"), (F.col("q") + 1).cast("int"), F.col("ln").cast("int")).alias("seg"))
-    j = keys.join(segs, (F.col("L") == F.col("nlen")) & (keys["i"] == segs["i"]) & (keys["seg"] == segs["seg"]))
+    j = keys.join(segs, (F.col("L") == F.col("nlen")) & (keys["S"] == segs["S"]) & (keys["i"] == segs["i"]) & (keys["seg"] == segs["seg"]))
     return j.select("incoming", "t", "name", "cnt", "lname").distinct()
 
 
+def _deletions(df: DataFrame, text: str, times) -> DataFrame:
+    """`df` with `del`: the text with up to `times` (a column, at most 3) characters left out."""
+    out = df.withColumn("del", F.lower(text)).withColumn("_left", times)
+    step = out
+    for _ in range(MAX_SEGMENTS - 1):
+        step = (step.filter((F.col("_left") > 0) & (F.length("del") > 0))
+                .withColumn("_i", F.explode(F.sequence(F.lit(1), F.length("del"))))
+                .withColumn("del", F.concat(F.substring("del", F.lit(1), F.col("_i") - 1), F.substr("del", F.col("_i") + 1)))
+                .withColumn("_left", F.col("_left") - 1).drop("_i"))
+        out = out.unionByName(step)
+    return out.drop("_left").distinct()
+
+
 def _short_candidates(live: DataFrame, nm: DataFrame) -> DataFrame:
-    """Known names shorter than 4 chars, paired by length window (a small, bounded set)."""
-    short = nm.filter(F.col("nlen") < SEGMENTS)
+    """Known names with fewer characters than segments (at most 3), met on what is left after deletions."""
     tl = F.length("t")
-    w = live.select("incoming", "t", F.explode(F.sequence(tl - max_edits(tl), tl + max_edits(tl))).alias("L"))
-    return (w.join(short, F.col("L") == F.col("nlen"))
-            .select("incoming", "t", "name", "cnt", "lname"))
+    short = _deletions(nm.filter(F.col("nlen") < MAX_SEGMENTS).select("name", "cnt", "lname"), "lname", F.lit(MAX_SEGMENTS - 1))
+    near = live.filter(tl < 2 * MAX_SEGMENTS - 1).select("incoming", "t")
+    return (_deletions(near, "t", max_edits(tl)).join(short, "del")
+            .select("incoming", "t", "name", "cnt", "lname").distinct())
 
 
 def resolve(incoming: DataFrame, names: DataFrame, col: str = "incoming") -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from memlake.functions.decay import decay_score
 from memlake.functions.visibility import asked, visible
 
-PREFIX_BLOCK = 4  # recall prefixes have at least 4 chars, so 4 chars are an exact join key
+MIN_PREFIX = 4   # shorter recall prefixes are not answered
+ID_CHARS = 64    # ids have at most so many chars (the hash they are cut from), so there are few prefix lengths
 
 
 def lookup(mem: DataFrame, keys: DataFrame, key: str = "hash") -> DataFrame:
@@ -19,21 +20,19 @@ def lookup(mem: DataFrame, keys: DataFrame, key: str = "hash") -> DataFrame:
 def recall_by_prefix(mem: DataFrame, req: DataFrame, now: int, owner=None) -> DataFrame:
     """Recall request for many requests `(request_id, prefix)`.
 
-    Equi join on the first 4 chars, then `startswith` on the whole lower-cased prefix; one
-    match per request (smallest hash). Returns the pre-touch score and the touched
-    last_accessed / access_count (the reheat). Visibility is applied to recall as well.
+    Prefixes of at least 4 chars are matched by equality, one length at a time, on rows of the id
+    alone; one match per request (smallest hash), whose row is then fetched. Returns the pre-touch score and the
+    touched last_accessed / access_count (the reheat). Visibility is applied to recall as well.
     """
-    r = (req.withColumn("_p", F.lower(F.col("prefix")))
-         .filter(F.length("_p") >= PREFIX_BLOCK)
-         .withColumn("_blk", F.substring("_p", 1, PREFIX_BLOCK)))
-    m = (mem.filter(visible(None, owner))
-         .withColumn("_blk", F.substring("hash", 1, PREFIX_BLOCK)))
-    hits = (r.join(m, "_blk").filter(F.startswith(F.col("hash"), F.col("_p")))
-            .groupBy("request_id")
-            .agg(F.min_by(F.struct("hash", "importance", "last_accessed", "access_count", "project",
-                                   "full_text", "summary_text", "context_log", "tags"),
-                          F.col("hash")).alias("m"))
-            .select("request_id", "m.*"))
+    r = req.withColumn("_p", F.lower(F.col("prefix"))).filter(F.length("_p") >= MIN_PREFIX)
+    seen = mem.filter(visible(None, owner))
+    asked_for = r.select("_p").distinct()
+    lengths = sorted(x[0] for x in asked_for.select(F.length("_p")).distinct().filter(f"length(_p) <= {ID_CHARS}").collect())
+    ids = seen.select("hash", F.explode(F.array(*[F.substring("hash", 1, n) for n in lengths] or [F.lit("")])).alias("_p"))
+    first = (ids.join(asked_for, "_p").groupBy("_p").agg(F.min("hash").alias("hash"))
+             .join(r.select("request_id", "_p"), "_p").select("request_id", "hash"))
+    hits = first.join(seen.select("hash", "importance", "last_accessed", "access_count", "project",
+                                  "full_text", "summary_text", "context_log", "tags"), "hash")
     return hits.select(
         "request_id", "hash", "importance",
         decay_score(now=now).alias("score"),
@@ -49,8 +48,8 @@ def visible_counts(req: DataFrame, mem: DataFrame) -> DataFrame:
     """Per request (request_id, project, owner): how many memories it may see, and their
     importance sum, without pairing every request with every row.
 
-    Memories are first reduced to (sensitivity, project, owner) groups. With a project asked,
-    every visible row lies in that project: an equi join on project. Without one, public rows
+    Memories are first reduced: non-secret ones per project, secret ones per (project, owner). With a
+    project asked, a request meets one row of each by equality. Without one, public rows
     (or all non-secret rows in legacy mode) are one global figure - a scalar subquery - and
     secret rows join on owner.
     """
@@ -58,10 +57,19 @@ def visible_counts(req: DataFrame, mem: DataFrame) -> DataFrame:
          .agg(F.count("*").alias("n"), F.sum("importance").alias("imp")))
     rp = req.select("request_id", asked(F.col("project")).alias("r_project"), asked(F.col("owner")).alias("r_owner"))
 
+    known = F.col("sensitivity").isin("public", "internal")
+    open_rows = (g.filter(F.col("sensitivity") != "secret").groupBy("project")
+                 .agg(F.sum("n").alias("an"), F.sum("imp").alias("aimp"), F.sum(F.when(known, F.col("n"))).alias("kn"),
+                      F.sum(F.when(known, F.col("imp"))).alias("kimp")))
+    own_rows = g.filter(F.col("sensitivity") == "secret").select(
+        F.col("project").alias("s_project"), F.col("owner_id").alias("s_owner"), F.col("n").alias("pn"), F.col("imp").alias("pimp"))
+
+    def total(legacy, known, own):
+        return F.when(F.col("r_owner").isNull(), F.coalesce(legacy, F.lit(0))).otherwise(F.coalesce(known, F.lit(0)) + F.coalesce(own, F.lit(0)))
     with_p = (rp.filter(F.col("r_project").isNotNull())
-              .join(g, F.col("project") == F.col("r_project"))
-              .filter(visible(F.col("r_project"), F.col("r_owner")))
-              .groupBy("request_id").agg(F.sum("n").alias("n"), F.sum("imp").alias("imp")))
+              .join(open_rows, F.col("project") == F.col("r_project"), "left")
+              .join(own_rows, (F.col("s_project") == F.col("r_project")) & (F.col("s_owner") == F.col("r_owner")), "left")
+              .select("request_id", total("an", "kn", "pn").alias("n"), total("aimp", "kimp", "pimp").alias("imp")))
 
     pub = g.filter(F.col("sensitivity") == "public")
     non_secret = g.filter(F.col("sensitivity") != "secret")
