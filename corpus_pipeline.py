@@ -10,6 +10,8 @@ told by its id and text. Empty tables give empty results.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from memlake.llm.mixing import mix_sources
 from memlake.llm.packing import pack_documents
 from memlake.llm.quality import grades_from_labels, score_documents, train
 from memlake.llm.simhash import MAX_BITS, SHINGLE_WORDS, near_duplicates
+from memlake.session import prepare_session
 from memlake.sources.tables import read_table
 
 
@@ -56,8 +59,17 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs)
 
 
-STAGES = [("quality classifier", keep_good), ("SimHash near-dedup", drop_near_duplicates),
-          ("benchmark decontamination", drop_leaks), ("mixing sources", mix), ("token packing", pack)]
+def _ready(stage):
+    """The stage on a session whose executors have the package."""
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        prepare_session(spark)
+        return stage(spark, docs, sf_dir)
+    return run_stage
+
+
+STAGES = [("quality classifier", _ready(keep_good)), ("SimHash near-dedup", _ready(drop_near_duplicates)),
+          ("benchmark decontamination", _ready(drop_leaks)), ("mixing sources", _ready(mix)), ("token packing", _ready(pack))]
 
 #: SQL can express neither the classifier nor the tokeniser; tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
