@@ -112,14 +112,12 @@ def ingest_files(files: DataFrame, now: int, size: int = CHUNK_SIZE, separator:
     return out
 
 
-def ingest_summary(ingested: DataFrame) -> DataFrame:
-    """Per file: chunk count, original length, token estimate, short chunk ids in order.
-
-    The id list of one file is bounded by its chunk count (document size / chunk size).
-    """
-    return (ingested.groupBy("path")
-            .agg(F.max("n_chunks").alias("chunks"), F.max("total_chars").alias("total_chars"),
-                 F.sort_array(F.collect_list(F.struct("chunk_index", short_id("hash").alias("h7")))).alias("_ids"))
-            .select("path", "chunks", F.col("total_chars").cast("bigint").alias("total_chars"),
-                    token_estimate("total_chars").alias("token_estimate"),
-                    F.array_join(F.transform("_ids", lambda x: x["h7"]), ",").alias("chunk_hashes")))
+def ingest_summary(files: DataFrame, now: int, size: int = CHUNK_SIZE, separator: str = CHUNK_SEPARATOR) -> DataFrame:
+    """Per file `(path, content)`: chunk count, original length, token estimate, short chunk ids in order. All from
+    the file's own row, so nothing is shuffled; files without a chunk give no row."""
+    n = files.select("path", F.length("content").alias("total_chars"), F.size(chunk_array("content", size, separator)).alias("chunks"))
+    ids = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: short_id(
+        content_id(F.col("path"), ":chunk", i.cast("string"), ":", str(now))))
+    return n.filter(F.col("chunks") > 0).select(
+        "path", "chunks", F.col("total_chars").cast("bigint").alias("total_chars"),
+        token_estimate("total_chars").alias("token_estimate"), F.array_join(ids, ",").alias("chunk_hashes"))

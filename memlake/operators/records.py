@@ -104,6 +104,18 @@ def session_rollup(turns: DataFrame) -> DataFrame:
         F.col("created_at").cast("bigint").alias("created_at"))
 
 
+def session_turns(turns: DataFrame) -> DataFrame:
+    """The stored turns of every session: (id, turn, role, content). The id is worked out in the row."""
+    return turns.select(content_id((F.col("logged_at") * 1000).cast("string"), ":", F.col("title")).alias("id"),
+                        "turn", "role", "content")
+
+
+def store_sessions(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Sessions after a log-session batch: a session logged again replaces the stored one of its id."""
+    n = new.select(*stored.columns)
+    return stored.join(n.select("id").distinct(), "id", "left_anti").unionByName(n)
+
+
 def recent_sessions(sessions: DataFrame, limit: int = 50) -> DataFrame:
     return (sessions.select("id", "memory_hash", "project", "title", "token_count", "created_at")
             .orderBy(F.desc("created_at"), "id").limit(limit))

@@ -58,6 +58,10 @@ top AS (SELECT {tier_sql(SCORE_SQL)} AS f FROM memories WHERE sensitivity <> 'se
 SELECT (SELECT count(*) FROM memories) AS total_memories,
        (SELECT count(DISTINCT coalesce(project, '_untagged')) FROM memories) AS n_projects,
        (SELECT count(DISTINCT memory_type) FROM memories) AS n_types,
+       (SELECT string_agg(concat(p, '=', n), ',' ORDER BY p) FROM (
+          SELECT coalesce(project, '_untagged') AS p, count(*) AS n FROM memories GROUP BY 1)) AS by_project,
+       (SELECT string_agg(concat(t, '=', n), ',' ORDER BY t) FROM (
+          SELECT memory_type AS t, count(*) AS n FROM memories GROUP BY 1)) AS by_type,
        {', '.join(f"count(*) FILTER (WHERE f = '{t}') AS {t}" for t in TIERS)},
        CAST({half_life_hours()} AS BIGINT) AS half_life_hours
 FROM top""")
@@ -66,11 +70,17 @@ def q_status_summary(spark, sf):
     m = FX.memories(spark, sf)
     tiers = C.fidelity_distribution_top(spark, m, NOW).agg(
         *[F.coalesce(F.sum(F.when(F.col("fidelity") == t, F.col("n"))), F.lit(0)).cast("bigint").alias(t) for t in TIERS])
-    totals = m.agg(F.count("*").alias("total_memories"),
-                   F.countDistinct(F.coalesce("project", F.lit("_untagged"))).alias("n_projects"),
-                   F.countDistinct("memory_type").alias("n_types"))
+    # one pass; the answer itself lists every project and type with its count
+    groups = m.groupBy(F.coalesce("project", F.lit("_untagged")).alias("p"), F.col("memory_type").alias("t")).agg(F.count("*").alias("n"))
+
+    def listed(df, key):
+        return df.groupBy(key).agg(F.sum("n").alias("n")).agg(F.array_join(F.transform(
+            F.sort_array(F.collect_list(F.struct(key, "n"))), lambda s: F.concat_ws("=", s[key], s["n"].cast("string"))), ",")).scalar()
+    totals = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_memories"), F.countDistinct("p").alias("n_projects"),
+                        F.countDistinct("t").alias("n_types"), F.first(listed(groups, "p")).alias("by_project"),
+                        F.first(listed(groups, "t")).alias("by_type"))
     sample = tiers.first()  # one row of five counts
-    return totals.select("total_memories", "n_projects", "n_types", *[F.lit(sample[t]).alias(t) for t in TIERS],
+    return totals.select("total_memories", "n_projects", "n_types", "by_project", "by_type", *[F.lit(sample[t]).alias(t) for t in TIERS],
                          F.lit(half_life_hours()).cast("bigint").alias("half_life_hours"))
 
 

@@ -170,5 +170,4 @@ SELECT path, max(n_chunks) AS chunks, CAST(max(total_chars) AS BIGINT) AS total_
   string_agg(h7, ',' ORDER BY chunk_index) AS chunk_hashes
 FROM ids GROUP BY path""")
 def q_ingest_summary(spark, sf):
-    i = D.ingest_files(FX.document_files(spark, sf), NOW, size=500, separator=r"\n+", embed=False)
-    return D.ingest_summary(i)
+    return D.ingest_summary(FX.document_files(spark, sf), NOW, size=500, separator=r"\n+")

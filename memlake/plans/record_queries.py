@@ -100,12 +100,14 @@ def q_session_rollup(spark, sf):
 
 
 @register("session_lookup", f"""{SESSIONS_SQL}
-SELECT id, title, token_count FROM sessions WHERE conv_id IN (SELECT doc_id FROM labels)""")
+SELECT s.id, s.title, s.token_count, c.turn, c.role, c.content
+FROM sessions s JOIN chat_session_inputs c USING (conv_id) WHERE conv_id IN (SELECT doc_id FROM labels)""")
 def q_session_lookup(spark, sf):
-    """getSession for the sessions of labelled conversations (semi join on id)."""
-    s = _sessions(spark, sf)
-    keys = s.join(read_table(spark, sf, "labels").select(F.col("doc_id").alias("conv_id")), "conv_id", "left_semi")
-    return s.join(keys.select("id"), "id", "left_semi").select("id", "title", "token_count")
+    """The sessions of labelled conversations with their turns; the turns are narrowed to them first."""
+    wanted = read_table(spark, sf, "labels").select(F.col("doc_id").alias("conv_id"))
+    turns = FX.chat_session_inputs(spark, sf).join(wanted, "conv_id", "left_semi")
+    heads = RC.session_rollup(turns).select("id", "title", "token_count")
+    return heads.join(RC.session_turns(turns), "id").select("id", "title", "token_count", "turn", "role", "content")
 
 
 @register("sessions_by_project", f"""{SESSIONS_SQL}
