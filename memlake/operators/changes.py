@@ -115,7 +115,8 @@ def attach_embeddings(mem: DataFrame, vectors: DataFrame) -> DataFrame:
 
     Several vectors for one memory collapse to one first (the latest by `arrival` when that
     column exists, else a deterministic pick), so the join never duplicates a memory."""
-    order = F.col("arrival") if "arrival" in vectors.columns else F.xxhash64("embedding")
+    by = F.col("arrival") if "arrival" in vectors.columns else F.lit(None).cast("bigint")
+    order = F.struct(by.isNotNull(), by, F.xxhash64("embedding"))
     one = vectors.groupBy("hash").agg(F.max_by("embedding", order).alias("embedding"))
     return mem.join(one, "hash", "left")
 

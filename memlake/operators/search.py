@@ -22,6 +22,7 @@ from memlake.config import BM25_B, BM25_K1, FTS_BOOST, IDF_FLOOR, SEARCH_LIMIT,
 from memlake.functions.embed import memory_embed_text, with_embedding
 from memlake.functions.text import JS_SPACE
 from memlake.functions.visibility import visible
+from memlake.operators.changes import attach_embeddings
 from memlake.session import materialize as _materialize
 
 TERM_PATTERN = r"[\p{L}\p{N}]+"
@@ -49,18 +50,37 @@ def postings(mem: DataFrame) -> DataFrame:
     return mem.select("hash", F.inline(_field_terms()))
 
 
+def unit(vec) -> F.Column:
+    """The vector as doubles of length 1 (a zero vector stays)."""
+    v = F.transform(vec, lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
+
+
+def stored_vectors(mem: DataFrame, vectors: DataFrame) -> DataFrame:
+    """`mem` with `vec`: the unit form of its stored vector (`vectors(hash, embedding)`, of any size); memories
+    without one get the local embedding of their text."""
+    have = attach_embeddings(mem, vectors)
+    given = have.filter(F.col("embedding").isNotNull()).withColumn("vec", unit(F.col("embedding"))).drop("embedding")
+    local = with_embedding(have.filter(F.col("embedding").isNull()).drop("embedding").withColumn("_text", memory_embed_text()),
+                           "_text", out="vec").drop("_text", "vec_sparse")
+    return given.unionByName(local)
+
+
 def build_index(mem: DataFrame, vectors: bool = False, materialize: bool = True) -> DataFrame:
     """The search index: one row per memory with its terms (field, pos, term), length, the
     attributes visibility needs, the fields results show and, with `vectors`, the unit
-    embedding of summary + essence + tags.
+    embedding of summary + essence + tags, or the row's own `vec` where `mem` has that column
+    (see `stored_vectors`).
 
     Built in one pass and written once with a reliable checkpoint (the shared
     spark.checkpoint.dir): full-text and vector search and the result shaping all read it,
     so the memory rows are derived once however many joins a search needs."""
     idx = mem.select("hash", _field_terms().alias("terms"), "sensitivity", "project", "owner_id",
-                     "importance", "last_accessed", "tags", memory_embed_text().alias("embed_text"))
+                     "importance", "last_accessed", "tags", memory_embed_text().alias("embed_text"),
+                     *(["vec"] if vectors and "vec" in mem.columns else []))
     idx = idx.withColumn("dl", F.size("terms").cast("long"))
-    if vectors:
+    if vectors and "vec" not in mem.columns:
         idx = with_embedding(idx, "embed_text", out="vec", keep_dense=True).drop("vec_sparse")
     idx = idx.drop("embed_text")
     return _materialize(idx, "search_index") if materialize else idx
@@ -264,16 +284,18 @@ def vector_topk(spark: SparkSession, mem_vec: DataFrame, qvec: DataFrame, k: int
 
 def hybrid(spark: SparkSession, index: DataFrame, queries: DataFrame, qvec: DataFrame,
            limit: int = SEARCH_LIMIT, owner=None, project=None,
-           scope: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+           scope: DataFrame | None = None, limits: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Query request with a query text, for many queries at once, over a search index built
     with vectors.
 
     Returns (semantic, fulltext): semantic = cosine + boost for the query's full-text hits,
     kept above 0.25, best `limit`; fulltext = best 2 x limit BM25 hits. Both branches obey
-    visibility.
+    visibility. `limits(query_id, limit)` gives each query a limit of its own.
     """
+    if limits is not None:
+        limit = limits.agg(F.max("limit")).first()[0] or limit
     # small (<= 2 x limit rows per query) and read twice: written once to the checkpoint folder
-    fts = _materialize(bm25_top(index, queries, 2 * limit, owner, project, scope), "fts_hits")
+    fts = _materialize(_within(bm25_top(index, queries, 2 * limit, owner, project, scope), limits, "pos", 2), "fts_hits")
     # only rows that have an embedding take part in the semantic branch
     with_vec = index.filter(F.col("vec").isNotNull() & (F.size("vec") > 0))
     if scope is None:
@@ -284,13 +306,22 @@ def hybrid(spark: SparkSession, index: DataFrame, queries: DataFrame, qvec: Data
         q = qvec.join(scope.select("query_id", "scope_project", "owner"), "query_id")
     sem = vector_topk(spark, rows, q, k=limit, cut=SIMILARITY_CUT, boost_pairs=fts.select("query_id", "hash"),
                       scoped=scope is not None)
-    return sem, fts
+    return _within(sem, limits, "rank"), fts
+
+
+def _within(hits: DataFrame, limits: DataFrame | None, place: str, times: int = 1) -> DataFrame:
+    """The hits whose place is within `times` the query's own limit (all without `limits`)."""
+    if limits is None:
+        return hits
+    own = limits.select(F.col("query_id").alias("_q"), (F.col("limit") * times).alias("_limit"))
+    return hits.join(own, F.col("query_id") == F.col("_q")).filter(F.col(place) <= F.col("_limit")).drop("_q", "_limit")
 
 
-def with_fallback(sem: DataFrame, fts: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:
+def with_fallback(sem: DataFrame, fts: DataFrame, limit: int = SEARCH_LIMIT, limits: DataFrame | None = None) -> DataFrame:
     """Semantic results, or the first `limit` full-text hits for queries with none."""
     answered = sem.select("query_id").distinct()
-    fb = (fts.join(answered, "query_id", "left_anti").filter(F.col("pos") <= limit)
+    few = fts.filter(F.col("pos") <= limit) if limits is None else _within(fts, limits, "pos")
+    fb = (few.join(answered, "query_id", "left_anti")
           .select("query_id", "hash", F.col("pos").alias("rank"), F.lit("fulltext").alias("source")))
     return (sem.select("query_id", "hash", "rank", F.lit("semantic").alias("source"))
             .unionByName(fb))

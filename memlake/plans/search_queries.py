@@ -16,6 +16,7 @@ from memlake.plans.context_queries import TEXT_SQL
 from memlake.plans.document_queries import MEM_TEXT_SQL, embed_sql, memory_text
 from memlake.plans.memory_queries import SCORE_SQL, tier_sql
 from memlake.sources import fixtures as FX
+from memlake.sources.tables import read_table
 
 TERM = r"[\p{L}\p{N}]+"
 
@@ -173,7 +174,7 @@ SCOPE_SQL = """sq AS (
     CASE WHEN r.allowed IS NULL THEN r.project
          WHEN r.project IS NOT NULL AND list_contains(r.allowed, r.project) THEN r.project
          ELSE r.allowed[1] END AS sp,
-    r.owner AS so
+    r.owner AS so, s.query_id % 13 + 1 AS lim
   FROM search_requests s JOIN requests r ON r.request_id = s.query_id // 10000)"""
 
 PAIR_VIS = """(CASE WHEN q.so IS NULL THEN m.sensitivity <> 'secret'
@@ -185,7 +186,7 @@ FTS_SCOPED = f"""fts AS (
   SELECT b.query_id, b.hash, b.rank, row_number() OVER (PARTITION BY b.query_id ORDER BY round(b.rank, 9), b.hash) AS pos
   FROM bm_match b JOIN sq q ON q.query_id = b.query_id JOIN memories m ON m.hash = b.hash
   WHERE {PAIR_VIS}
-  QUALIFY pos <= 20)"""
+  QUALIFY pos <= 2 * q.lim)"""
 
 SCOPED_SQL = f"""{SCOPE_SQL},
 {BM25_TMPL.format(TERM=TERM, JS_SPACE=JS_SPACE, FTS=FTS_SCOPED)},
@@ -201,13 +202,13 @@ boosted AS (
   SELECT s.query_id, s.hash, round(s.cos_raw + CASE WHEN f.hash IS NOT NULL THEN 0.5 ELSE 0.0 END, 9) AS sim_key
   FROM sims s LEFT JOIN fts f ON f.query_id = s.query_id AND f.hash = s.hash),
 sem AS (
-  SELECT query_id, hash, row_number() OVER (PARTITION BY query_id ORDER BY sim_key DESC, hash) AS rank
-  FROM boosted WHERE sim_key > 0.25 QUALIFY rank <= 10),
+  SELECT b.query_id, b.hash, row_number() OVER (PARTITION BY b.query_id ORDER BY b.sim_key DESC, b.hash) AS rank
+  FROM boosted b JOIN sq q USING (query_id) WHERE sim_key > 0.25 QUALIFY rank <= q.lim),
 res AS (
   SELECT query_id, hash, rank, 'semantic' AS source FROM sem
   UNION ALL
-  SELECT query_id, hash, pos AS rank, 'fulltext' AS source FROM fts
-  WHERE pos <= 10 AND query_id NOT IN (SELECT query_id FROM sem))"""
+  SELECT f.query_id, f.hash, f.pos AS rank, 'fulltext' AS source FROM fts f JOIN sq q USING (query_id)
+  WHERE f.pos <= q.lim AND f.query_id NOT IN (SELECT query_id FROM sem))"""
 
 
 @register("scoped_search", f"""
@@ -217,14 +218,65 @@ FROM (SELECT r.query_id, r.rank, r.source, m.*, {SCORE_SQL} AS score, {tier_sql(
       FROM res r JOIN memories m USING (hash))""")
 def q_scoped_search(spark, sf):
     """Query request where every query has its own caller (project, owner, allowed projects):
-    scope clamp, per-caller visibility on both branches, hybrid ranking, fallback."""
+    scope clamp, per-caller visibility on both branches, hybrid ranking, fallback, the caller's own limit."""
     from memlake.functions.visibility import scope_clamp
     req = FX.scoped_search_requests(spark, sf)
     scope = req.select("query_id", scope_clamp("project", "allowed").alias("scope_project"), "owner")
     idx = S.build_index(FX.memories(spark, sf), vectors=True)
     qv = with_embedding(req.select("query_id", "query"), "query", out="vec").select("query_id", "vec")
-    sem, fts = S.hybrid(spark, idx, req.select("query_id", "query"), qv, scope=scope)
-    res = S.with_fallback(sem, fts)
+    limits = req.select("query_id", "limit")
+    sem, fts = S.hybrid(spark, idx, req.select("query_id", "query"), qv, scope=scope, limits=limits)
+    res = S.with_fallback(sem, fts, limits=limits)
     out = C.scored(res.join(FX.memories(spark, sf), "hash"), NOW)
     return out.select("query_id", "hash", "rank", "source", r6("score").alias("score"), "fidelity",
                       format_memory("fidelity").alias("text"))
+
+
+# ---------------------------------------------------------------- stored vectors
+
+STORED_SQL = f"""msrc AS (SELECT hash, {MEM_TEXT_SQL} AS t FROM memories_d WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)),
+{embed_sql('msrc', 'hash', 't', 'me')},
+local_vec AS (
+  SELECT g.hash, list(coalesce(s.w, 0.0) ORDER BY g.b) AS vec
+  FROM (SELECT hash, unnest(range(128)) AS b FROM msrc) g LEFT JOIN me_sparse s ON s.id = g.hash AND s.b = g.b GROUP BY g.hash),
+stored AS (
+  SELECT m.hash, list_transform(e.embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(e.embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS vec
+  FROM memories_d m JOIN embeddings e ON e.vec_id = m.doc_id
+  UNION ALL SELECT hash, vec FROM local_vec)"""
+
+
+def _stored(spark, sf):
+    """Memories with their stored vectors: the `embeddings` row of their document, where there is one."""
+    vec = (read_table(spark, sf, "embeddings").select("vec_id", "embedding")
+           .join(FX.memories_with_doc(spark, sf).select(F.col("doc_id").alias("vec_id"), "hash"), "vec_id").drop("vec_id"))
+    return S.stored_vectors(FX.memories(spark, sf), vec)
+
+
+@register("embedding_scan_stored", f"""
+{STORED_SQL}
+SELECT s.hash, m.importance, m.last_accessed, array_to_string(m.tags, ',') AS tags, CAST(pos AS BIGINT) AS pos, round(x, 6) AS value
+FROM (SELECT hash, unnest(vec) AS x, unnest(range(len(vec))) AS pos FROM stored) s JOIN memories m USING (hash)
+WHERE m.sensitivity <> 'secret' AND m.project = 'src3'""")
+def q_embedding_scan_stored(spark, sf):
+    """Embedding scan of a project over stored vectors: every component of every vector, one row each."""
+    v = _stored(spark, sf).filter(visible("src3"))
+    return v.select("hash", "importance", "last_accessed", joined("tags").alias("tags"), F.posexplode("vec").alias("pos", "x")).select(
+        "hash", "importance", "last_accessed", "tags", F.col("pos").cast("bigint").alias("pos"), r6("x").alias("value"))
+
+
+@register("stored_vector_topk", f"""
+{STORED_SQL},
+asked AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 50 = 0),
+sims AS (
+  SELECT q.query_id, s.hash, CASE WHEN len(s.vec) = len(q.embedding) THEN list_cosine_similarity(s.vec, q.embedding::DOUBLE[]) ELSE 0.0 END AS sim
+  FROM asked q CROSS JOIN stored s JOIN memories m USING (hash) WHERE m.sensitivity <> 'secret')
+SELECT query_id, hash, round(sim, 6) AS sim, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, hash) AS rank
+FROM sims QUALIFY rank <= 10""")
+def q_stored_vector_topk(spark, sf):
+    """Cosine top-10 over stored vectors of two sizes (other sizes than the query's score 0); the queries are the
+    vectors whose id is divisible by 50."""
+    asked = (read_table(spark, sf, "embeddings").filter(F.col("vec_id") % 50 == 0)
+             .select(F.col("vec_id").alias("query_id"), S.unit(F.col("embedding")).alias("vec")))
+    mem = S._materialize(_stored(spark, sf).filter(visible()).select("hash", "vec"), "stored_vectors")
+    t = S.vector_topk(spark, mem, asked, k=10)
+    return t.select("query_id", "hash", r6("sim").alias("sim"), "rank")

@@ -105,11 +105,11 @@ def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scoped_search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search workload where every query carries its caller: the asked project, owner and
-    allowed-project list of the `requests` row of its benchmark item."""
+    allowed-project list of the `requests` row of its benchmark item, and a limit of its own."""
     q = search_requests(spark, sf_dir)
     r = requests(spark, sf_dir).withColumnRenamed("request_id", "item_id")
     return (q.withColumn("item_id", F.floor(F.col("query_id") / 10000).cast("long"))
-            .join(r, "item_id").drop("item_id"))
+            .join(r, "item_id").drop("item_id").withColumn("limit", (F.col("query_id") % 13 + 1).cast("int")))
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
