@@ -100,29 +100,42 @@ def q_sync_counts(spark, sf):
     return exported.select("exported", removed.alias("gc_removed"), synced.alias("synced"))
 
 
-MEMORY_CLUSTERS_SQL = f"""msrc AS (SELECT hash, {MEM_TEXT_SQL} AS t FROM memories WHERE sensitivity <> 'secret'),
+def clusters_sql(where: str, k: int) -> str:
+    return f"""msrc AS (SELECT hash, {MEM_TEXT_SQL} AS t FROM memories WHERE {where}),
 {embed_sql('msrc', 'hash', 't', 'me')},
 items AS MATERIALIZED (
   SELECT g.hash, list(coalesce(s.w, 0.0) ORDER BY g.b) AS vec
   FROM (SELECT hash, unnest(range(128)) AS b FROM msrc) g LEFT JOIN me_sparse s ON s.id = g.hash AND s.b = g.b GROUP BY g.hash),
-{lloyd_sql("items")},
+{lloyd_sql("items", k)},
 asg AS (SELECT a.hash, a.c AS cluster_id, m.tags FROM kmeans_end a JOIN memories m USING (hash)),
 tc AS (SELECT cluster_id, tag, count(*) AS cnt FROM (SELECT cluster_id, unnest(tags) AS tag FROM asg) GROUP BY 1, 2),
 tt AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY cnt DESC, tag) AS rank FROM tc QUALIFY rank <= 5),
 sm AS (SELECT cluster_id, hash, row_number() OVER (PARTITION BY cluster_id ORDER BY hash) AS rn FROM asg QUALIFY rn <= 5)
-SELECT CAST(z.cluster_id AS BIGINT) AS cluster_id, z.size, t.top_tags, s.sample_ids
+SELECT CAST(z.cluster_id AS BIGINT) AS cluster_id, z.size, t.top_tags, s.sample_ids, (SELECT count(*) FROM asg) AS total,
+       (SELECT count(DISTINCT cluster_id) FROM asg) AS n_clusters
 FROM (SELECT cluster_id, count(*) AS size FROM asg GROUP BY 1) z
 JOIN (SELECT cluster_id, string_agg(tag, ',' ORDER BY rank) AS top_tags FROM tt GROUP BY 1) t USING (cluster_id)
 JOIN (SELECT cluster_id, string_agg(substr(hash, 1, 7), ',' ORDER BY rn) AS sample_ids FROM sm GROUP BY 1) s USING (cluster_id)"""
 
 
-@register("memory_clusters", MEMORY_CLUSTERS_SQL)
+@register("memory_clusters", clusters_sql("sensitivity <> 'secret'", 5))
 def q_memory_clusters(spark, sf):
     """Clusters request: k-means (k=5) over the visible memories' own embeddings, with size,
     top-5 tags and 5 sample ids per cluster."""
-    m = FX.memories(spark, sf).filter(visible())
-    items = with_embedding(memory_text(m), "embed_text", out="vec").select("hash", "vec", "tags")
-    assigned, _, _ = K.lloyd(spark, items)
+    return clusters(spark, FX.memories(spark, sf))
+
+
+@register("caller_clusters", clusters_sql("""coalesce(sensitivity = 'public' OR (sensitivity = 'internal' AND project = 'src3')
+  OR (sensitivity = 'secret' AND owner_id = 'user_3'), false) AND project = 'src3'""", 3))
+def q_caller_clusters(spark, sf):
+    """Clusters request of one caller: asked project src3 (allowed), owner user_3, k=3."""
+    return clusters(spark, FX.memories(spark, sf), "src3", "user_3", 3)
+
+
+def clusters(spark, mem, project=None, owner=None, k=5):
+    """Per cluster of the memories the caller may see: size, top-5 tags, 5 sample ids; total and number of clusters."""
+    items = with_embedding(memory_text(mem.filter(visible(project, owner))), "embed_text", out="vec").select("hash", "vec", "tags")
+    assigned, _, _ = K.lloyd(spark, items, k)
     a = assigned.select("hash", "cluster_id", "tags")
     tags = (K.top_tags(a).groupBy("cluster_id")
             .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "tag"))), lambda x: x["tag"]), ",")
@@ -130,7 +143,9 @@ def q_memory_clusters(spark, sf):
     samples = (K.sample_members(a).groupBy("cluster_id")
                .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", "short_id"))),
                                              lambda x: x["short_id"]), ",").alias("sample_ids")))
-    return K.cluster_sizes(a).join(tags, "cluster_id", "left").join(samples, "cluster_id", "left")
+    sizes = K.cluster_sizes(a)
+    return (sizes.join(tags, "cluster_id", "left").join(samples, "cluster_id", "left")
+            .withColumn("total", sizes.agg(F.sum("size")).scalar()).withColumn("n_clusters", sizes.agg(F.count("*")).scalar()))
 
 
 @register("validate_turns", """
