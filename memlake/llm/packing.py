@@ -39,7 +39,7 @@ ROW_TOKENS = 2048
 #: Tokens that are packed together, about.
 BLOCK_TOKENS = 1 << 21
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 
 SCHEMA = ("pack_id bigint, input_ids binary, position_ids binary, cu_seqlens array<int>, "
           "doc_ids array<bigint>, doc_starts array<int>, n_tokens int")
