@@ -41,6 +41,7 @@ _HINT = re.compile(
     r"masthead|cookies?|consent|gdpr|notice\w*|alert|popup|modal|newsletter|subscribe|signup|login|comments?|replies|reply|disqus|"
     r"discussion|share|sharing|social|related|recommend\w*|widget|pagination|pager|toolbar|search|copyright|legal|disclaimer|"
     r"navigation|complementary|contentinfo|form)(?=$|[\s_-])", re.I)
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")  # commentList names comments as comment-list does
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 #: Zones of a block.
@@ -99,7 +100,8 @@ def _zone(tag: str, attributes: str) -> int:
         return FURNITURE
     if attributes and tag not in ("html", "body"):
         for m in _NAMES.finditer(attributes):
-            if _HINT.search(m[1] or m[2] or m[3] or ""):
+            names = _HUMP.sub("-", m[1] or m[2] or m[3] or "")
+            if _HINT.search(names):
                 return FURNITURE
     return ARTICLE if tag in _ARTICLE else NONE
 

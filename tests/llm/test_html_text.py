@@ -15,7 +15,7 @@ PAGES = {
                 f"<article><h1>Head &amp; line</h1><p>{LONG}<br>second line<p>Short.</p><!-- <p>gone</p> -->"
                 f"<div class=\"ad box\"><p>{LONG}</p></div><p>a&nbsp;b  \n c &lt;d&gt; &#233; &eacute</article>"
                 f"<aside><p>{LONG}</p></aside><section id='comments'><article><p>{LONG}</p></article></section>"
-                f"<form><p>{LONG}</p><input name=q></form><div class='cookie-notice'>{LONG}</div><footer>&copy; {LONG}</footer></body></html>",
+                f"<form><p>{LONG}</p><input name=q></form><div class='cookie-notice'>{LONG}</div><div id='userCommentList'>{LONG}</div><footer>&copy; {LONG}</footer></body></html>",
                 f"Head & line\n{LONG} second line\nShort.\na b c <d> é é"),
     "plain": (f"<body><div class=menu><a href=1>One</a> <a href=2>Two</a></div><div id=content><p>{LONG}</p><p>{LONG}</p></div>"
               f"<div class=sidebar>{LONG}</div><div><a href=3>Prev</a> <a href=4>Next</a></div>", f"{LONG}\n{LONG}"),
