@@ -4,11 +4,13 @@ that slides over candidate strings.
 Positions: a pattern's matches and the pieces between them (`regexp_extract_all`, `split`)
 alternate, so running lengths give every match's start in code points.
 
-Entropy: a candidate is a run of token characters with a letter and a digit. Its character class is the
-narrowest of CLASSES that holds all of it. The window moves one character at a time; the counts
-of the entering and the leaving character change by one, and with them sum(c * log2 c), from
-which the entropy follows. Windows above the class's threshold are merged to spans. A candidate
-that matches the allow-list is suppressed, as is a span that lies inside a pattern's span.
+Entropy: a candidate is a run of token characters with a letter and a digit. It is judged as a whole, by
+the narrowest of CLASSES that holds all of it, and so is each maximal run of a narrower class in it that
+would be a candidate by itself: the value in KEY=VALUE is judged as it would be behind a space. The window moves one
+character at a time; the counts of the entering and the leaving character change by one, and with them
+sum(c * log2 c), from which the entropy follows. Windows above the class's threshold are merged to spans,
+over all runs of a candidate. A candidate that matches the allow-list is suppressed with all its runs, a run that matches it
+by itself, and a span that lies inside a pattern's span.
 
 No shuffle: each text is judged in its own row, whole, whatever its length.
 
@@ -43,6 +45,11 @@ CANDIDATE = (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za
              r"[A-Za-z0-9+/_=-]{20,}+")
 #: Character classes, narrowest first: name, characters, least entropy in bits per character.
 CLASSES = (("hex", r"[0-9A-Fa-f]+", 3.0), ("alnum", r"[0-9A-Za-z]+", 3.6), ("base64", r"[A-Za-z0-9+/_=-]+", 3.8))
+#: Candidates inside a candidate: the maximal runs of a narrower class, of at least WINDOW characters with a letter and a digit.
+INNER = {
+    "hex": r"(?<![0-9A-Fa-f])(?=[A-Fa-f]*+[0-9])(?=[0-9]*+[A-Fa-f])[0-9A-Fa-f]{20,}+",
+    "alnum": r"(?<![0-9A-Za-z])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[0-9A-Za-z]{20,}+",
+}
 #: Candidates that are no secrets: UUIDs, dates and times, documentation keys, masks, paths of plain words.
 ALLOW = (
     r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",
@@ -94,20 +101,58 @@ def _threshold(token: Column) -> Column:
     return limit
 
 
+_RANGES = "array<struct<start:int,end:int>>"
+
+
+def _allowed(token: Column) -> Column:
+    return token.rlike("|".join(f"(?:{p})" for p in ALLOW[:3] + ALLOW[4:])) | token.rlike(ALLOW[3])
+
+
+def _runs(token: Column) -> Column:
+    """Array of (run, start, least): the token, and the candidates of narrower classes in it."""
+    def run(text: Column, start: Column, least: Column) -> Column:
+        return F.struct(text.alias("run"), start.cast("int").alias("start"), least.cast("double").alias("least"))
+    found = [F.array(run(token, F.lit(0), _threshold(token)))]
+    for name, chars, least in CLASSES[:-1]:
+        inner = F.filter(_matches(token, INNER[name], 0), lambda m: ~_allowed(m["hit"]))
+        limit = F.lit(least)
+        runs = F.transform(inner, lambda m: run(m["hit"], m["start"], limit))  # noqa: B023
+        found.append(F.when(token.rlike(f"^{chars}$"), F.slice(found[0], 1, 0)).otherwise(runs))
+    return F.concat(*found)
+
+
+def _merged(ranges: Column) -> Column:
+    """Sorted ranges, those that overlap or touch made one."""
+    start = F.struct(F.lit(-1).alias("open"), F.lit(-1).alias("end"), F.array().cast(_RANGES).alias("out"))
+
+    def close(acc: Column) -> Column:
+        one = F.array(F.struct(acc["open"].alias("start"), acc["end"].alias("end")))
+        return F.when(acc["open"] >= 0, F.concat(acc["out"], one)).otherwise(acc["out"])
+
+    def step(acc: Column, r: Column) -> Column:
+        joins = (acc["open"] >= 0) & (r["start"] <= acc["end"])
+        return F.struct(F.when(joins, acc["open"]).otherwise(r["start"]).alias("open"),
+                        F.when(joins, F.greatest(acc["end"], r["end"])).otherwise(r["end"]).alias("end"),
+                        F.when(joins, acc["out"]).otherwise(close(acc)).alias("out"))
+    return F.aggregate(F.array_sort(ranges), start, step, close)
+
+
 def entropy_windows(token: Column, window: int = WINDOW) -> Column:
-    """Merged [start, end) ranges of the windows of `token` whose entropy reaches its class's threshold."""
-    codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
-    # an array of one element binds what is worked out once per token to a lambda's variable
-    bound = F.array(F.struct(codes.alias("codes"), F.length(token).alias("n"), _threshold(token).alias("least")))
-    return F.element_at(F.transform(bound, lambda b: _slide(b["codes"], b["n"], b["least"], window)), 1)
+    """Merged [start, end) ranges of the windows of `token` whose entropy reaches the threshold of a run that holds them."""
+    def ranges(r: Column) -> Column:
+        codes = F.transform(F.split(r["run"], ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+        # an array of one element binds what is worked out once per run to a lambda's variable
+        bound = F.array(F.struct(codes.alias("codes"), F.length(r["run"]).alias("n")))
+        found = F.element_at(F.transform(bound, lambda b: _slide(b["codes"], b["n"], r["least"], window)), 1)
+        return F.transform(found, lambda f: F.struct((r["start"] + f["start"]).alias("start"), (r["start"] + f["end"]).alias("end")))
+    return _merged(F.flatten(F.transform(_runs(token), ranges)))
 
 
 def _slide(codes: Column, length: Column, threshold: Column, window: int) -> Column:
     f = F.array(*[F.lit(0.0 if c < 2 else c * math.log2(c)) for c in range(window + 2)])
     bits, scale = math.log2(window), float(window)
-    pair = "array<struct<start:int,end:int>>"
     start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"),
-                     F.lit(-1).alias("open"), F.lit(-1).alias("end"), F.array().cast(pair).alias("out"))
+                     F.lit(-1).alias("open"), F.lit(-1).alias("end"), F.array().cast(_RANGES).alias("out"))
 
     def change(acc: Column, code: Column, by: int) -> Column:
         n = F.get(acc["counts"], code)
@@ -146,9 +191,7 @@ def _slide(codes: Column, length: Column, threshold: Column, window: int) -> Col
 
 def entropy_spans(text: Column) -> Column:
     """Spans of high entropy in the candidates of `text` that no allow-list pattern matches."""
-    found = F.filter(_matches(text, CANDIDATE, 0),
-                     lambda m: ~m["hit"].rlike("|".join(f"(?:{p})" for p in ALLOW[:3] + ALLOW[4:]))
-                     & ~m["hit"].rlike(ALLOW[3]))
+    found = F.filter(_matches(text, CANDIDATE, 0), lambda m: ~_allowed(m["hit"]))
 
     def spans(m: Column) -> Column:
         ranges = entropy_windows(m["hit"])

@@ -57,6 +57,26 @@ def _digest(spark, rows, extra=""):
         S.span_list(F.concat(base, "entropy"))).collect()), key=repr)
 
 
+HEX = "9F86D081884C7D659A2FEAA0C55AD015A3BF4F1B"
+
+
+@pytest.mark.parametrize("before, after", [("KEY=", ""), ("api-", "/v1"), ("KEY_", "-Q"), ("KEYS", "ok"), ("a+", "=")])
+def test_hex_in_a_wider_run_is_found_as_behind_a_space(spark, before, after):
+    alone, inside, mixed = (r[-1] for r in _digest(spark, [
+        (1, f"say {HEX} end"), (2, f"{before}{HEX}{after} end"), (3, f"{before}{HEX[:20].lower()}{HEX[20:]}{after}")]))
+    assert alone == f"entropy:4:{4 + len(HEX)}"
+    for spans in (inside, mixed):
+        start, end = next((int(a), int(b)) for k, a, b in (x.split(":") for x in spans.split(",")) if k == "entropy")
+        assert start <= len(before) and end >= len(before) + len(HEX)
+
+
+def test_narrow_runs_merge_and_need_letter_digit_and_length(spark):
+    out = [r[-1] for r in _digest(spark, [
+        (1, f"A={HEX}=B={HEX}"), (2, "oooo_11112222333344445555 id=" + HEX[:19]), (3, "KEY=" + "A1" * 20), (4, f"EXAMPLE={HEX}")])]
+    assert out[0] == f"entropy:2:{2 + len(HEX)},entropy:{5 + len(HEX)}:{5 + 2 * len(HEX)}"
+    assert out[1:] == ["hex:5:25", "", ""]
+
+
 @pytest.fixture(scope="module")
 def sf():
     return "/root/testdata/sf0.01"
