@@ -1,7 +1,11 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame operations only.
 
-1. Numbers, units behind numbers, and names (capitalised words inside a sentence) become typed
-   placeholders that remember their value; all other words are lower-cased without punctuation.
+1. Numbers, units behind numbers, and names become typed placeholders that remember their value; all other
+   words are lower-cased without punctuation. An item's names are the capitalised words it has inside a
+   sentence, at every place where they are capitalised. A document's capitalised word may be a name or its literal
+   word, wherever it stands: its windows are hashed both ways, as far as the benchmark has names at those
+   places (at most 2 ** WINDOW ways for a window of capitalised words alone). An item's window with names is also matched with the names as
+   literal words, so lower-cased copies are found.
 2. Windows of WINDOW consecutive template tokens are hashed. The benchmark's windows are joined
    with those of the documents on the hash: broadcast up to BROADCAST_WINDOWS windows, shuffled beyond.
 3. Matches are grouped by alignment (document position minus item position). An alignment counts if its
@@ -17,6 +21,8 @@ one document; a null id is an id of its own. Empty tables give no rows. Other co
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +40,8 @@ BROADCAST_WINDOWS = 200_000
 #: Units (fixed words) that are canonicalised behind a number.
 UNITS = ("mm|cm|km|m|mg|kg|g|lb|lbs|oz|ml|cl|l|s|sec|seconds?|min|minutes?|h|hours?|days?|weeks?|months?|years?|"
          "meters?|metres?|miles?|feet|foot|inch|inches|grams?|kilograms?|liters?|litres?|dollars?|cents?|euros?|percent|degrees?")
-#: Private-use characters that open a placeholder: number, unit, name.
-NUM, UNIT, NAME = "", "", ""
+#: Private-use characters that open a placeholder: number, unit, name; a capitalised word elsewhere; and the one behind them.
+NUM, UNIT, NAME, CAP, PAST = "\ue001", "\ue002", "\ue003", "\ue004", "\ue005"
 
 
 def _has(text: Column, *chars: str) -> Column:
@@ -45,45 +51,77 @@ def _has(text: Column, *chars: str) -> Column:
     return found
 
 
-def canonical(text: Column) -> Column:
-    """The text's tokens, space-joined; a placeholder is its opening character and its value."""
-    clean = F.when(_has(text, NUM, UNIT, NAME), F.regexp_replace(text, f"[{NUM}-{NAME}]", " ")).otherwise(text)
+def canonical(text: Column, inside: bool) -> Column:
+    """The text's tokens, space-joined; a placeholder is its opening character and its value.
+
+    Capitalised words are opened by CAP, those inside a sentence by NAME if `inside`."""
+    clean = F.when(_has(text, NUM, UNIT, NAME, CAP), F.regexp_replace(text, f"[{NUM}-{CAP}]", " ")).otherwise(text)
     # the look-ahead comes first: it fails at once on all but capitals
-    named = F.regexp_replace(clean, r"(?=\p{Lu}\p{Ll})(?<=[\p{L}\p{N},;][\x20\t\n])(\p{Lu}\p{Ll}+)", NAME + "$1")
+    if inside:
+        clean = F.regexp_replace(clean, r"(?=\p{Lu}\p{Ll})(?<=[\p{L}\p{N},;][\x20\t\n])", NAME)
+    named = F.regexp_replace(clean, rf"(?=\p{{Lu}}\p{{Ll}})(?<![\p{{L}}\p{{N}}{NAME}])", CAP)
     return F.regexp_replace(named, r"[0-9]+(?:[.,][0-9]+)*", f" {NUM}$0 ")
 
 
 def plain_tokens(marked: Column) -> Column:
     """Units marked behind numbers, lower case, no punctuation but inside numbers, single spaces."""
     units = F.regexp_replace(marked, rf"(?i)({NUM}[0-9.,]+\x20+)({UNITS})\b", f"$1{UNIT}$2")
-    inside = F.regexp_replace(F.lower(units), rf"(?<!{NUM}[0-9.,]{{0,30}})[.,]|[^\p{{L}}\p{{N}}{NUM}-{NAME}.,]+", " ")
+    inside = F.regexp_replace(F.lower(units), rf"(?<!{NUM}[0-9.,]{{0,30}})[.,]|[^\p{{L}}\p{{N}}{NUM}-{CAP}.,]+", " ")
     numbered = F.regexp_replace(inside, r"[.,]+(?=\x20|$)|\x20{2,}", " ")
-    simple = F.regexp_replace(F.lower(marked), rf"[^\p{{L}}\p{{N}}{NAME}]+", " ")
+    simple = F.regexp_replace(F.lower(marked), rf"[^\p{{L}}\p{{N}}{NAME}{CAP}]+", " ")
     return F.trim(F.when(_has(marked, NUM), F.regexp_replace(numbered, r"\x20{2,}", " ")).otherwise(simple))
 
 
-def token_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, template, values): parallel arrays; values is null where no placeholder occurs."""
-    rows = (df.select(F.col(id_col).alias("id"), canonical(text_of(text_col)).alias("marked"))
+def token_rows(df: DataFrame, id_col: str, text_col: str, inside: bool = False) -> DataFrame:
+    """(id, template, values): parallel arrays; values is null where no placeholder and no capitalised word occurs.
+
+    The template has names as literal words; their values, opened by NAME, tell them from words. With `inside` only
+    words that occur capitalised inside a sentence are names."""
+    rows = (df.select(F.col(id_col).alias("id"), canonical(text_of(text_col), inside).alias("marked"))
             .select("id", plain_tokens(F.col("marked")).alias("canon"))
-            .select("id", _has(F.col("canon"), NUM, UNIT, NAME).alias("slotted"),
+            .select("id", _has(F.col("canon"), NUM, UNIT, NAME, CAP).alias("slotted"),
                     F.when(F.col("canon") == "", F.array().cast("array<string>")).otherwise(F.split("canon", " ")).alias("tokens")))
     template = F.when(F.col("slotted"), F.transform("tokens", lambda t: F.when(
-        F.substring(t, 1, 1).rlike(f"[{NUM}-{NAME}]"), F.substring(t, 1, 1)).otherwise(t))).otherwise(F.col("tokens"))
-    values = F.when(F.col("slotted"), F.transform(
-        "tokens", lambda t: F.when(F.substring(t, 1, 1).rlike(f"[{NUM}-{NAME}]"), t).otherwise(F.lit(""))))
+        (t < NUM) | (t >= PAST), t).when(t >= NAME, F.substring(t, 2, 1 << 30)).otherwise(F.substring(t, 1, 1)))).otherwise(F.col("tokens"))
+    named = F.transform("tokens", lambda t: F.when((t >= CAP) & (t < PAST), F.concat(F.lit(NAME), F.substring(t, 2, 1 << 30))).otherwise(t))
+    if inside:
+        named = F.transform(named, lambda t: F.when((t < NAME) | (t >= PAST) | F.array_contains("tokens", t), t).otherwise(F.lit("")))
+    values = F.when(F.col("slotted"), F.transform(named, lambda t: F.when((t >= NUM) & (t < PAST), t).otherwise(F.lit(""))))
     return rows.select("id", template.alias("template"), values.alias("values"))
 
 
-def _windows(hashes: Column, values: Column, size: int) -> Column:
-    """Array of (h, slots) of all windows of `size` tokens, in order, from the tokens' hashes."""
-    none = F.array().cast("array<string>")
+def _mask(values: Column, at: Column, size: int) -> Column:
+    """The window's names as bits, its first token the lowest."""
+    bits = [F.when(F.get(values, at + k) >= NAME, F.lit(1 << k)).otherwise(F.lit(0)) for k in range(size)]
+    return F.when(values.isNull(), F.lit(0)).otherwise(sum(bits[1:], bits[0]))
+
+
+def _hash(hashes: Column, at: Column, size: int, mask: Column) -> Column:
+    """Hash of a window from its tokens' hashes, the names in `mask` as placeholders."""
+    tokens = [F.get(hashes, at + k) for k in range(size)]
+    typed = [F.when(mask.bitwiseAND(1 << k) != 0, F.xxhash64(F.lit(NAME))).otherwise(t) for k, t in enumerate(tokens)]
+    return F.when(mask == 0, F.xxhash64(F.lit(size), *tokens)).otherwise(F.xxhash64(F.lit(size), *typed))
+
+
+def _slots(values: Column, at: Column, size: Column, mask: Column) -> Column:
+    """Values of a window's placeholders, the names in `mask` among them, in order."""
+    found = F.filter(F.slice(values, at + 1, size), lambda v, k: (v != "") & (
+        (v < NAME) | (mask.bitwiseAND(F.get(F.array(*[F.lit(1 << j) for j in range(WINDOW)]), k)) != 0)))
+    return F.when(values.isNotNull(), found).otherwise(F.array().cast("array<string>"))
+
+
+def _windows(hashes: Column, values: Column, size: int, masks: list[int]) -> Column:
+    """Array of (at, mask, h) of all windows of `size` tokens with each of `masks` that its capitalised words allow."""
     last = F.size(hashes) - size
+    allowed = F.from_json(F.lit(json.dumps([[m for m in masks if m & ~c == 0] for c in range(1 << size)])), "array<array<int>>")
 
-    def one(i: Column) -> Column:
-        slots = F.when(values.isNotNull(), F.filter(F.slice(values, i + 1, F.lit(size)), lambda v: v != "")).otherwise(none)
-        return F.struct(F.xxhash64(F.lit(size), *[F.get(hashes, i + k) for k in range(size)]).alias("h"), slots.alias("slots"))
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), one))
+    def one(at: Column) -> Column:
+        return F.transform(F.get(allowed, _mask(values, at, size)), lambda m: F.struct(
+            at.alias("at"), m.alias("mask"), _hash(hashes, at, size, m).alias("h")))
+    plain = F.transform(F.sequence(F.lit(0), last), lambda at: F.struct(
+        at.alias("at"), F.lit(0).alias("mask"), _hash(hashes, at, size, F.lit(0)).alias("h")))
+    return F.when((last >= 0) & values.isNull(), plain).when(
+        last >= 0, F.flatten(F.transform(F.sequence(F.lit(0), last), one)))
 
 
 def _hashes() -> Column:
@@ -91,17 +129,22 @@ def _hashes() -> Column:
 
 
 def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(h, size, item_id, item_pos, item_slots, n_windows) of the windows that carry evidence."""
-    rows = (token_rows(items, id_col, text_col).where(F.size("template") > 0)
+    """(h, size, mask, item_id, item_pos, item_slots, n_windows) of the windows that carry evidence."""
+    rows = (token_rows(items, id_col, text_col, inside=True).where(F.size("template") > 0)
             .select("id", "template", "values", _hashes(), F.least(F.size("template"), F.lit(WINDOW)).alias("size")))
-    by_size = F.coalesce(*[F.when(F.col("size") == n, _windows(F.col("hashes"), F.col("values"), n))
-                           for n in range(1, WINDOW + 1)])
-    out = rows.select(F.col("id").alias("item_id"), "size", "template", F.posexplode(by_size).alias("item_pos", "w"))
-    literal = F.size(F.filter(F.slice("template", F.col("item_pos") + 1, F.col("size")),
-                              lambda t: ~t.isin(NUM, UNIT, NAME)))
+
+    def by_size(one) -> Column:
+        return F.coalesce(*[F.when(F.col("size") == n, one(n)) for n in range(1, WINDOW + 1)])
+    out = rows.select(F.col("id").alias("item_id"), "size", "template", "values", "hashes",
+                      F.explode(F.sequence(F.lit(0), F.size("template") - F.col("size"))).alias("item_pos"))
+    out = out.withColumn("names", by_size(lambda n: _mask(F.col("values"), F.col("item_pos"), n)))
+    literal = F.size(F.filter(F.slice("template", F.col("item_pos") + 1, F.col("size")), lambda t: ~t.isin(NUM, UNIT))) - F.bit_count("names")
     needed = F.least(F.lit(MIN_LITERAL), F.col("size"))
-    out = out.where(literal >= needed).select("item_id", "size", "item_pos", F.col("w.h").alias("h"),
-                                              F.col("w.slots").alias("item_slots")).distinct()
+    out = (out.where(literal >= needed)
+           .withColumn("mask", F.explode(F.array_distinct(F.array("names", F.lit(0)))))
+           .select("item_id", "size", "item_pos", "mask",
+                   by_size(lambda n: _hash(F.col("hashes"), F.col("item_pos"), n, F.col("mask"))).alias("h"),
+                   _slots(F.col("values"), F.col("item_pos"), F.col("size"), F.col("mask")).alias("item_slots")).distinct())
     totals = out.groupBy(F.col("item_id").alias("id")).agg(F.countDistinct("item_pos").alias("n_windows"))
     return out.join(totals, F.col("item_id").eqNullSafe(F.col("id"))).drop("id")
 
@@ -110,17 +153,22 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """(doc_id, item_id, n_windows, n_matched, coverage, same_values) of every leaked item."""
     bench = materialize(benchmark_windows(items), "leak_windows")
-    sizes = sorted(r["size"] for r in bench.select("size").distinct().collect())  # at most WINDOW numbers
-    n = bench.count()
-    side = F.broadcast(bench) if n <= BROADCAST_WINDOWS else bench
+    masks: dict[int, list[int]] = {}  # at most 2 ** size numbers for each of WINDOW sizes
+    for r in bench.select("size", "mask").distinct().collect():
+        masks.setdefault(r["size"], []).append(r["mask"])
+    few = bench.count() <= BROADCAST_WINDOWS
+    side = (F.broadcast(bench) if few else bench).drop("size", "mask")
     rows = token_rows(docs, id_col, text_col).select("id", "values", _hashes())
-    every = [_windows(F.col("hashes"), F.col("values"), s) for s in sizes] or [
-        F.lit(None).cast("array<struct<h:bigint,slots:array<string>>>")]
+    every = [(s, _windows(F.col("hashes"), F.col("values"), s, sorted(masks[s]))) for s in sorted(masks)] or [
+        (1, F.lit(None).cast("array<struct<at:int,mask:int,h:bigint>>"))]
     found = None
-    for part in every:
-        one = (rows.select(F.col("id").alias("doc_id"), F.posexplode(part).alias("doc_pos", "w"))
-               .select("doc_id", "doc_pos", F.col("w.h").alias("h"), F.col("w.slots").alias("doc_slots"))
-               .join(side, "h"))
+    for size, part in every:
+        slots = _slots(F.col("values"), F.col("doc_pos"), F.lit(size), F.col("mask")).alias("doc_slots")
+        one = (rows.select(F.col("id").alias("doc_id"), "values", F.explode(part).alias("w"))
+               .select("doc_id", "values", F.col("w.at").alias("doc_pos"), F.col("w.mask").alias("mask"), F.col("w.h").alias("h")))
+        # a text's values stay where they are in a broadcast join; they are not to be shuffled with each window
+        one = one.join(side, "h").select("*", slots) if few else one.select("doc_id", "doc_pos", "h", slots).join(side, "h")
+        one = one.select("doc_id", "item_id", "n_windows", "doc_pos", "item_pos", "item_slots", "doc_slots")
         found = one if found is None else found.unionByName(one)
     pairs = F.transform(F.arrays_zip("item_slots", "doc_slots"),
                         lambda p: F.struct(p["item_slots"].alias("a"), p["doc_slots"].alias("b")))

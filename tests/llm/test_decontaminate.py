@@ -32,6 +32,18 @@ def test_copies_and_reparameterised_questions(spark):
     assert not any(i == 5 for _, i in got)
 
 
+def test_names_are_names_wherever_they_stand(spark):
+    items = [(1, "Tom has 5 apples. Tom buys 3 more. How many apples does Tom have?"), (2, "What is the capital of France?"),
+             (3, "In the year 1990 the city of Paris had 12 bridges and Lyon had only 7.")]
+    docs = [(i, items[0][1].replace("Tom", "Anna")) for i in (1,)] + [
+        (2, "Quiz\nWhat is the capital of France?"), (3, "so what is the capital of Spain"), (4, "WHAT IS THE CAPITAL OF FRANCE"),
+        (5, items[2][1].lower()), (6, "Tom Tom Tom and Anna Has The Apples Of France And Spain In The Year"),
+        (7, "Anna has. " + items[0][1].replace("Tom", "Bertha").replace("5", "9")), (8, "what was the capital of france"),
+        (9, "Ｗhat \uf900 豈 Is The capital of France"), (10, "Ｗhat is the capital of France")]
+    got = run(spark, docs, items)
+    assert got == {(1, 1): False, (2, 2): True, (3, 2): False, (4, 2): True, (5, 3): True, (7, 1): False}
+
+
 def test_empty_tables(spark):
     assert run(spark, []) == {}
     assert run(spark, [(1, QUESTION)], []) == {}
