@@ -15,7 +15,8 @@
 
 Defined cases: a null or empty text leaks nothing, an item without words is leaked by nothing. An
 item of fewer tokens than a window is one window of its own length. Windows with fewer literal words
-than MIN_LITERAL (or than the item has) are no evidence and are left out. Rows that repeat an id are judged as
+than MIN_LITERAL are no evidence and are left out; an item of which none would be left keeps those with most literal
+words, which must meet equal values. Windows of numbers and units alone are never kept. Rows that repeat an id are judged as
 one document; a null id is an id of its own. Empty tables give no rows. Other columns are ignored.
 """
 
@@ -110,18 +111,24 @@ def _slots(values: Column, at: Column, size: Column, mask: Column) -> Column:
     return F.when(values.isNotNull(), found).otherwise(F.array().cast("array<string>"))
 
 
-def _windows(hashes: Column, values: Column, size: int, masks: list[int]) -> Column:
-    """Array of (at, mask, h) of all windows of `size` tokens with each of `masks` that its capitalised words allow."""
+def _windows(hashes: Column, values: Column, numbers: Column, size: int, masks: list[int]) -> Column:
+    """Array of (at, h, slots) of all windows of `size` tokens with names as words, and with each other mask that its capitals allow."""
     last = F.size(hashes) - size
-    allowed = F.from_json(F.lit(json.dumps([[m for m in masks if m & ~c == 0] for c in range(1 << size)])), "array<array<int>>")
 
-    def one(at: Column) -> Column:
-        return F.transform(F.get(allowed, _mask(values, at, size)), lambda m: F.struct(
-            at.alias("at"), m.alias("mask"), _hash(hashes, at, size, m).alias("h")))
-    plain = F.transform(F.sequence(F.lit(0), last), lambda at: F.struct(
-        at.alias("at"), F.lit(0).alias("mask"), _hash(hashes, at, size, F.lit(0)).alias("h")))
-    return F.when((last >= 0) & values.isNull(), plain).when(
-        last >= 0, F.flatten(F.transform(F.sequence(F.lit(0), last), one)))
+    def window(at: Column, mask: Column, slots: Column) -> Column:
+        return F.struct(at.alias("at"), _hash(hashes, at, size, mask).alias("h"), slots.alias("slots"))
+    none = F.array().cast("array<string>")
+    plain = F.transform(F.sequence(F.lit(0), last), lambda at: window(at, F.lit(0), F.when(
+        numbers.isNotNull(), F.filter(F.slice(numbers, at + 1, F.lit(size)), lambda v: v != "")).otherwise(none)))
+    named = [m for m in masks if m]
+    if named:
+        allowed = F.from_json(F.lit(json.dumps([[m for m in named if m & ~c == 0] for c in range(1 << size)])), "array<array<int>>")
+        ways = F.transform(F.sequence(F.lit(0), last), lambda at: F.struct(
+            at.alias("at"), F.get(allowed, _mask(values, at, size)).alias("masks")))
+        typed = F.flatten(F.transform(F.filter(ways, lambda w: F.size(w["masks"]) > 0), lambda w: F.transform(
+            w["masks"], lambda m: window(w["at"], m, _slots(values, w["at"], F.lit(size), m)))))
+        plain = F.when(values.isNull(), plain).otherwise(F.concat(plain, typed))
+    return F.when(last >= 0, plain)
 
 
 def _hashes() -> Column:
@@ -129,20 +136,26 @@ def _hashes() -> Column:
 
 
 def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(h, size, mask, item_id, item_pos, item_slots, n_windows) of the windows that carry evidence."""
+    """(h, size, mask, item_id, item_pos, item_slots, exact, n_windows) of the windows that carry evidence."""
     rows = (token_rows(items, id_col, text_col, inside=True).where(F.size("template") > 0)
             .select("id", "template", "values", _hashes(), F.least(F.size("template"), F.lit(WINDOW)).alias("size")))
 
+    words = F.transform("template", lambda t, i: ~t.isin(NUM, UNIT) & ~F.coalesce(F.get("values", i) >= NAME, F.lit(False)))
+    best = F.array_max(F.transform(F.sequence(F.lit(0), F.size("words") - F.col("size")), lambda at: F.size(
+        F.filter(F.slice("words", at + 1, F.col("size")), lambda w: w))))
+    usual = F.least(F.lit(MIN_LITERAL), F.col("size"))
+    rows = rows.withColumn("words", words).withColumn("needed", F.least(usual, best)).withColumn("exact", F.col("needed") < usual)
+
     def by_size(one) -> Column:
         return F.coalesce(*[F.when(F.col("size") == n, one(n)) for n in range(1, WINDOW + 1)])
-    out = rows.select(F.col("id").alias("item_id"), "size", "template", "values", "hashes",
+    out = rows.select(F.col("id").alias("item_id"), "size", "template", "values", "hashes", "words", "needed", "exact",
                       F.explode(F.sequence(F.lit(0), F.size("template") - F.col("size"))).alias("item_pos"))
     out = out.withColumn("names", by_size(lambda n: _mask(F.col("values"), F.col("item_pos"), n)))
-    literal = F.size(F.filter(F.slice("template", F.col("item_pos") + 1, F.col("size")), lambda t: ~t.isin(NUM, UNIT))) - F.bit_count("names")
-    needed = F.least(F.lit(MIN_LITERAL), F.col("size"))
-    out = (out.where(literal >= needed)
-           .withColumn("mask", F.explode(F.array_distinct(F.array("names", F.lit(0)))))
-           .select("item_id", "size", "item_pos", "mask",
+    literal = F.size(F.filter(F.slice("words", F.col("item_pos") + 1, F.col("size")), lambda w: w))
+    text = F.exists(F.slice("template", F.col("item_pos") + 1, F.col("size")), lambda t: ~t.isin(NUM, UNIT))
+    out = (out.where((literal >= F.col("needed")) & text)
+           .withColumn("mask", F.explode(F.when(F.col("exact"), F.array(F.lit(0))).otherwise(F.array_distinct(F.array("names", F.lit(0))))))
+           .select("item_id", "size", "item_pos", "mask", "exact",
                    by_size(lambda n: _hash(F.col("hashes"), F.col("item_pos"), n, F.col("mask"))).alias("h"),
                    _slots(F.col("values"), F.col("item_pos"), F.col("size"), F.col("mask")).alias("item_slots")).distinct())
     totals = out.groupBy(F.col("item_id").alias("id")).agg(F.countDistinct("item_pos").alias("n_windows"))
@@ -156,23 +169,22 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     masks: dict[int, list[int]] = {}  # at most 2 ** size numbers for each of WINDOW sizes
     for r in bench.select("size", "mask").distinct().collect():
         masks.setdefault(r["size"], []).append(r["mask"])
-    few = bench.count() <= BROADCAST_WINDOWS
-    side = (F.broadcast(bench) if few else bench).drop("size", "mask")
-    rows = token_rows(docs, id_col, text_col).select("id", "values", _hashes())
-    every = [(s, _windows(F.col("hashes"), F.col("values"), s, sorted(masks[s]))) for s in sorted(masks)] or [
-        (1, F.lit(None).cast("array<struct<at:int,mask:int,h:bigint>>"))]
+    side = (F.broadcast(bench) if bench.count() <= BROADCAST_WINDOWS else bench).drop("size", "mask")
+    rows = token_rows(docs, id_col, text_col)
+    numbers = F.transform("values", lambda v: F.when(v < NAME, v).otherwise(F.lit("")))
+    rows = rows.select("id", "values", F.when(F.exists("values", lambda v: (v != "") & (v < NAME)), numbers).alias("numbers"), _hashes())
+    every = [_windows(F.col("hashes"), F.col("values"), F.col("numbers"), s, masks[s]) for s in sorted(masks)] or [
+        F.lit(None).cast("array<struct<at:int,h:bigint,slots:array<string>>>")]
     found = None
-    for size, part in every:
-        slots = _slots(F.col("values"), F.col("doc_pos"), F.lit(size), F.col("mask")).alias("doc_slots")
-        one = (rows.select(F.col("id").alias("doc_id"), "values", F.explode(part).alias("w"))
-               .select("doc_id", "values", F.col("w.at").alias("doc_pos"), F.col("w.mask").alias("mask"), F.col("w.h").alias("h")))
-        # a text's values stay where they are in a broadcast join; they are not to be shuffled with each window
-        one = one.join(side, "h").select("*", slots) if few else one.select("doc_id", "doc_pos", "h", slots).join(side, "h")
-        one = one.select("doc_id", "item_id", "n_windows", "doc_pos", "item_pos", "item_slots", "doc_slots")
+    for part in every:
+        one = (rows.select(F.col("id").alias("doc_id"), F.explode(part).alias("w"))
+               .select("doc_id", F.col("w.at").alias("doc_pos"), F.col("w.h").alias("h"), F.col("w.slots").alias("doc_slots"))
+               .join(side, "h"))
         found = one if found is None else found.unionByName(one)
     pairs = F.transform(F.arrays_zip("item_slots", "doc_slots"),
                         lambda p: F.struct(p["item_slots"].alias("a"), p["doc_slots"].alias("b")))
-    aligned = (found.where(F.size("item_slots") == F.size("doc_slots"))
+    aligned = (found.where(F.when(F.col("exact"), F.col("item_slots") == F.col("doc_slots"))
+                           .otherwise(F.size("item_slots") == F.size("doc_slots")))
                .groupBy("doc_id", "item_id", "n_windows", (F.col("doc_pos") - F.col("item_pos")).alias("shift"))
                .agg(F.collect_set("item_pos").alias("at"),  # at most the item's windows
                     F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")))

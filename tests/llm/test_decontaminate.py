@@ -44,6 +44,13 @@ def test_names_are_names_wherever_they_stand(spark):
     assert got == {(1, 1): False, (2, 2): True, (3, 2): False, (4, 2): True, (5, 3): True, (7, 1): False}
 
 
+def test_short_items_with_few_literal_words_are_found_with_their_values(spark):
+    items = [(1, "What is 12 + 7?"), (2, "Compute 12 * 34 + 56"), (3, "12 + 7"), (4, "go to Paris"), (5, "add 3 4 5 6 7 8 9 10 11 12")]
+    docs = [(1, "Quiz: What is 12 + 7? Nineteen."), (2, "what is 12 + 8?"), (3, "Now compute 12 * 34 + 56."), (4, "compute 12 * 34 + 57"),
+            (5, "12 + 7"), (6, "they go to Paris"), (7, "they go to Rome"), (8, "so add 3 4 5 6 7 8 9 10 11 12 now")]
+    assert run(spark, docs, items) == {(1, 1): True, (3, 2): True, (6, 4): True, (8, 5): True}
+
+
 def test_empty_tables(spark):
     assert run(spark, []) == {}
     assert run(spark, [(1, QUESTION)], []) == {}
