@@ -8,9 +8,10 @@
    literal words, so lower-cased copies are found.
 2. Windows of WINDOW consecutive template tokens are hashed. The benchmark's windows are joined
    with those of the documents on the hash: broadcast up to BROADCAST_WINDOWS windows, shuffled beyond.
-3. Matches are grouped by alignment (document position minus item position). An alignment counts if its
-   slots are consistent: equal item values meet equal document values, and different ones different ones.
-   So a question with other numbers or names is found, a chance mixture is not.
+3. Matches are grouped by alignment (document position minus item position). Equal item values should meet equal
+   document values (different ones may meet one). Where they do not, the windows count that agree with each
+   item value's most frequent document value or have equal values, if they are at least MIN_AGREEING of the item's.
+   So a question with other numbers or names is found, as is a copy with an edited number; a chance mixture is not.
 4. A document leaks an item if the consistent alignments cover at least MIN_COVERAGE of its windows.
 
 Defined cases: a null or empty text leaks nothing, an item without words is leaked by nothing. An
@@ -36,6 +37,8 @@ WINDOW = 8
 MIN_LITERAL = 3
 #: Share of an item's windows that must be found.
 MIN_COVERAGE = 0.5
+#: Share of an item's windows that must agree in an alignment in which an item value meets several document values.
+MIN_AGREEING = 0.75
 #: Benchmark windows up to which they are broadcast (about 100 bytes each); beyond, the join shuffles.
 BROADCAST_WINDOWS = 200_000
 #: Units (fixed words) that are canonicalised behind a number.
@@ -186,11 +189,22 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     aligned = (found.where(F.when(F.col("exact"), F.col("item_slots") == F.col("doc_slots"))
                            .otherwise(F.size("item_slots") == F.size("doc_slots")))
                .groupBy("doc_id", "item_id", "n_windows", (F.col("doc_pos") - F.col("item_pos")).alias("shift"))
-               .agg(F.collect_set("item_pos").alias("at"),  # at most the item's windows
-                    F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")))
-    left = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"])))
-    right = F.size(F.array_distinct(F.transform("pairs", lambda p: p["b"])))
-    consistent = aligned.where((left == F.size("pairs")) & (right == F.size("pairs")))
+               .agg(F.collect_set(F.struct("item_pos", pairs.alias("pairs"))).alias("windows")))  # at most the item's windows, twice
+    every_pair = F.flatten(F.transform("windows", lambda w: w["pairs"]))
+    aligned = aligned.withColumn("pairs", F.array_distinct(every_pair))
+    clash = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) < F.size("pairs")
+    # of an item value's document values the most frequent one, its own before others
+    ranked = F.array_sort(F.transform("pairs", lambda p: F.struct(
+        p["a"].alias("a"), (-F.size(F.filter(every_pair, lambda q: q == p))).alias("n"), (p["a"] != p["b"]).alias("other"), p["b"].alias("b"))))
+    bound = F.array(ranked)  # an array of one element binds what is worked out once to a lambda's variable
+    major = F.element_at(F.transform(bound, lambda r: F.filter(r, lambda p, i: (i == 0) | (F.get(r, i - 1)["a"] != p["a"]))), 1)
+    major = F.transform(major, lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b")))
+    aligned = aligned.withColumn("clash", clash).withColumn("major", F.when(clash, major))
+    agreeing = F.filter("windows", lambda w: F.size(F.array_except(w["pairs"], "major")) == 0)
+    equal = F.filter("windows", lambda w: F.forall(w["pairs"], lambda p: p["a"] == p["b"]))
+    aligned = aligned.withColumn("at", F.array_distinct(F.transform(
+        F.when(F.col("clash"), F.array_union(agreeing, equal)).otherwise(F.col("windows")), lambda w: w["item_pos"])))
+    consistent = aligned.where(~F.col("clash") | (F.size("at") >= MIN_AGREEING * F.col("n_windows")))
     same = F.forall("pairs", lambda p: p["a"] == p["b"])
     leaks = (consistent.select("doc_id", "item_id", "n_windows", F.explode("at").alias("item_pos"), same.alias("same"))
              .groupBy("doc_id", "item_id", "n_windows")

@@ -51,6 +51,15 @@ def test_short_items_with_few_literal_words_are_found_with_their_values(spark):
     assert run(spark, docs, items) == {(1, 1): True, (3, 2): True, (6, 4): True, (8, 5): True}
 
 
+def test_edited_copies_and_slots_that_get_one_value(spark):
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    items = [(1, " ".join(["in 2019 the first", *words, "and in 2019 the last was seen by all of them"])),
+             (2, "In the basket are 3 apples and 5 pears, how many pieces of fruit are there now?")]
+    docs = [(1, items[0][1].replace("2019 the last", "2020 the last")), (2, items[0][1].replace("2019 the first", "2020 the first")),
+            (3, items[1][1].replace("3", "4").replace("5", "4")), (4, items[0][1].replace("2019", "2020"))]
+    assert run(spark, docs, items) == {(1, 1): False, (2, 1): False, (3, 2): False, (4, 1): False}
+
+
 def test_empty_tables(spark):
     assert run(spark, []) == {}
     assert run(spark, [(1, QUESTION)], []) == {}
