@@ -131,25 +131,26 @@ def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def anchors(rows: DataFrame, window: int) -> DataFrame:
-    """(h, oid): the anchors of every text; neighbouring windows with one anchor give one row."""
+    """(h, oid, print): the anchors of every text; neighbouring windows with one anchor give one row."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids = pdf["oid"].to_numpy(np.int64)
+            ids, prints = pdf["oid"].to_numpy(np.int64), pdf["print"].to_numpy(np.int64)
             for first, last, encoded in _joined([t.encode() for t in pdf["body"]]):
                 words, owner = _hashed(encoded)
                 at, anchor = window_anchors(words, owner, window)
                 if len(at):
                     who = owner[at]
                     new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (who[1:] != who[:-1])])
-                    yield pd.DataFrame({"h": anchor[new].view(np.int64), "oid": ids[first:last][who[new]]})
-    return rows.select("oid", "body").mapInPandas(run, "h bigint, oid bigint")
+                    yield pd.DataFrame({"h": anchor[new].view(np.int64), "oid": ids[first:last][who[new]],
+                                        "print": prints[first:last][who[new]]})
+    return rows.select("oid", "print", "body").mapInPandas(run, "h bigint, oid bigint, print bigint")
 
 
 def shared_anchors(found: DataFrame) -> DataFrame:
-    """(oid, hs): for every document its anchors that another document has too."""
+    """(oid, print, hs): for every text its anchors that a text of another id has too; no array holds more than one text's."""
     shared = materialize(found.groupBy("h").agg(F.min("oid").alias("a"), F.max("oid").alias("b"))
                          .where("a < b").select("h"), "repeat_shared")
-    return found.join(shared, "h", "left_semi").groupBy("oid").agg(F.collect_set("h").alias("hs"))
+    return found.join(shared, "h", "left_semi").groupBy("oid", "print").agg(F.collect_set("h").alias("hs"))
 
 
 def _run_rows(encoded: list[bytes], ids: np.ndarray, prints: np.ndarray, hs: list, window: int) -> pd.DataFrame | None:
@@ -192,7 +193,7 @@ def chunks(rows: DataFrame, shared: DataFrame, window: int) -> DataFrame:
                 out = _run_rows(encoded, ids[first:last], prints[first:last], hs[first:last], window)
                 if out is not None:
                     yield out
-    return (rows.select("oid", "print", "body").join(shared, "oid")
+    return (rows.select("oid", "print", "body").join(shared, ["oid", "print"])
             .mapInPandas(run, "h bigint, oid bigint, print bigint, start int, words string")
             .select("h", F.xxhash64("h", "words").alias("content"), "oid", "print", "start", "words"))
 

@@ -82,6 +82,16 @@ def test_real_documents(spark, sf_check):
     assert got == want and sum(r[2] for r in want) > 0
 
 
+@pytest.mark.parametrize("key", [None, 7])
+def test_many_texts_of_one_id_have_arrays_of_their_own(spark, key):
+    line = [" ".join(f"line{k}word{i}" for i in range(20)) for k in range(40)]
+    rows = [(1, " ".join(line))] + [(key, f"{line[k]} only here {k}") for k in range(40)] + [(key, f"{line[3]} only here 3")]
+    texts = R.text_rows(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    shared = R.shared_anchors(R.anchors(texts, R.WINDOW)).collect()
+    assert len(shared) == 41 and all(len(r.hs) <= 8 for r in shared if r.oid != 1)
+    assert run(spark, rows) == brute(rows)
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
 
