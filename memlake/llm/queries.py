@@ -4,6 +4,7 @@ from memlake.llm import (  # noqa: F401
     decontaminate,
     exact_dedup,
     html_text,
+    manifest,
     mixing,
     packing,
     quality,
