@@ -1,6 +1,7 @@
 """The query catalog of this package: importing a module registers its queries."""
 
 from memlake.llm import (  # noqa: F401
+    collocations,
     decontaminate,
     exact_dedup,
     html_text,
