@@ -3,6 +3,7 @@
 from memlake.llm import (  # noqa: F401
     collocations,
     decontaminate,
+    embedding_dedup,
     exact_dedup,
     html_text,
     manifest,
