@@ -5,9 +5,10 @@ containers of packed suffixes; a container that outgrows BURST entries bursts in
 When the trie outgrows its memory, whole subtrees are spilled, largest first, as runs sorted by phrase. The runs are dealt by prefix
 (language and first two words) and merged there, one sum per phrase.
 
-Filter. A phrase can only occur `min_count` times if each of its words and word pairs does. A first pass counts words and pairs in
-2 ** FILTER_BITS hashed buckets; buckets below `min_count` hold nothing frequent, so their words and pairs are not fed to the
-trie. Collisions only let more through: the result does not depend on the filter, whose size is fixed (2 MB as a broadcast).
+Filter. A phrase can only occur `min_count` times if each of its words and word pairs does. A first pass counts words and pairs by
+KEY_BITS of their hash, in sorted runs that are merged per piece of the key space. What stays below `min_count` is not fed to the
+trie. A bitmap of the frequent keys goes to all tasks, about FILTER_SHARE bits a key and at most 2 ** MAX_FILTER_BITS bits (8 MB):
+with more keys it lets more through. Collisions only let more through as well: the result does not depend on the filter.
 
 Scores come from joins of the frequent phrases with themselves. One-word parts are shared by many phrases, so the joins are salted.
 
@@ -18,6 +19,7 @@ are broken as stated (score, count, phrase). Other columns are ignored.
 
 from __future__ import annotations
 
+import struct
 from array import array
 from collections.abc import Iterator
 
@@ -34,8 +36,8 @@ from memlake.sources.tables import read_table
 
 #: Least occurrences of a phrase, most words in it, share (percent) of a longer phrase that hides a shorter one, rows per language.
 MIN_COUNT, MAX_WORDS, HIDING_PERCENT, TOP = 30, 4, 80, 2000
-#: Buckets of the filter, as a power of two, and buckets in one of its pieces.
-FILTER_BITS, PIECE_BITS = 24, 16
+#: Bits of a counted key; keys in a run; bytes of text for one piece of the key space; filter bits a frequent key, and at most.
+KEY_BITS, RUN_KEYS, PIECE_BYTES, FILTER_SHARE, MAX_FILTER_BITS = 40, 4_000_000, 4 << 20, 32, 26
 #: Texts read at once; entries at which a container bursts; entries and words held by a task before it spills.
 SLICE_BYTES, BURST, TRIE_ENTRIES, TASK_WORDS = 4 << 20, 4096, 500_000, 500_000
 #: Copies of a one-word and of a longer part in the joins.
@@ -64,15 +66,15 @@ class Words(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-def buckets(words: Words, ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of every word and of every word with its successor."""
+def keys(words: Words, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of every word and of every word with its successor."""
     h = np.frombuffer(words.hashes, np.uint64)[ids]
-    shift = np.uint64(64 - bits)
+    shift = np.uint64(64 - KEY_BITS)
     with np.errstate(over="ignore"):
         one = (h * np.uint64(0x9E3779B97F4A7C15)) >> shift
         two = h[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ (h[1:] >> np.uint64(29)) ^ h[1:] * np.uint64(0x165667B19E3779F9)
         two = (two * np.uint64(0x9E3779B97F4A7C15)) >> shift
-    return one.astype(np.int64), two.astype(np.int64)
+    return one, two
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list[bytes]]]:
@@ -91,55 +93,85 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list[byte
         yield from held.items()
 
 
-def frequent_buckets(docs: DataFrame, min_count: int, bits: int) -> np.ndarray:
-    """For each bucket whether its words or pairs occur `min_count` times together."""
-    piece, enough = 1 << min(PIECE_BITS, bits), min(min_count, 65_535)
+class Filter:
+    """A bitmap over the leading bits of the keys."""
+
+    def __init__(self, bits: int, packed: np.ndarray):
+        self.bits, self.packed = bits, packed
+
+    def holds(self, key: np.ndarray) -> np.ndarray:
+        at = (key >> np.uint64(KEY_BITS - self.bits)).astype(np.int64)
+        return (self.packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], np.add.reduceat(n, first)
+
+
+def frequent_filter(docs: DataFrame, min_count: int) -> Filter:
+    """The filter of the words and pairs that occur `min_count` times, from (lang, text) as binary."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    piece_bits = min(20, max(6, (size // PIECE_BYTES).bit_length()))
+    low_bits, enough = KEY_BITS - piece_bits, min(min_count, 65_535)
+    schema = pa.schema([("piece", pa.int64()), ("low", pa.binary()), ("n", pa.binary())])
 
     def count(batches):
-        seen, by_lang = np.zeros(1 << bits, np.uint16), {}
+        held, total, by_lang = [], 0, {}
+
+        def run():
+            key, n = np.unique(np.concatenate(held), return_counts=True)
+            n = np.minimum(n, enough).astype(np.uint16)
+            piece, low = key >> np.uint64(low_bits), (key & np.uint64((1 << low_bits) - 1)).astype("<u8")
+            first = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))
+            ends = np.append(first[1:], len(key))
+            # 5 bytes hold 40 bits
+            low = low.view(np.uint8).reshape(-1, 8)[:, :5]
+            for i in range(0, len(first), 1024):
+                some = list(zip(first[i:i + 1024].tolist(), ends[i:i + 1024].tolist(), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(piece[first[i:i + 1024]].astype(np.int64)),
+                                                  pa.array([low[x:y].tobytes() for x, y in some], pa.binary()),
+                                                  pa.array([n[x:y].tobytes() for x, y in some], pa.binary())], schema=schema)
         for lang, texts in slices(batches):
             if sum(map(len, by_lang.values())) > TASK_WORDS:
                 by_lang = {}
             words = by_lang.setdefault(lang, Words(lang))
             ids = words.read(texts)
-            one, two = buckets(words, ids, bits)
-            at, n = np.unique(np.concatenate([one[ids > 0], two[(ids[:-1] > 0) & (ids[1:] > 0)]]), return_counts=True)
-            seen[at] = np.minimum(seen[at] + np.minimum(n, enough), enough)
-        part = TaskContext.get().partitionId()
-        rows = []
-        for k in range(len(seen) // piece):
-            own = seen[k * piece:(k + 1) * piece]
-            at = np.flatnonzero(own)
-            if len(at):
-                rows.append({"piece": k, "part": part, "at": at.astype(np.uint32).tobytes(), "n": own[at].tobytes()})
-            if len(rows) == 64:
-                yield pa.RecordBatch.from_pylist(rows, schema)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema)
-    schema = pa.schema([("piece", pa.int64()), ("part", pa.int64()), ("at", pa.binary()), ("n", pa.binary())])
-    ddl = "piece bigint, part bigint, at binary, n binary"
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(piece, np.int64)
-        for at, n in zip(pdf["at"], pdf["n"], strict=True):
-            total[np.frombuffer(at, np.uint32)] += np.frombuffer(n, np.uint16)
-        total = np.minimum(total, enough)
-        at = np.flatnonzero(total)
-        return pd.DataFrame({"piece": [pdf["piece"].iloc[0]], "part": [pdf["part"].min()],
-                             "at": [at.astype(np.uint32).tobytes()], "n": [total[at].astype(np.uint16).tobytes()]})
-
-    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = add(pdf)
-        often = np.zeros(piece, bool)
-        often[np.frombuffer(out["at"][0], np.uint32)] = np.frombuffer(out["n"][0], np.uint16) >= enough
-        return pd.DataFrame({"piece": out["piece"], "often": [np.packbits(often).tobytes()]})
-    # the pieces of 64 tasks first, so that no group grows with the number of tasks
-    some = docs.mapInArrow(count, ddl).groupBy("piece", (F.col("part") / 64).cast("int").alias("p")).applyInPandas(add, ddl)
-    often = np.zeros(1 << bits, bool)
-    for r in some.groupBy("piece").applyInPandas(mark, "piece bigint, often binary").collect():  # 2 ** bits bits in all
-        often[r["piece"] * piece:(r["piece"] + 1) * piece] = np.unpackbits(np.frombuffer(r["often"], np.uint8), count=piece)
-    return often
+            one, two = keys(words, ids)
+            held += [one[ids > 0], two[(ids[:-1] > 0) & (ids[1:] > 0)]]
+            total += len(held[-1]) + len(held[-2])
+            if total >= RUN_KEYS:
+                yield from run()
+                held, total = [], 0
+        if total:
+            yield from run()
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        low = np.zeros((sum(map(len, pdf["low"])) // 5, 8), np.uint8)
+        low[:, :5] = np.frombuffer(b"".join(pdf["low"]), np.uint8).reshape(-1, 5)
+        key, n = _summed(low.view("<u8").ravel(), np.frombuffer(b"".join(pdf["n"]), np.uint16).astype(np.int64))
+        key = key[n >= enough]
+        return pd.DataFrame({"piece": [pdf["piece"].iloc[0]], "n": [len(key)], "low": [key.tobytes()]})
+    merged = materialize(docs.mapInArrow(count, "piece bigint, low binary, n binary").groupBy("piece")
+                         .applyInPandas(merge, "piece bigint, n bigint, low binary"), "collocation_filter")
+    wanted = (merged.agg(F.sum("n")).first()[0] or 0) * FILTER_SHARE
+    bits = min(MAX_FILTER_BITS, max(piece_bits + 3, wanted.bit_length()))
+    own = 1 << (bits - piece_bits)
+
+    def mark(batches):
+        for pdf in batches:
+            out = []
+            for low in pdf["low"]:
+                often = np.zeros(own, bool)
+                often[(np.frombuffer(low, np.uint64) >> np.uint64(KEY_BITS - bits)).astype(np.int64)] = True
+                out.append(np.packbits(often).tobytes())
+            yield pd.DataFrame({"piece": pdf["piece"], "often": out})
+    packed = np.zeros((1 << bits) // 8, np.uint8)
+    for r in merged.where("n > 0").mapInPandas(mark, "piece bigint, often binary").collect():  # at most 2 ** MAX_FILTER_BITS bits in all
+        packed[r["piece"] * own // 8:(r["piece"] + 1) * own // 8] = np.frombuffer(r["often"], np.uint8)
+    return Filter(bits, packed)
 
 
 class HatTrie:
@@ -200,12 +232,11 @@ class HatTrie:
             yield from self._entries(path + head, kid)
 
 
-def feed(trie: HatTrie, words: Words, ids: np.ndarray, often: np.ndarray, max_words: int) -> None:
+def feed(trie: HatTrie, words: Words, ids: np.ndarray, often: Filter, max_words: int) -> None:
     """Count the phrases of one slice whose words and pairs pass the filter."""
-    one, two = buckets(words, ids, len(often).bit_length() - 1)
-    real = ids > 0
-    word_ok = real & often[one]
-    pair_ok = word_ok[:-1] & word_ok[1:] & often[two]
+    one, two = keys(words, ids)
+    word_ok = (ids > 0) & often.holds(one)
+    pair_ok = word_ok[:-1] & word_ok[1:] & often.holds(two)
     packed = ids.astype(">u4").tobytes()
     n = np.bincount(ids[word_ok], minlength=1)
     for i in np.flatnonzero(n).tolist():
@@ -223,14 +254,15 @@ def feed(trie: HatTrie, words: Words, ids: np.ndarray, often: np.ndarray, max_wo
             trie.add(packed[4 * i:4 * (i + k)], c)
 
 
-def runs(docs: DataFrame, often: np.ndarray, max_words: int) -> DataFrame:
+def runs(docs: DataFrame, often: Filter, max_words: int) -> DataFrame:
     """(lang, phrase, n): sorted runs of phrase counts, several rows a phrase; the empty phrase counts all words."""
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
+    form = {4 * k: f">{k}I" for k in range(1, max_words + 1)}
 
     def rows(lang, words, spilled):
         name = words.names
         for run in spilled:
-            out = sorted((b" ".join([name[i] for i in np.frombuffer(p, ">u4").tolist()]), n) for p, n in run)
+            out = sorted([(b" ".join([name[i] for i in struct.unpack(form[len(p)], p)]), n) for p, n in run])
             for i in range(0, len(out), 50_000):
                 phrase, n = zip(*out[i:i + 50_000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()),
@@ -257,10 +289,10 @@ def runs(docs: DataFrame, often: np.ndarray, max_words: int) -> DataFrame:
     return docs.mapInArrow(count, "lang string, phrase string, n bigint")
 
 
-def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, bits: int = FILTER_BITS) -> DataFrame:
+def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS) -> DataFrame:
     """(lang, phrase, f) of every phrase of up to `max_words` words with f >= `min_count`; the empty phrase counts all words."""
     own = docs.select(F.coalesce(F.col("lang"), F.lit("und")).cast("binary").alias("lang"), F.col("text").cast("binary").alias("text"))
-    often = frequent_buckets(own, min_count, bits)
+    often = frequent_filter(own, min_count)
     prefix = F.substring_index("phrase", " ", 2)
     merged = (runs(own, often, max_words).withColumn("prefix", prefix).repartition("lang", "prefix")
               .groupBy("lang", "prefix", "phrase").agg(F.sum("n").alias("f")))
