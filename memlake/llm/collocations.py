@@ -5,10 +5,11 @@ containers of packed suffixes; a container that outgrows BURST entries bursts in
 When the trie outgrows its memory, whole subtrees are spilled, largest first, as runs sorted by phrase. The runs are dealt by prefix
 (language and first two words) and merged there, one sum per phrase.
 
-Filter. A phrase can only occur `min_count` times if each of its words and word pairs does. A first pass counts words and pairs by
-KEY_BITS of their hash, in sorted runs that are merged per piece of the key space. What stays below `min_count` is not fed to the
-trie. A bitmap of the frequent keys goes to all tasks, about FILTER_SHARE bits a key and at most 2 ** MAX_FILTER_BITS bits (8 MB):
-with more keys it lets more through. Collisions only let more through as well: the result does not depend on the filter.
+Filter. A phrase can only occur `min_count` times if its parts do. Two passes count phrases of one and two words, and of three and
+four words that consist of frequent pairs, by KEY_BITS of their hash, in sorted runs of packed keys that are merged per piece of
+the key space. What stays below `min_count` is not fed to the trie. A bitmap of each pass's frequent keys goes to all tasks, about
+FILTER_SHARE bits a key and at most 2 ** MAX_FILTER_BITS bits (8 MB): with more keys it lets more through, as collisions do. The
+result does not depend on the filters.
 
 Scores come from joins of the frequent phrases with themselves. One-word parts are shared by many phrases, so the joins are salted.
 
@@ -66,15 +67,33 @@ class Words(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-def keys(words: Words, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of every word and of every word with its successor."""
+class Filter:
+    """A bitmap over the leading bits of the keys."""
+
+    def __init__(self, bits: int, packed: np.ndarray):
+        self.bits, self.packed = bits, packed
+
+    def holds(self, key: np.ndarray) -> np.ndarray:
+        at = (key >> np.uint64(KEY_BITS - self.bits)).astype(np.int64)
+        return (self.packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def phrases(words: Words, ids: np.ndarray, filters: list[Filter], upto: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(k, key, open) for k words: the key of the phrase at every place, and whether all that is known lets it be frequent."""
     h = np.frombuffer(words.hashes, np.uint64)[ids]
-    shift = np.uint64(64 - KEY_BITS)
     with np.errstate(over="ignore"):
-        one = (h * np.uint64(0x9E3779B97F4A7C15)) >> shift
-        two = h[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ (h[1:] >> np.uint64(29)) ^ h[1:] * np.uint64(0x165667B19E3779F9)
-        two = (two * np.uint64(0x9E3779B97F4A7C15)) >> shift
-    return one, two
+        turned = (h >> np.uint64(29)) ^ h * np.uint64(0x165667B19E3779F9)
+        mixed, ok = h, ids > 0
+        for k in range(1, min(upto, len(ids)) + 1):
+            if k > 1:
+                mixed = mixed[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ turned[k - 1:]
+                ok = ok[:-1] & ok[1:]
+            key = (mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - KEY_BITS)
+            if (k - 1) // 2 < len(filters):
+                at = np.flatnonzero(ok)
+                ok = np.zeros(len(key), bool)
+                ok[at[filters[(k - 1) // 2].holds(key[at])]] = True
+            yield k, key, ok
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list[bytes]]]:
@@ -93,17 +112,6 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list[byte
         yield from held.items()
 
 
-class Filter:
-    """A bitmap over the leading bits of the keys."""
-
-    def __init__(self, bits: int, packed: np.ndarray):
-        self.bits, self.packed = bits, packed
-
-    def holds(self, key: np.ndarray) -> np.ndarray:
-        at = (key >> np.uint64(KEY_BITS - self.bits)).astype(np.int64)
-        return (self.packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-
-
 def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(key, kind="stable")
     key, n = key[order], n[order]
@@ -111,9 +119,9 @@ def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[first], np.add.reduceat(n, first)
 
 
-def frequent_filter(docs: DataFrame, min_count: int) -> Filter:
-    """The filter of the words and pairs that occur `min_count` times, from (lang, text) as binary."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def frequent_filter(docs: DataFrame, size: int, min_count: int, filters: list[Filter], max_words: int) -> Filter:
+    """The filter of the phrases of the next two lengths that occur `min_count` times, from (lang, text) as binary of `size` bytes."""
+    done = 2 * len(filters)
     piece_bits = min(20, max(6, (size // PIECE_BYTES).bit_length()))
     low_bits, enough = KEY_BITS - piece_bits, min(min_count, 65_535)
     schema = pa.schema([("piece", pa.int64()), ("low", pa.binary()), ("n", pa.binary())])
@@ -139,9 +147,9 @@ def frequent_filter(docs: DataFrame, min_count: int) -> Filter:
                 by_lang = {}
             words = by_lang.setdefault(lang, Words(lang))
             ids = words.read(texts)
-            one, two = keys(words, ids)
-            held += [one[ids > 0], two[(ids[:-1] > 0) & (ids[1:] > 0)]]
-            total += len(held[-1]) + len(held[-2])
+            own = [key[ok] for k, key, ok in phrases(words, ids, filters, min(done + 2, max_words)) if k > done]
+            held += own
+            total += sum(map(len, own))
             if total >= RUN_KEYS:
                 yield from run()
                 held, total = [], 0
@@ -232,29 +240,25 @@ class HatTrie:
             yield from self._entries(path + head, kid)
 
 
-def feed(trie: HatTrie, words: Words, ids: np.ndarray, often: Filter, max_words: int) -> None:
-    """Count the phrases of one slice whose words and pairs pass the filter."""
-    one, two = keys(words, ids)
-    word_ok = (ids > 0) & often.holds(one)
-    pair_ok = word_ok[:-1] & word_ok[1:] & often.holds(two)
+def feed(trie: HatTrie, words: Words, ids: np.ndarray, filters: list[Filter], max_words: int) -> None:
+    """Count the phrases of one slice that pass the filters."""
     packed = ids.astype(">u4").tobytes()
-    n = np.bincount(ids[word_ok], minlength=1)
-    for i in np.flatnonzero(n).tolist():
-        trie.add(i.to_bytes(4, "big"), int(n[i]))
     at, prefix = np.arange(len(ids)), ids
-    for k in range(2, max_words + 1):
+    for k, _, ok in phrases(words, ids, filters, max_words):
         # `prefix` numbers the phrases of k - 1 words that start at the places `at`
-        some = at < len(ids) - k + 1
+        some = at < len(ok)
         at, prefix = at[some], prefix[some]
-        some = pair_ok[at + k - 2]
+        some = ok[at]
         at, prefix = at[some], prefix[some]
-        _, where, number, count = np.unique(prefix << 32 | ids[at + k - 1], return_index=True, return_inverse=True, return_counts=True)
-        prefix = number
+        key = prefix if k == 1 else prefix << 32 | ids[at + k - 1]
+        _, where, number, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        if k > 1:
+            prefix = number
         for i, c in zip(at[where].tolist(), count.tolist(), strict=True):
             trie.add(packed[4 * i:4 * (i + k)], c)
 
 
-def runs(docs: DataFrame, often: Filter, max_words: int) -> DataFrame:
+def runs(docs: DataFrame, filters: list[Filter], max_words: int) -> DataFrame:
     """(lang, phrase, n): sorted runs of phrase counts, several rows a phrase; the empty phrase counts all words."""
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
     form = {4 * k: f">{k}I" for k in range(1, max_words + 1)}
@@ -274,7 +278,7 @@ def runs(docs: DataFrame, often: Filter, max_words: int) -> DataFrame:
             words, trie = held.setdefault(lang, (Words(lang), HatTrie()))
             ids = words.read(texts)
             total[lang] = total.get(lang, 0) + int(np.count_nonzero(ids))
-            feed(trie, words, ids, often, max_words)
+            feed(trie, words, ids, filters, max_words)
             if sum(len(w) for w, _ in held.values()) > TASK_WORDS:
                 for key, (w, t) in held.items():
                     yield from rows(key.decode(), w, t.spill())
@@ -292,9 +296,12 @@ def runs(docs: DataFrame, often: Filter, max_words: int) -> DataFrame:
 def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS) -> DataFrame:
     """(lang, phrase, f) of every phrase of up to `max_words` words with f >= `min_count`; the empty phrase counts all words."""
     own = docs.select(F.coalesce(F.col("lang"), F.lit("und")).cast("binary").alias("lang"), F.col("text").cast("binary").alias("text"))
-    often = frequent_filter(own, min_count)
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    filters: list[Filter] = []
+    while 2 * len(filters) < max_words:
+        filters.append(frequent_filter(own, size, min_count, filters, max_words))
     prefix = F.substring_index("phrase", " ", 2)
-    merged = (runs(own, often, max_words).withColumn("prefix", prefix).repartition("lang", "prefix")
+    merged = (runs(own, filters, max_words).withColumn("prefix", prefix).repartition("lang", "prefix")
               .groupBy("lang", "prefix", "phrase").agg(F.sum("n").alias("f")))
     return merged.where((F.col("f") >= min_count) | (F.col("phrase") == "")).select("lang", "phrase", "f")
 
