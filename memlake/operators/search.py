@@ -26,7 +26,8 @@ from memlake.operators.changes import attach_embeddings
 from memlake.session import materialize as _materialize
 
 TERM_PATTERN = r"[\p{L}\p{N}]+"
-QUERY_BLOCK = 2048              # queries that meet a block of memories together
+QUERY_BLOCK = 2048              # queries in one product
+QUERIES_AT_ONCE = 100_000       # queries that a task holds (100,000 x 128 doubles = 100 MB)
 MEMORY_BLOCK = 20_000           # memories in a block, about (20,000 x 128 doubles = 20 MB)
 TILE = 1024                     # memories in one product: 2048 x 1024 doubles = 16 MB
 SIM_RESOLUTION = 9              # similarities are ranked at 1e-9 so equal vectors tie exactly
@@ -39,6 +40,7 @@ def tokens(col) -> F.Column:
 def _field_terms():
     """array<struct<field,pos,term>> over summary (0), essence (1) and tags (2) of a row."""
     fields = [(0, F.col("summary_text")), (1, F.col("essence_text")), (2, F.array_join("tags", " "))]
+    fields = [(f, F.coalesce(c, F.lit(""))) for f, c in fields]  # a NULL field has no terms
     def tag(f):
         return lambda t, i: F.struct(F.lit(f).alias("field"), i.alias("pos"), t.alias("term"))
 
@@ -90,10 +92,34 @@ def _as_index(df: DataFrame) -> DataFrame:
     return df if "terms" in df.columns else build_index(df)
 
 
+def doc_terms(mem: DataFrame, *keep: str) -> DataFrame:
+    """(hash, *keep, dl, entries): the distinct terms of each row with their places, grouped inside the row.
+
+    A place is field * 2**32 + position. The row's tokens are sorted, runs of equal terms become one entry: no shuffle. A
+    NULL field has no terms."""
+    fields = [F.col("summary_text"), F.col("essence_text"), F.array_join("tags", " ")]
+
+    def tagged(f):
+        return lambda t, i: F.struct(t.alias("term"), (F.lit(f << 32) + i).alias("at"))
+    found = F.concat(*[F.transform(tokens(F.coalesce(c, F.lit(""))), tagged(f)) for f, c in enumerate(fields)])
+    d = mem.select("hash", *keep, F.array_sort(found).alias("_s")).withColumn("dl", F.size("_s").cast("long"))
+    s = F.col("_s")
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0))),
+                      lambda i: (F.size(s) > 0) & ((i == 0) | (F.get(s, i)["term"] != F.get(s, i - 1)["term"])))
+    d = d.withColumn("_b", starts)
+    b = F.col("_b")
+    entries = F.transform(b, lambda x, j: F.struct(
+        F.get(s, x)["term"].alias("term"),
+        # by index: a slice would copy the whole array for every term
+        F.transform(F.sequence(x, F.coalesce(F.get(b, j + 1), F.size(s)) - 1), lambda i: F.get(s, i)["at"]).alias("at")))
+    return d.withColumn("entries", entries).drop("_s", "_b")
+
+
 def term_stats(mem: DataFrame) -> DataFrame:
-    """Per term: document frequency and collection frequency."""
-    return (postings(mem).groupBy("term")
-            .agg(F.countDistinct("hash").alias("df"), F.count("*").alias("cf")))
+    """Per term: document frequency and collection frequency. A row sends each of its terms once."""
+    # a plain explode would put its filter, with the whole grouping in it once more, below the grouping
+    e = doc_terms(mem).select(F.explode_outer("entries").alias("e")).where("e IS NOT NULL").select("e.term", F.size("e.at").alias("tf"))
+    return e.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf"))
 
 
 def query_phrases(queries: DataFrame) -> DataFrame:
@@ -198,48 +224,69 @@ def _by_length(vectors) -> dict[int, tuple[np.ndarray, np.ndarray]]:
             for d in np.unique(sizes[sizes > 0]) for at in [np.flatnonzero(sizes == d)]}
 
 
+def _codes(mem: pd.Series, qry: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Equal values of both columns as equal numbers; None and '' are -1 (they ask for nothing)."""
+    both, _ = pd.factorize(pd.concat([mem, qry], ignore_index=True).replace("", None))
+    return both[:len(mem)], both[len(mem):]
+
+
+class _Requesters:
+    """Visibility of memory rows to the queries' requesters (numpy form of functions.visibility), on integer codes."""
+
+    def __init__(self, mem: pd.DataFrame, qry: pd.DataFrame):
+        self.sens = mem["sensitivity"].map({"public": 0, "internal": 1, "secret": 2}).fillna(3).where(mem["sensitivity"].notna(), 4).to_numpy(np.int8)
+        self.proj, self.q_proj = _codes(mem["project"], qry["scope_project"])
+        self.own, self.q_own = _codes(mem["owner_id"], qry["owner"])
+
+    def matrix(self, q: slice, m: slice) -> np.ndarray:
+        sens, proj, own = self.sens[None, m], self.proj[None, m], self.own[None, m]
+        qp, qo = self.q_proj[q, None], self.q_own[q, None]
+        asks, named = qp >= 0, qo >= 0
+        same = (proj == qp) & asks
+        vis = np.where(named, (sens == 0) | ((sens == 2) & (own == qo)) | ((sens == 1) & same), (sens != 2) & (sens != 4))
+        return vis & (~asks | same)
+
+
 def _visible_matrix(mem: pd.DataFrame, qry: pd.DataFrame) -> np.ndarray:
-    """Visibility of memory rows to the queries' requesters (numpy form of functions.visibility)."""
-    sens, proj, own = (mem[c].to_numpy(dtype=object)[None, :] for c in ("sensitivity", "project", "owner_id"))
-    qp, qo = (qry[c].to_numpy(dtype=object)[:, None] for c in ("scope_project", "owner"))
-    asks, named = qp.astype(bool), qo.astype(bool)  # None and '' ask for nothing
-    same = (proj == qp) & asks
-    vis = np.where(named, (sens == "public") | ((sens == "secret") & (own == qo)) | ((sens == "internal") & same),
-                   (sens != "secret") & (sens != None))  # noqa: E711
-    return vis.astype(bool) & (~asks | same)
+    return _Requesters(mem, qry).matrix(slice(None), slice(None))
 
 
 def _block_topk(mem: pd.DataFrame, qry: pd.DataFrame, k: int, cut: float | None, scoped: bool) -> pd.DataFrame:
-    """The best k of one block of memories for one block of queries, in tiles of memories."""
+    """The best k of one block of memories for a block of queries, in tiles of both; a memory is unpacked once."""
     mem = mem.sort_values("hash", kind="stable").reset_index(drop=True)
-    queries = _by_length(qry["vec"].tolist())
-    best = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-    for at in range(0, len(mem), TILE):
-        tile = mem.iloc[at:at + TILE]
-        sims = np.zeros((len(qry), len(tile)))
-        for size, (rows, matrix) in _by_length(tile["vec"].tolist()).items():
-            if size in queries:
-                q_rows, q_matrix = queries[size]
-                sims[np.ix_(q_rows, rows)] = q_matrix @ matrix.T
-        keys = np.round(sims, SIM_RESOLUTION)
-        ok = _visible_matrix(tile, qry) if scoped else np.ones(keys.shape, bool)
-        if cut is not None:
-            ok &= keys > cut
-        if len(tile) > k:  # what is worse than the tile's own kth best cannot be among the best
-            floor = np.partition(np.where(ok, keys, -np.inf), -k, axis=1)[:, -k]
-            ok &= keys >= floor[:, None]
-        q, m = np.nonzero(ok)
-        found = [np.concatenate([a, b]) for a, b in zip(best, (q, m + at, sims[q, m]), strict=True)]
-        keep = _top_pairs(found[0], found[1], np.round(found[2], SIM_RESOLUTION), k)
-        best = [a[keep] for a in found]
-    q, m, sim = best
-    return pd.DataFrame({"query_id": qry["query_id"].to_numpy()[q], "hash": mem["hash"].to_numpy(dtype=object)[m],
-                         "sim": sim, "sim_key": np.round(sim, SIM_RESOLUTION)})
+    tiles = [(at, min(at + TILE, len(mem)), _by_length(mem["vec"].iloc[at:at + TILE].tolist())) for at in range(0, len(mem), TILE)]
+    who = _Requesters(mem, qry) if scoped else None
+    out = []
+    for start in range(0, len(qry), QUERY_BLOCK):
+        some = qry.iloc[start:start + QUERY_BLOCK]
+        queries = _by_length(some["vec"].tolist())
+        best = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        for at, end, by_size in tiles:
+            sims = np.zeros((len(some), end - at))
+            for size, (rows, matrix) in by_size.items():
+                if size in queries:
+                    q_rows, q_matrix = queries[size]
+                    sims[np.ix_(q_rows, rows)] = q_matrix @ matrix.T
+            keys = np.round(sims, SIM_RESOLUTION)
+            ok = who.matrix(slice(start, start + len(some)), slice(at, end)) if scoped else np.ones(keys.shape, bool)
+            if cut is not None:
+                ok &= keys > cut
+            if end - at > k:  # what is worse than the tile's own kth best cannot be among the best
+                floor = np.partition(np.where(ok, keys, -np.inf), -k, axis=1)[:, -k]
+                ok &= keys >= floor[:, None]
+            q, m = np.nonzero(ok)
+            found = [np.concatenate([a, b]) for a, b in zip(best, (q, m + at, sims[q, m]), strict=True)]
+            keep = _top_pairs(found[0], found[1], np.round(found[2], SIM_RESOLUTION), k)
+            best = [a[keep] for a in found]
+        q, m, sim = best
+        out.append(pd.DataFrame({"query_id": some["query_id"].to_numpy()[q], "hash": mem["hash"].to_numpy(dtype=object)[m],
+                                 "sim": sim, "sim_key": np.round(sim, SIM_RESOLUTION)}))
+    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "hash": [], "sim": [], "sim_key": []})
 
 
 def vector_topk(spark: SparkSession, mem_vec: DataFrame, qvec: DataFrame, k: int = SEARCH_LIMIT,
                 cut: float | None = None, boost_pairs: DataFrame | None = None, boost: float = FTS_BOOST,
-                vec_col: str = "vec", scoped: bool = False, query_block: int = QUERY_BLOCK,
+                vec_col: str = "vec", scoped: bool = False, query_block: int = QUERIES_AT_ONCE,
                 memory_block: int = MEMORY_BLOCK) -> DataFrame:
     """(query_id, hash, sim, sim_key, rank): best k memories per query by cosine of unit vectors.
 
@@ -248,8 +295,9 @@ def vector_topk(spark: SparkSession, mem_vec: DataFrame, qvec: DataFrame, k: int
     `sim_key` (score at 1e-9) is <= `cut` are dropped before ranking. With `scoped`, qvec also has
     (scope_project, owner) and mem_vec (sensitivity, project, owner_id): each query only sees the rows its requester may see.
 
-    Memories and queries are dealt into blocks of bounded size; every pair of blocks meets in one group, where a
-    tiled product keeps the best k per query. Boosted pairs are few (a bounded list per query) and are scored by
+    Memories are dealt into blocks of bounded size and stay there: the queries are copied to every block, where a tiled
+    product keeps the best k per query. Only a batch of more than `query_block` queries is split, into as few parts as
+    fit, each of which reads the memories once. Boosted pairs are few (a bounded list per query) and are scored by
     themselves: an unboosted memory among the best stays among the best k without boosts.
     """
     scope_cols = ["sensitivity", "project", "owner_id"] if scoped else []
@@ -284,9 +332,9 @@ def vector_topk(spark: SparkSession, mem_vec: DataFrame, qvec: DataFrame, k: int
 
 def hybrid(spark: SparkSession, index: DataFrame, queries: DataFrame, qvec: DataFrame,
            limit: int = SEARCH_LIMIT, owner=None, project=None,
-           scope: DataFrame | None = None, limits: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+           scope: DataFrame | None = None, limits: DataFrame | None = None, fulltext=None) -> tuple[DataFrame, DataFrame]:
     """Query request with a query text, for many queries at once, over a search index built
-    with vectors.
+    with vectors. `fulltext(limit)` gives the best full-text hits from another index, so that this one needs no terms.
 
     Returns (semantic, fulltext): semantic = cosine + boost for the query's full-text hits,
     kept above 0.25, best `limit`; fulltext = best 2 x limit BM25 hits. Both branches obey
@@ -295,7 +343,8 @@ def hybrid(spark: SparkSession, index: DataFrame, queries: DataFrame, qvec: Data
     if limits is not None:
         limit = limits.agg(F.max("limit")).first()[0] or limit
     # small (<= 2 x limit rows per query) and read twice: written once to the checkpoint folder
-    fts = _materialize(_within(bm25_top(index, queries, 2 * limit, owner, project, scope), limits, "pos", 2), "fts_hits")
+    hits = fulltext(2 * limit) if fulltext else bm25_top(index, queries, 2 * limit, owner, project, scope)
+    fts = _materialize(_within(hits, limits, "pos", 2), "fts_hits")
     # only rows that have an embedding take part in the semantic branch
     with_vec = index.filter(F.col("vec").isNotNull() & (F.size("vec") > 0))
     if scope is None:

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from memlake.config import NOW
 from memlake.functions.embed import with_embedding
 from memlake.functions.format import format_memory
-from memlake.functions.text import JS_SPACE
+from memlake.functions.text import JS_SPACE, content_id
 from memlake.functions.visibility import visible
 from memlake.operators import candidates as C
 from memlake.operators import search as S
+from memlake.operators import text_index as T
+from memlake.operators import vector_index as V
 from memlake.plans.common import joined, r6, register
 from memlake.plans.context_queries import TEXT_SQL
 from memlake.plans.document_queries import MEM_TEXT_SQL, embed_sql, memory_text
@@ -70,6 +72,43 @@ def _queries(spark, sf):
     return FX.search_requests(spark, sf)
 
 
+def _index(spark, sf):
+    """The kept full-text index of the memories made from this state of `documents`."""
+    return T.kept_index(spark, FX.memories(spark, sf), T.table_state(spark, f"{sf.rstrip('/')}/documents.parquet"))
+
+
+CHANGED_SQL = """changed AS (
+  SELECT hash, summary_text, essence_text, tags, sensitivity FROM memories_d
+  WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1 OR toxic = 1)
+  UNION ALL SELECT hash, concat('v2 ', summary_text), essence_text, tags, sensitivity FROM memories_d
+  WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
+  UNION ALL SELECT substr(sha256(concat('bench:', CAST(item_id AS VARCHAR))), 1, 16), text, NULL, ['bench'], 'public' FROM benchmark)"""
+
+
+def _changes(spark, sf):
+    """(changed rows, deleted ids): good labelled memories get a new summary, toxic ones go, benchmark items come in."""
+    lab = read_table(spark, sf, "labels").join(FX.memories_with_doc(spark, sf), "doc_id")
+    none = F.lit(None).cast("string")
+    cols = ["hash", "summary_text", "essence_text", "tags", "sensitivity", "project", "owner_id"]
+    edited = lab.where("quality = 1 AND toxic = 0").withColumn("summary_text", F.concat(F.lit("v2 "), F.col("summary_text")))
+    added = read_table(spark, sf, "benchmark").select(
+        content_id("bench:", F.col("item_id").cast("string")).alias("hash"), F.col("text").alias("summary_text"), none.alias("essence_text"),
+        F.array(F.lit("bench")).alias("tags"), F.lit("public").alias("sensitivity"), none.alias("project"), F.lit("default").alias("owner_id"))
+    return edited.select(*cols).dropDuplicates(["hash"]).unionByName(added), lab.where("toxic = 1").select("hash")
+
+
+@register("bm25_after_changes", f"""
+{CHANGED_SQL},
+{BM25_SQL.replace("FROM memories", "FROM changed")}
+SELECT query_id, hash, round(rank, 6) AS rank, pos FROM fts""")
+def q_bm25_after_changes(spark, sf):
+    """Full-text search over the kept index with one more segment: replaced, deleted and inserted memories."""
+    changed, gone = _changes(spark, sf)
+    index = T.apply_changes(_index(spark, sf), changed, gone, path=T.fresh_folder(spark))
+    t = T.search_top(index, _queries(spark, sf), 20)
+    return t.select("query_id", "hash", r6("rank").alias("rank"), "pos")
+
+
 def _mem_vectors(spark, sf):
     """Vectors of the rows that anyone may see: hidden rows are left out before the embedding."""
     m = with_embedding(memory_text(FX.memories(spark, sf).filter(visible())), "embed_text", out="vec")
@@ -91,7 +130,16 @@ def q_term_stats(spark, sf):
 {BM25_SQL}
 SELECT query_id, hash, round(rank, 6) AS rank, pos FROM fts""")
 def q_bm25_search(spark, sf):
-    """Full-text search for every query: best 20 visible rows by BM25 rank."""
+    """Full-text search over the kept index: best 20 visible rows by BM25 rank for every query."""
+    t = T.search_top(_index(spark, sf), _queries(spark, sf), 20)
+    return t.select("query_id", "hash", r6("rank").alias("rank"), "pos")
+
+
+@register("bm25_search_rebuilt", f"""
+{BM25_SQL}
+SELECT query_id, hash, round(rank, 6) AS rank, pos FROM fts""")
+def q_bm25_search_rebuilt(spark, sf):
+    """The same search over an index that is built for this call and scores every match."""
     t = S.bm25_top(S.build_index(FX.memories(spark, sf)), _queries(spark, sf), 20)
     return t.select("query_id", "hash", r6("rank").alias("rank"), "pos")
 
@@ -112,6 +160,33 @@ def q_embedding_scan(spark, sf):
                     F.size("embedding_sparse").cast("bigint").alias("emb_nnz"))
 
 
+def _kept_vectors(spark, sf):
+    """The kept vectors (local embeddings) of the memories made from this state of `documents`, by pivot cells."""
+    mem = with_embedding(memory_text(FX.memories(spark, sf)), "embed_text", out="vec").select("hash", "vec", *V.ATTRIBUTES)
+    state = T.table_state(spark, f"{sf.rstrip('/')}/documents.parquet")
+    return V.VectorIndex(spark, T.kept(spark, f"vectors-{state}", "cells", lambda path: V.create_vectors(mem, path)))
+
+
+@register("vector_topk_pruned", f"""
+{SIM_SQL}
+SELECT query_id, hash, round(cos_raw, 6) AS sim, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, hash) AS rank
+FROM sims QUALIFY rank <= 10""")
+def q_vector_topk_pruned(spark, sf):
+    """Exact cosine top-10 over the kept vectors: cells that cannot hold one of the best are not opened."""
+    t = V.topk(_kept_vectors(spark, sf), _query_vectors(spark, sf), k=10)
+    return t.select("query_id", "hash", r6("sim").alias("sim"), "rank")
+
+
+@register("vector_topk_approximate")
+def q_vector_topk_approximate(spark, sf):
+    """Approximate cosine top-10 (32 cells a query) with the recall of each query against the exact search."""
+    index = _kept_vectors(spark, sf)
+    near = S._materialize(V.topk(index, _query_vectors(spark, sf), k=10, probes=32), "approximate_hits")
+    exact = V.topk(index, _query_vectors(spark, sf), k=10)
+    return (near.join(V.recall(exact, near), "query_id")
+            .select("query_id", "hash", r6("sim").alias("sim"), "rank", r6("recall").alias("recall")))
+
+
 @register("semantic_topk", f"""
 {SIM_SQL}
 SELECT query_id, hash, round(cos_raw, 6) AS sim, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, hash) AS rank
@@ -139,13 +214,19 @@ res AS (
   WHERE pos <= 10 AND query_id NOT IN (SELECT query_id FROM sem))"""
 
 
+def _hybrid(spark, sf):
+    """Both branches over the kept indexes."""
+    index, q = _index(spark, sf), _queries(spark, sf)
+    return S.hybrid(spark, _kept_vectors(spark, sf).vectors, q, _query_vectors(spark, sf),
+                    fulltext=lambda limit: T.search_top(index, q, limit))
+
+
 @register("hybrid_search", f"""
 {HYBRID_SQL}
 SELECT query_id, hash, round(sim, 6) AS sim, rank FROM sem""")
 def q_hybrid_search(spark, sf):
     """Cosine + 0.5 for full-text hits, above 0.25, best 10 per query."""
-    idx = S.build_index(FX.memories(spark, sf), vectors=True)
-    sem, _ = S.hybrid(spark, idx, _queries(spark, sf), _query_vectors(spark, sf))
+    sem, _ = _hybrid(spark, sf)
     return sem.select("query_id", "hash", r6("sim").alias("sim"), "rank")
 
 
@@ -157,8 +238,7 @@ FROM (SELECT r.query_id, r.rank, r.source, m.*, {SCORE_SQL} AS score, {tier_sql(
       FROM res r JOIN memories m USING (hash))""")
 def q_search_with_fallback(spark, sf):
     """Query request end to end: hybrid results, full-text fallback, decay score, tier and the text at that tier."""
-    idx = S.build_index(FX.memories(spark, sf), vectors=True)
-    sem, fts = S.hybrid(spark, idx, _queries(spark, sf), _query_vectors(spark, sf))
+    sem, fts = _hybrid(spark, sf)
     res = S.with_fallback(sem, fts)
     # only the winners' rows are fetched with their texts
     out = C.scored(res.join(FX.memories(spark, sf), "hash"), NOW)
@@ -222,10 +302,11 @@ def q_scoped_search(spark, sf):
     from memlake.functions.visibility import scope_clamp
     req = FX.scoped_search_requests(spark, sf)
     scope = req.select("query_id", scope_clamp("project", "allowed").alias("scope_project"), "owner")
-    idx = S.build_index(FX.memories(spark, sf), vectors=True)
+    index, q = _index(spark, sf), req.select("query_id", "query")
     qv = with_embedding(req.select("query_id", "query"), "query", out="vec").select("query_id", "vec")
     limits = req.select("query_id", "limit")
-    sem, fts = S.hybrid(spark, idx, req.select("query_id", "query"), qv, scope=scope, limits=limits)
+    sem, fts = S.hybrid(spark, _kept_vectors(spark, sf).vectors, q, qv, scope=scope, limits=limits,
+                        fulltext=lambda limit: T.search_top(index, q, limit, scope=scope))
     res = S.with_fallback(sem, fts, limits=limits)
     out = C.scored(res.join(FX.memories(spark, sf), "hash"), NOW)
     return out.select("query_id", "hash", "rank", "source", r6("score").alias("score"), "fidelity",
