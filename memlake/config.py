@@ -79,3 +79,8 @@ class Thresholds:
 
 
 DEFAULT_THRESHOLDS = Thresholds()
+
+# Sentences of the recall answers.
+CONTEXT_LOG_NOTE = "(context log available — see vault .md file for details)"
+NOT_FOUND_NOTE = ('No memory found with hash prefix "', '". Try brain_query to find available memories.')
+TOO_SHORT_NOTE = "hash prefix needs at least 4 characters"

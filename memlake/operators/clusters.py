@@ -35,7 +35,7 @@ def _matrix(vecs, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def assign(m: np.ndarray, ok: np.ndarray, cent: np.ndarray | None) -> np.ndarray:
-    """Index of the most similar centroid (first on ties); rows of another dimension -> 0."""
+    """Index of the most similar centroid (first on ties); rows that are not `ok` (no vector of this size) -> 0."""
     if cent is None:
         return np.zeros(m.shape[0], dtype=np.int64)
     mn = np.linalg.norm(m, axis=1)
@@ -57,22 +57,26 @@ def initial_centroids(items: DataFrame, k: int) -> tuple[np.ndarray, int]:
     return np.array(rows, dtype=np.float64), dim
 
 
+def _by_size(vecs) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Vectors of each size: (places, matrix)."""
+    sizes = np.array([0 if v is None else len(v) for v in vecs])
+    return {int(d): (at, np.stack([np.asarray(vecs[i], np.float64) for i in at]))
+            for d in np.unique(sizes[sizes > 0]) for at in [np.flatnonzero(sizes == d)]}
+
+
 def _partial_kernel(bc):
-    """Per partition: cluster sums / counts under the current centroids, one row per cluster at the end."""
+    """Per partition: sums and counts per (size, cluster) under the current centroids, one row each at the end."""
     def kernel(it):
-        cur, dim = bc.value
-        k = cur.shape[0]
-        sums = np.zeros((k, dim))
-        counts = np.zeros(k, dtype=np.int64)
+        cents = bc.value
+        sums = {d: np.zeros_like(c) for d, c in cents.items()}
+        counts = {d: np.zeros(len(c), dtype=np.int64) for d, c in cents.items()}
         for pdf in it:
-            if pdf.empty:
-                continue
-            m, ok = _matrix(pdf["vec"].to_numpy(), dim)
-            a_cur = assign(m, ok, cur)
-            np.add.at(sums, a_cur[ok], m[ok])
-            counts += np.bincount(a_cur[ok], minlength=k)
-        yield pd.DataFrame({"cluster_id": np.arange(k, dtype=np.int64), "n": counts,
-                            "s": [sums[c] for c in range(k)]})
+            for d, (_, m) in _by_size(pdf["vec"].to_numpy()).items():
+                a = assign(m, np.ones(len(m), bool), cents[d])
+                np.add.at(sums[d], a, m)
+                counts[d] += np.bincount(a, minlength=len(cents[d]))
+        for d, c in cents.items():
+            yield pd.DataFrame({"size": d, "cluster_id": np.arange(len(c), dtype=np.int64), "n": counts[d], "s": list(sums[d])})
     return kernel
 
 
@@ -89,43 +93,58 @@ def assign_to(spark: SparkSession, items: DataFrame, cent: np.ndarray, dim: int)
     return items.withColumn("cluster_id", _assign(F.col("vec")))
 
 
-def lloyd(spark: SparkSession, items: DataFrame, k: int = KMEANS_K, max_iter: int = KMEANS_MAX_ITER,
-          checkpoint: bool = True) -> tuple[DataFrame, np.ndarray, int]:
-    """kMeansClusters with a seeded start. Returns (assignments, centroids, iterations run)."""
-    valid = items.filter(F.col("vec").isNotNull() & (F.size("vec") > 0)).select("hash", "vec", "tags")
+def lloyd_sizes(spark: SparkSession, items: DataFrame, k: int = KMEANS_K, max_iter: int = KMEANS_MAX_ITER,
+                checkpoint: bool = True) -> tuple[DataFrame, dict[int, np.ndarray], int]:
+    """kMeansClusters with a seeded start, for vectors of any sizes: those of one size are clustered among themselves, all sizes in
+    the same passes. Returns (rows with `size` and `cluster_id` from 0 within the size, centroids per size, iterations run)."""
+    valid = items.filter(F.col("vec").isNotNull() & (F.size("vec") > 0)).select("hash", "vec", "tags", F.size("vec").alias("size"))
     if checkpoint:
         valid = _materialize(valid, "kmeans_items")   # written once to spark.checkpoint.dir
-    n = valid.count()
-    k = min(k, n)
-    if k <= 0:
-        return valid.withColumn("cluster_id", F.lit(0).cast("long")), np.zeros((0, 0)), 0
-    cur, dim = initial_centroids(valid, k)
-    k = cur.shape[0]
+    w = Window.partitionBy("size").orderBy("hash")
+    first = valid.select("size", "hash", "vec").withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= k).orderBy("size", "hash").collect()
+    cur = {d: np.array([r["vec"] for r in first if r["size"] == d], dtype=np.float64) for d in sorted({r["size"] for r in first})}
+    if k <= 0 or not cur:
+        return valid.withColumn("cluster_id", F.lit(0).cast("long")), {}, 0
     used, iters = cur, 0
     for _ in range(max_iter):
         iters += 1
-        bc = spark.sparkContext.broadcast((cur, dim))
-        part = valid.select("vec").mapInPandas(_partial_kernel(bc), "cluster_id long, n long, s array<double>")
-        # element-wise reduction in Spark: only k x d sums reach the driver
-        red = (part.select("cluster_id", "n", F.posexplode("s").alias("pos", "x"))
-               .groupBy("cluster_id", "pos")
-               .agg(F.sum("x").alias("x"), F.sum(F.when(F.col("pos") == 0, F.col("n"))).alias("n"))
-               .collect())
+        bc = spark.sparkContext.broadcast(cur)
+        part = valid.select("vec").mapInPandas(_partial_kernel(bc), "size long, cluster_id long, n long, s array<double>")
+        # element-wise reduction in Spark: only sums of k vectors per size reach the driver
+        red = (part.select("size", "cluster_id", "n", F.posexplode("s").alias("pos", "x"))
+               .groupBy("size", "cluster_id", "pos").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect())
         bc.destroy()
-        sums = np.zeros_like(cur)
-        counts = np.zeros(k, dtype=np.int64)
+        new = {d: c.copy() for d, c in cur.items()}
         for r in red:
-            sums[r["cluster_id"], r["pos"]] = r["x"]
-            if r["pos"] == 0:
-                counts[r["cluster_id"]] = r["n"] or 0
-        new = cur.copy()
-        nz = counts > 0
-        new[nz] = sums[nz] / counts[nz][:, None]
-        used, settled = cur, np.allclose(new, cur, rtol=0, atol=SETTLED)
+            if r["n"]:
+                new[r["size"]][r["cluster_id"], r["pos"]] = r["x"] / r["n"]
+        used, settled = cur, all(np.allclose(new[d], cur[d], rtol=0, atol=SETTLED) for d in cur)
         cur = new
         if settled:
             break
-    return assign_to(spark, valid, used, dim), cur, iters
+    bc = spark.sparkContext.broadcast(used)
+
+    @F.pandas_udf("long")
+    def nearest(vecs: pd.Series) -> pd.Series:
+        out = np.zeros(len(vecs), np.int64)
+        for d, (at, m) in _by_size(vecs.to_numpy()).items():
+            out[at] = assign(m, np.ones(len(m), bool), bc.value[d])
+        return pd.Series(out)
+    return valid.withColumn("cluster_id", nearest(F.col("vec"))), cur, iters
+
+
+def lloyd(spark: SparkSession, items: DataFrame, k: int = KMEANS_K, max_iter: int = KMEANS_MAX_ITER,
+          checkpoint: bool = True) -> tuple[DataFrame, np.ndarray, int]:
+    """kMeansClusters with a seeded start. Returns (assignments, centroids of the smallest size, iterations run). Clusters of larger
+    vectors are numbered after those of smaller ones, so no cluster holds vectors of two sizes."""
+    assigned, cent, iters = lloyd_sizes(spark, items, k, max_iter, checkpoint)
+    if not cent:
+        return assigned.drop("size"), np.zeros((0, 0)), iters
+    before, offset = 0, F.lit(0)
+    for d, c in cent.items():
+        offset = F.when(F.col("size") == d, F.lit(before)).otherwise(offset)
+        before += len(c)
+    return assigned.withColumn("cluster_id", F.col("cluster_id") + offset).drop("size"), next(iter(cent.values())), iters
 
 
 def centroid_means(assigned: DataFrame) -> DataFrame:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memlake.config import CONTEXT_LOG_NOTE, NOT_FOUND_NOTE, TOO_SHORT_NOTE
 from memlake.functions.decay import decay_score
 from memlake.functions.visibility import asked, visible
+from memlake.session import materialize
 
-MIN_PREFIX = 4   # shorter recall prefixes are not answered
-ID_CHARS = 64    # ids have at most so many chars (the hash they are cut from), so there are few prefix lengths
+MIN_PREFIX = 4   # shorter recall prefixes are not looked up
 
 
 def lookup(mem: DataFrame, keys: DataFrame, key: str = "hash") -> DataFrame:
@@ -20,16 +24,13 @@ def lookup(mem: DataFrame, keys: DataFrame, key: str = "hash") -> DataFrame:
 def recall_by_prefix(mem: DataFrame, req: DataFrame, now: int, owner=None) -> DataFrame:
     """Recall request for many requests `(request_id, prefix)`.
 
-    Prefixes of at least 4 chars are matched by equality, one length at a time, on rows of the id
-    alone; one match per request (smallest hash), whose row is then fetched. Returns the pre-touch score and the
+    Prefixes of at least 4 chars are looked up in the sorted ids (see `first_with_prefix`); one match per request
+    (smallest hash), whose row is then fetched. Returns the pre-touch score and the
     touched last_accessed / access_count (the reheat). Visibility is applied to recall as well.
     """
     r = req.withColumn("_p", F.lower(F.col("prefix"))).filter(F.length("_p") >= MIN_PREFIX)
     seen = mem.filter(visible(None, owner))
-    asked_for = r.select("_p").distinct()
-    lengths = sorted(x[0] for x in asked_for.select(F.length("_p")).distinct().filter(f"length(_p) <= {ID_CHARS}").collect())
-    ids = seen.select("hash", F.explode(F.array(*[F.substring("hash", 1, n) for n in lengths] or [F.lit("")])).alias("_p"))
-    first = (ids.join(asked_for, "_p").groupBy("_p").agg(F.min("hash").alias("hash"))
+    first = (first_with_prefix(seen.select("hash"), r.select("_p").distinct())
              .join(r.select("request_id", "_p"), "_p").select("request_id", "hash"))
     hits = first.join(seen.select("hash", "importance", "last_accessed", "access_count", "project",
                                   "full_text", "summary_text", "context_log", "tags"), "hash")
@@ -38,12 +39,50 @@ def recall_by_prefix(mem: DataFrame, req: DataFrame, now: int, owner=None) -> Da
         decay_score(now=now).alias("score"),
         "project", "tags", "full_text", "summary_text",
         F.when(F.col("context_log").isNotNull(),
-               F.lit("(context log available — see vault .md file for details)")).alias("context_log"),
+               F.lit(CONTEXT_LOG_NOTE)).alias("context_log"),
         F.lit(now).cast("bigint").alias("last_accessed"),
         (F.col("access_count") + 1).cast("bigint").alias("access_count"),
         F.lit(True).alias("reheated"))
 
 
+def first_with_prefix(ids: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(_p, hash): for every distinct prefix `_p` the smallest id that starts with it.
+
+    The ids are range-partitioned and written once, whatever the lengths of the prefixes; a prefix goes to the one partition that
+    holds the first id not before it, and is found there by binary search. The driver knows the last id of each partition."""
+    parts = ids.repartitionByRange("hash").select("hash", F.spark_partition_id().cast("long").alias("part"))
+    parts = materialize(parts, "recall_ids")
+    ends = parts.groupBy("part").agg(F.max("hash").alias("last")).orderBy("last").collect()  # one row per partition
+    lasts, numbers = [e["last"] for e in ends], [e["part"] for e in ends]
+
+    @F.pandas_udf("long")
+    def part_of(p: pd.Series) -> pd.Series:
+        return pd.Series([numbers[i] if (i := bisect_left(lasts, x)) < len(lasts) else -1 for x in p], dtype="int64")
+
+    def search(own: pd.DataFrame, asked_for: pd.DataFrame) -> pd.DataFrame:
+        own, found = sorted(own["hash"]), []
+        for p in asked_for["_p"]:
+            i = bisect_left(own, p)
+            if i < len(own) and own[i].startswith(p):
+                found.append((p, own[i]))
+        return pd.DataFrame({"_p": [f[0] for f in found], "hash": [f[1] for f in found]}, dtype=object)
+    wanted = prefixes.select("_p", part_of("_p").alias("part"))
+    return parts.groupBy("part").cogroup(wanted.groupBy("part")).applyInPandas(search, "_p string, hash string")
+
+
+def recall_answers(mem: DataFrame, req: DataFrame, now: int, owner=None) -> DataFrame:
+    """An answer for every request `(request_id, prefix)`: status `found`, `not_found` or `too_short`, what a found memory shows, and
+    the sentence that the others get."""
+    hits = recall_by_prefix(mem, req, now, owner)
+    r = req.select(F.col("request_id").alias("_r"), "prefix")
+    short = F.length(F.coalesce("prefix", F.lit(""))) < MIN_PREFIX
+    status = F.when(F.col("hash").isNotNull(), "found").when(short, "too_short").otherwise("not_found")
+    note = (F.when(F.col("hash").isNotNull(), F.lit(None)).when(short, F.lit(TOO_SHORT_NOTE))
+            .otherwise(F.concat(F.lit(NOT_FOUND_NOTE[0]), F.col("prefix"), F.lit(NOT_FOUND_NOTE[1]))))
+    j = r.join(hits, F.col("_r") == F.col("request_id"), "left")
+    return j.select(F.col("_r").alias("request_id"), status.alias("status"), note.alias("note"), *[c for c in hits.columns if c != "request_id"])
+
+
 def visible_counts(req: DataFrame, mem: DataFrame) -> DataFrame:
     """Per request (request_id, project, owner): how many memories it may see, and their
     importance sum, without pairing every request with every row.

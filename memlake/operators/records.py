@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.operators.changes import latest_per_key
 from memlake.functions.text import content_id, iso_utc, js_number, js_trim, short_id, token_estimate
 
 # ------------------------------------------------------------------ file snapshots
@@ -110,10 +111,27 @@ def session_turns(turns: DataFrame) -> DataFrame:
                         "turn", "role", "content")
 
 
-def store_sessions(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Sessions after a log-session batch: a session logged again replaces the stored one of its id."""
-    n = new.select(*stored.columns)
-    return stored.join(n.select("id").distinct(), "id", "left_anti").unionByName(n)
+def build_sessions(turns: DataFrame, *keep: str) -> DataFrame:
+    """Log-session requests as session rows with nested turns: (id, memory_hash, project, title, turns, token_count, created_at, *keep).
+
+    `turns` as for `session_rollup`, with an optional `timestamp` per turn; `keep` names columns that tell the logs of one
+    conversation apart (an arrival number). The id is that of `{logged_at ms}:{title}`, so the same log sent twice has one id."""
+    stamp = F.col("timestamp") if "timestamp" in turns.columns else F.lit(None)
+    turn = F.struct("turn", "role", "content", stamp.cast("bigint").alias("timestamp"))
+    g = turns.groupBy("conv_id", *keep).agg(
+        F.array_sort(F.collect_list(turn)).alias("t"), F.first("title").alias("title"), F.first("memory_hash").alias("memory_hash"),
+        F.first("project").alias("project"), F.first("logged_at").alias("created_at"))
+    g = g.withColumn("turns", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"), x["timestamp"].alias("timestamp"))))
+    return g.select(content_id((F.col("created_at") * 1000).cast("string"), ":", F.col("title")).alias("id"), "memory_hash", "project", "title",
+                    "turns", token_estimate(F.length(F.to_json("turns"))).alias("token_count"), F.col("created_at").cast("bigint").alias("created_at"), *keep)
+
+
+def store_sessions(stored: DataFrame, new: DataFrame, order_col: str | None = None) -> DataFrame:
+    """Sessions after a log-session batch: insert or replace on id. Several logs of one id in the batch leave one session, the
+    latest by `order_col` (ties and a missing column: a deterministic pick)."""
+    order_col = order_col or "created_at"
+    latest = latest_per_key(new, "id", order_col).select(*stored.columns)
+    return stored.join(latest.select("id"), "id", "left_anti").unionByName(latest)
 
 
 def recent_sessions(sessions: DataFrame, limit: int = 50) -> DataFrame:

@@ -337,4 +337,4 @@ def kept(spark: SparkSession, name: str, last: str, build) -> str:
 
 def kept_index(spark: SparkSession, mem: DataFrame, state: str) -> TextIndex:
     """The index of `mem` for this `state` of its source: built at the first call, opened at later ones."""
-    return open_index(spark, kept(spark, f"text_index-{state}", "totals", lambda path: create_index(mem, path)))
+    return open_index(spark, kept(spark, f"text_index-v1-{state}", "totals", lambda path: create_index(mem, path)))

@@ -93,6 +93,24 @@ def q_kmeans_lloyd(spark, sf):
     return a.select("hash", "cluster_id")
 
 
+def two_sizes(spark, sf):
+    """Cluster items of two vector sizes: odd ones keep their first 32 components."""
+    odd = F.col("hash").cast("long") % 2 == 1
+    return FX.cluster_items(spark, sf).withColumn("vec", F.when(odd, F.slice("vec", 1, 32)).otherwise(F.col("vec")))
+
+
+@register("kmeans_two_sizes", f"""full_items AS MATERIALIZED (SELECT hash, vec FROM cluster_items WHERE CAST(hash AS BIGINT) % 2 = 0),
+half_items AS MATERIALIZED (SELECT hash, vec[1:32] AS vec FROM cluster_items WHERE CAST(hash AS BIGINT) % 2 = 1),
+full_end AS (WITH {lloyd_sql("full_items")} SELECT * FROM kmeans_end),
+half_end AS (WITH {lloyd_sql("half_items")} SELECT * FROM kmeans_end)
+SELECT hash, CAST(64 AS BIGINT) AS size, CAST(c AS BIGINT) AS cluster_id FROM full_end
+UNION ALL SELECT hash, CAST(32 AS BIGINT), CAST(c AS BIGINT) FROM half_end""")
+def q_kmeans_two_sizes(spark, sf):
+    """K-means over vectors of two sizes at once: each size has its own clusters, both iterate in the same passes."""
+    a, _, _ = K.lloyd_sizes(spark, two_sizes(spark, sf))
+    return a.select("hash", "size", "cluster_id")
+
+
 @register("kmeans_ml")
 def q_kmeans_ml(spark, sf):
     """MLlib cosine k-means (k=5, 20 iterations, seed 42) over the embeddings table."""

@@ -5,10 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from memlake.config import NOW, UNTAGGED
+from memlake.config import NOT_FOUND_NOTE, NOW, TOO_SHORT_NOTE, UNTAGGED
 from memlake.operators import changes as W
 from memlake.operators import recall as R
-from memlake.plans.common import joined, r6, register
+from memlake.operators import buckets as B
+from memlake.plans.common import ORACLE, joined, r6, register
+from memlake.plans.oracle_inputs import INPUT_VIEWS
 from memlake.plans.memory_queries import BUILD_SQL, SCORE_SQL
 from memlake.sources import fixtures as FX
 from memlake.sources.tables import read_table
@@ -191,6 +193,22 @@ def q_recall_by_prefix(spark, sf):
                     F.col("summary_text").alias("summary"), "context_log")
 
 
+@register("recall_answers", f"""
+{RECALL_REQ_SQL},
+hits AS (SELECT r.request_id, m.hash, m.importance, m.access_count, row_number() OVER (PARTITION BY r.request_id ORDER BY m.hash) AS rn
+         FROM rq r JOIN memories m ON length(r.prefix) >= 4 AND starts_with(m.hash, lower(r.prefix))
+         WHERE m.sensitivity <> 'secret')
+SELECT r.request_id, CASE WHEN h.hash IS NOT NULL THEN 'found' WHEN length(r.prefix) < 4 THEN 'too_short' ELSE 'not_found' END AS status,
+       CASE WHEN h.hash IS NOT NULL THEN NULL WHEN length(r.prefix) < 4 THEN '{TOO_SHORT_NOTE}'
+            ELSE concat('{NOT_FOUND_NOTE[0]}', r.prefix, '{NOT_FOUND_NOTE[1]}') END AS note,
+       h.hash, h.importance, CAST(h.access_count + 1 AS BIGINT) AS access_count
+FROM rq r LEFT JOIN (SELECT * FROM hits WHERE rn = 1) h USING (request_id)""")
+def q_recall_answers(spark, sf):
+    """Recall request with an answer for every request: found, not found, or too short a prefix."""
+    return R.recall_answers(FX.memories(spark, sf), recall_requests(spark, sf), NOW).select(
+        "request_id", "status", "note", "hash", "importance", "access_count")
+
+
 def storage_rows(spark, sf):
     """Old storage-form rows: tags as JSON text, 0/1 flags, some fields missing."""
     md = FX.memories_with_doc(spark, sf)
@@ -218,19 +236,29 @@ def q_decode_rows(spark, sf):
     return d.select("hash", "explicit_save", joined("tags").alias("tags"), "sensitivity", "owner_id")
 
 
-@register("upsert_versioned")
-def q_upsert_versioned(spark, sf):
-    """W1 as a table job: write the memory table, apply the upsert to what was written, write the
-    new table to a path of its own, read it back (same result as upsert_memories)."""
-    from memlake.session import materialize
-    stored = materialize(FX.memories(spark, sf), "memories_before")
-    return materialize(W.upsert(stored, upsert_changes(spark, sf)), "memories_after").select(*MEM_CHG_COLS)
+# ---------------------------------------------------------------- changes by bucket
 
 
-def _share_upsert_oracle():
-    from memlake.plans.common import ORACLE
-    if "upsert_memories" in ORACLE:
-        ORACLE["upsert_versioned"] = ORACLE["upsert_memories"]
+def _bucketed(spark, sf, changes, job):
+    """The memories written by buckets, changed bucket by bucket, and read back."""
+    import uuid
 
+    from memlake.session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/memories-{uuid.uuid4().hex[:12]}"
+    B.write_table(FX.memories(spark, sf), path)
+    B.change_table(spark, path, changes, job)
+    return B.read_table(spark, path)
 
-_share_upsert_oracle()
+
+@register("upsert_versioned", ORACLE["upsert_memories"].split(INPUT_VIEWS.strip() + ",")[1])
+def q_upsert_versioned(spark, sf):
+    """W1 as a table job: the stored table is changed in place, only the buckets of the changed ids are rewritten."""
+    return _bucketed(spark, sf, upsert_changes(spark, sf), W.upsert).select(*MEM_CHG_COLS)
+
+
+@register("delete_by_bucket", ORACLE["delete_memories"].split(INPUT_VIEWS.strip())[1].strip())
+def q_delete_by_bucket(spark, sf):
+    """W3 as a table job: only the buckets of the deleted ids are rewritten."""
+    keys = (read_table(spark, sf, "labels").filter(F.col("toxic") == 1)
+            .join(FX.memories_with_doc(spark, sf).select("doc_id", "hash"), "doc_id").select("hash"))
+    return _bucketed(spark, sf, keys, W.delete).select("hash", "importance")

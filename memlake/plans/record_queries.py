@@ -99,6 +99,35 @@ def q_session_rollup(spark, sf):
     return _sessions(spark, sf).drop("conv_id")
 
 
+def _logs(spark, sf):
+    """Two logs of the sessions: all turns, and for every third conversation once more, later, its first two turns with times."""
+    t = FX.chat_session_inputs(spark, sf)
+    once = t.select("*", F.lit(None).cast("bigint").alias("timestamp"), F.lit(1).alias("arrival"))
+    again = t.filter("conv_id % 3 = 0 AND turn < 2").select("*", (F.col("logged_at") + F.col("turn")).alias("timestamp"), F.lit(2).alias("arrival"))
+    return once.filter("conv_id % 5 <> 0").unionByName(again), once.filter("conv_id % 2 = 0")
+
+
+@register("store_sessions", f"""{SESSIONS_SQL},
+logs AS (
+  SELECT conv_id, turn, role, content, NULL::BIGINT AS ts, 1 AS arrival FROM chat_session_inputs WHERE conv_id % 5 <> 0
+  UNION ALL SELECT conv_id, turn, role, content, logged_at + turn, 2 FROM chat_session_inputs WHERE conv_id % 3 = 0 AND turn < 2
+  UNION ALL SELECT conv_id, turn, role, content, NULL, 0 FROM chat_session_inputs WHERE conv_id % 2 = 0),
+kept AS (SELECT * FROM logs QUALIFY arrival = max(arrival) OVER (PARTITION BY conv_id))
+SELECT s.id, any_value(s.title) AS title, count(*) AS n_turns, count(k.ts) AS n_times,
+  sha256(string_agg(concat(k.role, ':', k.content, ':', coalesce(CAST(k.ts AS VARCHAR), '')), '|' ORDER BY k.turn)) AS turns_hash,
+  CAST(floor((1 + count(*) + sum(length(CAST(to_json({{'role': k.role, 'content': k.content}}) AS VARCHAR))
+    + CASE WHEN k.ts IS NULL THEN 0 ELSE length(concat(',"timestamp":', CAST(k.ts AS VARCHAR))) END)) / 4.0 + 0.5) AS BIGINT) AS token_count
+FROM kept k JOIN sessions s USING (conv_id) GROUP BY s.id""")
+def q_store_sessions(spark, sf):
+    """Log-session request into a stored table: nested turns, replacement on id, two logs of one id in a batch leave one."""
+    batch, before = _logs(spark, sf)
+    s = RC.store_sessions(RC.build_sessions(before), RC.build_sessions(batch, "arrival"), "arrival")
+    text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), t["content"], F.lit(":"),
+                                                                F.coalesce(t["timestamp"].cast("string"), F.lit("")))), "|")
+    return s.select("id", "title", F.size("turns").alias("n_turns"), F.size(F.filter("turns", lambda t: t["timestamp"].isNotNull())).alias("n_times"),
+                    F.sha2(text, 256).alias("turns_hash"), "token_count")
+
+
 @register("session_lookup", f"""{SESSIONS_SQL}
 SELECT s.id, s.title, s.token_count, c.turn, c.role, c.content
 FROM sessions s JOIN chat_session_inputs c USING (conv_id) WHERE conv_id IN (SELECT doc_id FROM labels)""")

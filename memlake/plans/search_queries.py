@@ -164,7 +164,7 @@ def _kept_vectors(spark, sf):
     """The kept vectors (local embeddings) of the memories made from this state of `documents`, by pivot cells."""
     mem = with_embedding(memory_text(FX.memories(spark, sf)), "embed_text", out="vec").select("hash", "vec", *V.ATTRIBUTES)
     state = T.table_state(spark, f"{sf.rstrip('/')}/documents.parquet")
-    return V.VectorIndex(spark, T.kept(spark, f"vectors-{state}", "cells", lambda path: V.create_vectors(mem, path)))
+    return V.VectorIndex(spark, T.kept(spark, f"vectors-v1-{state}", "cells", lambda path: V.create_vectors(mem, path)))
 
 
 @register("vector_topk_pruned", f"""
