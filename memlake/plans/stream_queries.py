@@ -50,6 +50,29 @@ def q_stream_snapshot_changes(spark, sf):
     return c.select("path", "status", "hash", "project", "summary", "essence")
 
 
+LATE_AFTER = 3600 * 24 * 7
+
+
+@register("stream_windows", f"""
+ev AS (SELECT event_type AS key, CAST(epoch_us(CAST(ts AS TIMESTAMP)) // 1000000 AS BIGINT) AS ts, event_id % 4 = 0 AS second FROM events),
+mark AS (SELECT max(ts) - {LATE_AFTER} AS m FROM ev WHERE NOT second),
+judged AS (SELECT key, ts, second AND ts < m AS late FROM ev CROSS JOIN mark)
+SELECT 'window' AS kind, ts - ts % 3600 AS start, key, count(*) AS n FROM judged WHERE NOT late GROUP BY ALL
+UNION ALL SELECT 'late', NULL, key, count(*) FROM judged WHERE late GROUP BY key""")
+def q_stream_windows(spark, sf):
+    """ST4: events in two micro-batches; hourly counts per type, and the late rows of the second batch apart."""
+    ev = read_table(spark, sf, "events").select("event_id", F.col("event_type").alias("key"),
+                                                F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"))
+    folder = J.work_dir(spark, "window_input")
+    for part in (ev.filter("event_id % 4 <> 0"), ev.filter("event_id % 4 = 0")):  # one file each, in this order
+        part.select("key", "ts").coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema("key string, ts long").option("maxFilesPerTrigger", 1).parquet(folder)
+    out = J.run_windows(spark, stream, 3600, LATE_AFTER)
+    windows = J.window_counts(spark, out).select(F.lit("window").alias("kind"), "start", "key", "n")
+    late = J.late_rows(spark, out).groupBy("key").agg(F.count("*").alias("n"))
+    return windows.unionByName(late.select(F.lit("late").alias("kind"), F.lit(None).cast("long").alias("start"), "key", "n"))
+
+
 def _share_oracles():
     for stream, batch in (("stream_touch_rollup", "touch_rollup"), ("stream_ingest", "ingest_documents"),
                           ("stream_snapshot_changes", "snapshot_change_detection")):

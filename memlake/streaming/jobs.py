@@ -1,14 +1,14 @@
 """Structured Streaming forms of the incremental jobs.
 
 ST1 access-log rollup: events -> (hash, ts) -> stateful groupBy(hash) max/count in update
-    mode -> foreachBatch appends the changed rows to a `batch_id`-partitioned table. Readers
-    take the latest row per hash (`max_by` over batch_id), so a replayed batch overwrites its
-    own partition and the result stays exact (idempotent by batch id).
+    mode -> foreachBatch puts the changed rows into a bucketed table, of which only the touched buckets are
+    rewritten. The rows are cumulative, so a replayed batch puts the same rows there again.
 ST2 continuous ingest: new document rows -> chunk / id / summarise / embed (all stateless)
     -> append sink.
-ST3 snapshot change feed: arriving file rows -> foreachBatch change detection against the
-    snapshot table as the batch before left it -> change rows and the next state of the table, both
-    written under the batch's number, so a repeated batch overwrites its own.
+ST3 snapshot change feed: arriving file rows -> foreachBatch change detection against the bucketed
+    snapshot table -> change rows under the batch's number, then the touched buckets of the table. A replayed batch whose
+    change rows are complete keeps them and only puts its rows into the table again.
+ST4 event-time windows: access counts per window; rows behind the watermark are counted and kept apart.
 
 State, checkpoints and sink tables live in one folder: the caller's (`out`; a later run with the same folder
 goes on where the last one ended) or a fresh one under `spark.checkpoint.dir`.
@@ -18,12 +18,15 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memlake.operators import buckets as B
+from memlake.operators import changes as W
 from memlake.operators import documents as D
 from memlake.operators import records as RC
-from memlake.session import ensure_checkpoint_dir
+from memlake.session import ensure_checkpoint_dir, materialize
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -62,18 +65,33 @@ def access_rollup_stream(spark: SparkSession, accesses: DataFrame, out_dir: str,
     agg = a.groupBy("hash").agg(F.max("ts").alias("last_touch"), F.count("*").alias("touches"))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{out_dir}/touch_state"))
+        rows = batch.withColumn("arrival", F.lit(batch_id).cast("long"))
+        put(spark, f"{out_dir}/touch_state", rows, W.upsert, "hash")
 
     return (agg.writeStream.outputMode("update").foreachBatch(sink)
             .option("checkpointLocation", f"{out_dir}/_checkpoint").trigger(availableNow=True).start())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    try:
+        return spark.read.parquet(path).limit(1).count() >= 0
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+            return False
+        raise
+
+
+def put(spark: SparkSession, path: str, rows: DataFrame, job, key: str) -> None:
+    """Apply a batch to the bucketed table at `path`, which begins with the first one."""
+    if exists(spark, path):
+        B.change_table(spark, path, rows, job, key)
+    else:
+        B.write_table(rows, path, key)
+
+
 def touch_state(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Latest cumulative (hash, last_touch, touches) written by ST1."""
-    s = spark.read.parquet(f"{out_dir}/touch_state")
-    return (s.groupBy("hash").agg(F.max_by(F.struct("last_touch", "touches"), F.col("batch_id")).alias("s"))
-            .select("hash", "s.last_touch", "s.touches"))
+    """Cumulative (hash, last_touch, touches) written by ST1: one row per memory."""
+    return B.read_table(spark, f"{out_dir}/touch_state").select("hash", "last_touch", "touches")
 
 
 def apply_touch_state(mem: DataFrame, state: DataFrame) -> DataFrame:
@@ -113,13 +131,18 @@ def run_ingest(spark: SparkSession, files: DataFrame, now: int, size: int, separ
 
 def snapshot_feed(spark: SparkSession, arrivals: DataFrame, stored: DataFrame, out_dir: str, now: int):
     """Start ST3: change detection of each micro-batch of arrivals; `stored` is the table before the first."""
+    table, feed, done = f"{out_dir}/table", f"{out_dir}/changes", f"{out_dir}/done"
+    if not exists(spark, table):
+        B.write_table(stored, table, "path")
+
     def sink(batch: DataFrame, batch_id: int) -> None:
-        # batch numbers are consecutive from 0, and a batch only begins when the one before is committed
-        table = spark.read.parquet(f"{out_dir}/state/{batch_id - 1}") if batch_id else stored
-        RC.snapshot_upsert(table, batch, now).write.mode("overwrite").parquet(f"{out_dir}/state/{batch_id}")
-        (RC.snapshot_changes(table, batch, now).withColumn("batch_id", F.lit(batch_id))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id")
-         .parquet(f"{out_dir}/changes"))
+        seen = materialize(RC.one_arrival_per_path(batch), "feed_arrivals")  # the batch is read once
+        if not (exists(spark, done) and spark.read.parquet(done).filter(F.col("batch_id") == batch_id).count()):
+            now_there = B.read_table(spark, table, "path").join(seen.select("path"), "path", "left_semi")
+            (RC.snapshot_changes(now_there, seen, now).withColumn("batch_id", F.lit(batch_id))
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(feed))
+            spark.createDataFrame([(batch_id,)], "batch_id long").coalesce(1).write.mode("append").parquet(done)
+        B.change_table(spark, table, seen, lambda old, arrived: RC.snapshot_upsert(old, arrived, now), "path")
 
     return (arrivals.writeStream.foreachBatch(sink).option("checkpointLocation", f"{out_dir}/_checkpoint")
             .trigger(availableNow=True).start())
@@ -129,3 +152,51 @@ def run_snapshot_feed(spark: SparkSession, arrivals: DataFrame, stored: DataFram
     out = out or work_dir(spark, "snapshot_feed")
     _run(snapshot_feed(spark, arrivals, stored, out, now))
     return out
+
+
+def snapshot_state(spark: SparkSession, out: str) -> DataFrame:
+    """The snapshot table as ST3 left it."""
+    return B.read_table(spark, f"{out}/table", "path")
+
+
+# ---------------------------------------------------------------- ST4
+
+
+def window_stream(spark: SparkSession, accesses: DataFrame, out_dir: str, window_s: int, delay_s: int):
+    """Start ST4 on a streaming (key, ts) DataFrame (ts in epoch seconds).
+
+    The watermark of a batch is the latest time of all batches before it, less `delay_s`; rows before it are late: they go to
+    `late`, the others are counted per (window start, key) in `windows`. Every batch writes its own partitions and
+    its watermark, so a replayed batch replaces what it wrote. Rows without a time are late."""
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        rows = materialize(batch.select("key", F.col("ts").cast("long").alias("ts")), "window_rows")
+        marks = f"{out_dir}/marks"
+        before = None
+        if exists(spark, marks):
+            before = spark.read.parquet(marks).filter(F.col("batch_id") < batch_id).agg(F.max("latest")).first()[0]
+        late = F.col("ts").isNull() if before is None else F.col("ts").isNull() | (F.col("ts") < before - delay_s)
+        start = (F.col("ts") - F.pmod("ts", F.lit(window_s))).alias("start")
+        own = {"windows": rows.filter(~late).groupBy(start, "key").agg(F.count("*").alias("n")), "late": rows.filter(late),
+               "marks": rows.agg(F.max("ts").alias("latest"))}
+        for name, part in own.items():
+            (part.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{out_dir}/{name}"))
+
+    return (accesses.writeStream.foreachBatch(sink).option("checkpointLocation", f"{out_dir}/_checkpoint")
+            .trigger(availableNow=True).start())
+
+
+def run_windows(spark: SparkSession, accesses: DataFrame, window_s: int, delay_s: int, out: str | None = None) -> str:
+    out = out or work_dir(spark, "windows")
+    _run(window_stream(spark, accesses, out, window_s, delay_s))
+    return out
+
+
+def window_counts(spark: SparkSession, out: str) -> DataFrame:
+    """(start, key, n) over all batches, without late rows."""
+    return spark.read.parquet(f"{out}/windows").groupBy("start", "key").agg(F.sum("n").alias("n"))
+
+
+def late_rows(spark: SparkSession, out: str) -> DataFrame:
+    """(key, ts, batch_id) of the rows that came too late."""
+    return spark.read.schema("key string, ts long, batch_id long").parquet(f"{out}/late")
