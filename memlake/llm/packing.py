@@ -1,16 +1,17 @@
 """Token ids packed to fixed-length rows by best-fit decreasing.
 
 Documents are tokenised (byte-level BPE from a vocabulary file), an end id is added, and documents
-longer than a row are cut into row-long pieces that lose nothing. Within a block of at most BLOCK_TOKENS tokens
+longer than a row are cut into row-long pieces that lose nothing. Within a block of about BLOCK_TOKENS tokens
 (or one longer document) the pieces go, longest first, to the open row with the least sufficient
 room, which a segment tree over the capacities finds in log steps; without one, a row is opened.
 
-Blocks lie within input partitions: nothing is shuffled, memory is bounded by the block, and a
-lost task repeats its partition. Each output row holds the padded ids and the positions (restarting
+Blocks lie within input partitions: nothing is shuffled, and a lost task repeats its partition. Memory is bounded by bytes: a
+block holds BLOCK_TOKENS tokens in at most BLOCK_PIECES pieces as flat arrays (and one longer text), remembered words
+take CACHE_BYTES, rows leave in batches of about OUT_BYTES. Each output row holds the padded ids and the positions (restarting
 at every segment) as little-endian 16-bit arrays, the cumulative segment lengths, and for each
 segment its document and its first token's place there, by which the documents can be put together again.
 
-Defined cases: a null or empty text gives no segment; repeated rows are packed each; a null id is kept as null.
+Defined cases: a null or empty text gives no segment; a long text without spaces is one word, which is not remembered; repeated rows are packed each; a null id is kept as null.
 Of an empty table the result is empty. Other columns of the input are ignored.
 """
 
@@ -22,7 +23,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,8 +39,12 @@ END_ID = 50256
 ROW_TOKENS = 2048
 #: Tokens that are packed together, about.
 BLOCK_TOKENS = 1 << 21
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 300_000
+#: Pieces that are packed together, at most (a text that begins below the bound is taken whole).
+BLOCK_PIECES = 100_000
+#: Bytes of the words whose ids a worker remembers, about; longer words are not remembered; overhead of an entry.
+CACHE_BYTES, CACHED_CHARS, ENTRY_BYTES = 32 << 20, 64, 200
+#: Bytes of packed rows that leave a task together, about.
+OUT_BYTES = 4 << 20
 
 SCHEMA = ("pack_id bigint, input_ids binary, position_ids binary, cu_seqlens array<int>, "
           "doc_ids array<bigint>, doc_starts array<int>, n_tokens int")
@@ -50,11 +55,12 @@ class _Words(dict):
 
     def __init__(self, encode: Callable[[str], bytes]):
         super().__init__()
-        self.encode = encode
+        self.encode, self.bytes = encode, 0
 
     def __missing__(self, word: str) -> bytes:
         ids = self.encode(" " + word)
-        if len(self) < CACHE_WORDS:
+        if len(word) <= CACHED_CHARS and self.bytes < CACHE_BYTES:
+            self.bytes += ENTRY_BYTES + len(word) + len(ids)
             self[word] = ids
         return ids
 
@@ -133,20 +139,53 @@ def pack(lengths: list[int], size: int) -> list[list[int]]:
     return fit.rows
 
 
-def _rows(block: list[tuple], size: int, pad: int) -> Iterator[tuple]:
-    """The packed rows of a block of (doc_id, first token, ids)."""
-    for members in pack([len(ids) for _, _, ids in block], size):
-        ids = np.full(size, pad, "<u2")
-        positions = np.zeros(size, "<u2")
-        ends = [0]
-        for i in members:
-            piece = block[i][2]
-            a, b = ends[-1], ends[-1] + len(piece)
-            ids[a:b] = piece
-            positions[a:b] = np.arange(len(piece))
-            ends.append(b)
-        yield (ids.tobytes(), positions.tobytes(), ends, [block[i][0] for i in members],
-               [block[i][1] for i in members], ends[-1])
+class _Block:
+    """Pieces of documents in flat arrays."""
+
+    def __init__(self):
+        self.ids, self.lengths, self.docs, self.starts = array("H"), array("i"), array("q"), array("i")
+        self.no_doc = bytearray()  # 1: the document has no id
+
+    def add(self, doc: int | None, ids: np.ndarray, size: int) -> None:
+        self.ids.frombytes(ids.tobytes())
+        for at in range(0, len(ids), size):
+            self.lengths.append(min(size, len(ids) - at))
+            self.docs.append(doc or 0)
+            self.starts.append(at)
+            self.no_doc.append(doc is None)
+
+    def batches(self, size: int, pad: int, first: int) -> Iterator[pa.RecordBatch]:
+        """The packed rows, numbered from `first`."""
+        ids = np.frombuffer(self.ids, np.uint16)
+        lengths = np.frombuffer(self.lengths, np.int32)
+        ends = np.cumsum(lengths, dtype=np.int64)
+        docs, starts, no_doc = np.frombuffer(self.docs, np.int64), np.frombuffer(self.starts, np.int32), np.frombuffer(self.no_doc, bool)
+        rows, held = [], 0
+        packed = pack(lengths.tolist(), size)
+        for n, members in enumerate(packed):
+            rows.append(members)
+            held += 4 * size + 16 * len(members)
+            if held >= OUT_BYTES or n == len(packed) - 1:
+                yield self._batch(rows, size, pad, first + n + 1 - len(rows), ids, lengths, ends, docs, starts, no_doc)
+                rows, held = [], 0
+
+    @staticmethod
+    def _batch(rows, size, pad, first, ids, lengths, ends, docs, starts, no_doc) -> pa.RecordBatch:
+        out, places, cu = np.full((len(rows), size), pad, "<u2"), np.zeros((len(rows), size), "<u2"), []
+        for r, members in enumerate(rows):
+            at = np.concatenate([[0], np.cumsum(lengths[members])])
+            out[r, :at[-1]] = np.concatenate([ids[ends[i] - lengths[i]:ends[i]] for i in members])
+            places[r, :at[-1]] = np.arange(at[-1]) - np.repeat(at[:-1], lengths[members])
+            cu.append(at.astype(np.int32))
+        flat, sizes = np.concatenate(rows), np.array([len(m) for m in rows])
+        cut = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+
+        def lists(values, offsets):
+            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.arange(first, first + len(rows))), pa.array([r.tobytes() for r in out], pa.binary()), pa.array([r.tobytes() for r in places], pa.binary()),
+            lists(pa.array(np.concatenate(cu)), cut + np.arange(len(rows) + 1)), lists(pa.array(docs[flat], mask=no_doc[flat]), cut),
+            lists(pa.array(starts[flat]), cut), pa.array([c[-1] for c in cu], pa.int32())], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY,
@@ -156,43 +195,25 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("a row has 1 to 65536 tokens")
     with open(vocabulary, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
-    columns = [c.split()[0] for c in SCHEMA.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = make_encoder(ranks.value)
-        part = TaskContext.get().partitionId()
-        serial = 0
-        block: list[tuple] = []
-        held = 0
-
-        def flush() -> Iterator[pd.DataFrame]:
-            nonlocal serial, held
-            out = []
-            for row in _rows(block, size, end_id):
-                out.append(((part << 33) + serial, *row))
-                serial += 1
-                if len(out) == 1024:
-                    yield pd.DataFrame(out, columns=columns)
-                    out = []
-            if out:
-                yield pd.DataFrame(out, columns=columns)
-            block.clear()
-            held = 0
-        for pdf in batches:
-            missing = pdf["doc_id"].isna().to_numpy()
-            for doc, none, text in zip(pdf["doc_id"], missing, pdf["body"], strict=True):
+        serial = TaskContext.get().partitionId() << 33
+        block = _Block()
+        for batch in batches:
+            for doc, text in zip(batch.column("doc_id"), batch.column("body"), strict=True):
+                text = text.as_py()
                 if not text:
                     continue
-                ids = np.append(encode(text), np.uint16(end_id))
-                for at in range(0, len(ids), size):
-                    block.append((None if none else int(doc), at, ids[at:at + size]))
-                held += len(ids)
-                if held >= block_tokens:
-                    yield from flush()
-        yield from flush()
-    # the id travels as text so that a missing one does not turn the others into floating point numbers
-    rows = docs.select(F.col(id_col).cast("bigint").cast("string").alias("doc_id"), text_of(text_col).alias("body"))
-    return rows.mapInPandas(run, SCHEMA)
+                block.add(doc.as_py(), np.append(encode(text), np.uint16(end_id)), size)
+                if len(block.ids) >= block_tokens or len(block.lengths) >= BLOCK_PIECES:
+                    for out in block.batches(size, end_id, serial):
+                        serial += out.num_rows
+                        yield out
+                    block = _Block()
+        if block.lengths:
+            yield from block.batches(size, end_id, serial)
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("body")).mapInArrow(run, SCHEMA)
 
 
 @register("op3_token_packing")

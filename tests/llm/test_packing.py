@@ -95,3 +95,32 @@ def test_blocks_bound_memory_and_empty_table(spark):
     rows = K.pack_documents(df, size=128, block_tokens=500).collect()
     assert sum(r.n_tokens for r in rows) == sum(r.n_tokens for r in K.pack_documents(df, size=128).collect())
     assert K.pack_documents(df.limit(0)).count() == 0
+
+
+def test_many_tiny_texts_and_one_without_spaces_stay_small():
+    """Memory of the kernel's parts: 10^5 one-word texts as one block, and words that are too long to remember."""
+    import tracemalloc
+
+    import numpy as np
+
+    from memlake.llm import packing
+    tracemalloc.start()
+    block = packing._Block()
+    for i in range(100_000):
+        block.add(i if i % 7 else None, np.array([i % 50_000, packing.END_ID], np.uint16), 2048)
+    held = tracemalloc.get_traced_memory()[0]
+    rows = segments = 0
+    for b in block.batches(2048, packing.END_ID, 5):
+        assert b.nbytes < 2 * packing.OUT_BYTES and b.column("pack_id")[0].as_py() == 5 + rows
+        rows += b.num_rows
+        segments += len(b.column("doc_ids").flatten())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (rows, segments) == (98, 100_000) and held < 4 << 20 and peak < 60 << 20
+    words = packing._Words(lambda w: b"xx" * len(w))
+    for i in range(300):
+        assert len(words["y" * 10_000 + str(i)]) > 20_000
+    assert not words
+    for i in range(400_000):
+        words[f"w{i}"]
+    assert words.bytes < packing.CACHE_BYTES + 1000
