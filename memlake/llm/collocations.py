@@ -39,8 +39,8 @@ from memlake.sources.tables import read_table
 MIN_COUNT, MAX_WORDS, HIDING_PERCENT, TOP = 30, 4, 80, 2000
 #: Bits of a counted key; keys in a run; bytes of text for one piece of the key space; filter bits a frequent key, and at most.
 KEY_BITS, RUN_KEYS, PIECE_BYTES, FILTER_SHARE, MAX_FILTER_BITS = 40, 4_000_000, 4 << 20, 32, 26
-#: Texts read at once; entries at which a container bursts; entries and words held by a task before it spills.
-SLICE_BYTES, BURST, TRIE_ENTRIES, TASK_WORDS = 4 << 20, 4096, 500_000, 500_000
+#: Bytes of text read at once; entries at which a container bursts; entries and words held by a task before it spills; words fed at once.
+SLICE_BYTES, BURST, TRIE_ENTRIES, TASK_WORDS, FEED_WORDS = 4 << 20, 4096, 900_000, 400_000, 1_500_000
 #: Copies of a one-word and of a longer part in the joins.
 WORD_SALTS, PART_SALTS = 32, 4
 
@@ -242,7 +242,7 @@ class HatTrie:
 
 def feed(trie: HatTrie, words: Words, ids: np.ndarray, filters: list[Filter], max_words: int) -> None:
     """Count the phrases of one slice that pass the filters."""
-    packed = ids.astype(">u4").tobytes()
+    packed, kids = ids.astype(">u4").tobytes(), trie.kids
     at, prefix = np.arange(len(ids)), ids
     for k, _, ok in phrases(words, ids, filters, max_words):
         # `prefix` numbers the phrases of k - 1 words that start at the places `at`
@@ -255,7 +255,11 @@ def feed(trie: HatTrie, words: Words, ids: np.ndarray, filters: list[Filter], ma
         if k > 1:
             prefix = number
         for i, c in zip(at[where].tolist(), count.tolist(), strict=True):
-            trie.add(packed[4 * i:4 * (i + k)], c)
+            child, suffix = kids.get(packed[4 * i:4 * i + 4]), packed[4 * i + 4:4 * (i + k)]
+            if type(child) is dict and suffix in child:  # the common case of `add`
+                child[suffix] += c
+            else:
+                trie.add(packed[4 * i:4 * (i + k)], c)
 
 
 def runs(docs: DataFrame, filters: list[Filter], max_words: int) -> DataFrame:
@@ -274,19 +278,29 @@ def runs(docs: DataFrame, filters: list[Filter], max_words: int) -> DataFrame:
 
     def count(batches):
         held, total = {}, {}
+
+        def take(lang):
+            words, trie, waiting = held[lang]
+            if waiting:
+                feed(trie, words, np.concatenate(waiting), filters, max_words)
+                waiting.clear()
         for lang, texts in slices(batches):
-            words, trie = held.setdefault(lang, (Words(lang), HatTrie()))
+            words, trie, waiting = held.setdefault(lang, (Words(lang), HatTrie(), []))
             ids = words.read(texts)
             total[lang] = total.get(lang, 0) + int(np.count_nonzero(ids))
-            feed(trie, words, ids, filters, max_words)
-            if sum(len(w) for w, _ in held.values()) > TASK_WORDS:
-                for key, (w, t) in held.items():
+            waiting += [ids, np.zeros(1, np.int64)]
+            if sum(map(len, waiting)) >= FEED_WORDS:
+                take(lang)
+            if sum(len(w) for w, _, _ in held.values()) > TASK_WORDS:
+                for key, (w, t, _) in held.items():
+                    take(key)
                     yield from rows(key.decode(), w, t.spill())
                 held = {}
-            elif sum(t.entries for _, t in held.values()) > TRIE_ENTRIES:
-                for key, (w, t) in held.items():
+            elif sum(t.entries for _, t, _ in held.values()) > TRIE_ENTRIES:
+                for key, (w, t, _) in held.items():
                     yield from rows(key.decode(), w, t.spill(t.entries // 2))
-        for key, (w, t) in held.items():
+        for key, (w, t, _) in held.items():
+            take(key)
             yield from rows(key.decode(), w, t.spill())
         if total:
             yield pa.RecordBatch.from_pylist([{"lang": k.decode(), "phrase": "", "n": v} for k, v in total.items()], schema)
