@@ -2,8 +2,9 @@
 
 Counting. Each task feeds the word sequences of its texts into a HAT-trie: a shallow trie over word ids whose leaves are hash
 containers of packed suffixes; a container that outgrows BURST entries bursts into a node with one container per next word.
-When the trie outgrows its memory, whole subtrees are spilled, largest first, as runs sorted by phrase. The runs are dealt by prefix
-(language and first two words) and merged there, one sum per phrase.
+When the trie outgrows its memory, whole subtrees are spilled, largest first, as packed runs sorted by phrase. The runs are dealt by
+prefix (language and a hash of the first two words; about PREFIX_BYTES of text for each partition) and merged there. A merge
+holds its partition's runs: the frequent phrases of these prefixes, once per task and spill.
 
 Filter. A phrase can only occur `min_count` times if its parts do. Two passes count phrases of one and two words, and of three and
 four words that consist of frequent pairs, by KEY_BITS of their hash, in sorted runs of packed keys that are merged per piece of
@@ -40,7 +41,9 @@ MIN_COUNT, MAX_WORDS, HIDING_PERCENT, TOP = 30, 4, 80, 2000
 #: Bits of a counted key; keys in a run; bytes of text for one piece of the key space; filter bits a frequent key, and at most.
 KEY_BITS, RUN_KEYS, PIECE_BYTES, FILTER_SHARE, MAX_FILTER_BITS = 40, 4_000_000, 4 << 20, 32, 26
 #: Bytes of text read at once; entries at which a container bursts; entries and words held by a task before it spills; words fed at once.
-SLICE_BYTES, BURST, TRIE_ENTRIES, TASK_WORDS, FEED_WORDS = 4 << 20, 4096, 900_000, 400_000, 1_500_000
+SLICE_BYTES, BURST, TRIE_ENTRIES, TASK_WORDS, FEED_WORDS = 4 << 20, 4096, 700_000, 400_000, 1_000_000
+#: Bytes of text for one prefix partition; entries that are cut into runs together.
+PREFIX_BYTES, RUN_ENTRIES = 4 << 20, 100_000
 #: Copies of a one-word and of a longer part in the joins.
 WORD_SALTS, PART_SALTS = 32, 4
 
@@ -262,19 +265,34 @@ def feed(trie: HatTrie, words: Words, ids: np.ndarray, filters: list[Filter], ma
                 trie.add(packed[4 * i:4 * (i + k)], c)
 
 
-def runs(docs: DataFrame, filters: list[Filter], max_words: int) -> DataFrame:
-    """(lang, phrase, n): sorted runs of phrase counts, several rows a phrase; the empty phrase counts all words."""
-    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
+def runs(docs: DataFrame, filters: list[Filter], max_words: int, parts: int) -> DataFrame:
+    """(lang, part, phrases, n): sorted runs of phrases, packed, with their counts; the empty phrase counts all words."""
+    schema = pa.schema([("lang", pa.string()), ("part", pa.int64()), ("phrases", pa.binary()), ("n", pa.binary())])
     form = {4 * k: f">{k}I" for k in range(1, max_words + 1)}
 
+    def packed(lang, by_part):
+        out = []
+        for part, entries in by_part.items():
+            entries.sort()
+            phrase, n = zip(*entries, strict=True)
+            out.append({"lang": lang, "part": part, "phrases": b"\n".join(phrase), "n": np.array(n, np.int64).tobytes()})
+        return pa.RecordBatch.from_pylist(out, schema)
+
     def rows(lang, words, spilled):
-        name = words.names
+        name, seed, where, by_part, size = words.names, words.seed, {}, {}, 0
         for run in spilled:
-            out = sorted([(b" ".join([name[i] for i in struct.unpack(form[len(p)], p)]), n) for p, n in run])
-            for i in range(0, len(out), 50_000):
-                phrase, n = zip(*out[i:i + 50_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()),
-                                                  pa.array(n, pa.int64())], schema=schema)
+            for p, n in run:
+                phrase = b" ".join([name[i] for i in struct.unpack(form[len(p)], p)])
+                part = where.get(p[:8])
+                if part is None:
+                    part = where[p[:8]] = xxhash.xxh64_intdigest(b" ".join(phrase.split(b" ", 2)[:2]), seed) % parts
+                by_part.setdefault(part, []).append((phrase, n))
+            size += len(run)
+            if size >= RUN_ENTRIES:
+                yield packed(lang, by_part)
+                by_part, size = {}, 0
+        if size:
+            yield packed(lang, by_part)
 
     def count(batches):
         held, total = {}, {}
@@ -303,8 +321,9 @@ def runs(docs: DataFrame, filters: list[Filter], max_words: int) -> DataFrame:
             take(key)
             yield from rows(key.decode(), w, t.spill())
         if total:
-            yield pa.RecordBatch.from_pylist([{"lang": k.decode(), "phrase": "", "n": v} for k, v in total.items()], schema)
-    return docs.mapInArrow(count, "lang string, phrase string, n bigint")
+            yield pa.RecordBatch.from_pylist([{"lang": k.decode(), "part": -1, "phrases": b"", "n": np.array([v]).tobytes()}
+                                              for k, v in total.items()], schema)
+    return docs.mapInArrow(count, "lang string, part bigint, phrases binary, n binary")
 
 
 def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS) -> DataFrame:
@@ -314,10 +333,17 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int =
     filters: list[Filter] = []
     while 2 * len(filters) < max_words:
         filters.append(frequent_filter(own, size, min_count, filters, max_words))
-    prefix = F.substring_index("phrase", " ", 2)
-    merged = (runs(own, filters, max_words).withColumn("prefix", prefix).repartition("lang", "prefix")
-              .groupBy("lang", "prefix", "phrase").agg(F.sum("n").alias("f")))
-    return merged.where((F.col("f") >= min_count) | (F.col("phrase") == "")).select("lang", "phrase", "f")
+    parts = max(8, size // PREFIX_BYTES)
+
+    def merge(table: pa.Table) -> pa.Table:
+        total: dict[bytes, int] = {}
+        for phrases, n in zip(table.column("phrases").to_pylist(), table.column("n").to_pylist(), strict=True):
+            for p, c in zip(phrases.split(b"\n"), np.frombuffer(n, np.int64).tolist(), strict=True):
+                total[p] = total.get(p, 0) + c
+        often = [(p, c) for p, c in total.items() if c >= min_count or not p]
+        return pa.table({"lang": pa.array([table.column("lang")[0].as_py()] * len(often), pa.string()),
+                         "phrase": pa.array([p for p, _ in often], pa.binary()).cast(pa.string()), "f": pa.array([c for _, c in often], pa.int64())})
+    return runs(own, filters, max_words, parts).groupBy("lang", "part").applyInArrow(merge, "lang string, phrase string, f bigint")
 
 
 def _exact(c: str) -> str:

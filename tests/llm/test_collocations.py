@@ -69,7 +69,7 @@ def test_top_rows_and_ties(spark):
 def test_tiny_filter_and_constant_spilling_change_nothing(spark, monkeypatch):
     rows = texts(3, 80)
     want = brute(rows, 4)
-    for name, value in (("FILTER_SHARE", 1), ("MAX_FILTER_BITS", 9), ("RUN_KEYS", 300), ("SLICE_BYTES", 500), ("TRIE_ENTRIES", 40), ("TASK_WORDS", 25), ("BURST", 3)):
+    for name, value in (("FILTER_SHARE", 1), ("MAX_FILTER_BITS", 9), ("RUN_KEYS", 300), ("SLICE_BYTES", 500), ("TRIE_ENTRIES", 40), ("TASK_WORDS", 25), ("BURST", 3), ("PREFIX_BYTES", 300), ("RUN_ENTRIES", 20), ("FEED_WORDS", 50)):
         monkeypatch.setattr(C, name, value)
     counted = {(r.lang, r.phrase): r.f for r in C.phrase_counts(spark.createDataFrame(rows, DDL).repartition(2), 4, 4).collect()}
     assert all(counted[(la, p)] == a for la, _, p, a, *_ in want)
