@@ -41,7 +41,7 @@ MIN_COUNT, MAX_WORDS, HIDING_PERCENT, TOP = 30, 4, 80, 2000
 #: Bits of a counted key; keys in a run; bytes of text for one piece of the key space; filter bits a frequent key, and at most.
 KEY_BITS, RUN_KEYS, PIECE_BYTES, FILTER_SHARE, MAX_FILTER_BITS = 40, 4_000_000, 4 << 20, 32, 26
 #: Bytes of text read at once; entries at which a container bursts; entries and words held by a task before it spills; words fed at once.
-SLICE_BYTES, BURST, TRIE_ENTRIES, TASK_WORDS, FEED_WORDS = 4 << 20, 4096, 700_000, 400_000, 1_000_000
+SLICE_BYTES, BURST, TRIE_ENTRIES, TASK_WORDS, FEED_WORDS = 4 << 20, 4096, 300_000, 300_000, 700_000
 #: Bytes of text for one prefix partition; entries that are cut into runs together.
 PREFIX_BYTES, RUN_ENTRIES = 4 << 20, 100_000
 #: Copies of a one-word and of a longer part in the joins.
