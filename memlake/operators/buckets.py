@@ -23,8 +23,10 @@ def bucket_of(key: str, buckets: int) -> Column:
 
 
 def write_table(df: DataFrame, path: str, key: str = "hash", buckets: int = BUCKETS) -> None:
-    """Write `df` (no NULL keys) in folders by bucket of its key."""
-    df.withColumn("bucket", bucket_of(key, buckets)).repartition("bucket").write.partitionBy("bucket").parquet(path)
+    """Write `df` (no NULL keys) in folders by bucket of its key. A row without a key keeps the columns of an empty table."""
+    blank = df.sparkSession.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields], F.lit(0).alias("bucket"))
+    rows = df.withColumn("bucket", bucket_of(key, buckets)).unionByName(blank)
+    rows.repartition("bucket").write.partitionBy("bucket").parquet(path)
 
 
 def read_table(spark: SparkSession, path: str, key: str = "hash") -> DataFrame:
