@@ -2,7 +2,7 @@
 
 Every unit vector belongs to the cell of its nearest pivot (of its own size); a cell knows the smallest and largest angle of its vectors
 to the pivot. By the triangle inequality of angles no vector of a cell is nearer to a query than
-max(0, angle(q, pivot) - largest, smallest - angle(q, pivot)). The exact search opens the most promising cells of each query
+max(0, angle(q, pivot) - largest, smallest - angle(q, pivot)). The exact search opens the cells of each query's nearest pivots
 first and then only cells whose bound reaches the k-th similarity found; the approximate one opens the first `probes` cells
 and nothing else. Queries travel to the cells they open, a cell's vectors are read once and in blocks of bounded size.
 
@@ -81,9 +81,9 @@ def create_vectors(mem_vec: DataFrame, path: str | None = None, pivots: int = PI
 
 
 def bounds(index: VectorIndex, qvec: DataFrame) -> DataFrame:
-    """(query_id, vec, cell, bound): the largest cosine that a vector of the cell can have with the query.
+    """(query_id, cell, bound, pivot_sim): the largest cosine that a vector of the cell can have with the query, and its pivot's.
 
-    A cell of another vector size scores 0."""
+    A cell of another vector size scores 0; one without a pivot comes first."""
     rows = index.cells.collect()  # at most PIVOTS per vector size
     by: dict[int, list] = {}
     rest = [r["cell"] for r in rows if r["pivot"] is None]
@@ -95,19 +95,21 @@ def bounds(index: VectorIndex, qvec: DataFrame) -> DataFrame:
         for pdf in batches:
             for q, v in zip(pdf["query_id"], pdf["vec"], strict=True):
                 size = 0 if v is None else len(v)
-                cell, bound = [*rest], [0.0] * len(rest)
+                cell, bound, near_to = [*rest], [0.0] * len(rest), [2.0] * len(rest)
                 for other, own in by.items():
                     cell += [r["cell"] for r in own]
                     if other != size:
                         bound += [0.0] * len(own)
+                        near_to += [0.0] * len(own)
                         continue
                     turn = _angles(np.asarray(v, np.float64)[None], _unit([r["pivot"] for r in own]))[0]
                     far, near = np.array([r["far"] for r in own]), np.array([r["near"] for r in own])
                     least = np.maximum(0, np.maximum(turn - far, near - turn) - ANGLE_SLACK)
                     # a zero query vector scores 0 everywhere
                     bound += (np.cos(least) if np.any(v) else np.zeros(len(own))).tolist()
-                yield pd.DataFrame({"query_id": q, "cell": cell, "bound": bound})
-    return qvec.select("query_id", "vec").mapInPandas(reach, "query_id long, cell long, bound double")
+                    near_to += np.cos(turn).tolist()
+                yield pd.DataFrame({"query_id": q, "cell": cell, "bound": bound, "pivot_sim": near_to})
+    return qvec.select("query_id", "vec").mapInPandas(reach, "query_id long, cell long, bound double, pivot_sim double")
 
 
 def _open(index: VectorIndex, qvec: DataFrame, pairs: DataFrame, k: int, rows_of: DataFrame, scoped: bool) -> DataFrame:
@@ -128,11 +130,12 @@ def topk(index: VectorIndex, qvec: DataFrame, k: int, owner=None, project=None,
          first_cells: int = FIRST_CELLS) -> DataFrame:
     """(query_id, hash, sim, sim_key, rank): the best `k` visible memories per query.
 
-    Exact; with `probes`, approximate: only the `probes` most promising cells of each query are opened. With `scoped`, `qvec` also has
+    Exact; with `probes`, approximate: only the `probes` cells with the nearest pivots are opened for each query. With `scoped`, `qvec` also has
     (scope_project, owner) and every query sees what its requester may see."""
     rows = index.vectors if scoped else index.vectors.where(visible(project, owner))
     qvec = materialize(qvec, "index_queries")
-    w = Window.partitionBy("query_id").orderBy(F.desc("bound"), "cell")
+    # the nearest pivots first: a wide cell has a high bound and few near vectors
+    w = Window.partitionBy("query_id").orderBy(F.desc("pivot_sim"), "cell")
     ranked = materialize(bounds(index, qvec).withColumn("_i", F.row_number().over(w)), "cell_bounds")
     hits = materialize(_open(index, qvec, ranked.where(F.col("_i") <= (probes or first_cells)), k, rows, scoped), "cell_hits")
     if probes is None:
