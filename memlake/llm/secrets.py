@@ -12,7 +12,8 @@ sum(c * log2 c), from which the entropy follows. Windows above the class's thres
 over all runs of a candidate. A candidate that matches the allow-list is suppressed with all its runs, a run that matches it
 by itself, and a span that lies inside a pattern's span.
 
-No shuffle: each text is judged in its own row, whole, whatever its length.
+No shuffle: each text is judged in its own row, whole, whatever its length. Running positions and the spans inside a pattern's
+are worked out in blocks of the square root of the number of matches, so very long texts with very many matches stay cheap.
 
 Defined cases: a null text counts as empty and gives no span; every input row gives one row,
 repeated rows too. Other columns of the input are ignored, whatever their names.
@@ -21,6 +22,7 @@ repeated rows too. Other columns of the input are ignored, whatever their names.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +62,31 @@ ALLOW = (
 )
 
 
+def _scan(items: Column, zero: Column, fold: Callable, emit: Callable, row_type: str) -> Column:
+    """Array of emit(state before the item, item), the state folded over `items` from left to right.
+
+    A fold that appends to an array copies it at every step. So the items are cut into blocks of about the square root of their
+    number: one fold carries the state from block to block, one inside each block makes its rows."""
+    empty = F.array().cast(f"array<{row_type}>")
+
+    def carried(b: Column) -> Column:
+        width = F.greatest(F.lit(64), F.ceil(F.sqrt(F.size(b))).cast("int"))
+        starts = F.sequence(F.lit(1), F.size(b), width)
+        return F.aggregate(starts, F.struct(zero.alias("state"), F.slice(F.array(F.struct(zero.alias("state"), b.alias("block"))), 1, 0).alias("out")),
+                           lambda acc, at: into(acc, F.slice(b, at, width)), lambda acc: acc["out"])
+
+    def into(acc: Column, block: Column) -> Column:
+        one = F.struct(acc["state"].alias("state"), block.alias("block"))
+        return F.struct(F.aggregate(block, acc["state"], fold).alias("state"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+    def rows(block: Column) -> Column:
+        return F.aggregate(block["block"], F.struct(block["state"].alias("state"), empty.alias("out")), lambda acc, m: F.struct(
+            fold(acc["state"], m).alias("state"), F.concat(acc["out"], F.array(emit(acc["state"], m))).alias("out")), lambda acc: acc["out"])
+    # an array of one element binds the items, worked out once, to a lambda's variable
+    return F.flatten(F.transform(F.array(items), lambda b: F.when(
+        F.size(b) > 0, F.flatten(F.transform(carried(b), rows))).otherwise(empty)))
+
+
 def _matches(text: Column, pattern: str, group: int) -> Column:
     """Array of (hit, part, start): each match, its group and its start in code points."""
     lit = F.lit(pattern)
@@ -68,14 +95,10 @@ def _matches(text: Column, pattern: str, group: int) -> Column:
     gaps = F.split(text, lit, -1)
     zipped = F.arrays_zip(hits.alias("hit"), parts.alias("part"),
                           F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"))
-    empty = F.array().cast("array<struct<hit:string,part:string,start:int>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-
-    def step(acc: Column, m: Column) -> Column:
-        at = acc["at"] + F.length(m["gap"])
-        row = F.struct(m["hit"].alias("hit"), m["part"].alias("part"), at.alias("start"))
-        return F.struct((at + F.length(m["hit"])).alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(zipped, start, step, lambda a: a["out"])).otherwise(empty)
+    row_type = "struct<hit:string,part:string,start:int>"
+    found = _scan(zipped, F.lit(0), lambda at, m: at + F.length(m["gap"]) + F.length(m["hit"]),
+                  lambda at, m: F.struct(m["hit"].alias("hit"), m["part"].alias("part"), (at + F.length(m["gap"])).alias("start")), row_type)
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{row_type}>"))
 
 
 _SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
@@ -205,9 +228,14 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     assign, access, hexes = base_spans(F.col("body"))
     rows = rows.select("doc_id", assign.alias("assign"), access.alias("access"), hexes.alias("hex"),
                        entropy_spans(F.col("body")).alias("entropy"))
-    inside = F.filter("entropy", lambda e: ~F.exists(
-        F.concat("assign", "access", "hex"), lambda b: (b["start"] <= e["start"]) & (e["end"] <= b["end"])))
-    return rows.withColumn("entropy", F.when(F.size("entropy") > 0, inside).otherwise(F.col("entropy")))
+    # by start, pattern spans first: an entropy span lies in a pattern's if the greatest end so far reaches its own
+    spans = F.array_sort(F.concat("assign", "access", "hex", "entropy"))
+    judged = _scan(spans, F.lit(0), lambda reach, s: F.when(s["rank"] < len(BASE), F.greatest(reach, s["end"])).otherwise(reach),
+                   lambda reach, s: F.struct(s.alias("span"), (reach >= s["end"]).alias("inside")),
+                   "struct<span:struct<start:int,rank:int,end:int,kind:string>,inside:boolean>")
+    kept = F.transform(F.filter(judged, lambda j: (j["span"]["rank"] == len(BASE)) & ~j["inside"]), lambda j: j["span"])
+    both = (F.size("entropy") > 0) & (F.size("assign") + F.size("access") + F.size("hex") > 0)
+    return rows.withColumn("entropy", F.when(both, kept).otherwise(F.col("entropy")))
 
 
 def span_list(spans: Column) -> Column:

@@ -19,22 +19,39 @@ def base(text):
     return sorted(out)
 
 
+def allowed(token):
+    return any(re.search(p, token) for p in S.ALLOW)
+
+
+def runs(token):
+    """(start, run, least): the token, and the runs of a narrower class in it that are candidates by themselves."""
+    which = next(i for i, (_, chars, _) in enumerate(S.CLASSES) if re.fullmatch(chars, token))
+    yield 0, token, S.CLASSES[which][2]
+    for _, chars, least in S.CLASSES[:which]:
+        for m in re.finditer(chars, token):
+            run = m.group()
+            if len(run) >= S.WINDOW and re.search("[A-Za-z]", run) and re.search("[0-9]", run) and not allowed(run):
+                yield m.start(), run, least
+
+
 def entropy(text):
     out = []
     for m in re.finditer(S.CANDIDATE, text):
-        token = m.group()
-        if any(re.search(p, token) for p in S.ALLOW):
+        if allowed(m.group()):
             continue
-        least = next(t for _, chars, t in S.CLASSES if re.fullmatch(chars, token))
+        windows = []
+        for at, run, least in runs(m.group()):
+            for i in range(S.WINDOW, len(run) + 1):
+                counts = Counter(run[i - S.WINDOW:i])
+                h = -sum(c / S.WINDOW * math.log2(c / S.WINDOW) for c in counts.values())
+                if h >= least - 1e-9:
+                    windows.append((at + i - S.WINDOW, at + i))
         spans = []
-        for i in range(S.WINDOW, len(token) + 1):
-            counts = Counter(token[i - S.WINDOW:i])
-            h = -sum(c / S.WINDOW * math.log2(c / S.WINDOW) for c in counts.values())
-            if h >= least - 1e-9:
-                if spans and i - S.WINDOW <= spans[-1][1]:
-                    spans[-1][1] = i
-                else:
-                    spans.append([i - S.WINDOW, i])
+        for a, b in sorted(windows):
+            if spans and a <= spans[-1][1]:
+                spans[-1][1] = max(b, spans[-1][1])
+            else:
+                spans.append([a, b])
         out += [(m.start() + a, len(S.BASE), m.start() + b, "entropy") for a, b in spans]
     return out
 
