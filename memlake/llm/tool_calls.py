@@ -5,22 +5,26 @@ arguments, after}: `arguments` an object, or JSON text of one; `after` the ids o
 
 1. Calls and results are hash-joined on (conv_id, id). The first call and the first result of an id (by turn,
    then place) belong together; further ones get a status of their own, so a repeated id makes no pairs.
-2. Order: a call stands at (turn, rank, place). A call that stands before one it needs moves behind it; this repeats
-   over written tables until nothing moves. Calls on a cycle, or behind one, never settle; they are
-   told by the number of rounds, and keep status `cyclic`.
-3. Arguments are checked against the tool's schema and written as canonical JSON (sorted keys, no spaces).
+2. Order: a call stands at (turn, rank, place). A call that stands before one it needs moves behind it, to a rank above
+   that of all it needs in that turn; this repeats
+   over written tables until nothing moves, so the rounds are the length of the longest chain of moves. After 4, 8, 16, ... rounds
+   cycles are searched among the moved calls (calls without open needs are taken away until none goes). Calls on a cycle, or behind
+   one, keep their place with status `cyclic`, and no longer count in further rounds.
+3. Arguments are checked against the tool's schema (basic JSON Schema, nested) and written as canonical JSON (sorted keys, no spaces).
 
 One row per call or unmatched result, sorted by conversation and order with a range partitioning over all key columns: no task
 needs a whole conversation.
 
 Defined cases: null or empty tool_calls are none; unreadable ones give one row of status `unreadable`. A call
 or result without id cannot be linked (`no_result`, `no_call`). A null conversation is one of its own.
-A needed id that the conversation lacks is ignored for the order and reported as an error. Empty tables give no rows. Other columns of the input are ignored.
+A needed id that the conversation lacks is ignored for the order and reported as an error. Equal places cannot be: rows that repeat have
+row numbers of their own, the smaller goes first. Texts of any length are kept whole. Empty tables give no rows. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,15 +35,67 @@ from memlake.llm.common import materialize, register
 from memlake.sources.tables import read_table
 
 _CALLS = "array<struct<id:string,name:string,arguments:string,after:array<string>>>"
-_TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list}
+_TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
 def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
+def _fits(value, kind: str) -> bool:
+    return isinstance(value, _TYPES[kind]) and (kind == "boolean" or not isinstance(value, bool))
+
+
+def as_json_schema(schema: dict) -> dict:
+    """A tool's schema: JSON Schema as it is, the short form {argument: (type, required)} as an object without further arguments."""
+    if all(isinstance(v, tuple) for v in schema.values()):
+        return {"type": "object", "properties": {a: {"type": kind} for a, (kind, _) in schema.items()},
+                "required": [a for a, (_, required) in schema.items() if required], "additionalProperties": False}
+    return schema
+
+
+def faults(value, schema: dict, path: str = "") -> list[str]:
+    """What JSON Schema's basic keywords find wrong: type, enum, minimum, maximum, minLength, maxLength, pattern, items,
+    minItems, maxItems, required, properties, additionalProperties. Sizes are told before members, members in order."""
+    name = path or "arguments"
+    kinds = schema.get("type", [])
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    if kinds and not any(_fits(value, k) for k in kinds):
+        return [f"{name} is no {' or '.join(kinds)}"]
+    wrong = []
+    if "enum" in schema and canonical(value) not in {canonical(v) for v in schema["enum"]}:
+        wrong.append(f"{name} is not in its list")
+    size, least, most = None, None, None
+    if _fits(value, "number"):
+        size, least, most = value, "minimum", "maximum"
+    elif isinstance(value, str):
+        size, least, most = len(value), "minLength", "maxLength"
+        if "pattern" in schema and not re.search(schema["pattern"], value):
+            wrong.append(f"{name} does not match its pattern")
+    elif isinstance(value, list):
+        size, least, most = len(value), "minItems", "maxItems"
+    for bound, bad in ((least, lambda limit: size < limit), (most, lambda limit: size > limit)):
+        if bound in schema and bad(schema[bound]):
+            wrong.append(f"{name} breaks {bound} {schema[bound]}")
+    if isinstance(value, list) and "items" in schema:
+        for i, v in enumerate(value):
+            wrong += faults(v, schema["items"], f"{path}[{i}]")
+    if isinstance(value, dict):
+        known, inner = schema.get("properties", {}), f"{path}." if path else ""
+        more = schema.get("additionalProperties", True)
+        wrong += [f"missing {inner}{a}" for a in sorted(schema.get("required", ())) if a not in value]
+        for a in sorted(value):
+            if a in known:
+                wrong += faults(value[a], known[a], inner + a)
+            elif more is False:
+                wrong.append(f"unknown {inner}{a}")
+            elif isinstance(more, dict):
+                wrong += faults(value[a], more, inner + a)
+    return wrong
+
+
 def check(name: str | None, arguments: str | None, schemas: dict) -> tuple[object, list[str]]:
-    """The parsed arguments and what is wrong with them. A schema is {argument: (type, required)}."""
+    """The parsed arguments and what is wrong with them by the tool's schema (see `as_json_schema`)."""
     try:
         value = json.loads(arguments) if arguments else {}
         if isinstance(value, str):
@@ -49,19 +105,9 @@ def check(name: str | None, arguments: str | None, schemas: dict) -> tuple[objec
         return arguments, ["arguments are not JSON"]
     if not isinstance(value, dict):
         return value, ["arguments are no object"]
-    schema = schemas.get(name)
-    if schema is None:
+    if name not in schemas:
         return value, ["unknown tool"]
-    wrong = [f"missing {a}" for a, (_, required) in sorted(schema.items()) if required and a not in value]
-    for a in sorted(value):
-        if a not in schema:
-            wrong.append(f"unknown {a}")
-            continue
-        kind = schema[a][0]
-        fits = isinstance(value[a], _TYPES[kind]) and (kind == "boolean" or not isinstance(value[a], bool))
-        if not fits:
-            wrong.append(f"{a} is no {kind}")
-    return value, wrong
+    return value, faults(value, as_json_schema(schemas[name]))
 
 
 def _same(a: str, b: str) -> Column:
@@ -127,30 +173,57 @@ def unsettled(edges: DataFrame) -> DataFrame:
     return left.select("row").distinct()
 
 
+def behind(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """`rows` and all rows that need one of them, directly or not."""
+    total = new = rows
+    while True:
+        met = edges.join(new.select(F.col("row").alias("n_row")), "n_row", "left_semi").select("row").distinct()
+        new = materialize(met.join(total, "row", "left_anti"), "tool_behind")
+        if new.limit(1).count() == 0:
+            return total
+        total = materialize(total.union(new), "tool_stuck")
+
+
+#: Rounds after which the moved calls are searched for cycles the first time; then after twice as many, and so on.
+FIRST_SEARCH = 4
+
+
 def order(linked: DataFrame) -> DataFrame:
-    """(row, base, rank, cyclic) of the calls that had to move behind a needed call."""
+    """(row, base, rank, cyclic) of the calls that had to move behind a needed call, and of those that never can."""
     heads = linked.where("status in ('linked', 'no_result') and id is not null")
     needs = heads.select("conv", "row", F.explode(F.array_distinct("after")).alias("need"))
     edges = materialize(needs.join(heads.select(F.col("conv").alias("n_conv"), F.col("id").alias("n_id"), F.col("row").alias("n_row")),
                                    _same("conv", "n_conv") & (F.col("need") == F.col("n_id"))).select("row", "n_row"), "tool_edges")
     involved = edges.select("row").union(edges.select("n_row")).distinct()
     keys = materialize(heads.join(involved, "row").select("row", F.col("turn").alias("base"), F.lit(0).alias("rank"), "place"), "tool_keys")
-    rounds, moved = 0, 0
+    stuck = keys.select("row").limit(0)
+    rounds, search = 0, FIRST_SEARCH
     while True:
         key = F.struct("base", "rank", "place", "row").alias("key")
         own = keys.select("row", key)
         need = keys.select(F.col("row").alias("n_row"), F.struct("base", "rank", "place", "row").alias("n_key"))
-        late = materialize(edges.join(own, "row").join(need, "n_row").where("n_key >= key")
+        late = materialize(edges.join(own, "row").join(need, "n_row")
+                           .where("n_key >= key or (key.rank > 0 and n_key.base = key.base and n_key.rank = key.rank)")
                            .groupBy("row").agg(F.max(F.struct(F.col("n_key.base").alias("base"), (F.col("n_key.rank") + 1).alias("rank"))).alias("to")),
                            "tool_late")
-        settled = late.limit(1).count() == 0
-        if settled or rounds > moved + 1:
-            cyclic = (late if settled else unsettled(edges)).select("row", F.lit(True).alias("cyclic"))
-            return (keys.join(cyclic, "row", "left").where("rank > 0 or cyclic")
-                    .select("row", "base", "rank", F.coalesce("cyclic", F.lit(False)).alias("cyclic")))
+        if late.limit(1).count() == 0:
+            none = F.lit(None)
+            return (keys.where("rank > 0").select("row", "base", "rank", F.lit(False).alias("cyclic"))
+                    .unionByName(stuck.select("row", none.cast("bigint").alias("base"), none.cast("int").alias("rank"), F.lit(True).alias("cyclic"))))
+        if rounds == search:
+            search *= 2
+            moved = materialize(keys.where("rank > 0").select("row"), "tool_moved")
+            inner = edges.join(moved, "row", "left_semi").join(moved.select(F.col("row").alias("n_row")), "n_row", "left_semi").select("row", "n_row")
+            found = materialize(unsettled(materialize(inner, "tool_inner")), "tool_cycles")
+            if found.limit(1).count():
+                found = behind(found, edges)
+                stuck = materialize(stuck.union(found), "tool_stuck")
+                edges = materialize(edges.join(found, "row", "left_anti").select("row", "n_row"), "tool_edges")
+                keys = materialize(keys.join(found, "row", "left_anti").select("row", "base", "rank", "place"), "tool_keys")
+                continue
         keys = materialize(keys.join(late, "row", "left").select(
             "row", F.coalesce("to.base", "base").alias("base"), F.coalesce("to.rank", "rank").alias("rank"), "place"), "tool_keys")
-        rounds, moved = rounds + 1, keys.where("rank > 0").count()
+        rounds += 1
 
 
 def format_tool_calls(messages: DataFrame, schemas: dict) -> DataFrame:

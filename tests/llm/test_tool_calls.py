@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import random
+from functools import cache
 
 from pyspark.sql import functions as F
 
@@ -93,3 +95,71 @@ def test_query_against_plain_python(spark, sf_check):
         if r.status == "linked":
             assert json.loads(r.json)["result"] == results[key]
     assert sum(r.status == "no_call" for r in got) == len(set(results) - calls)
+
+
+def test_nested_schemas():
+    schema = {"f": {"type": "object", "required": ["q", "at"], "additionalProperties": False, "properties": {
+        "q": {"type": "string", "minLength": 2, "maxLength": 4, "pattern": "^[a-z]+$"}, "unit": {"enum": ["m", "km", 1]},
+        "at": {"type": "object", "required": ["lat"], "properties": {"lat": {"type": "number", "minimum": -90, "maximum": 90}}},
+        "tags": {"type": "array", "maxItems": 2, "items": {"type": ["string", "null"]}}}}}
+    for value, wrong in [
+            ({"q": "ab", "at": {"lat": 1.5, "more": 1}, "tags": ["x", None], "unit": 1}, []),
+            ({"q": "a", "at": {}}, ["missing at.lat", "q breaks minLength 2"]),
+            ({"q": "abcdE", "at": {"lat": 91}}, ["at.lat breaks maximum 90", "q does not match its pattern", "q breaks maxLength 4"]),
+            ({"at": {"lat": "1"}, "q": "ab", "unit": True, "x": 0}, ["at.lat is no number", "unit is not in its list", "unknown x"]),
+            ({"q": "ab", "at": {"lat": -90}, "tags": [1, "a", "b"]}, ["tags breaks maxItems 2", "tags[0] is no string or null"])]:
+        assert T.check("f", json.dumps(value), schema) == (value, wrong)
+
+
+def plain_order(rows):
+    """{(conv, id): (turn, rank, cyclic)} by recursion over the needs of each conversation."""
+    out = {}
+    for conv in {r[0] for r in rows}:
+        calls = {}
+        for _, turn, _, _, raw, _ in sorted(r for r in rows if r[0] == conv):
+            for place, c in enumerate(json.loads(raw)):
+                calls[c["id"]] = (turn, place, c["after"])
+
+        def reach(i, calls=calls):
+            seen, todo = set(), [i]
+            while todo:
+                for n in calls[todo.pop()][2]:
+                    if n in calls and n not in seen:
+                        seen.add(n)
+                        todo.append(n)
+            return seen
+        on_cycle = {i for i in calls if i in reach(i)}
+
+        @cache
+        def key(i, calls=calls):  # noqa: B023
+            turn, place, after = calls[i]
+            top = max((key(n) for n in after if n in calls), default=None)  # noqa: B023
+            return (turn, 0, place) if top is None or top < (turn, 0, place) else (top[0], top[1] + 1, place)
+        for i, (turn, _, _) in calls.items():
+            bad = i in on_cycle or reach(i) & on_cycle
+            out[conv, i] = (turn, 0, True) if bad else (*key(i)[:2], False)
+    return out
+
+
+def test_random_orders_match_the_plain_version(spark):
+    rng = random.Random(7)
+    rows = []
+    for conv in range(60):
+        n = rng.randint(1, 9)
+        rows += [asst(conv, t, *[call(f"c{t}{p}", {"x": 1}, after=sorted({f"c{rng.randrange(n)}{rng.randrange(2)}" for _ in range(rng.choice((0, 1, 1, 2)))}))
+                                 for p in range(2)]) for t in range(n)]
+    got = {(r.conv_id, r.call_id): (r.order_turn, r.order_rank, r.status == "cyclic") for r in run(spark, rows)}
+    want = plain_order(rows)
+    assert got == want
+    assert {c for *_, c in want.values()} == {True, False} and max(r for _, r, _ in want.values()) > 1
+
+
+def test_many_moved_calls_beside_a_cycle_take_few_rounds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(T, "materialize", lambda df, name, real=T.materialize: written.append(name) or real(df, name))
+    rows = [asst(0, 0, call("p", {"x": 1}, after=["q"]), call("q", {"x": 1}, after=["p"]), call("r", {"x": 1}, after=["q"]))]
+    rows += [asst(1 + i, 0, call("late", {"x": 1}, after=["early"]), call("early", {"x": 1})) for i in range(1000)]
+    out = run(spark, rows)
+    assert {r.call_id for r in out if r.status == "cyclic"} == {"p", "q", "r"}
+    assert sum(r.order_rank == 1 for r in out) == 1000
+    assert sum(n in ("tool_late", "tool_open", "tool_behind") for n in written) <= 20
