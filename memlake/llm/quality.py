@@ -144,10 +144,14 @@ def grades_from_labels(labels: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           max_rated: int = MAX_RATED) -> OrdinalModel | None:
-    """A model from at most `max_rated` rated documents; None without any."""
+    """A model from at most `max_rated` rated documents; None without any.
+
+    Ratings of documents that are not there take no place in the sample. What reaches the driver is at most `max_rated`
+    different texts, however many rows repeat a rated id."""
+    ids = docs.select(F.col(id_col).alias("rated_id"))
     sample = (ratings.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rated)
-              .select(F.col("doc_id").alias("rated_id"), "grade"))
+              .select(F.col("doc_id").alias("rated_id"), "grade").join(ids, "rated_id", "left_semi")
+              .orderBy(F.xxhash64("rated_id"), "rated_id").limit(max_rated))
     texts = (docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("body"))
              .join(F.broadcast(sample), F.col("id") == F.col("rated_id")))
 
@@ -155,14 +159,14 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
         for pdf in batches:
             yield pd.DataFrame({"id": pdf["id"], "grade": pdf["grade"],
                                 "words": [buckets(t).astype(np.uint32).tobytes() for t in pdf["body"]]})
-    rows = texts.select("id", "grade", "body").mapInPandas(hashed, "id bigint, grade int, words binary").collect()
+    # copies of one text would pass for evidence: of equal words the smallest id counts
+    rows = (texts.select("id", "grade", "body").mapInPandas(hashed, "id bigint, grade int, words binary")
+            .groupBy("words").agg(F.min(F.struct("id", "grade")).alias("least")).select("words", "least.id", "least.grade")
+            .orderBy(F.xxhash64("id"), "id", "words").limit(max_rated).collect())
     if not rows:
         return None
-    # copies of one text would pass for evidence: of equal words the smallest id counts
-    distinct = {}
-    for r in sorted(rows, key=lambda r: (r["id"], r["grade"])):
-        distinct.setdefault(bytes(r["words"]), r["grade"])
-    return fit([np.frombuffer(w, np.uint32) for w in distinct], np.array(list(distinct.values())))
+    rows.sort(key=lambda r: (r["id"], r["grade"], bytes(r["words"])))
+    return fit([np.frombuffer(bytes(r["words"]), np.uint32) for r in rows], np.array([r["grade"] for r in rows]))
 
 
 def score_documents(docs: DataFrame, model: OrdinalModel | None, id_col: str = "doc_id", text_col: str = "text",

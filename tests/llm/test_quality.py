@@ -37,3 +37,20 @@ def test_edge_cases(spark):
 def test_grades(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 1), (4, None, 0), (5, 0, 1)], "doc_id bigint, quality int, toxic int")
     assert {r.doc_id: r.grade for r in Q.grades_from_labels(labels).collect()} == {1: 2, 2: 1, 3: 0, 5: 0}
+
+
+def test_sample_holds_rated_documents_only_and_is_bounded_by_texts(spark):
+    ratings = spark.range(1000).select(F.col("id").alias("doc_id"), (F.col("id") % 3).cast("int").alias("grade"))
+    docs = spark.range(3000).select((F.col("id") % 3 + 7).alias("doc_id"), F.concat(F.lit("word"), (F.col("id") % 30).cast("string")).alias("text"))
+    seen = []
+
+    def fit(words, grades, real=Q.fit):
+        seen.append((len(words), sorted(set(grades.tolist()))))
+        return real(words, grades)
+    old, Q.fit = Q.fit, fit
+    try:
+        for most in (12, 100):
+            assert Q.train(docs, ratings, max_rated=most) is not None
+    finally:
+        Q.fit = old
+    assert seen == [(12, seen[0][1]), (30, [0, 1, 2])]
