@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame that is written as
 Parquet and read again as the next stage's `docs`. All but the last return the columns of `docs`.
 
-Defined cases: the stages share those of their operators. A row without doc_id is never dropped as a near-duplicate
-(no row can be named in its place); rows that repeat a doc_id are one document to that stage and stay or go together. For leaks a document is
+Defined cases: the stages share those of their operators. Of each class of near-duplicates exactly one row stays, also where
+ids are null or repeat: rows are told by id and text, rows with an id stay before rows without. For leaks a document is
 told by its id and text. Empty tables give empty results.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.llm.common import materialize
@@ -33,11 +33,25 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("kept").select("row.*")
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A key by id and text that sorts by id, rows without id last; bytewise equal keys are rows of equal id and text."""
+    number = F.lpad((doc_id.cast("decimal(20,0)") + F.lit(str(2 ** 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+    return F.concat(F.coalesce(number, F.lit("~")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest id."""
-    classes = near_duplicates(docs, shingle=SHINGLE_WORDS, max_bits=MAX_BITS)
-    gone = materialize(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "pipeline_gone")
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """Of each class of near-duplicates one row: the one with the smallest id, of equal ids that with the smallest text digest,
+    of rows with equal id and text that with the smallest digest of all columns."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    keyed = rows.select(row_key(F.col("row.doc_id"), F.col("row.text")).alias("key"), "row")
+    classes = near_duplicates(keyed, id_col="key", text_col="row.text", shingle=SHINGLE_WORDS, max_bits=MAX_BITS)
+    # marked: keys that go, and keys of several rows of which one stays; all others stay as they are
+    marks = materialize(classes.groupBy(F.col("doc_id").alias("marked")).agg(
+        (F.first("component_id") != F.col("doc_id")).alias("gone"), F.count("*").alias("n")).where("gone or n > 1"), "pipeline_marks")
+    single = keyed.join(marks, F.col("key") == F.col("marked"), "left_anti").select("row")
+    several = (keyed.join(marks.where("not gone"), F.col("key") == F.col("marked"))
+               .groupBy("key").agg(F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row")).select("row"))
+    return single.unionByName(several).select("row.*")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
