@@ -35,12 +35,13 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
 
 def table_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int | None = None) -> DataFrame:
-    """A file-source stream over `<sf_dir>/<table>.parquet` (declared schema, no inference)."""
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet").schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
+    """A file-source stream over `<sf_dir>/<table>.parquet`, a file or a folder of files (declared schema, no inference)."""
+    path = f"{sf_dir.rstrip('/')}/{table}.parquet"
+    r = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(sf_dir)
+    # as a glob: a plain path becomes the stream's base path, which must be a folder
+    return r.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def _run(query) -> None:

@@ -71,3 +71,18 @@ def test_late_rows_are_kept_apart(spark, tmp_path):
     assert sorted((r.start, r.key, r.n) for r in J.window_counts(spark, out).collect()) == [
         (0, "a", 1), (80, "a", 1), (100, "a", 1), (100, "b", 1), (180, "a", 1), (200, "b", 1), (300, "b", 1)]
     assert sorted((r.key, r.ts, r.batch_id) for r in J.late_rows(spark, out).collect() if r.ts) == [("a", 84, 1), ("a", 184, 2)]
+
+
+def folder_tables(spark, root):
+    """documents and pages as folders of several files, as a cluster writes them."""
+    docs = [(i, f"line one {i}\n" + f"word{i % 3} text\n" * 40, "en", f"src{i % 2}", 9) for i in range(12)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{root}/documents.parquet")
+    pages = [(i, f"https://h{i}.example.com/{i}", f"<title>t{i}</title>") for i in range(20)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3).write.parquet(f"{root}/pages.parquet")
+    return str(root)
+
+
+def test_ingest_stream_reads_a_folder_table(spark, queries, tmp_path):
+    sf = folder_tables(spark, tmp_path)
+    got, want = ([tuple(r) for r in queries[0][n](spark, sf).collect()] for n in ("stream_ingest", "ingest_documents"))
+    assert sorted(got) == sorted(want) and len(got) >= 12
