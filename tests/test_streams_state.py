@@ -86,3 +86,9 @@ def test_ingest_stream_reads_a_folder_table(spark, queries, tmp_path):
     sf = folder_tables(spark, tmp_path)
     got, want = ([tuple(r) for r in queries[0][n](spark, sf).collect()] for n in ("stream_ingest", "ingest_documents"))
     assert sorted(got) == sorted(want) and len(got) >= 12
+
+
+def test_snapshot_feed_reads_a_folder_table(spark, queries, tmp_path):
+    sf = folder_tables(spark, tmp_path)
+    got, want = ([tuple(r) for r in queries[0][n](spark, sf).collect()] for n in ("stream_snapshot_changes", "snapshot_change_detection"))
+    assert sorted(got) == sorted(want) and len(got) >= 4
