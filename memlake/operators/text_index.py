@@ -21,9 +21,13 @@ most promising ranges of each query are scored first; ranges whose bound is belo
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,7 +39,9 @@ from memlake.session import ensure_checkpoint_dir, materialize
 
 BUCKETS = 64            # folders of postings; raise with the vocabulary
 RANGE_DOCS = 512        # memories in a range, about
-SLOT_RANGES = 2048      # ranges that one writing task takes of a bucket
+SLOT_RANGES = 2048      # ranges that one writing task takes of a bucket when an index is compacted
+PART_RANGES = 8         # ranges that one task finds the terms of, about
+ENTRIES_AT_ONCE = 1 << 20   # entries of whole ranges that are made into blocks together, about
 FIRST_RANGES = 4        # ranges of a query that are scored before the others
 DOC_COLUMNS = ["hash", "sensitivity", "project", "owner_id"]
 
@@ -60,7 +66,8 @@ class TextIndex:
         return self.sum_dl / self.n_docs if self.n_docs and self.sum_dl else 1.0
 
     def part(self, name: str) -> DataFrame:
-        parts = [self.spark.read.parquet(f"{p}/{name}") for p in self.paths]
+        # declared: a part without rows has no file to infer its columns from
+        parts = [self.spark.read.schema(f"{PARTS[name]}, seg int").parquet(f"{p}/{name}") for p in self.paths]
         return reduce(DataFrame.unionByName, parts).where(F.col("seg").isin(self.segments))
 
     def gone(self) -> DataFrame | None:
@@ -103,16 +110,71 @@ def _write_blocks(entries: DataFrame, path: str) -> None:
     blocks.sortWithinPartitions("bucket", "term", "rng").write.partitionBy("bucket").parquet(path)
 
 
+def _invert(docs: pa.Table) -> pa.RecordBatch:
+    """The blocks of some memories (hash, rng, dl, entries) in the order of their ranges: one row per (term, range)."""
+    docs = docs.combine_chunks()
+    lists = docs["entries"].combine_chunks()
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    terms, ats = lists.flatten().flatten()
+    coded = terms.dictionary_encode()
+    code, doc = coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(code * max(1, len(sizes)) + doc)
+    code, doc, ats = code[order], doc[order], ats.take(pa.array(order))
+    rng, dl = docs["rng"].to_numpy()[doc], docs["dl"].to_numpy()[doc].astype(np.int32)
+    tf = pc.list_value_length(ats).to_numpy(zero_copy_only=False).astype(np.int32)
+    first = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(rng, prepend=-1) != 0))
+    edges = pa.array(np.append(first, len(code)).astype(np.int32))
+
+    def per_block(values):
+        return pa.ListArray.from_arrays(edges, values)
+    most, least = (ufunc.reduceat(x, first) if len(first) else x for ufunc, x in ((np.maximum, tf), (np.minimum, dl)))
+    hashes = docs["hash"].combine_chunks().take(pa.array(doc))
+    columns = [coded.dictionary.take(pa.array(code[first])), pa.array(rng[first]), pa.array(np.diff(edges.to_numpy()), pa.int64()), pa.array(most),
+               pa.array(least), per_block(hashes), per_block(pa.array(tf)), per_block(pa.array(dl)), per_block(ats)]
+    return pa.RecordBatch.from_arrays(columns, ["term", "rng", "n", "max_tf", "min_dl", "hash", "tf", "dl", "at"])
+
+
+BLOCK_SCHEMA = ("term string, rng int, n long, max_tf int, min_dl int, hash array<string>, tf array<int>, dl array<int>, "
+                "at array<array<long>>")
+
+
+PARTS = {"postings": f"{BLOCK_SCHEMA}, bucket int", "terms": "term string, df long, bucket int", "gone": "hash string",
+         "docs": "hash string, sensitivity string, project string, owner_id string, dl long, terms array<string>"}
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of memories that come range by range. Whole ranges are taken together, up to a bounded number of entries."""
+    held, size = [], 0
+    for batch in batches:
+        rng = batch["rng"].to_numpy()
+        starts = [0, *(np.flatnonzero(np.diff(rng)) + 1).tolist(), len(rng)]
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            part = batch.slice(a, b - a)
+            other = held and held[-1]["rng"][-1].as_py() != rng[a]
+            if held and (size >= ENTRIES_AT_ONCE if other else size >= 8 * ENTRIES_AT_ONCE):
+                yield _invert(pa.Table.from_batches(held))
+                held, size = [], 0
+            held.append(part)
+            size += pc.sum(pc.list_value_length(part["entries"])).as_py() or 0
+    if held:
+        yield _invert(pa.Table.from_batches(held))
+
+
 def _write_segment(rows: DataFrame, gone: DataFrame, lost: DataFrame, path: str, seg: int, buckets: int, ranges: int) -> None:
-    """One segment: postings of `rows`, ids `gone`, and the stored docs `lost` that they take away."""
+    """One segment: postings of `rows`, ids `gone`, and the stored docs `lost` that they take away.
+
+    The memories are dealt out by range before their terms are found, so that the blocks of a range are made where its
+    memories are: entries are not shuffled."""
     spark = rows.sparkSession
-    own = materialize(doc_terms(rows, *DOC_COLUMNS[1:]), "index_terms")
-    entries = own.select("hash", F.col("dl").cast("int").alias("dl"), _range(ranges).alias("rng"), F.explode("entries").alias("e"))
-    entries = entries.select("hash", "dl", "rng", "e.term", "e.at", F.size("e.at").alias("tf"))
-    entries = entries.withColumn("bucket", _bucket(F.col("term"), buckets))
-    _write_blocks(entries, f"{path}/postings/seg={seg}")
-    taken = lost.select(F.explode("terms").alias("term"), F.lit(-1).alias("df"))
-    df = (own.select(F.explode("entries.term").alias("term"), F.lit(1).alias("df")).unionByName(taken)
+    dealt = (rows.select("hash", "summary_text", "essence_text", "tags", *DOC_COLUMNS[1:], _range(ranges).alias("rng"))
+             .repartition(max(1, ranges // PART_RANGES), "rng").sortWithinPartitions("rng", "hash"))
+    own = materialize(doc_terms(dealt, "rng", *DOC_COLUMNS[1:]), "index_terms")
+    blocks = (own.select("hash", "rng", "dl", "entries").mapInArrow(_blocks, BLOCK_SCHEMA)
+              .withColumn("bucket", _bucket(F.col("term"), buckets)))
+    blocks.sortWithinPartitions("bucket", "term", "rng").write.partitionBy("bucket").parquet(f"{path}/postings/seg={seg}")
+    taken = lost.select(F.explode("terms").alias("term"), F.lit(-1).cast("long").alias("df"))
+    written = spark.read.schema(f"{BLOCK_SCHEMA}, bucket int").parquet(f"{path}/postings/seg={seg}")
+    df = (written.select("term", F.col("n").alias("df")).unionByName(taken)
           .withColumn("bucket", _bucket(F.col("term"), buckets)).groupBy("bucket", "term").agg(F.sum("df").alias("df")).where("df <> 0"))
     df.repartition("bucket").sortWithinPartitions("term").write.partitionBy("bucket").parquet(f"{path}/terms/seg={seg}")
     own.select(*DOC_COLUMNS, "dl", F.col("entries.term").alias("terms")).write.parquet(f"{path}/docs/seg={seg}")
