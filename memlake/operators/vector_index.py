@@ -52,7 +52,8 @@ def create_vectors(mem_vec: DataFrame, path: str | None = None, pivots: int = PI
     one, are kept in cell -1, which every search opens."""
     spark = mem_vec.sparkSession
     path = path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/vector_index-{uuid.uuid4().hex[:12]}"
-    rows = mem_vec.select("hash", "vec", *ATTRIBUTES).withColumn("size", F.coalesce(F.size("vec"), F.lit(0)))
+    # written once: the vectors may be computed from texts, and both the pivots and the cells need them
+    rows = materialize(mem_vec.select("hash", "vec", *ATTRIBUTES).withColumn("size", F.coalesce(F.size("vec"), F.lit(0))), "vector_rows")
     good = F.exists("vec", lambda x: x != 0)
     w = Window.partitionBy("size").orderBy(F.xxhash64("hash"))
     sample = rows.where(good).select("size", "hash", "vec").withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= pivots).collect()
