@@ -6,7 +6,7 @@ Layout below the index folder, all plain Parquet, one sub-folder per segment:
   length and positions, and the block's largest frequency and smallest length. A bucket is a hash of the term, a range a hash
   of the memory id; ranges hold about RANGE_DOCS memories, so a block is bounded however common its term is.
 * `terms/seg=s/bucket=b`: document frequency of each term, as a change to the earlier segments.
-* `docs/seg=s`: id, length, visibility columns and distinct terms of each memory.
+* `docs/seg=s`: id, length, visibility columns and distinct terms with their places of each memory; the postings are made from it.
 * `gone/seg=s`: ids whose rows in earlier segments no longer count.
 * `totals/seg=s`: changes of the number of memories and of the sum of lengths; written last, a segment without it is not read.
 
@@ -15,7 +15,8 @@ A change batch (inserts, replacements, deletes) becomes one new segment that hol
 
 Search reads the buckets of the queries' terms only. Top-k is pruned exactly with block bounds (the block-max idea of Ding and Suel,
 2011): a query's score in a range is at most the sum of its terms' bounds there, and a range in which a term is missing has no match. The
-most promising ranges of each query are scored first; ranges whose bound is below the k-th score found are never opened.
+most promising ranges of each query are scored first; ranges whose bound is below the k-th score found are never opened. The blocks of a range
+are brought together once, whole, and a kernel scores its queries there; only matches leave it.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
@@ -43,6 +45,8 @@ SLOT_RANGES = 2048      # ranges that one writing task takes of a bucket when an
 PART_RANGES = 8         # ranges that one task finds the terms of, about
 ENTRIES_AT_ONCE = 1 << 20   # entries of whole ranges that are made into blocks together, about
 FIRST_RANGES = 4        # ranges of a query that are scored before the others
+SMALL_ROWS = 1 << 20    # rows of short keys that are sent to every task rather than shuffled against
+CODEC = "zstd"          # of the large parts
 DOC_COLUMNS = ["hash", "sensitivity", "project", "owner_id"]
 
 
@@ -84,7 +88,7 @@ class TextIndex:
         return rows.join(gone, "hash", "left").where("dead IS NULL OR seg >= dead").drop("dead")
 
     def docs(self) -> DataFrame:
-        return self.alive(self.part("docs"))
+        return self.alive(self.part("docs").select(*DOC_COLUMNS, "dl", F.col("entries.term").alias("terms"), "seg"))
 
     def in_buckets(self, name: str, terms: DataFrame) -> DataFrame:
         """A part's rows in the buckets of `terms(term)`: other folders are not listed or read."""
@@ -92,6 +96,11 @@ class TextIndex:
         return self.part(name).where(F.col("bucket").isin(own))
 
 
+def _small(keys: DataFrame) -> DataFrame:
+    """Written short keys, sent to every task where they are few, so that what meets them is not shuffled."""
+    return F.broadcast(keys) if keys.count() <= SMALL_ROWS else keys
+
+
 def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
@@ -107,7 +116,7 @@ def _write_blocks(entries: DataFrame, path: str) -> None:
     blocks = entries.groupBy("bucket", "slot", "term", "rng").agg(
         F.array_sort(F.collect_list(F.struct(*cols))).alias("e"), F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
     blocks = blocks.select("bucket", "term", "rng", "n", "max_tf", "min_dl", *[F.col(f"e.{c}").alias(c) for c in cols])
-    blocks.sortWithinPartitions("bucket", "term", "rng").write.partitionBy("bucket").parquet(path)
+    blocks.sortWithinPartitions("bucket", "term", "rng").write.option("compression", CODEC).partitionBy("bucket").parquet(path)
 
 
 def _invert(docs: pa.Table) -> pa.RecordBatch:
@@ -139,7 +148,7 @@ BLOCK_SCHEMA = ("term string, rng int, n long, max_tf int, min_dl int, hash arra
 
 
 PARTS = {"postings": f"{BLOCK_SCHEMA}, bucket int", "terms": "term string, df long, bucket int", "gone": "hash string",
-         "docs": "hash string, sensitivity string, project string, owner_id string, dl long, terms array<string>"}
+         "docs": "hash string, rng int, sensitivity string, project string, owner_id string, dl long, entries array<struct<term:string,at:array<long>>>"}
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,16 +177,17 @@ def _write_segment(rows: DataFrame, gone: DataFrame, lost: DataFrame, path: str,
     spark = rows.sparkSession
     dealt = (rows.select("hash", "summary_text", "essence_text", "tags", *DOC_COLUMNS[1:], _range(ranges).alias("rng"))
              .repartition(max(1, ranges // PART_RANGES), "rng").sortWithinPartitions("rng", "hash"))
-    own = materialize(doc_terms(dealt, "rng", *DOC_COLUMNS[1:]), "index_terms")
+    doc_terms(dealt, "rng", *DOC_COLUMNS[1:]).write.option("compression", CODEC).parquet(f"{path}/docs/seg={seg}")
+    own = spark.read.schema(PARTS["docs"]).parquet(f"{path}/docs/seg={seg}")
     blocks = (own.select("hash", "rng", "dl", "entries").mapInArrow(_blocks, BLOCK_SCHEMA)
               .withColumn("bucket", _bucket(F.col("term"), buckets)))
-    blocks.sortWithinPartitions("bucket", "term", "rng").write.partitionBy("bucket").parquet(f"{path}/postings/seg={seg}")
+    blocks = blocks.sortWithinPartitions("bucket", "term", "rng")
+    blocks.write.option("compression", CODEC).partitionBy("bucket").parquet(f"{path}/postings/seg={seg}")
     taken = lost.select(F.explode("terms").alias("term"), F.lit(-1).cast("long").alias("df"))
     written = spark.read.schema(f"{BLOCK_SCHEMA}, bucket int").parquet(f"{path}/postings/seg={seg}")
     df = (written.select("term", F.col("n").alias("df")).unionByName(taken)
           .withColumn("bucket", _bucket(F.col("term"), buckets)).groupBy("bucket", "term").agg(F.sum("df").alias("df")).where("df <> 0"))
     df.repartition("bucket").sortWithinPartitions("term").write.partitionBy("bucket").parquet(f"{path}/terms/seg={seg}")
-    own.select(*DOC_COLUMNS, "dl", F.col("entries.term").alias("terms")).write.parquet(f"{path}/docs/seg={seg}")
     gone.select("hash").distinct().write.parquet(f"{path}/gone/seg={seg}")
     n, dl = own.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
     n0, dl0 = lost.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
@@ -221,7 +231,7 @@ def apply_changes(index: TextIndex, changed: DataFrame | None = None, deleted: D
     if changed is None:
         schema = "hash string, summary_text string, essence_text string, tags array<string>, sensitivity string, project string, owner_id string"
         changed = index.spark.createDataFrame([], schema)
-    lost = materialize(index.docs().join(gone, "hash", "left_semi").select("hash", "dl", "terms"), "index_lost")
+    lost = materialize(index.docs().join(_small(gone), "hash", "left_semi").select("hash", "dl", "terms"), "index_lost")
     paths = index.paths if path in (None, index.paths[-1]) else [*index.paths, path]
     _write_segment(changed, gone, lost, paths[-1], index.segments[-1] + 1, index.buckets, index.ranges)
     return open_index(index.spark, *paths)
@@ -235,7 +245,7 @@ def compact(index: TextIndex, path: str | None = None) -> TextIndex:
     _write_blocks(entries, f"{path}/postings/seg=0")
     df = index.part("terms").groupBy("bucket", "term").agg(F.sum("df").alias("df")).where("df > 0")
     df.repartition("bucket").sortWithinPartitions("term").write.partitionBy("bucket").parquet(f"{path}/terms/seg=0")
-    index.docs().drop("seg").write.parquet(f"{path}/docs/seg=0")
+    index.alive(index.part("docs")).drop("seg").write.option("compression", CODEC).parquet(f"{path}/docs/seg=0")
     index.part("gone").limit(0).select("hash").write.parquet(f"{path}/gone/seg=0")
     spark.createDataFrame([(index.n_docs, index.sum_dl, index.buckets, index.ranges)],
                           "n_docs long, sum_dl long, buckets int, ranges int").coalesce(1).write.parquet(f"{path}/totals/seg=0")
@@ -259,7 +269,7 @@ class Search:
     index: TextIndex
     known: DataFrame      # (query_id, phrase, times, idf, n_phrases, lead): queries all of whose phrases occur
     blocks: DataFrame     # the postings of the queries' terms
-    several: DataFrame    # (phrase, rng, hash, tf, dl) of the phrases of several terms
+    several: DataFrame    # (phrase, rng, seg, hash, tf, dl) of the phrases of several terms
     ranges: DataFrame     # (query_id, rng, bound)
 
 
@@ -280,10 +290,10 @@ def prepare(index: TextIndex, queries: DataFrame, k1: float = BM25_K1, b: float
     parts = phrases.where("size(pieces) > 1").select("phrase", F.size("pieces").alias("np"), F.posexplode("pieces").alias("j", "term"))
     wanted = parts.select("term").distinct()
     places = index.alive(_entries(blocks.join(wanted, "term", "left_semi")))
-    starts = (places.select("term", "rng", "hash", "dl", F.explode("at").alias("at")).join(parts, "term")
-              .groupBy("phrase", "np", "rng", "hash", "dl", (F.col("at") - F.col("j")).alias("start")).agg(F.count("*").alias("c"))
+    starts = (places.select("term", "rng", "seg", "hash", "dl", F.explode("at").alias("at")).join(parts, "term")
+              .groupBy("phrase", "np", "rng", "seg", "hash", "dl", (F.col("at") - F.col("j")).alias("start")).agg(F.count("*").alias("c"))
               .where("c = np"))
-    several = materialize(starts.groupBy("phrase", "rng", "hash", "dl").agg(F.count("*").cast("int").alias("tf")), "phrase_entries")
+    several = materialize(starts.groupBy("phrase", "rng", "seg", "hash", "dl").agg(F.count("*").cast("int").alias("tf")), "phrase_entries")
     one_word = asked.join(phrases.where("size(pieces) = 1").select("phrase"), "phrase", "left_semi")
     more = asked.join(phrases.where("size(pieces) > 1").select("phrase"), "phrase", "left_semi")
     weights = (one_word.join(df, "phrase", "left")
@@ -305,25 +315,73 @@ def prepare(index: TextIndex, queries: DataFrame, k1: float = BM25_K1, b: float
     return Search(index, known, blocks, several, materialize(ranges, "query_ranges"))
 
 
+def _need(search: Search, ranges: DataFrame) -> DataFrame:
+    """(term, rng): the blocks that scoring the (query_id, rng) pairs opens."""
+    pairs = ranges.select("query_id", "rng").join(search.known.select("query_id", F.col("phrase").alias("term")), "query_id")
+    return pairs.select("term", "rng").distinct()
+
+
 def opened(search: Search, ranges: DataFrame) -> DataFrame:
     """The blocks of one-term phrases that scoring the (query_id, rng) pairs opens."""
-    need = ranges.select("query_id", "rng").join(search.known.select("query_id", F.col("phrase").alias("term")), "query_id")
-    return search.blocks.join(need.select("term", "rng").distinct(), ["term", "rng"], "left_semi")
+    return search.blocks.join(_need(search, ranges), ["term", "rng"], "left_semi")
+
+
+def _score_range(blocks: pd.DataFrame, asks: pd.DataFrame, avgdl: float, k1: float, b: float) -> pd.DataFrame:
+    """(query_id, hash, seg, score): the matches of a range's queries among its blocks (term, seg, hash, tf, dl)."""
+    columns = ["query_id", "hash", "seg", "score"]
+    if not len(blocks) or not len(asks):
+        return pd.DataFrame([], columns=columns)
+    code, terms = pd.factorize(blocks["term"])
+    blocks = blocks.iloc[np.argsort(code, kind="stable")]
+    sizes = blocks["hash"].map(len).to_numpy(np.int64)
+    edges = np.concatenate([[0], np.cumsum(np.bincount(np.sort(code), weights=sizes).astype(np.int64))])
+    names, segs = np.concatenate(blocks["hash"].to_list()), np.repeat(blocks["seg"].to_numpy(), sizes)
+    doc, pairs = pd.factorize(pd.factorize(names)[0] * (segs.max() + 1) + segs)  # a memory of another segment is another one
+    first = np.zeros(len(pairs), np.int64)
+    first[doc[::-1]] = np.arange(len(doc))[::-1]
+    tf, dl = (np.concatenate(blocks[c].to_list()).astype(float) for c in ("tf", "dl"))
+    part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+    out = []
+    for query_id, lead, phrases, weights in zip(asks["query_id"], asks["lead"], asks["phrases"], asks["weights"], strict=True):
+        at = terms.get_indexer([lead, *phrases])
+        if (at < 0).any():
+            continue
+        spans = [slice(edges[t], edges[t + 1]) for t in at]
+        n, score = np.zeros(len(pairs), np.int64), np.zeros(len(pairs))
+        for span, weight in zip(spans[1:], weights, strict=True):
+            np.add.at(n, doc[span], 1)
+            np.add.at(score, doc[span], weight * part[span])
+        starts = np.bincount(doc[spans[0]], minlength=len(pairs))
+        hit = np.flatnonzero((starts * n == len(phrases)) & (starts > 0))
+        out.append(pd.DataFrame({"query_id": query_id, "hash": names[first[hit]], "seg": segs[first[hit]], "score": (starts * score)[hit]}))
+    return pd.concat(out) if out else pd.DataFrame([], columns=columns)
 
 
 def score(search: Search, ranges: DataFrame, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """(query_id, hash, score) of the memories of these (query_id, rng) pairs that match every phrase.
 
-    A query starts from the entries of its rarest phrase; its other phrases are looked up for those memories only."""
-    index, known = search.index, search.known
-    entries = index.alive(_entries(opened(search, ranges), places=False)).select(F.col("term").alias("phrase"), "rng", "hash", "tf", "dl")
-    entries = materialize(entries.unionByName(search.several), "query_entries")
-    lead = known.select("query_id", "n_phrases", "lead").distinct().join(ranges.select("query_id", "rng"), "query_id")
-    cand = lead.join(entries.select(F.col("phrase").alias("lead"), "rng", "hash"), ["lead", "rng"]).select("query_id", "n_phrases", "rng", "hash")
-    pairs = cand.join(known.select("query_id", "phrase", "times", "idf"), "query_id").join(entries, ["phrase", "rng", "hash"])
-    part = F.col("times") * F.col("idf") * _saturated(F.col("tf"), F.col("dl"), index.avgdl, k1, b)
-    return (pairs.groupBy("query_id", "hash", "n_phrases").agg(F.sum(part).alias("score"), F.count("*").alias("n"))
-            .where("n = n_phrases").select("query_id", "hash", "score"))
+    The blocks of a range and its queries meet in one task: entries are not exploded or shuffled, only matches are."""
+    index, known, avgdl = search.index, search.known, float(search.index.avgdl)
+    need = materialize(_need(search, ranges), "query_need")
+    few = need.count() <= SMALL_ROWS
+    # more pairs are not worth a shuffle of the blocks of their own: the ranges' blocks of all known phrases are sent
+    blocks = (search.blocks.join(F.broadcast(need), ["term", "rng"], "left_semi") if few else
+              search.blocks.join(known.select(F.col("phrase").alias("term")).distinct(), "term", "left_semi"))
+    several = (search.several.groupBy(F.col("phrase").alias("term"), "rng", "seg").agg(F.collect_list(F.struct("hash", "tf", "dl")).alias("e"))
+               .select("term", "rng", "seg", "e.hash", "e.tf", "e.dl"))
+    # an id of NULL is no memory's
+    whole = F.filter(F.arrays_zip("hash", "tf", "dl"), lambda e: e["hash"].isNotNull())
+    blocks = (blocks.select("term", "rng", "seg", "hash", "tf", "dl").unionByName(several).withColumn("e", whole).where("size(e) > 0")
+              .select("term", "rng", "seg", "e.hash", "e.tf", "e.dl"))
+    each = known.groupBy("query_id", "lead").agg(F.collect_list(F.struct("phrase", (F.col("times") * F.col("idf")).alias("weight"))).alias("p"))
+    asks = ranges.select("query_id", "rng").join(each, "query_id").select("query_id", "rng", "lead", F.col("p.phrase").alias("phrases"),
+                                                                          F.col("p.weight").alias("weights"))
+
+    def kernel(there: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        return _score_range(there, asked, avgdl, k1, b)
+    hits = blocks.groupBy("rng").cogroup(asks.groupBy("rng")).applyInPandas(
+        kernel, f"query_id {known.schema['query_id'].dataType.simpleString()}, hash string, seg int, score double")
+    return index.alive(hits).select("query_id", "hash", "score")
 
 
 def _seen(search: Search, hits: DataFrame, owner, project, scope: DataFrame | None) -> DataFrame:
@@ -399,4 +457,4 @@ def kept(spark: SparkSession, name: str, last: str, build) -> str:
 
 def kept_index(spark: SparkSession, mem: DataFrame, state: str) -> TextIndex:
     """The index of `mem` for this `state` of its source: built at the first call, opened at later ones."""
-    return open_index(spark, kept(spark, f"text_index-v1-{state}", "totals", lambda path: create_index(mem, path)))
+    return open_index(spark, kept(spark, f"text_index-v2-{state}", "totals", lambda path: create_index(mem, path)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import pytest
@@ -139,3 +140,25 @@ def test_kept_index_is_built_once_per_state(spark, tmp_path):
 def test_empty_table(spark):
     index = T.create_index(memories_df(spark, []))
     assert answer(T.search_top(index, queries(spark), 3)) == []
+
+
+def written(folder):
+    return set(os.listdir(f"{folder.removeprefix('file:')}/tables"))
+
+
+def test_scoring_shuffles_blocks_not_entries(spark, base):
+    _, index = base
+    prepared = T.prepare(index, queries(spark))
+    plan = T.score(prepared, prepared.ranges)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "explode" not in plan
+
+
+def test_changes_do_not_shuffle_the_terms_of_the_index(spark, base):
+    """The terms of a memory are written once, and only those of lost memories are read again."""
+    _, index = base
+    folder = spark.conf.get("spark.checkpoint.dir", None) or T.ensure_checkpoint_dir(spark)
+    before = written(folder)
+    T.apply_changes(index, memories_df(spark, rows(40, 5, start=7000)), path=f"{index.paths[0]}-terms-once")
+    new = {n.rsplit("-", 1)[0] for n in written(folder) - before}
+    assert "index_gone" in new and "index_terms" not in new
+    assert "entries" in index.part("docs").columns
