@@ -162,3 +162,14 @@ def test_changes_do_not_shuffle_the_terms_of_the_index(spark, base):
     new = {n.rsplit("-", 1)[0] for n in written(folder) - before}
     assert "index_gone" in new and "index_terms" not in new
     assert "entries" in index.part("docs").columns
+
+
+def test_hybrid_over_the_kept_index_equals_hybrid_over_a_rebuilt_one(spark, base):
+    data, index = base
+    mem, q = memories_df(spark, data), queries(spark)
+    own = S.build_index(mem, vectors=True)
+    qvec = S.with_embedding(q, "query", out="vec").select("query_id", "vec")
+    kept, fts = S.hybrid(spark, own, q, qvec, limit=3, fulltext=lambda n: T.search_top(index, q, n))
+    want, _ = S.hybrid(spark, own, q, qvec, limit=3)
+    pick = lambda df: sorted((r.query_id, r.hash, r["rank"]) for r in df.collect())
+    assert pick(kept) == pick(want) and fts.count() > 10
