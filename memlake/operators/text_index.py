@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from memlake.config import BM25_B, BM25_K1, IDF_FLOOR
 from memlake.functions.visibility import visible
-from memlake.operators.search import SIM_RESOLUTION, doc_terms, query_phrases
+from memlake.operators.search import SIM_RESOLUTION, SMALL_ROWS, doc_terms, query_phrases
 from memlake.session import ensure_checkpoint_dir, materialize
 
 BUCKETS = 64            # folders of postings; raise with the vocabulary
@@ -45,7 +45,6 @@ SLOT_RANGES = 2048      # ranges that one writing task takes of a bucket when an
 PART_RANGES = 8         # ranges that one task finds the terms of, about
 ENTRIES_AT_ONCE = 1 << 20   # entries of whole ranges that are made into blocks together, about
 FIRST_RANGES = 4        # ranges of a query that are scored before the others
-SMALL_ROWS = 1 << 20    # rows of short keys that are sent to every task rather than shuffled against
 CODEC = "zstd"          # of the large parts
 DOC_COLUMNS = ["hash", "sensitivity", "project", "owner_id"]
 

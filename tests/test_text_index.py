@@ -173,3 +173,18 @@ def test_hybrid_over_the_kept_index_equals_hybrid_over_a_rebuilt_one(spark, base
     want, _ = S.hybrid(spark, own, q, qvec, limit=3)
     pick = lambda df: sorted((r.query_id, r.hash, r["rank"]) for r in df.collect())
     assert pick(kept) == pick(want) and fts.count() > 10
+
+
+def test_rebuilt_search_keeps_the_phrases_of_a_memory_in_one_row(spark, monkeypatch):
+    """No entry (phrase, memory) is shuffled once more to be paired with a query: what is written has a row per memory."""
+    seen, write = {}, S._materialize
+
+    def spy(df, name):
+        seen[name] = write(df, name)
+        return seen[name]
+    monkeypatch.setattr(S, "_materialize", spy)
+    data = [memory_row(hash=f"h{i}", summary_text="apple pear foo-bar plum" if i % 2 else "apple pear") for i in range(40)]
+    q = spark.createDataFrame([(1, "apple pear"), (2, "foo-bar apple"), (3, "apple nothing"), (4, "plum pear apple")], "query_id long, query string")
+    got = S.bm25_top(S.build_index(memories_df(spark, data)), q, 50).collect()
+    assert seen["phrase_frequencies"].count() == 40
+    assert {i: sum(r.query_id == i for r in got) for i in (1, 2, 3, 4)} == {1: 40, 2: 20, 3: 0, 4: 20}
