@@ -45,6 +45,7 @@ SLOT_RANGES = 2048      # ranges that one writing task takes of a bucket when an
 PART_RANGES = 8         # ranges that one task finds the terms of, about
 ENTRIES_AT_ONCE = 1 << 20   # entries of whole ranges that are made into blocks together, about
 FIRST_RANGES = 4        # ranges of a query that are scored before the others
+SORTED_BYTES = 16 << 20 # bytes of stored terms whose blocks one task sorts, about: more would be sorted on disk
 CODEC = "zstd"          # of the large parts
 DOC_COLUMNS = ["hash", "sensitivity", "project", "owner_id"]
 
@@ -181,7 +182,12 @@ def _write_segment(rows: DataFrame, gone: DataFrame, lost: DataFrame, path: str,
     blocks = (own.select("hash", "rng", "dl", "entries").mapInArrow(_blocks, BLOCK_SCHEMA)
               .withColumn("bucket", _bucket(F.col("term"), buckets)))
     blocks = blocks.sortWithinPartitions("bucket", "term", "rng")
-    blocks.write.option("compression", CODEC).partitionBy("bucket").parquet(f"{path}/postings/seg={seg}")
+    usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", SORTED_BYTES)
+    try:
+        blocks.write.option("compression", CODEC).partitionBy("bucket").parquet(f"{path}/postings/seg={seg}")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
     taken = lost.select(F.explode("terms").alias("term"), F.lit(-1).cast("long").alias("df"))
     written = spark.read.schema(f"{BLOCK_SCHEMA}, bucket int").parquet(f"{path}/postings/seg={seg}")
     df = (written.select("term", F.col("n").alias("df")).unionByName(taken)
