@@ -13,6 +13,8 @@ FILTER_SHARE bits a key and at most 2 ** MAX_FILTER_BITS bits (8 MB): with more
 result does not depend on the filters.
 
 Scores come from joins of the frequent phrases with themselves. One-word parts are shared by many phrases, so the joins are salted.
+Every join is hinted to shuffle and merge: Spark sizes a side by the compressed file it is read from, not by the rows that salts and
+spans are exploded to, and would copy gigabytes through the driver.
 
 Defined cases: a null or empty text has no words; a null language is `und`; words are whole whatever their length; a text
 longer than SLICE_BYTES is read by itself. Rows that repeat an id or a text count each time. An empty table gives no rows. Ties
@@ -368,7 +370,7 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = M
     salts = F.when(F.col("size") == 1, WORD_SALTS).otherwise(PART_SALTS)
     lookup = (known.select("lang", F.col("phrase").alias("part"), "f", F.size("words").alias("size"))
               .select("lang", "part", "f", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")))
-    met = parts.withColumn("salt", F.pmod(F.xxhash64("phrase", "k"), salts).cast("int")).join(lookup, ["lang", "part", "salt"])
+    met = parts.withColumn("salt", F.pmod(F.xxhash64("phrase", "k"), salts).cast("int")).join(lookup.hint("merge"), ["lang", "part", "salt"])
     sums = met.groupBy("lang", "phrase", "a", "k").agg(F.max(F.when(F.col("is_first"), F.col("f"))).alias("l"),
                                                        F.max(F.when(~F.col("is_first"), F.col("f"))).alias("r"))
     score = F.expr(f"{_exact('a')} * CAST(2000000 AS DECIMAL(7, 0)) DIV ({_exact('l')} + {_exact('r')})").cast("bigint")
@@ -380,7 +382,7 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = M
         F.sequence(F.lit(1), n - m + 1), lambda i: F.array_join(F.slice("words", i, m), " "))))
     longest = (cand.where("size(words) > 2").select("lang", F.explode(spans).alias("phrase"), "a")
                .groupBy("lang", "phrase").agg(F.max("a").alias("longer")))
-    left = (best.join(longest, ["lang", "phrase"], "left")
+    left = (best.join(longest.hint("merge"), ["lang", "phrase"], "left")
             .where(f"longer IS NULL OR CAST(100 AS DECIMAL(3, 0)) * {_exact('longer')} < CAST({hiding} AS DECIMAL(3, 0)) * {_exact('a')}")
             .select("lang", "phrase", "a", "b.score", "b.l", "b.r"))
 
@@ -389,7 +391,7 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = M
             .withColumn("_rank", F.row_number().over(Window.partitionBy("lang", "_deal").orderBy(*order))).where(f"_rank <= {top}"))
     ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("bigint")).where(f"rank <= {top}")
     totals = counted.where("phrase = ''").select("lang", F.col("f").alias("n"))
-    return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return ranked.join(totals.hint("merge"), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 _GRAMS = "\n  UNION ALL ".join(

@@ -111,3 +111,15 @@ def test_trie_bursts_and_spills_whole_subtrees():
 def test_real_documents(spark, sf_small):
     rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()]
     assert sorted(tuple(r) for r in C.op13_phrase_collocations(spark, sf_small).collect()) == brute(rows, 30)
+
+
+def test_nothing_is_broadcast_by_its_file_size(spark):
+    """The counted phrases are few compressed bytes, and many rows once their salts and spans are exploded."""
+    rows = texts(6, 100)
+    df = C.collocations(spark.createDataFrame(rows, DDL).repartition(2), min_count=4)
+    plan = df._jdf.queryExecution().executedPlan()
+    planned = plan.toString()
+    got = sorted(tuple(r) for r in df.collect())
+    for text in (planned, plan.toString()):  # as first planned, and as it ran
+        assert "BroadcastExchange" not in text and "BroadcastHashJoin" not in text
+    assert got == brute(rows, 4) and got
